@@ -18,8 +18,9 @@ def as_ntz(c: Column) -> Column:
 
 
 def epoch_ms(c: Column) -> Column:
-    """Milliseconds since the epoch of a wall-clock (NTZ) timestamp."""
-    return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), as_ntz(c))
+    """Whole milliseconds since the epoch (floor) of a wall-clock (NTZ) timestamp."""
+    us = epoch_us(c)
+    return ((us - F.pmod(us, F.lit(1000))) / F.lit(1000)).cast("bigint")
 
 
 def epoch_us(c: Column) -> Column:
