@@ -20,3 +20,79 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once (PRIMARY KEY / UNIQUE as a report)."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") > 1))
+
+
+# Q1 / Q2 / Q3 / P8 -------------------------------------------------------
+Rule = tuple[str, Column]  # (name, violated-when condition)
+
+
+def violations(rules: Sequence[Rule]) -> Column:
+    """Array of the names of violated rules, in rule order."""
+    arr = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules])
+    return F.filter(arr, lambda x: x.isNotNull())
+
+
+def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add ``violations`` (array) and ``valid``; one pass, no shuffle."""
+    return df.withColumn("violations", violations(rules)).withColumn("valid", F.size("violations") == 0)
+
+
+def split_valid(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantine) over the same validated plan."""
+    v = validate(df, rules)
+    return v.filter("valid").drop("violations", "valid"), v.filter(~F.col("valid"))
+
+
+# Rule builders mirroring the request field tags.
+def required(c: Column) -> Column:
+    return c.isNull() | (c == "")
+
+
+def too_short(c: Column, n: int) -> Column:
+    return F.char_length(c) < n
+
+
+def too_long(c: Column, n: int) -> Column:
+    return F.char_length(c) > n
+
+
+def not_alphanumeric(c: Column) -> Column:
+    return ~c.rlike(r"^[a-zA-Z0-9]+\z")
+
+
+def lacks_any(c: Column, chars: str) -> Column:
+    cls = "".join("\\" + ch for ch in chars)
+    return ~c.rlike(f"[{cls}]")
+
+
+def not_email(c: Column) -> Column:
+    return ~c.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+\z")
+
+
+def not_equal(a: Column, b: Column) -> Column:
+    return ~F.coalesce(a == b, F.lit(False))
+
+
+def password_rules(field: str) -> list[Rule]:
+    c = F.col(field)
+    return [(f"{field}:required", required(c)), (f"{field}:min", too_short(c, 5)),
+            (f"{field}:max", too_long(c, 70)), (f"{field}:containsany", lacks_any(c, "!@#$%^&*"))]
+
+
+def signup_rules() -> list[Rule]:
+    u, n, e = F.col("username"), F.col("fullname"), F.col("email")
+    return [("username:required", required(u)), ("username:min", too_short(u, 4)),
+            ("username:max", too_long(u, 20)), ("username:alphanum", not_alphanumeric(u)),
+            ("fullname:required", required(n)), ("fullname:min", too_short(n, 4)),
+            ("fullname:max", too_long(n, 100)),
+            ("email:required", required(e)), ("email:email", not_email(e)), ("email:max", too_long(e, 50)),
+            *password_rules("password"),
+            ("confirm_password:eqfield", not_equal(F.col("confirm_password"), F.col("password")))]
+
+
+def conversion_rules(start: Column, end: Column, fps: Column, width: Column,
+                     max_fps: int = 5, max_width: int = 1920) -> list[Rule]:
+    """Checks the service lists as missing: start < end, fps and width bounds."""
+    return [("start_before_end", ~(start < end)),
+            ("fps_range", (fps < 0) | (fps > max_fps)),
+            ("width_range", (width < 0) | (width > max_width))]
