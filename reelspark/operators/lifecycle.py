@@ -139,24 +139,27 @@ def token_reuse(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms:
     df = requests.select(F.col(key).cast("long").alias("__key"), F.col(id_col).cast("long").alias("__id"),
                          epoch_ms(F.col(ts)).alias("__t"))
 
-    def step(pdf: pd.DataFrame, state):
+    def kernel(pdf: pd.DataFrame, starts: list, state):
         t = pdf["__t"].to_numpy(dtype="int64")
         ids = pdf["__id"].to_numpy(dtype="int64")
-        n = len(pdf)
-        action = np.empty(n, dtype=object)
-        tok = np.empty(n, dtype="int64")
+        tl, il = t.tolist(), ids.tolist()
+        n = len(tl)
+        action = [""] * n
+        tok = [0] * n
         for i in range(n):
-            if state is not None and state[0] + ttl_ms > t[i]:
+            if starts[i]:
+                state = None
+            if state is not None and state[0] + ttl_ms > tl[i]:
                 action[i] = "reuse"
             else:
-                state = (int(t[i]), int(ids[i]))
+                state = (tl[i], il[i])
                 action[i] = "new"
             tok[i] = state[1]
         out = pd.DataFrame({"key": pdf["__key"].to_numpy(dtype="int64"), "id": ids, "t_ms": t,
-                            "action": action, "token_id": tok})
+                            "action": action, "token_id": np.asarray(tok, dtype="int64")})
         return out, state
 
-    return segmented_fold(df, ["__key"], "__t", "__id", lambda gap: gap >= F.lit(ttl_ms), step,
+    return segmented_fold(df, ["__key"], "__t", "__id", lambda gap: gap >= F.lit(ttl_ms), kernel,
                           "key long, id long, t_ms long, action string, token_id long",
                           bucket_ms=bucket_ms, num_partitions=num_partitions)
 

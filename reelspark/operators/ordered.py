@@ -43,21 +43,25 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
     """``out_col`` = max of ``value`` over the key's rows before (and at) this one.
 
     Rows are ordered by ``(bucket_col, *order)``; ``bucket_col`` must be
-    monotone in that order (a time bucket of the first order field).
+    monotone in that order (a time bucket of the first order field).  The
+    per-bucket summary is taken from the windowed rows themselves, so the
+    summary and the rows share one shuffle (Spark reuses the exchange).
     """
     keys = list(keys)
-    end = Window.currentRow if inclusive else -1
-    w_in = (Window.partitionBy(*keys, bucket_col).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, end))
-    tmp = f"__v_{out_col}"
-    df = df.withColumn(tmp, value).withColumn(f"__in_{out_col}", F.max(tmp).over(w_in))
-    summary = df.groupBy(*keys, bucket_col).agg(F.max(tmp).alias(f"__b_{out_col}"))
+    w = Window.partitionBy(*keys, bucket_col).orderBy(*order)
+    tmp, inc, exc = f"__v_{out_col}", f"__i_{out_col}", f"__x_{out_col}"
+    df = (df.withColumn(tmp, value)
+            .withColumn(inc, F.max(tmp).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    if not inclusive:
+        df = df.withColumn(exc, F.max(tmp).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    summary = df.groupBy(*keys, bucket_col).agg(F.max(inc).alias(f"__b_{out_col}"))
     w_b = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     summary = (summary.withColumn(f"__c_{out_col}", F.max(f"__b_{out_col}").over(w_b))
                .drop(f"__b_{out_col}"))
     df = df.join(summary, [*keys, bucket_col], "left")
-    return (df.withColumn(out_col, F.greatest(f"__in_{out_col}", f"__c_{out_col}"))
-              .drop(tmp, f"__in_{out_col}", f"__c_{out_col}"))
+    own = inc if inclusive else exc
+    return (df.withColumn(out_col, F.greatest(own, f"__c_{out_col}"))
+              .drop(tmp, inc, exc, f"__c_{out_col}"))
 
 
 def keyed_prev(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, out_col: str,
@@ -73,57 +77,55 @@ def keyed_prev(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, out_
 
 def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
                  is_sync: Callable[[Column], Column], bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
-    """Add ``gap_ms`` (null on a key's first row) and ``seg`` (start of segment).
-
-    ``is_sync(gap_ms)`` says where the fold state is known without history;
-    a key's first row always starts a segment.
+    """Add ``gap_ms`` (null on a key's first row) and ``seg_t``.
+
+    ``gap_ms`` is ``t`` minus the previous row's ``t`` (the previous row in
+    (t, id) order has the largest earlier t, so a long max suffices and the
+    aggregates stay hash-based).  ``seg_t`` is the time of the latest sync
+    row at or before this one; ``is_sync(gap_ms)`` says where the fold state
+    is known without history (a key's first row always is).  Two sync rows
+    with equal t share a ``seg_t``; that is harmless because a fold rebuilds
+    its state at every sync row it meets.
     """
-    df = keyed_prev(df, keys, t_col, id_col, "__prev", bucket_ms)
-    df = df.withColumn("gap_ms", F.col(t_col) - F.col("__prev.t")).drop("__prev")
-    sync = F.col("gap_ms").isNull() | is_sync(F.col("gap_ms"))
     b = "__bk_seg"
     df = df.withColumn(b, time_bucket(F.col(t_col), bucket_ms))
-    df = keyed_running_max(df, keys, b, [t_col, id_col],
-                           F.when(sync, F.struct(F.col(t_col).alias("t"), F.col(id_col).alias("id"))),
-                           "seg", inclusive=True)
+    df = keyed_running_max(df, keys, b, [t_col, id_col], F.col(t_col), "__prev_t", inclusive=False)
+    df = df.withColumn("gap_ms", F.col(t_col) - F.col("__prev_t")).drop("__prev_t")
+    sync = F.col("gap_ms").isNull() | is_sync(F.col("gap_ms"))
+    df = keyed_running_max(df, keys, b, [t_col, id_col], F.when(sync, F.col(t_col)), "seg_t", inclusive=True)
     return df.drop(b)
 
 
-FoldFn = Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]]
+FoldFn = Callable[[pd.DataFrame, list, object], tuple[pd.DataFrame, object]]
 
 
 def segmented_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
-                   is_sync: Callable[[Column], Column], step: FoldFn, out_schema: str,
+                   is_sync: Callable[[Column], Column], kernel: FoldFn, out_schema: str,
                    bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None) -> DataFrame:
     """Exact ordered fold per key, parallel across keys and segments.
 
-    ``step(batch, state) -> (out_batch, state)`` folds one sorted pandas batch
-    of a single segment; ``state`` is None at a segment start (the batch then
-    begins with the sync row, whose ``gap_ms`` decides the state).
+    ``kernel(batch, starts, state) -> (out_batch, state)`` folds one sorted
+    pandas batch; ``starts[i]`` is True where a new segment begins.  The
+    kernel must rebuild its state at any sync row (from ``gap_ms`` alone),
+    and may rely on every segment start being a sync row.  ``state``
+    carries a segment that continues from the previous Arrow batch.
     """
     keys = list(keys)
     seg = segment_rows(df, keys, t_col, id_col, is_sync, bucket_ms)
-    seg = seg.withColumn("__seg_t", F.col("seg.t")).withColumn("__seg_id", F.col("seg.id")).drop("seg")
-    part_cols = [*keys, "__seg_t", "__seg_id"]
+    part_cols = [*keys, "seg_t"]
     parted = seg.repartition(num_partitions, *part_cols) if num_partitions else seg.repartition(*part_cols)
     ordered = parted.sortWithinPartitions(*part_cols, t_col, id_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, state = None, None
+        last, state = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
             sub = pdf[part_cols]
-            changed = (sub != sub.shift()).any(axis=1).to_numpy()
-            changed[0] = True
-            # split the Arrow batch where the segment changes
-            change = [*np.flatnonzero(changed).tolist(), len(pdf)]
-            gid = sub.to_numpy()
-            for a, z in zip(change[:-1], change[1:]):
-                g = tuple(gid[a])
-                if g != cur:
-                    cur, state = g, None
-                out, state = step(pdf.iloc[a:z], state)
-                yield out
+            starts = (sub != sub.shift()).any(axis=1).to_numpy()
+            starts[0] = tuple(sub.iloc[0].tolist()) != last
+            last = tuple(sub.iloc[-1].tolist())
+            out, state = kernel(pdf, starts.tolist(), state)
+            yield out
 
     return ordered.mapInPandas(run, out_schema)

@@ -33,20 +33,20 @@ OUT_SCHEMA = ("key long, id long, t_ms long, allowed boolean, tokens long, "
               "wait_ms long, retry_after_s long")
 
 
-def _bucket_step(capacity: float, rate: float, per_ms: float, idle_ms: int, init: float):
+def _bucket_kernel(capacity: float, rate: float, per_ms: float, idle_ms: int, init: float):
     start = min(capacity, init)
 
-    def step(pdf: pd.DataFrame, tok):
-        gaps = pdf["gap_ms"].to_numpy(dtype="float64", na_value=np.nan)
-        n = len(pdf)
-        allowed = np.zeros(n, dtype=bool)
-        left = np.zeros(n, dtype="int64")
-        wait = np.zeros(n, dtype="int64")
+    def kernel(pdf: pd.DataFrame, starts: list, tok):
+        gaps = pdf["gap_ms"].to_numpy(dtype="float64", na_value=np.nan).tolist()
+        n = len(gaps)
+        allowed = [False] * n
+        left = [0] * n
+        wait = [0] * n
         for i in range(n):
             g = gaps[i]
             if g != g or g >= idle_ms:          # first row of the key, or idle reset
                 r = start
-            elif tok is None:                   # segment start on a full refill
+            elif starts[i]:                     # segment starts on a full refill
                 r = capacity
             else:
                 r = min(capacity, tok + (g / per_ms) * rate)
@@ -57,15 +57,17 @@ def _bucket_step(capacity: float, rate: float, per_ms: float, idle_ms: int, init
                 tok = r
                 wait[i] = math.ceil(((1 - r) / rate) * per_ms)
             left[i] = math.floor(tok)
+        w = np.asarray(wait, dtype="int64")
         out = pd.DataFrame({
             "key": pdf["__key"].to_numpy(dtype="int64"),
             "id": pdf["__id"].to_numpy(dtype="int64"),
             "t_ms": pdf["__t"].to_numpy(dtype="int64"),
-            "allowed": allowed, "tokens": left, "wait_ms": wait, "retry_after_s": wait // 1000,
+            "allowed": np.asarray(allowed, dtype=bool), "tokens": np.asarray(left, dtype="int64"),
+            "wait_ms": w, "retry_after_s": w // 1000,
         })
         return out, tok
 
-    return step
+    return kernel
 
 
 def token_bucket(requests: DataFrame, *, key: str, ts: str, id_col: str, capacity: float = 10,
@@ -84,8 +86,8 @@ def token_bucket(requests: DataFrame, *, key: str, ts: str, id_col: str, capacit
     def is_sync(gap):
         return (gap >= F.lit(idle_ms)) | ((gap.cast("double") / F.lit(per)) * F.lit(rt) >= F.lit(cap))
 
-    step = _bucket_step(cap, rt, per, idle_ms, float(init))
-    return segmented_fold(df, ["__key"], "__t", "__id", is_sync, step, OUT_SCHEMA,
+    kernel = _bucket_kernel(cap, rt, per, idle_ms, float(init))
+    return segmented_fold(df, ["__key"], "__t", "__id", is_sync, kernel, OUT_SCHEMA,
                           bucket_ms=bucket_ms, num_partitions=num_partitions)
 
 
