@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BUCKET_MS = 3_600_000  # one hour of event time per window task
 
@@ -37,6 +38,47 @@ def time_bucket(t_ms: Column, bucket_ms: int) -> Column:
     return F.floor(t_ms / F.lit(bucket_ms)).cast("bigint")
 
 
+def group_keys(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Non-nullable stand-ins for grouping columns: ``(isnull(c), coalesce(c, zero))``.
+
+    The original column is replaced (restore it with :func:`drop_group_keys`)
+    so every branch carries the same columns.  Already non-nullable columns
+    are used as they are.  A null key stays its
+    own group, and because the stand-ins cannot be null Catalyst infers no
+    IS NOT NULL filter on one side of a summary join only - which would make
+    the two branches differ and stop Spark from reusing their common
+    shuffle.  Create them once per operator so every level shares them.
+    """
+    out = []
+    for c in cols:
+        f = df.schema[c]
+        if not f.nullable:
+            out.append(c)
+            continue
+        dt = f.dataType
+        if isinstance(dt, T.NumericType):
+            zero = F.lit(0).cast(dt)
+        elif isinstance(dt, T.StringType):
+            zero = F.lit("")
+        elif isinstance(dt, T.BooleanType):
+            zero = F.lit(False)
+        else:
+            out.append(c)
+            continue
+        n, v = f"__gn_{c}", f"__gv_{c}"
+        df = df.withColumn(n, F.col(c).isNull()).withColumn(v, F.coalesce(F.col(c), zero)).drop(c)
+        out += [n, v]
+    return df, out
+
+
+def drop_group_keys(df: DataFrame) -> DataFrame:
+    """Restore the original key columns replaced by :func:`group_keys`."""
+    for n in [c for c in df.columns if c.startswith("__gn_")]:
+        c = n[len("__gn_"):]
+        df = df.withColumn(c, F.when(~F.col(n), F.col(f"__gv_{c}"))).drop(n, f"__gv_{c}")
+    return df
+
+
 def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
                       order: Sequence[str], value: Column, out_col: str,
                       inclusive: bool = True) -> DataFrame:
@@ -45,7 +87,8 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
     Rows are ordered by ``(bucket_col, *order)``; ``bucket_col`` must be
     monotone in that order (a time bucket of the first order field).  The
     per-bucket summary is taken from the windowed rows themselves, so the
-    summary and the rows share one shuffle (Spark reuses the exchange).
+    summary and the rows share one shuffle (Spark reuses the exchange) when
+    ``keys`` and ``bucket_col`` are non-nullable (see :func:`group_keys`).
     """
     keys = list(keys)
     w = Window.partitionBy(*keys, bucket_col).orderBy(*order)
@@ -64,15 +107,20 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
               .drop(tmp, inc, exc, f"__c_{out_col}"))
 
 
+def bucket_of(t: Column, bucket_ms: int) -> Column:
+    """Non-nullable time bucket (rows without a time share bucket -1)."""
+    return F.coalesce(time_bucket(t, bucket_ms), F.lit(-1).cast("bigint"))
+
+
 def keyed_prev(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, out_col: str,
                bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Previous row's ``struct(t, id)`` per key (distributed ``lag``)."""
     b = f"__bk_{out_col}"
-    df = df.withColumn(b, time_bucket(F.col(t_col), bucket_ms))
-    df = keyed_running_max(df, keys, b, [t_col, id_col],
+    df, gk = group_keys(df.withColumn(b, bucket_of(F.col(t_col), bucket_ms)), keys)
+    df = keyed_running_max(df, gk, b, [t_col, id_col],
                            F.struct(F.col(t_col).alias("t"), F.col(id_col).alias("id")),
                            out_col, inclusive=False)
-    return df.drop(b)
+    return drop_group_keys(df.drop(b))
 
 
 def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
@@ -88,12 +136,12 @@ def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     its state at every sync row it meets.
     """
     b = "__bk_seg"
-    df = df.withColumn(b, time_bucket(F.col(t_col), bucket_ms))
-    df = keyed_running_max(df, keys, b, [t_col, id_col], F.col(t_col), "__prev_t", inclusive=False)
+    df, gk = group_keys(df.withColumn(b, bucket_of(F.col(t_col), bucket_ms)), keys)
+    df = keyed_running_max(df, gk, b, [t_col, id_col], F.col(t_col), "__prev_t", inclusive=False)
     df = df.withColumn("gap_ms", F.col(t_col) - F.col("__prev_t")).drop("__prev_t")
     sync = F.col("gap_ms").isNull() | is_sync(F.col("gap_ms"))
-    df = keyed_running_max(df, keys, b, [t_col, id_col], F.when(sync, F.col(t_col)), "seg_t", inclusive=True)
-    return df.drop(b)
+    df = keyed_running_max(df, gk, b, [t_col, id_col], F.when(sync, F.col(t_col)), "seg_t", inclusive=True)
+    return drop_group_keys(df.drop(b))
 
 
 FoldFn = Callable[[pd.DataFrame, list, object], tuple[pd.DataFrame, object]]

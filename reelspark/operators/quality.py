@@ -26,20 +26,34 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 Rule = tuple[str, Column]  # (name, violated-when condition)
 
 
-def violations(rules: Sequence[Rule]) -> Column:
-    """Array of the names of violated rules, in rule order."""
-    arr = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules])
-    return F.filter(arr, lambda x: x.isNotNull())
-
-
-def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def violations(rules: Sequence[Rule], first_per_field: bool = True) -> Column:
+    """Array of the names of violated rules, in rule order.
+
+    Rule names are ``field:rule``.  Like the service's validator, only the
+    first failing rule of a field is reported unless ``first_per_field`` is
+    off (then every failing rule is listed).
+    """
+    seen: dict[str, Column] = {}
+    items = []
+    for name, cond in rules:
+        c = F.coalesce(cond, F.lit(False))
+        field = name.split(":", 1)[0]
+        hit = c & ~seen[field] if first_per_field and field in seen else c
+        seen[field] = (seen[field] | c) if field in seen else c
+        items.append(F.when(hit, F.lit(name)))
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
+def validate(df: DataFrame, rules: Sequence[Rule], first_per_field: bool = True) -> DataFrame:
     """Add ``violations`` (array) and ``valid``; one pass, no shuffle."""
-    return df.withColumn("violations", violations(rules)).withColumn("valid", F.size("violations") == 0)
+    return (df.withColumn("violations", violations(rules, first_per_field))
+              .withColumn("valid", F.size("violations") == 0))
 
 
-def split_valid(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, rules: Sequence[Rule],
+                first_per_field: bool = True) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantine) over the same validated plan."""
-    v = validate(df, rules)
+    v = validate(df, rules, first_per_field)
     return v.filter("valid").drop("violations", "valid"), v.filter(~F.col("valid"))
 
 

@@ -118,3 +118,14 @@ b AS (
 SELECT key, id, t AS t_ms, allowed, CAST(floor(tok) AS BIGINT) AS tokens, wait_ms,
        wait_ms // 1000 AS retry_after_s
 FROM b"""
+
+
+def token_bucket_stream(requests, *, key: str, ts: str, id_col: str, capacity: float = 10,
+                        rate: float = 5, per_ms: float = 1000, idle_ms: int = 6000,
+                        init: float | None = None):
+    """Streaming twin of :func:`token_bucket` (keyed state, idle eviction)."""
+    from ..streaming.state import keyed_fold_stream
+    init = rate if init is None else init
+    kernel = _bucket_kernel(float(capacity), float(rate), float(per_ms), idle_ms, float(init))
+    return keyed_fold_stream(requests, key=key, ts=ts, id_col=id_col, kernel=kernel,
+                             out_schema=OUT_SCHEMA, idle_ms=idle_ms)

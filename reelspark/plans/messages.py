@@ -295,19 +295,21 @@ def url_parts(spark, sf):
 
 @register("record_validation", """
 SELECT doc_id, v AS violations, v = '' AS valid FROM (
-  SELECT doc_id, concat_ws(',',
-      CASE WHEN text IS NULL OR text = '' THEN 'required' END,
-      CASE WHEN length(text) < 20 THEN 'min' END,
-      CASE WHEN length(text) > 2000 THEN 'max' END,
-      CASE WHEN NOT regexp_matches(text, '[!@#$%^&*]') THEN 'containsany' END,
-      CASE WHEN NOT regexp_full_match(text, '[a-zA-Z0-9]+') THEN 'alphanum' END) AS v
+  SELECT doc_id,
+         CASE WHEN text IS NULL OR text = '' THEN 'text:required'
+              WHEN length(text) < 20 THEN 'text:min'
+              WHEN length(text) > 2000 THEN 'text:max'
+              WHEN NOT regexp_matches(text, '[!@#$%^&*]') THEN 'text:containsany'
+              WHEN NOT regexp_full_match(text, '[a-zA-Z0-9]+') THEN 'text:alphanum'
+              ELSE '' END AS v
   FROM documents) t
 """)
 def record_validation(spark, sf):
     d = read_table(spark, sf, "documents")
     t = F.col("text")
-    rules = [("required", Q.required(t)), ("min", Q.too_short(t, 20)), ("max", Q.too_long(t, 2000)),
-             ("containsany", Q.lacks_any(t, S.SPECIAL_CHARS)), ("alphanum", Q.not_alphanumeric(t))]
+    rules = [("text:required", Q.required(t)), ("text:min", Q.too_short(t, 20)),
+             ("text:max", Q.too_long(t, 2000)), ("text:containsany", Q.lacks_any(t, S.SPECIAL_CHARS)),
+             ("text:alphanum", Q.not_alphanumeric(t))]
     v = Q.validate(d.select("doc_id", "text"), rules)
     return v.select("doc_id", F.array_join("violations", ",").alias("violations"), "valid")
 
