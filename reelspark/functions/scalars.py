@@ -96,16 +96,24 @@ def fixed2(x: Column) -> Column:
     """
     d = x.cast("float").cast("double")
     neg = (d < 0) | ((d == 0) & d.cast("string").startswith("-"))
-    body = F.format_string("%.2f", F.bround(F.abs(d), 2))
+    # after bround the value has two decimals exactly, so a decimal(38,2)
+    # cast prints it without another rounding (and much faster than a Formatter)
+    body = F.bround(F.abs(d), 2).cast("decimal(38,2)").cast("string")
     return F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), body)
 
 
+def _fill(template: str, fps: Column, width: Column) -> Column:
+    """``template % (fps, width)`` as a concat (the template has two ``%d``)."""
+    a, b, c = template.split("%d")
+    return F.concat(F.lit(a), fps.cast("string"), F.lit(b), width.cast("string"), F.lit(c))
+
+
 def palette_filter(fps: Column, width: Column) -> Column:
-    return F.format_string(PALETTE_FILTER, fps, width)
+    return _fill(PALETTE_FILTER, fps, width)
 
 
 def gif_filter(fps: Column, width: Column) -> Column:
-    return F.format_string(GIF_FILTER, fps, width)
+    return _fill(GIF_FILTER, fps, width)
 
 
 # F9 / F10

@@ -38,12 +38,20 @@ def upsert(snapshot: DataFrame, changes: DataFrame, *, key: str, arrival: Column
            update_cols: Sequence[str], keep_cols: Sequence[str]) -> DataFrame:
     """INSERT ... ON CONFLICT (key) DO UPDATE SET update_cols.
 
-    The latest *arrival* per key wins (not the latest business timestamp).
-    ``keep_cols`` are not in the update list: an existing row keeps them, an
-    inserted row takes them from the change.  A null in an updated column
+    Changes apply in *arrival* order (not business time), so the latest
+    arrival per key sets the updated columns.  ``keep_cols`` are not in the
+    update list: an existing row keeps them, a new key takes them from its
+    earliest change (the one that inserted it).  A null in an updated column
     overwrites.  Adds ``action``: insert / update / keep.
     """
-    ch = newest_per_key(changes, [key], [arrival.desc()])
+    w = Window.partitionBy(key).orderBy(arrival.desc())
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ch = changes.withColumn("__rn", F.row_number().over(w))
+    # a key new to the snapshot is inserted by its earliest change; later
+    # changes only touch the update list, so its kept columns are the earliest
+    for x in keep_cols:
+        ch = ch.withColumn(x, F.last(F.col(x)).over(whole))
+    ch = ch.filter(F.col("__rn") == 1).drop("__rn")
     cols = [key, *update_cols, *keep_cols]
     s = snapshot.select(*[F.col(c).alias(f"__s_{c}") for c in cols])
     c = ch.select(*[F.col(x).alias(f"__c_{x}") for x in cols])

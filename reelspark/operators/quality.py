@@ -33,15 +33,15 @@ def violations(rules: Sequence[Rule], first_per_field: bool = True) -> Column:
     first failing rule of a field is reported unless ``first_per_field`` is
     off (then every failing rule is listed).
     """
-    seen: dict[str, Column] = {}
-    items = []
-    for name, cond in rules:
-        c = F.coalesce(cond, F.lit(False))
+    if not first_per_field:
+        items = [F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules]
+        return F.filter(F.array(*items), lambda x: x.isNotNull())
+    chains: dict[str, Column] = {}
+    for name, cond in rules:  # one CASE chain per field: later rules are not evaluated
         field = name.split(":", 1)[0]
-        hit = c & ~seen[field] if first_per_field and field in seen else c
-        seen[field] = (seen[field] | c) if field in seen else c
-        items.append(F.when(hit, F.lit(name)))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+        c = F.coalesce(cond, F.lit(False))
+        chains[field] = chains[field].when(c, F.lit(name)) if field in chains else F.when(c, F.lit(name))
+    return F.filter(F.array(*chains.values()), lambda x: x.isNotNull())
 
 
 def validate(df: DataFrame, rules: Sequence[Rule], first_per_field: bool = True) -> DataFrame:

@@ -41,11 +41,14 @@ WITH base AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
         FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-10 00:00:00') t
   WHERE rn = 1),
+chg_all AS (
+  {UPLOADS_SQL}, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn_new,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn_old
+  FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-25 00:00:00'),
 chg AS (
-  {UPLOADS_SQL}
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
-        FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-25 00:00:00') t
-  WHERE rn = 1)
+  SELECT n.user_id, n.file_key, n.size_bytes, n.uploaded_at, o.id, o.duration
+  FROM chg_all n JOIN chg_all o ON n.user_id = o.user_id AND o.rn_old = 1
+  WHERE n.rn_new = 1)
 SELECT coalesce(b.user_id, c.user_id) AS user_id,
        CASE WHEN c.user_id IS NOT NULL THEN c.file_key ELSE b.file_key END AS file_key,
        CASE WHEN c.user_id IS NOT NULL THEN c.size_bytes ELSE b.size_bytes END AS size_bytes,
