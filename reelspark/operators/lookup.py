@@ -136,20 +136,25 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 # S6 / A1 / O2 ------------------------------------------------------------
 def listing_envelope(users: DataFrame, items: DataFrame, user_key: str, item_user_key: str,
-                     order: Sequence[Column], item_cols: Sequence[str], page_size: int = 20) -> DataFrame:
-    """The listing envelope ``{data, total, page, limit}`` per user.
+                     order_time: str, order_id: str, item_cols: Sequence[str], page_size: int = 20,
+                     bucket_ms: int = 86_400_000) -> DataFrame:
+    """The listing envelope ``{data, total, page, limit}`` per user, newest first.
 
     The service returns all of a user's items in one envelope with constant
     page 1 / limit 20.  One unbounded array per user cannot hold a hot user,
     so every page is its own row: ``data`` holds at most ``page_size`` items,
     every item appears on exactly one page, and ``total`` is the user's full
     count.  Users without items get page 1 with an empty array and total 0.
+
+    Newest-first position = total + 1 - oldest-first position, and both come
+    from a bucketed running count, so no user's items are sorted in one task.
     """
-    w = Window.partitionBy(F.col(item_user_key)).orderBy(*order)
-    ranked = (items
-              .withColumn("__pos", F.row_number().over(w))
-              .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.col(item_user_key))))
-              .withColumn("page", ((F.col("__pos") - 1) / F.lit(page_size)).cast("int") + 1))
+    from ..functions.timecols import epoch_ms
+    from .ordered import keyed_position
+    ranked = keyed_position(items, [item_user_key], order_time, order_id, "__asc", total_col="total",
+                            bucket_ms=bucket_ms, t_ms=epoch_ms(F.col(order_time)))
+    pos = F.col("total") - F.col("__asc") + 1
+    ranked = ranked.withColumn("__pos", pos).withColumn("page", ((pos - 1) / F.lit(page_size)).cast("int") + 1)
     packed = (ranked.groupBy(F.col(item_user_key).alias("__uk"), "page")
               .agg(F.max("total").alias("total"),
                    F.array_sort(F.collect_list(F.struct(F.col("__pos"), *[F.col(c) for c in item_cols])))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.timecols import epoch_ms, plus
-from .ordered import DEFAULT_BUCKET_MS, time_bucket
+from .ordered import DEFAULT_BUCKET_MS, keyed_position
 
 
 # T2 / F17 ----------------------------------------------------------------
@@ -34,22 +34,8 @@ def route_mail(decoded: DataFrame, *, msg: str = "msg", queue: str = S.EMAIL_QUE
 # T3 / D6 -----------------------------------------------------------------
 def running_count(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, out_col: str,
                   bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
-    """1-based position of each row within its key, in (t, id) order.
-
-    Counted per (key, time bucket) plus the counts of the key's earlier
-    buckets (a small summary), so a hot key is not sorted in one task.
-    """
-    from pyspark.sql import Window
-    keys = list(keys)
-    b = "__rc_b"
-    df = df.withColumn(b, time_bucket(epoch_ms(F.col(t_col)), bucket_ms))
-    w = Window.partitionBy(*keys, b).orderBy(t_col, id_col)
-    df = df.withColumn("__rc_in", F.row_number().over(w))
-    summ = df.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__rc_n"))
-    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.withColumn("__rc_c", F.coalesce(F.sum("__rc_n").over(wb), F.lit(0))).drop("__rc_n")
-    df = df.join(summ, [*keys, b], "left")
-    return df.withColumn(out_col, (F.col("__rc_in") + F.col("__rc_c")).cast("bigint")).drop(b, "__rc_in", "__rc_c")
+    """1-based position of each row within its key, in (t, id) order (bucketed, skew-safe)."""
+    return keyed_position(df, keys, t_col, id_col, out_col, bucket_ms=bucket_ms, t_ms=epoch_ms(F.col(t_col)))
 
 
 def retry_dead_letter(failures: DataFrame, *, message_key: Sequence[str], ts: str, id_col: str,

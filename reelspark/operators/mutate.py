@@ -44,14 +44,15 @@ def upsert(snapshot: DataFrame, changes: DataFrame, *, key: str, arrival: Column
     earliest change (the one that inserted it).  A null in an updated column
     overwrites.  Adds ``action``: insert / update / keep.
     """
-    w = Window.partitionBy(key).orderBy(arrival.desc())
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ch = changes.withColumn("__rn", F.row_number().over(w))
-    # a key new to the snapshot is inserted by its earliest change; later
-    # changes only touch the update list, so its kept columns are the earliest
-    for x in keep_cols:
-        ch = ch.withColumn(x, F.last(F.col(x)).over(whole))
-    ch = ch.filter(F.col("__rn") == 1).drop("__rn")
+    # Latest arrival sets the updated columns; a key new to the snapshot is
+    # inserted by its earliest change, whose kept columns stay.  Both are
+    # top-1 per key (WindowGroupLimit: each map task forwards one row per key,
+    # so a key with a huge change set is never sorted whole in one task).
+    newest = newest_per_key(changes.select(key, *update_cols, arrival.alias("__arr")), [key],
+                            [F.col("__arr").desc()]).drop("__arr")
+    oldest = newest_per_key(changes.select(key, *keep_cols, arrival.alias("__arr")), [key],
+                            [F.col("__arr").asc()]).drop("__arr")
+    ch = newest.join(oldest, key)
     cols = [key, *update_cols, *keep_cols]
     s = snapshot.select(*[F.col(c).alias(f"__s_{c}") for c in cols])
     c = ch.select(*[F.col(x).alias(f"__c_{x}") for x in cols])

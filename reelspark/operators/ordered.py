@@ -144,6 +144,32 @@ def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     return drop_group_keys(df.drop(b))
 
 
+def keyed_position(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, out_col: str = "pos",
+                   total_col: str | None = None, bucket_ms: int = DEFAULT_BUCKET_MS,
+                   t_ms: Column | None = None) -> DataFrame:
+    """1-based position of each row within its key in (t, id) order, and
+    optionally the key's row count.
+
+    Counted per (key, time bucket) with a window, plus the counts of the
+    key's earlier buckets from a small per-bucket summary, so a hot key is
+    never sorted whole in one task.  ``t_ms`` is the millisecond time used
+    for bucketing (default: ``t_col`` itself, which must then be integral).
+    """
+    b = "__pos_b"
+    tm = F.col(t_col) if t_ms is None else t_ms
+    df, gk = group_keys(df.withColumn(b, bucket_of(tm, bucket_ms)), list(keys))
+    w = Window.partitionBy(*gk, b).orderBy(t_col, id_col)
+    df = df.withColumn("__pos_in", F.row_number().over(w))
+    summ = df.groupBy(*gk, b).agg(F.max("__pos_in").alias("__pos_n"))
+    before = Window.partitionBy(*gk).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("__pos_c", F.coalesce(F.sum("__pos_n").over(before), F.lit(0)))
+    if total_col:
+        summ = summ.withColumn(total_col, F.sum("__pos_n").over(Window.partitionBy(*gk)).cast("bigint"))
+    df = df.join(summ.drop("__pos_n"), [*gk, b], "left")
+    df = df.withColumn(out_col, (F.col("__pos_in") + F.col("__pos_c")).cast("bigint")).drop(b, "__pos_in", "__pos_c")
+    return drop_group_keys(df)
+
+
 FoldFn = Callable[[pd.DataFrame, list, object], tuple[pd.DataFrame, object]]
 
 

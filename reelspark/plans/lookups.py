@@ -78,8 +78,7 @@ FROM customer c LEFT JOIN p ON c.c_custkey = p.o_custkey
 """)
 def listing_envelope(spark, sf):
     c, o = read_table(spark, sf, "customer"), read_table(spark, sf, "orders")
-    env = lookup.listing_envelope(c, o, "c_custkey", "o_custkey",
-                                  [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()],
+    env = lookup.listing_envelope(c, o, "c_custkey", "o_custkey", "o_orderdate", "o_orderkey",
                                   ["o_orderkey", "o_orderstatus"], page_size=20)
     return env.select(
         "user_id", "page", "limit", "total",
