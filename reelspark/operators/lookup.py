@@ -137,7 +137,7 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 # S6 / A1 / O2 ------------------------------------------------------------
 def listing_envelope(users: DataFrame, items: DataFrame, user_key: str, item_user_key: str,
                      order_time: str, order_id: str, item_cols: Sequence[str], page_size: int = 20,
-                     bucket_ms: int = 86_400_000) -> DataFrame:
+                     bucket_ms: int = 30 * 86_400_000) -> DataFrame:
     """The listing envelope ``{data, total, page, limit}`` per user, newest first.
 
     The service returns all of a user's items in one envelope with constant
