@@ -127,18 +127,7 @@ def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts:
 
 
 # J12 / D5 ----------------------------------------------------------------
-def token_reuse(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms: int,
-                bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None) -> DataFrame:
-    """Reuse the active token, else issue a new one; reuse does not renew it.
-
-    State per key is the active token's issue (time, id); a request at t
-    reuses it while ``issued + ttl > t``.  A gap of ``ttl`` or more always
-    issues anew, which is where the fold is cut into parallel segments.
-    Output: ``key, id, t_ms, action ('new'|'reuse'), token_id``.
-    """
-    df = requests.select(F.col(key).cast("long").alias("__key"), F.col(id_col).cast("long").alias("__id"),
-                         epoch_ms(F.col(ts)).alias("__t"))
-
+def _reuse_kernel(ttl_ms: int):
     def kernel(pdf: pd.DataFrame, starts: list, state):
         t = pdf["__t"].to_numpy(dtype="int64")
         ids = pdf["__id"].to_numpy(dtype="int64")
@@ -159,6 +148,22 @@ def token_reuse(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms:
                             "action": action, "token_id": np.asarray(tok, dtype="int64")})
         return out, state
 
+    return kernel
+
+
+def token_reuse(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms: int,
+                bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None) -> DataFrame:
+    """Reuse the active token, else issue a new one; reuse does not renew it.
+
+    State per key is the active token's issue (time, id); a request at t
+    reuses it while ``issued + ttl > t``.  A gap of ``ttl`` or more always
+    issues anew, which is where the fold is cut into parallel segments.
+    Output: ``key, id, t_ms, action ('new'|'reuse'), token_id``.
+    """
+    df = requests.select(F.col(key).cast("long").alias("__key"), F.col(id_col).cast("long").alias("__id"),
+                         epoch_ms(F.col(ts)).alias("__t"))
+
+    kernel = _reuse_kernel(ttl_ms)
     return segmented_fold(df, ["__key"], "__t", "__id", lambda gap: gap >= F.lit(ttl_ms), kernel,
                           "key long, id long, t_ms long, action string, token_id long",
                           bucket_ms=bucket_ms, num_partitions=num_partitions)
@@ -202,3 +207,53 @@ def account_sweep(accounts: DataFrame, *, deleted_col: str, as_of: Column) -> Da
     """Flag accounts whose ``deleted_at`` has passed (null = kept for ever)."""
     swept = F.col(deleted_col).isNotNull() & (F.col(deleted_col) <= as_of)
     return accounts.withColumn("swept", swept)
+
+
+def token_reuse_stream(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms: int) -> DataFrame:
+    """Streaming twin of :func:`token_reuse`; a key's state is dropped once its token has lapsed."""
+    from ..streaming.state import keyed_fold_stream
+    return keyed_fold_stream(requests, key=key, ts=ts, id_col=id_col, kernel=_reuse_kernel(ttl_ms),
+                             out_schema="key long, id long, t_ms long, action string, token_id long",
+                             idle_ms=ttl_ms)
+
+
+def _status_kernel(ttl_ms: Mapping[str, int]):
+    def kernel(pdf: pd.DataFrame, starts: list, last):
+        kinds, ts_ = pdf["__kind"].tolist(), pdf["__t"].tolist()
+        sts, res = pdf["__st"].tolist(), pdf["__res"].tolist()
+        keep, outcome, status, result = [], [], [], []
+        for i, k in enumerate(kinds):
+            if k == 0:
+                last = [ts_[i], sts[i], res[i] if isinstance(res[i], str) else None]
+                continue
+            keep.append(i)
+            if last is None:
+                outcome.append("missing"); status.append(None); result.append(None)
+                continue
+            life = ttl_ms.get(last[1])
+            ok = life is not None and last[0] + life > ts_[i]
+            outcome.append("ok" if ok else "expired"); status.append(last[1])
+            result.append(last[2] if ok else None)
+        sub = pdf.iloc[keep]
+        out = pd.DataFrame({"key": sub["__key"].to_numpy(dtype="int64"), "id": sub["__id"].to_numpy(dtype="int64"),
+                            "t_ms": sub["__t"].to_numpy(dtype="int64"), "outcome": outcome, "status": status,
+                            "result_key": result})
+        return out, last
+    return kernel
+
+
+def job_status_stream(events: DataFrame, *, key: str, ts: str, id_col: str, is_status: Column,
+                      status: Column, result: Column, ttl_ms: Mapping[str, int],
+                      evict_after_ms: int | None = None) -> DataFrame:
+    """Streaming twin of :func:`job_status_asof` over one stream of statuses and polls.
+
+    State per key is the latest status.  With ``evict_after_ms`` the state is
+    dropped after that much idle event time, after which a poll reads
+    ``missing`` (as the service's expiring cache does) rather than ``expired``.
+    """
+    from ..streaming.state import keyed_fold_stream
+    extra = {"__kind": F.when(is_status, F.lit(0)).otherwise(F.lit(1)),
+             "__st": F.when(is_status, status), "__res": F.when(is_status, result)}
+    return keyed_fold_stream(events, key=key, ts=ts, id_col=id_col, kernel=_status_kernel(dict(ttl_ms)),
+                             out_schema="key long, id long, t_ms long, outcome string, status string, result_key string",
+                             idle_ms=evict_after_ms, extra=extra, order=("__t", "__kind", "__id"))

@@ -117,3 +117,53 @@ def test_upsert_stream_equals_batch(spark, stream_dir, scratch):
                                             update_cols=["file_key", "size_bytes", "uploaded_at"],
                                             keep_cols=["id", "duration"]).select(*cols).collect()}
     assert got == want
+
+
+def test_token_reuse_stream_equals_batch(spark, stream_dir, scratch):
+    st = events_stream(spark, stream_dir).filter(F.col("event_type") == "signup")
+    s = lifecycle.token_reuse_stream(st, key="user_id", ts="ts", id_col="event_id", ttl_ms=60 * 3_600_000)
+    got = {tuple(r) for r in run_stream(spark, s, scratch).collect()}
+    ev = tables.read_table(spark, SF001, "events").filter(F.col("event_type") == "signup")
+    want = {tuple(r) for r in lifecycle.token_reuse(ev, key="user_id", ts="ts", id_col="event_id",
+                                                   ttl_ms=60 * 3_600_000).collect()}
+    assert got == want and any(r[3] == "reuse" for r in want)
+
+
+def test_job_status_stream_equals_batch(spark, stream_dir, scratch):
+    kinds = {"click": "queued", "purchase": "completed", "error": "failed"}
+    status = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "purchase", "completed") \
+        .otherwise("failed")
+    result = F.when(F.col("event_type") == "purchase", F.concat(F.lit("gif/"), F.col("event_id").cast("string")))
+    ttl = {k: 12 * 3_600_000 for k in ("queued", "processing", "completed", "failed")}
+    st = events_stream(spark, stream_dir)
+    s = lifecycle.job_status_stream(st, key="user_id", ts="ts", id_col="event_id",
+                                    is_status=F.col("event_type").isin(*kinds), status=status, result=result,
+                                    ttl_ms=ttl)
+    got = {(r.id, r.outcome, r.status, r.result_key) for r in run_stream(spark, s, scratch).collect()
+           if r is not None}
+    ev = tables.read_table(spark, SF001, "events")
+    polls = ev.filter(~F.col("event_type").isin(*kinds)).select("event_id", "user_id", "ts")
+    sts = ev.filter(F.col("event_type").isin(*kinds)).select("user_id", "ts", "event_id", status.alias("status"),
+                                                             result.alias("result"))
+    b = lifecycle.job_status_asof(polls, sts, key="user_id", poll_ts="ts", poll_id="event_id", status_ts="ts",
+                                  status_id="event_id", status_col="status", result_col="result",
+                                  ttl_hours={k: 12 for k in ttl})
+    want = {(r.event_id, r.outcome, r.status, r.result_key) for r in b.collect()}
+    assert got == want and {o for _, o, _, _ in want} == {"ok", "expired", "missing"}
+
+
+def test_metadata_enrich_stream_static_join(spark, stream_dir, scratch):
+    from reelspark.functions import scalars as S
+    docs = tables.read_table(spark, SF001, "documents").select("doc_id", "n_chars", F.lit("video/mp4").alias("ct"))
+
+    def confirms(df):
+        return df.select("event_id", (F.col("event_id") % 300).alias("object_key"),
+                         F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(S.uuid_text(F.col("user_id")))
+                         .alias("user_uuid"))
+
+    kw = dict(key="object_key", user_id="user_uuid", inv_key="doc_id", size_col="n_chars", type_col="ct")
+    s = messages.metadata_enrich(confirms(events_stream(spark, stream_dir)), docs, **kw)
+    got = {(r.event_id, r.outcome) for r in run_stream(spark, s, scratch).collect()}
+    b = messages.metadata_enrich(confirms(tables.read_table(spark, SF001, "events")), docs, **kw)
+    want = {(r.event_id, r.outcome) for r in b.collect()}
+    assert got == want and {o for _, o in want} == {"saved", "retry", "reject"}
