@@ -95,7 +95,7 @@ def fixed2(x: Column) -> Column:
     sign even when it rounds to zero (``-0.00``), which ``bround`` alone loses.
     """
     d = x.cast("float").cast("double")
-    neg = (d < 0) | ((d == 0) & d.cast("string").startswith("-"))
+    neg = F.when(d == 0, d.cast("string").startswith("-")).otherwise(d < 0)  # text only for +-0
     # after bround the value has two decimals exactly, so a decimal(38,2)
     # cast prints it without another rounding (and much faster than a Formatter)
     body = F.bround(F.abs(d), 2).cast("decimal(38,2)").cast("string")

@@ -195,13 +195,25 @@ def share_resolve(requests: DataFrame, shares: DataFrame, *, req_token: str, req
 
 # J13 ---------------------------------------------------------------------
 def share_list(shares: DataFrame, *, owner_col: str, owner, item_col: str | None = None, item=None) -> DataFrame:
-    """Shares scoped to an owner (and optionally one item)."""
+    """Shares scoped to one owner (and optionally one item)."""
     cond = F.col(owner_col) == F.lit(owner)
     if item_col is not None:
         cond = cond & (F.col(item_col) == F.lit(item))
     return shares.filter(cond)
 
 
+def shares_for(shares: DataFrame, requests: DataFrame, *, owner_col: str, item_col: str,
+               req_owner: str, req_item: str) -> DataFrame:
+    """Bulk form: the shares matching each requested (owner, item) pair.
+
+    A semi join on the composite key, so a request never sees another
+    owner's shares and nothing fans out.
+    """
+    r = requests.select(F.col(req_owner).alias("__o"), F.col(req_item).alias("__i"))
+    cond = (shares[owner_col] == r["__o"]) & (shares[item_col] == r["__i"])
+    return shares.join(r, cond, "left_semi")
+
+
 # M10 ---------------------------------------------------------------------
 def account_sweep(accounts: DataFrame, *, deleted_col: str, as_of: Column) -> DataFrame:
     """Flag accounts whose ``deleted_at`` has passed (null = kept for ever)."""

@@ -99,3 +99,22 @@ def codebook_assign(vectors: DataFrame, codebook: DataFrame, *, vec: str) -> Dat
         return F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, y: acc + y)
     best = F.array_min(F.transform("codes", lambda c: F.struct(dist(c).alias("d"), c["code"].alias("code"))))
     return j.withColumn("code", best["code"]).drop("codes")
+
+
+def codebook_kmeans(vectors: DataFrame, *, vec: str, k: int, seed: int = 7, max_iter: int = 20) -> DataFrame:
+    """Learnt codebook (MLlib k-means, distributed) in the shape of :func:`codebook_means`.
+
+    The palette step learns ``k`` centres instead of taking group means; the
+    result plugs into :func:`codebook_assign` unchanged.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    if k > 256:
+        raise ValueError("codebook larger than 256")
+    data = vectors.select(array_to_vector(F.col(vec)).alias("features"))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
+    spark = vectors.sparkSession
+    centers = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
+                                    "code int, center array<double>")
+    # model.clusterCenters() is k vectors (bounded by the check above), not data
+    return centers.agg(F.array_sort(F.collect_list(F.struct("code", "center"))).alias("codes"))

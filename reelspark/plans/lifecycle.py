@@ -128,7 +128,8 @@ for _name, (_cap, _rate, _idle) in BUCKETS.items():
 
 
 SHARES_SQL = """
-  SELECT event_id AS token, user_id AS owner_id, 'g' || CAST(event_id AS VARCHAR) AS gif_key,
+  SELECT event_id AS token, user_id AS owner_id,
+         'g' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 5 AS VARCHAR) AS gif_key,
          ts AS created_at,
          CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + (event_id % 3) * INTERVAL 1 HOUR END AS expires_at,
          CASE WHEN event_id % 4 = 0 THEN 'download' ELSE 'view' END AS access
@@ -139,7 +140,8 @@ def _shares(ev):
     life = (F.col("event_id") % 3).cast("int")
     return (ev.filter(F.col("event_type").isin("signup", "click"))
               .select(F.col("event_id").alias("token"), F.col("user_id").alias("owner_id"),
-                      F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("gif_key"),
+                      F.concat(F.lit("g"), F.col("user_id").cast("string"), F.lit("-"),
+                               (F.col("event_id") % 5).cast("string")).alias("gif_key"),
                       F.col("ts").alias("created_at"),
                       F.when(life == 0, F.lit(None))
                        .otherwise(F.col("ts") + F.make_dt_interval(hours=life)).alias("expires_at"),
@@ -172,12 +174,19 @@ def share_resolve(spark, sf):
 
 
 @register("share_list", f"""
-SELECT token, gif_key, access, expires_at FROM ({SHARES_SQL}) sh WHERE owner_id = 7
+SELECT token, owner_id, gif_key, access, expires_at FROM ({SHARES_SQL}) sh
+WHERE EXISTS (SELECT 1 FROM events e
+              WHERE e.event_type = 'view' AND e.user_id = sh.owner_id
+                AND 'g' || CAST(e.user_id AS VARCHAR) || '-' || CAST(e.event_id % 5 AS VARCHAR) = sh.gif_key)
 """)
 def share_list(spark, sf):
-    sh = _shares(read_table(spark, sf, "events"))
-    return lifecycle.share_list(sh, owner_col="owner_id", owner=7).select("token", "gif_key", "access",
-                                                                          "expires_at")
+    ev = read_table(spark, sf, "events")
+    req = (ev.filter(F.col("event_type") == "view")
+             .select("user_id", F.concat(F.lit("g"), F.col("user_id").cast("string"), F.lit("-"),
+                                         (F.col("event_id") % 5).cast("string")).alias("item")))
+    out = lifecycle.shares_for(_shares(ev), req, owner_col="owner_id", item_col="gif_key",
+                               req_owner="user_id", req_item="item")
+    return out.select("token", "owner_id", "gif_key", "access", "expires_at")
 
 
 @register("account_sweep", """
