@@ -24,7 +24,17 @@ def epoch_ms(c: Column) -> Column:
 
 
 def epoch_us(c: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), as_ntz(c))
+    """Microseconds since the epoch of a wall-clock (NTZ) timestamp.
+
+    Built from the date and the time-of-day parts, which never pass through
+    the session time zone (``timestampdiff`` would cast to a zoned timestamp
+    and shift across daylight-saving changes).
+    """
+    t = as_ntz(c)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("bigint")
+    secs = F.date_part(F.lit("SECOND"), t)  # decimal(8,6): seconds with fraction
+    return (days * 86_400_000_000 + F.hour(t).cast("bigint") * 3_600_000_000
+            + F.minute(t).cast("bigint") * 60_000_000 + (secs * 1_000_000).cast("bigint"))
 
 
 def plus(c: Column, *, hours: float = 0, minutes: float = 0, seconds: float = 0) -> Column:
