@@ -14,10 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cols(cs) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cs]
-
-
 # P1 ----------------------------------------------------------------------
 def public_view(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the public columns; the scan reads nothing else."""

@@ -167,3 +167,14 @@ def test_metadata_enrich_stream_static_join(spark, stream_dir, scratch):
     b = messages.metadata_enrich(confirms(tables.read_table(spark, SF001, "events")), docs, **kw)
     want = {(r.event_id, r.outcome) for r in b.collect()}
     assert got == want and {o for _, o in want} == {"saved", "retry", "reject"}
+
+
+def test_message_files_stream_decodes(spark, scratch):
+    from reelspark.sources import connectors
+    from reelspark.sources import messages as SM
+    bodies = _bodies(tables.read_table(spark, SF001, "events"))
+    d = os.path.join(scratch, "queue")
+    bodies.select("body").coalesce(1).write.text(d)
+    st = connectors.message_files(spark, d, queue="email.queue")
+    got = run_stream(spark, SM.decode(st, "body", SM.MAIL), scratch)
+    assert got.count() == bodies.count() and got.filter("valid").count() < got.count()
