@@ -81,3 +81,27 @@ def metadata_enrich(confirms: DataFrame, inventory: DataFrame, *, key: str, user
              .withColumn("size_bytes", F.when(saved, F.col("size_bytes")))
              .withColumn("content_type", F.when(saved, F.col("content_type")))
              .drop("__ik"))
+
+
+def metadata_enrich_interval(confirms: DataFrame, objects: DataFrame, *, key: str, confirm_ts: str,
+                             user_id: str, obj_key: str, obj_ts: str, size_col: str, type_col: str,
+                             wait: str = "1 hour") -> DataFrame:
+    """T9: a confirmation may arrive before its object; it is saved when the
+    object shows up within ``wait`` after it, else it is dead-lettered.
+
+    Batch twin of :func:`reelspark.streaming.flows.metadata_enrich_stream` - an
+    equi join on the key plus a time range, with one object per key.
+    """
+    o = objects.select(F.col(obj_key).alias("__ok"), F.col(obj_ts).alias("__ot"),
+                       F.col(size_col).alias("size_bytes"), F.col(type_col).alias("content_type"))
+    cond = ((confirms[key] == o["__ok"]) & (o["__ot"] >= confirms[confirm_ts])
+            & (o["__ot"] <= confirms[confirm_ts] + F.expr(f"INTERVAL {wait}")))
+    j = confirms.join(o, cond, "left")
+    outcome = (F.when(~S.is_uuid(F.col(user_id)), "reject")
+               .when(F.col("__ok").isNull(), "dead")
+               .otherwise("saved"))
+    saved = outcome == "saved"
+    return (j.withColumn("outcome", outcome)
+             .withColumn("size_bytes", F.when(saved, F.col("size_bytes")))
+             .withColumn("content_type", F.when(saved, F.col("content_type")))
+             .drop("__ok", "__ot"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalars as S
 from ..operators import messages as M
 from ..operators import mutate
 from ..sources import messages as SM
@@ -140,3 +141,33 @@ def route_file_sink(routed: DataFrame, out_dir: str, checkpoint: str):
     return (routed.writeStream.format("parquet").partitionBy("queue")
             .option("checkpointLocation", checkpoint).option("path", out_dir))
 
+
+
+# T9 ----------------------------------------------------------------------
+def metadata_enrich_stream(confirms: DataFrame, objects: DataFrame, *, key: str, confirm_ts: str, user_id: str,
+                           obj_key: str, obj_ts: str, size_col: str, type_col: str, wait: str = "1 hour",
+                           delay: str = "0 seconds") -> DataFrame:
+    """Stream-stream left outer join: confirmations wait up to ``wait`` for their object.
+
+    Both sides carry event-time watermarks (``delay`` of lateness), so join
+    state is bounded: an object older than every open confirmation window is
+    dropped, and a confirmation whose window has closed is emitted without an
+    object (``dead``).  One object per key; times are wall-clock (NTZ) and are
+    carried as instants for the watermark.
+    """
+    c = (confirms.withColumn("__cts", F.col(confirm_ts).cast("timestamp"))
+                 .withWatermark("__cts", delay))
+    o = (objects.select(F.col(obj_key).alias("__ok"), F.col(obj_ts).cast("timestamp").alias("__ots"),
+                        F.col(size_col).alias("size_bytes"), F.col(type_col).alias("content_type"))
+                .withWatermark("__ots", delay))
+    cond = ((c[key] == o["__ok"]) & (o["__ots"] >= c["__cts"])
+            & (o["__ots"] <= c["__cts"] + F.expr(f"INTERVAL {wait}")))
+    j = c.join(o, cond, "leftOuter")
+    outcome = (F.when(~S.is_uuid(F.col(user_id)), "reject")
+               .when(F.col("__ok").isNull(), "dead")
+               .otherwise("saved"))
+    saved = outcome == "saved"
+    return (j.withColumn("outcome", outcome)
+             .withColumn("size_bytes", F.when(saved, F.col("size_bytes")))
+             .withColumn("content_type", F.when(saved, F.col("content_type")))
+             .drop("__ok", "__ots", "__cts"))

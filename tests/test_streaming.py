@@ -178,3 +178,33 @@ def test_message_files_stream_decodes(spark, scratch):
     st = connectors.message_files(spark, d, queue="email.queue")
     got = run_stream(spark, SM.decode(st, "body", SM.MAIL), scratch)
     assert got.count() == bodies.count() and got.filter("valid").count() < got.count()
+
+
+def test_metadata_enrich_stream_stream_join(spark, stream_dir, scratch):
+    from reelspark.functions import scalars as S
+
+    def confirms(df):
+        return (df.filter(F.col("event_type") == "click")
+                  .select("event_id", "ts", (F.col("event_id") + 3).alias("object_key"),
+                          F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(S.uuid_text(F.col("user_id")))
+                          .alias("user_uuid")))
+
+    def objects(df):
+        return df.select("event_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("size"),
+                         F.col("event_type").alias("ctype"))
+
+    kw = dict(key="object_key", confirm_ts="ts", user_id="user_uuid", obj_key="event_id", obj_ts="ts",
+              size_col="size", type_col="ctype", wait="1 hour")
+    s = flows.metadata_enrich_stream(confirms(events_stream(spark, stream_dir)), objects(events_stream(spark, stream_dir)),
+                                     **kw)
+    got = {(r.event_id, r.outcome, r.size_bytes) for r in run_stream(spark, s, scratch).collect()}
+    ev = tables.read_table(spark, SF001, "events")
+    b = messages.metadata_enrich_interval(confirms(ev), objects(ev), **kw)
+    want = {(r.event_id, r.outcome, r.size_bytes) for r in b.collect()}
+    # the final watermark is the minimum of both inputs' latest event times
+    last = min(confirms(ev).agg(F.max("ts")).first()[0], objects(ev).agg(F.max("ts")).first()[0])
+    import datetime as dt
+    ts_of = {r.event_id: r.ts for r in ev.select("event_id", "ts").collect()}
+    closed = {w for w in want if ts_of[w[0]] + dt.timedelta(hours=1) < last or w[1] == "saved"}
+    assert got <= want and closed <= got
+    assert {o for _, o, _ in closed} == {"saved", "dead", "reject"}
