@@ -126,21 +126,41 @@ def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
                  is_sync: Callable[[Column], Column], bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Add ``gap_ms`` (null on a key's first row) and ``seg_t``.
 
-    ``gap_ms`` is ``t`` minus the previous row's ``t`` (the previous row in
-    (t, id) order has the largest earlier t, so a long max suffices and the
-    aggregates stay hash-based).  ``seg_t`` is the time of the latest sync
-    row at or before this one; ``is_sync(gap_ms)`` says where the fold state
-    is known without history (a key's first row always is).  Two sync rows
-    with equal t share a ``seg_t``; that is harmless because a fold rebuilds
-    its state at every sync row it meets.
+    ``gap_ms`` is ``t`` minus the previous row's ``t`` in (t, id) order.
+    ``seg_t`` is the time of the latest sync row at or before this one;
+    ``is_sync(gap_ms)`` says where the fold state is known without history
+    (a key's first row always is).  Two sync rows with equal t share a
+    ``seg_t``; that is harmless because a fold rebuilds its state at every
+    sync row it meets.
+
+    One pass: a window per (key, bucket) gives each row its in-bucket gap and
+    the latest in-bucket sync time (the bucket's first row excluded, its gap
+    is not known there); a per-bucket summary - taken from the same windowed
+    rows, so the shuffle is shared - supplies the previous bucket's last time
+    (the first row's gap) and the latest sync time of all earlier buckets.
     """
     b = "__bk_seg"
     df, gk = group_keys(df.withColumn(b, bucket_of(F.col(t_col), bucket_ms)), keys)
-    df = keyed_running_max(df, gk, b, [t_col, id_col], F.col(t_col), "__prev_t", inclusive=False)
-    df = df.withColumn("gap_ms", F.col(t_col) - F.col("__prev_t")).drop("__prev_t")
-    sync = F.col("gap_ms").isNull() | is_sync(F.col("gap_ms"))
-    df = keyed_running_max(df, gk, b, [t_col, id_col], F.when(sync, F.col(t_col)), "seg_t", inclusive=True)
-    return drop_group_keys(df.drop(b))
+    w = Window.partitionBy(*gk, b).orderBy(t_col, id_col)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("__lag", F.lag(t_col).over(w))
+    inner_sync = F.col("__lag").isNotNull() & is_sync(F.col(t_col) - F.col("__lag"))
+    df = df.withColumn("__isync", F.max(F.when(inner_sync, F.col(t_col))).over(run))
+    summ = df.groupBy(*gk, b).agg(F.min(t_col).alias("__min_t"), F.max(t_col).alias("__max_t"),
+                                  F.max("__isync").alias("__last_isync"))
+    before = Window.partitionBy(*gk).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("__prev_max", F.max("__max_t").over(before))
+    first_sync = F.col("__prev_max").isNull() | is_sync(F.col("__min_t") - F.col("__prev_max"))
+    summ = (summ.withColumn("__first_sync", F.when(first_sync, F.col("__min_t")))
+                .withColumn("__bucket_sync", F.greatest("__last_isync", "__first_sync")))
+    summ = (summ.withColumn("__carry", F.max("__bucket_sync").over(before))
+                .select(*gk, b, "__prev_max", "__first_sync", "__carry"))
+    df = df.join(summ, [*gk, b], "left")
+    gap = F.when(F.col("__lag").isNull(), F.col(t_col) - F.col("__prev_max")).otherwise(F.col(t_col) - F.col("__lag"))
+    df = (df.withColumn("gap_ms", gap)
+            .withColumn("seg_t", F.greatest("__isync", "__first_sync", "__carry"))
+            .drop("__lag", "__isync", "__prev_max", "__first_sync", "__carry", b))
+    return drop_group_keys(df)
 
 
 def keyed_position(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, out_col: str = "pos",
