@@ -61,6 +61,10 @@ def group_keys(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]
             zero = F.lit("")
         elif isinstance(dt, T.BooleanType):
             zero = F.lit(False)
+        elif isinstance(dt, T.DateType):
+            zero = F.lit("1970-01-01").cast(dt)
+        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            zero = F.lit("1970-01-01 00:00:00").cast(dt)
         else:
             out.append(c)
             continue
