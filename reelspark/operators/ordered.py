@@ -198,7 +198,8 @@ FoldFn = Callable[[pd.DataFrame, list, object], tuple[pd.DataFrame, object]]
 
 def segmented_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
                    is_sync: Callable[[Column], Column], kernel: FoldFn, out_schema: str,
-                   bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None) -> DataFrame:
+                   bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None,
+                   checkpoint: bool = False) -> DataFrame:
     """Exact ordered fold per key, parallel across keys and segments.
 
     ``kernel(batch, starts, state) -> (out_batch, state)`` folds one sorted
@@ -209,6 +210,9 @@ def segmented_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     """
     keys = list(keys)
     seg = segment_rows(df, keys, t_col, id_col, is_sync, bucket_ms)
+    if checkpoint:  # a lost executor during the fold then restarts from the written segments
+        from ..session import reliable_checkpoint
+        seg = reliable_checkpoint(seg)
     part_cols = [*keys, "seg_t"]
     parted = seg.repartition(num_partitions, *part_cols) if num_partitions else seg.repartition(*part_cols)
     ordered = parted.sortWithinPartitions(*part_cols, t_col, id_col)

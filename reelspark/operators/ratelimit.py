@@ -72,7 +72,8 @@ def _bucket_kernel(capacity: float, rate: float, per_ms: float, idle_ms: int, in
 
 def token_bucket(requests: DataFrame, *, key: str, ts: str, id_col: str, capacity: float = 10,
                  rate: float = 5, per_ms: float = 1000, idle_ms: int = 6000, init: float | None = None,
-                 bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None) -> DataFrame:
+                 bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None,
+                 checkpoint: bool = False) -> DataFrame:
     """One decision per request: ``key, id, t_ms, allowed, tokens, wait_ms, retry_after_s``.
 
     Defaults are the service's (capacity 10, 5 tokens/s, 6 s idle life).
@@ -88,7 +89,7 @@ def token_bucket(requests: DataFrame, *, key: str, ts: str, id_col: str, capacit
 
     kernel = _bucket_kernel(cap, rt, per, idle_ms, float(init))
     return segmented_fold(df, ["__key"], "__t", "__id", is_sync, kernel, OUT_SCHEMA,
-                          bucket_ms=bucket_ms, num_partitions=num_partitions)
+                          bucket_ms=bucket_ms, num_partitions=num_partitions, checkpoint=checkpoint)
 
 
 def token_bucket_sql(table: str, key: str, ts: str, id_col: str, capacity: float, rate: float,

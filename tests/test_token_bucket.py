@@ -106,3 +106,14 @@ def test_random_inputs_match_brute_force(spark, evs, cap, rate, idle):
         span = sum(b - a for a, b in zip(ts, ts[1:]) if b - a < idle)
         allowed = sum(1 for i, kk, _ in rows if kk == k and got[i][0])
         assert allowed <= starts * min(cap, 1) + rate * span / 1000 + 1e-9
+
+
+def test_checkpointed_fold_and_scale_conf(spark):
+    from reelspark.session import scale_conf
+    rows = [(i, i % 3, i * 500) for i in range(60)]
+    df = spark.createDataFrame([(i, k, ms(t)) for i, k, t in rows], SCHEMA)
+    res = token_bucket(df, key="key", ts="ts", id_col="id", checkpoint=True).collect()
+    assert {r.id: (r.allowed, r.tokens, r.wait_ms) for r in res} == brute_force(rows, 10, 5, 1000, 6000, 5)
+    conf = scale_conf(100 << 40, executors=1000, cores_per_executor=8)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
