@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_ms, plus
-from .ordered import DEFAULT_BUCKET_MS, keyed_prev, keyed_running_max, segmented_fold, time_bucket
+from .ordered import DEFAULT_BUCKET_MS, as_long, keyed_prev, keyed_running_max, segmented_fold, time_bucket
 
 
 def _union_stream(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -129,8 +128,8 @@ def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts:
 # J12 / D5 ----------------------------------------------------------------
 def _reuse_kernel(ttl_ms: int):
     def kernel(pdf: pd.DataFrame, starts: list, state):
-        t = pdf["__t"].to_numpy(dtype="int64")
-        ids = pdf["__id"].to_numpy(dtype="int64")
+        t = as_long(pdf["__t"]).to_numpy()
+        ids = as_long(pdf["__id"]).to_numpy()
         tl, il = t.tolist(), ids.tolist()
         n = len(tl)
         action = [""] * n
@@ -144,8 +143,8 @@ def _reuse_kernel(ttl_ms: int):
                 state = (tl[i], il[i])
                 action[i] = "new"
             tok[i] = state[1]
-        out = pd.DataFrame({"key": pdf["__key"].to_numpy(dtype="int64"), "id": ids, "t_ms": t,
-                            "action": action, "token_id": np.asarray(tok, dtype="int64")})
+        out = pd.DataFrame({"key": as_long(pdf["__key"]).to_numpy(), "id": ids, "t_ms": t,
+                            "action": action, "token_id": pd.array(tok, dtype="Int64")})
         return out, state
 
     return kernel
@@ -247,8 +246,8 @@ def _status_kernel(ttl_ms: Mapping[str, int]):
             outcome.append("ok" if ok else "expired"); status.append(last[1])
             result.append(last[2] if ok else None)
         sub = pdf.iloc[keep]
-        out = pd.DataFrame({"key": sub["__key"].to_numpy(dtype="int64"), "id": sub["__id"].to_numpy(dtype="int64"),
-                            "t_ms": sub["__t"].to_numpy(dtype="int64"), "outcome": outcome, "status": status,
+        out = pd.DataFrame({"key": as_long(sub["__key"]).to_numpy(), "id": as_long(sub["__id"]).to_numpy(),
+                            "t_ms": as_long(sub["__t"]).to_numpy(), "outcome": outcome, "status": status,
                             "result_key": result})
         return out, last
     return kernel

@@ -196,6 +196,11 @@ def keyed_position(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
 FoldFn = Callable[[pd.DataFrame, list, object], tuple[pd.DataFrame, object]]
 
 
+def as_long(s: pd.Series) -> pd.Series:
+    """A nullable 64-bit integer column for a fold's output (keys may be null)."""
+    return s.astype("Int64")
+
+
 def segmented_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
                    is_sync: Callable[[Column], Column], kernel: FoldFn, out_schema: str,
                    bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None,
@@ -223,10 +228,13 @@ def segmented_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
             if pdf.empty:
                 continue
             sub = pdf[part_cols]
-            starts = (sub != sub.shift()).any(axis=1).to_numpy()
-            starts[0] = tuple(sub.iloc[0].tolist()) != last
+            prev = sub.shift()
+            # null-safe "same segment as the previous row" (a null key is one group)
+            same = ((sub == prev) | (sub.isna() & prev.isna())).all(axis=1).to_numpy()
+            first = tuple(sub.iloc[0].tolist())
+            same[0] = last is not None and all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(first, last))
             last = tuple(sub.iloc[-1].tolist())
-            out, state = kernel(pdf, starts.tolist(), state)
+            out, state = kernel(pdf, (~same).tolist(), state)
             yield out
 
     return ordered.mapInPandas(run, out_schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_ms
-from .ordered import DEFAULT_BUCKET_MS, segmented_fold
+from .ordered import DEFAULT_BUCKET_MS, as_long, segmented_fold
 
 OUT_SCHEMA = ("key long, id long, t_ms long, allowed boolean, tokens long, "
               "wait_ms long, retry_after_s long")
@@ -59,9 +59,9 @@ def _bucket_kernel(capacity: float, rate: float, per_ms: float, idle_ms: int, in
             left[i] = math.floor(tok)
         w = np.asarray(wait, dtype="int64")
         out = pd.DataFrame({
-            "key": pdf["__key"].to_numpy(dtype="int64"),
-            "id": pdf["__id"].to_numpy(dtype="int64"),
-            "t_ms": pdf["__t"].to_numpy(dtype="int64"),
+            "key": as_long(pdf["__key"]).to_numpy(),
+            "id": as_long(pdf["__id"]).to_numpy(),
+            "t_ms": as_long(pdf["__t"]).to_numpy(),
             "allowed": np.asarray(allowed, dtype=bool), "tokens": np.asarray(left, dtype="int64"),
             "wait_ms": w, "retry_after_s": w // 1000,
         })

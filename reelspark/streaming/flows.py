@@ -17,6 +17,7 @@ from ..functions import scalars as S
 from ..operators import messages as M
 from ..operators import mutate
 from ..sources import messages as SM
+from ..operators.ordered import as_long
 from .state import keyed_fold_stream
 
 
@@ -41,7 +42,7 @@ def _retry_kernel(max_retries: int):
         n = len(pdf)
         retries = list(range(count, count + n))
         action = ["requeue" if r < max_retries else "dead" for r in retries]
-        out = pd.DataFrame({"key": pdf["__key"].to_numpy(dtype="int64"), "id": pdf["__id"].to_numpy(dtype="int64"),
+        out = pd.DataFrame({"key": as_long(pdf["__key"]).to_numpy(), "id": as_long(pdf["__id"]).to_numpy(),
                             "retries": pd.array(retries, dtype="int64"), "action": action})
         return out, count + n
     return kernel
@@ -69,8 +70,8 @@ def _block_kernel(pdf: pd.DataFrame, starts: list, max_exp):
             keep.append(i)
             blocked.append(max_exp is not None and max_exp > ts[i])
     sub = pdf.iloc[keep]
-    out = pd.DataFrame({"key": sub["__key"].to_numpy(dtype="int64"), "id": sub["__id"].to_numpy(dtype="int64"),
-                        "t_ms": sub["__t"].to_numpy(dtype="int64"), "blocked": pd.array(blocked, dtype="bool")})
+    out = pd.DataFrame({"key": as_long(sub["__key"]).to_numpy(), "id": as_long(sub["__id"]).to_numpy(),
+                        "t_ms": as_long(sub["__t"]).to_numpy(), "blocked": pd.array(blocked, dtype="bool")})
     return out, (None if max_exp is None else int(max_exp))
 
 

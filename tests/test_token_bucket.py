@@ -117,3 +117,12 @@ def test_checkpointed_fold_and_scale_conf(spark):
     conf = scale_conf(100 << 40, executors=1000, cores_per_executor=8)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+def test_null_keys_form_their_own_group(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2, i * 700) for i in range(40)]
+    df = spark.createDataFrame([(i, k, ms(t)) for i, k, t in rows], SCHEMA)
+    got = {r.id: (r.allowed, r.tokens, r.wait_ms) for r in
+           token_bucket(df, key="key", ts="ts", id_col="id", capacity=2, rate=1).collect()}
+    want = brute_force([(i, -1 if k is None else k, t) for i, k, t in rows], 2, 1, 1000, 6000, 1)
+    assert got == want
