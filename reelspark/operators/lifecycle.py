@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_ms, plus
-from .ordered import DEFAULT_BUCKET_MS, as_long, keyed_prev, keyed_running_max, segmented_fold, time_bucket
+from .ordered import DEFAULT_BUCKET_MS, as_long, keyed_prev, keyed_running_max, segmented_fold, bucket_of
 
 
 def _union_stream(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def token_lifecycle(issues: DataFrame, uses: DataFrame, *, key: str, issue_ts: s
                       F.col(issue_id).alias("id"))
     u = uses.select(F.col(key).alias("k"), F.col(use_ts).alias("t"), F.lit(1).alias("kind"),
                     F.col(use_id).alias("id"))
-    s = _union_stream(i, u).withColumn("__b", time_bucket(epoch_ms(F.col("t")), bucket_ms))
+    s = _union_stream(i, u).withColumn("__b", bucket_of(epoch_ms(F.col("t")), bucket_ms))
     s = keyed_running_max(s, ["k"], "__b", ["t", "kind", "id"],
                           F.when(F.col("kind") == 0, F.struct(F.col("t").alias("t"), F.col("id").alias("id"))),
                           "owner")
@@ -75,7 +75,7 @@ def blocklist_check(requests: DataFrame, blocks: DataFrame, *, key: str, req_ts:
                         F.col(req_id).alias("__id"))
     b = blocks.select(F.col(key).alias("__k"), F.col(block_ts).alias("__t"), F.lit(0).alias("__kind"),
                       F.lit(None).cast("long").alias("__id"), block_expire.alias("__exp"))
-    s = _union_stream(r, b).withColumn("__b", time_bucket(epoch_ms(F.col("__t")), bucket_ms))
+    s = _union_stream(r, b).withColumn("__b", bucket_of(epoch_ms(F.col("__t")), bucket_ms))
     s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"],
                           F.when(F.col("__kind") == 0, F.col("__exp")), "__maxexp")
     s = s.filter(F.col("__kind") == 1)
@@ -103,7 +103,7 @@ def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts:
     res = F.col(result_col) if result_col else F.lit(None).cast("string")
     st = statuses.select(F.col(key).alias("__k"), F.col(status_ts).alias("__t"), F.lit(0).alias("__kind"),
                          F.col(status_id).alias("__id"), F.col(status_col).alias("__st"), res.alias("__res"))
-    s = _union_stream(p, st).withColumn("__b", time_bucket(epoch_ms(F.col("__t")), bucket_ms))
+    s = _union_stream(p, st).withColumn("__b", bucket_of(epoch_ms(F.col("__t")), bucket_ms))
     val = F.when(F.col("__kind") == 0, F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"),
                                                F.col("__st").alias("status"), F.col("__res").alias("result")))
     s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"], val, "__last")

@@ -74,10 +74,13 @@ def group_keys(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]
     return df, out
 
 
-def drop_group_keys(df: DataFrame) -> DataFrame:
-    """Restore the original key columns replaced by :func:`group_keys`."""
-    for n in [c for c in df.columns if c.startswith("__gn_")]:
-        c = n[len("__gn_"):]
+def drop_group_keys(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Restore the original key columns replaced by :func:`group_keys` (all, or ``only`` these)."""
+    names = [c[len("__gn_"):] for c in df.columns if c.startswith("__gn_")]
+    for c in names:
+        if only is not None and c not in only:
+            continue
+        n = f"__gn_{c}"
         df = df.withColumn(c, F.when(~F.col(n), F.col(f"__gv_{c}"))).drop(n, f"__gv_{c}")
     return df
 
@@ -88,12 +91,13 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
     """``out_col`` = max of ``value`` over the key's rows before (and at) this one.
 
     Rows are ordered by ``(bucket_col, *order)``; ``bucket_col`` must be
-    monotone in that order (a time bucket of the first order field).  The
+    monotone in that order and non-null (see :func:`bucket_of`).  The
     per-bucket summary is taken from the windowed rows themselves, so the
     summary and the rows share one shuffle (Spark reuses the exchange) when
     ``keys`` and ``bucket_col`` are non-nullable (see :func:`group_keys`).
     """
-    keys = list(keys)
+    nullable = [c for c in keys if df.schema[c].nullable]
+    df, keys = group_keys(df, list(keys))  # a null key is its own group in the summary join too
     w = Window.partitionBy(*keys, bucket_col).orderBy(*order)
     tmp, inc, exc = f"__v_{out_col}", f"__i_{out_col}", f"__x_{out_col}"
     df = (df.withColumn(tmp, value)
@@ -106,8 +110,9 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
                .drop(f"__b_{out_col}"))
     df = df.join(summary, [*keys, bucket_col], "left")
     own = inc if inclusive else exc
-    return (df.withColumn(out_col, F.greatest(own, f"__c_{out_col}"))
-              .drop(tmp, inc, exc, f"__c_{out_col}"))
+    out = (df.withColumn(out_col, F.greatest(own, f"__c_{out_col}"))
+             .drop(tmp, inc, exc, f"__c_{out_col}"))
+    return drop_group_keys(out, only=nullable)
 
 
 def bucket_of(t: Column, bucket_ms: int) -> Column:

@@ -100,3 +100,13 @@ def test_active_tokens_strict_expiry(spark):
     tok = rows.withColumn("exp", plus(F.col("ts"), minutes=15))
     got = valid_at(tok, "exp", ntz("2024-01-01 00:15:00"), issued_col="ts").select("id").collect()
     assert [r.id for r in got] == [2]
+
+
+def test_blocklist_null_key_is_one_group(spark):
+    req = df(spark, [(1, None, T("2024-01-02 10:00:00")), (2, None, T("2024-01-01 12:00:00")),
+                     (3, 7, T("2024-01-02 10:00:00"))])
+    blk = spark.createDataFrame([(None, T("2024-01-02 09:00:00"), T("2024-01-02 11:00:00"))],
+                                "k long, ts timestamp_ntz, exp timestamp_ntz")
+    out = L.blocklist_check(req, blk, key="k", req_ts="ts", req_id="id", block_ts="ts",
+                            block_expire=F.col("exp"), bucket_ms=3_600_000)
+    assert {r.id: r.blocked for r in out.collect()} == {1: True, 2: False, 3: False}
