@@ -56,30 +56,42 @@ def download_counts(items: DataFrame, events: DataFrame, *, item_key: str, event
 
 # A5 ----------------------------------------------------------------------
 def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                      probs: dict[str, float]) -> DataFrame:
-    """Exact ``quantile_cont`` (linear interpolation) per group.
+                      probs: dict[str, float], n_cuts: int = 256) -> DataFrame:
+    """Exact ``quantile_cont`` (linear interpolation) per group, nulls ignored.
 
-    Instead of buffering every value of a group in one task (what
-    ``percentile`` does), rows are first reduced to ``(group, value, count)``
-    with a map-side partial aggregate; a running sum over that histogram
-    gives each value's rank range, and the two ranks around ``(n-1)·p`` are
-    picked with conditional aggregates.  A hot group costs one row per
-    distinct value, never one row per event.
+    1. rows become ``(group, value, count)`` with a map-side partial aggregate;
+    2. an approximate quantile sketch per group (``percentile_approx``,
+       partial and bounded) gives ``n_cuts`` sorted cut points; the number of
+       cut points <= value is a *monotone* value bucket, so a hot group is
+       spread over up to ``n_cuts`` window tasks;
+    3. exact ranks = running count inside the (group, bucket) + the counts of
+       the group's earlier buckets (a small summary);
+    4. the two ranks around ``(n-1)·p`` are picked with conditional aggregates.
+    The sketch only chooses the buckets; every rank is counted exactly.
     """
     g = list(group_cols)
-    hist = df.groupBy(*g, F.col(value_col).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    run = Window.partitionBy(*g).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("__cum", F.sum("__c").over(run))
-                .withColumn("__n", F.sum("__c").over(Window.partitionBy(*g))))
+    hist = (df.filter(F.col(value_col).isNotNull())
+              .groupBy(*g, F.col(value_col).alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    fracs = [i / n_cuts for i in range(1, n_cuts)]
+    cuts = hist.groupBy(*g).agg(F.percentile_approx("__v", fracs, 10 * n_cuts).alias("__cuts"),
+                                F.sum("__c").alias("__n"))
+    h = hist.join(cuts, g)
+    h = h.withColumn("__b", F.size(F.filter("__cuts", lambda x: x <= F.col("__v")))).drop("__cuts")
+    run = Window.partitionBy(*g, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = h.withColumn("__in", F.sum("__c").over(run))
+    summ = h.groupBy(*g, "__b").agg(F.max("__in").alias("__bn"))
+    before = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("__carry", F.coalesce(F.sum("__bn").over(before), F.lit(0))).drop("__bn")
+    h = h.join(summ, [*g, "__b"]).withColumn("__cum", F.col("__in") + F.col("__carry"))
     aggs = []
     for name, p in probs.items():
-        h = (F.col("__n") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
+        hh = (F.col("__n") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(hh), F.ceil(hh)
         first, last = F.col("__cum") - F.col("__c"), F.col("__cum") - 1
         aggs += [F.max(F.when((first <= lo) & (lo <= last), F.col("__v"))).alias(f"__lo_{name}"),
                  F.max(F.when((first <= hi) & (hi <= last), F.col("__v"))).alias(f"__hi_{name}"),
-                 F.max(h - lo).alias(f"__d_{name}")]
-    out = hist.groupBy(*g).agg(*aggs)
+                 F.max(hh - lo).alias(f"__d_{name}")]
+    out = h.groupBy(*g).agg(*aggs)
     sel = [F.col(c) for c in g]
     for name in probs:
         vlo, vhi, d = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__d_{name}")

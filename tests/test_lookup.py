@@ -80,3 +80,22 @@ def test_retry_below_at_above_max(spark):
     assert got == {0: (0, "requeue", "process.queue"), 1: (1, "requeue", "process.queue"),
                    2: (2, "dead", "process.queue.dead"), 3: (3, "dead", "process.queue.dead"),
                    9: (0, "requeue", "process.queue")}
+
+
+def test_exact_percentiles_hot_group_continuous(spark):
+    import numpy as np
+    from pyspark.sql import Window  # noqa: F401
+    rnd = np.random.default_rng(5)
+    hot = rnd.lognormal(3, 1, 20_000)
+    rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in rnd.normal(0, 1, 50)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in usage.exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95, "p999": 0.999},
+                                                   n_cuts=256).collect()}
+    for g, vals in (("hot", hot), ("cold", np.array([v for k, v in rows if k == "cold"]))):
+        for name, p in (("p50", 0.5), ("p95", 0.95), ("p999", 0.999)):
+            assert abs(getattr(got[g], name) - np.quantile(vals, p)) <= 1e-9 * max(1.0, abs(np.quantile(vals, p)))
+    # the hot group's distinct values land in many value buckets (window tasks), not one
+    cuts = df.filter("g = 'hot'").agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 2560).alias("c"))
+    nb = (df.filter("g = 'hot'").crossJoin(cuts)
+            .select(F.size(F.filter("c", lambda x: x <= F.col("v"))).alias("b")).distinct().count())
+    assert nb > 200
