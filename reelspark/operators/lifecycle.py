@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_ms, plus
-from .ordered import DEFAULT_BUCKET_MS, as_long, keyed_prev, keyed_running_max, segmented_fold, bucket_of
+from .ordered import DEFAULT_BUCKET_MS, as_long, bucket_of, keyed_running_max, segmented_fold
 
 
 def _union_stream(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -41,17 +41,17 @@ def token_lifecycle(issues: DataFrame, uses: DataFrame, *, key: str, issue_ts: s
     s = _union_stream(i, u).withColumn("__b", bucket_of(epoch_ms(F.col("t")), bucket_ms))
     s = keyed_running_max(s, ["k"], "__b", ["t", "kind", "id"],
                           F.when(F.col("kind") == 0, F.struct(F.col("t").alias("t"), F.col("id").alias("id"))),
-                          "owner")
+                          "owner", also_exclusive="prev_issue")
     assigned = s.filter((F.col("kind") == 1) & F.col("owner").isNotNull())
     expiry = plus(F.col("owner.t"), hours=ttl_hours)
     first_use = (assigned.filter((F.col("t") > F.col("owner.t")) & (F.col("t") < expiry))
                  .groupBy(F.col("k"), F.col("owner.id").alias("token_id"))
                  .agg(F.min(F.struct(F.col("t").alias("t"), F.col("id").alias("id"))).alias("fu")))
     iss = i.select("k", F.col("t").alias("issued_at"), F.col("id").alias("token_id"))
-    prev = keyed_prev(iss.withColumn("__tm", epoch_ms(F.col("issued_at"))), ["k"], "__tm", "token_id",
-                      "prev", bucket_ms)
-    nxt = prev.filter(F.col("prev").isNotNull()).select(
-        "k", F.col("prev.id").alias("token_id"), F.col("issued_at").alias("next_at"))
+    # an issue's predecessor comes from the same pass (max over the rows strictly before it);
+    # token i is replaced by the issue whose predecessor is i
+    nxt = (s.filter((F.col("kind") == 0) & F.col("prev_issue").isNotNull())
+             .select("k", F.col("prev_issue.id").alias("token_id"), F.col("t").alias("next_at")))
     out = (iss.join(first_use, ["k", "token_id"], "left").join(nxt, ["k", "token_id"], "left")
               .withColumn("expire_at", plus(F.col("issued_at"), hours=ttl_hours)))
     status = (F.when(F.col("fu").isNotNull(), "consumed")

@@ -87,7 +87,7 @@ def drop_group_keys(df: DataFrame, only: Sequence[str] | None = None) -> DataFra
 
 def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
                       order: Sequence[str], value: Column, out_col: str,
-                      inclusive: bool = True) -> DataFrame:
+                      inclusive: bool = True, also_exclusive: str | None = None) -> DataFrame:
     """``out_col`` = max of ``value`` over the key's rows before (and at) this one.
 
     Rows are ordered by ``(bucket_col, *order)``; ``bucket_col`` must be
@@ -95,6 +95,8 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
     per-bucket summary is taken from the windowed rows themselves, so the
     summary and the rows share one shuffle (Spark reuses the exchange) when
     ``keys`` and ``bucket_col`` are non-nullable (see :func:`group_keys`).
+    ``also_exclusive`` names a second output: the max over the rows strictly
+    before this one, from the same pass.
     """
     nullable = [c for c in keys if df.schema[c].nullable]
     df, keys = group_keys(df, list(keys))  # a null key is its own group in the summary join too
@@ -102,7 +104,7 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
     tmp, inc, exc = f"__v_{out_col}", f"__i_{out_col}", f"__x_{out_col}"
     df = (df.withColumn(tmp, value)
             .withColumn(inc, F.max(tmp).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    if not inclusive:
+    if not inclusive or also_exclusive:
         df = df.withColumn(exc, F.max(tmp).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     summary = df.groupBy(*keys, bucket_col).agg(F.max(inc).alias(f"__b_{out_col}"))
     w_b = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
@@ -110,8 +112,10 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
                .drop(f"__b_{out_col}"))
     df = df.join(summary, [*keys, bucket_col], "left")
     own = inc if inclusive else exc
-    out = (df.withColumn(out_col, F.greatest(own, f"__c_{out_col}"))
-             .drop(tmp, inc, exc, f"__c_{out_col}"))
+    out = df.withColumn(out_col, F.greatest(own, f"__c_{out_col}"))
+    if also_exclusive:  # the same running max over the rows strictly before (same pass)
+        out = out.withColumn(also_exclusive, F.greatest(exc, f"__c_{out_col}"))
+    out = out.drop(tmp, inc, exc, f"__c_{out_col}")
     return drop_group_keys(out, only=nullable)
 
 
