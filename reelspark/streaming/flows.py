@@ -94,9 +94,13 @@ def blocklist_stream(events: DataFrame, *, key: str, ts: str, id_col: str, is_bl
 def upsert_sink(snapshot_root: str, *, key: str, arrival: str, update_cols, keep_cols, schema: T.StructType):
     """``foreachBatch`` function applying each micro-batch as an upsert to a versioned snapshot.
 
+    ``schema`` is the change records' schema (it must hold the key, the
+    updated and kept columns and ``arrival``); snapshots store the key, the
+    updated and the kept columns.
+
     Version ``v{batch_id}`` is written next to the previous one and never over
     a path being read; a batch already written (replay after a failure) is
-    skipped, so the sink is idempotent.
+    skipped and a half-written one is rewritten, so the sink is idempotent.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -105,9 +109,13 @@ def upsert_sink(snapshot_root: str, *, key: str, arrival: str, update_cols, keep
             return
         prev = latest_version(spark, snapshot_root, before=batch_id)
         snap = spark.read.parquet(prev) if prev else spark.createDataFrame([], schema)
-        new = mutate.upsert(snap.select(*schema.fieldNames()), batch.select(*schema.fieldNames()), key=key,
+        cols = list(dict.fromkeys([key, *update_cols, *keep_cols]))
+        change_cols = list(dict.fromkeys([*cols, arrival]))
+        new = mutate.upsert(snap.select(*cols), batch.select(*change_cols), key=key,
                             arrival=F.col(arrival), update_cols=update_cols, keep_cols=keep_cols)
-        new.drop("action").write.parquet(target)
+        # a folder without _SUCCESS is an attempt that died mid-write; nobody reads it
+        # (latest_version requires _SUCCESS), so the replay may replace it
+        new.drop("action").write.mode("overwrite").parquet(target)
     return apply
 
 
