@@ -61,6 +61,14 @@ def token_lifecycle(issues: DataFrame, uses: DataFrame, *, key: str, issue_ts: s
                       F.col("fu.id").alias("use_id"), F.col("fu.t").alias("used_at"))
 
 
+def reset_notices(lifecycle_rows: DataFrame, *, to: Column, queue: str = "email.queue") -> DataFrame:
+    """J4: one notice message per successful reset (a consumed reset token)."""
+    done = lifecycle_rows.filter(F.col("status") == "consumed")
+    body = F.to_json(F.struct(to.alias("to"), F.lit("reset-password").alias("name"), F.lit("").alias("token")))
+    return done.select("token_id", F.lit(queue).alias("queue"), body.alias("body"),
+                       F.col("used_at").alias("published_at"))
+
+
 # J5 / F16 ----------------------------------------------------------------
 def blocklist_check(requests: DataFrame, blocks: DataFrame, *, key: str, req_ts: str, req_id: str,
                     block_ts: str, block_expire: Column, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:

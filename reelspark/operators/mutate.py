@@ -66,24 +66,28 @@ def upsert(snapshot: DataFrame, changes: DataFrame, *, key: str, arrival: Column
 
 
 # M3 ----------------------------------------------------------------------
-def patch(base: DataFrame, patches: DataFrame, *, key: str, cols: Sequence[str],
-          patch_key: str | None = None, stamp: Column | None = None) -> DataFrame:
-    """``col = COALESCE(new, old)`` per column for matched keys.
+def patch(base: DataFrame, patches: DataFrame, *, key: str | Sequence[str], cols: Sequence[str],
+          patch_key: str | Sequence[str] | None = None, stamp: Column | None = None) -> DataFrame:
+    """``col = COALESCE(new, old)`` per column for matched keys (one or several key columns).
 
     A null in the patch keeps the old value, an empty string overwrites it.
     Patches without a base row are ignored.  ``patches`` must hold one row
     per key (see :func:`newest_per_key`).  Adds ``patched`` and
     ``updated_at`` (the patch's ``stamp``).
     """
-    pk = patch_key or key
-    p = patches.select(F.col(pk).alias("__pk"), *[F.col(c).alias(f"__p_{c}") for c in cols],
-                       (stamp if stamp is not None else F.current_timestamp()).alias("__stamp"))
-    j = base.join(p, base[key] == p["__pk"], "left")
+    keys = [key] if isinstance(key, str) else list(key)
+    pks = keys if patch_key is None else ([patch_key] if isinstance(patch_key, str) else list(patch_key))
+    p = patches.select(*[F.col(c).alias(f"__pk{i}") for i, c in enumerate(pks)],
+                       *[F.col(c).alias(f"__p_{c}") for c in cols],
+                       (stamp if stamp is not None else F.current_timestamp()).alias("__stamp"),
+                       F.lit(True).alias("__hit"))
+    cond = [base[k] == p[f"__pk{i}"] for i, k in enumerate(keys)]
+    j = base.join(p, cond, "left")
     for c in cols:
         j = j.withColumn(c, F.coalesce(F.col(f"__p_{c}"), F.col(c)))
-    return (j.withColumn("patched", F.col("__pk").isNotNull())
+    return (j.withColumn("patched", F.coalesce(F.col("__hit"), F.lit(False)))
              .withColumn("updated_at", F.col("__stamp"))
-             .drop("__pk", "__stamp", *[f"__p_{c}" for c in cols]))
+             .drop("__stamp", "__hit", *[f"__pk{i}" for i in range(len(pks))], *[f"__p_{c}" for c in cols]))
 
 
 # M4 / D12 ----------------------------------------------------------------
@@ -100,10 +104,13 @@ def keyed_update(base: DataFrame, keys: DataFrame, *, key: str, set_cols: Mappin
 
 
 # M5 ----------------------------------------------------------------------
-def delete_by_key(df: DataFrame, keys: DataFrame, *, key: str, keys_key: str | None = None) -> DataFrame:
-    kk = keys_key or key
-    k = keys.select(F.col(kk).alias("__dk"))
-    return df.join(k, df[key] == k["__dk"], "left_anti")
+def delete_by_key(df: DataFrame, keys: DataFrame, *, key: str | Sequence[str],
+                  keys_key: str | Sequence[str] | None = None) -> DataFrame:
+    """Rows of ``df`` whose (possibly composite) key is not in ``keys`` (left anti join)."""
+    ks = [key] if isinstance(key, str) else list(key)
+    kk = ks if keys_key is None else ([keys_key] if isinstance(keys_key, str) else list(keys_key))
+    k = keys.select(*[F.col(c).alias(f"__dk{i}") for i, c in enumerate(kk)])
+    return df.join(k, [df[c] == k[f"__dk{i}"] for i, c in enumerate(ks)], "left_anti")
 
 
 # J9 / M6 -----------------------------------------------------------------

@@ -110,3 +110,13 @@ def test_blocklist_null_key_is_one_group(spark):
     out = L.blocklist_check(req, blk, key="k", req_ts="ts", req_id="id", block_ts="ts",
                             block_expire=F.col("exp"), bucket_ms=3_600_000)
     assert {r.id: r.blocked for r in out.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_reset_notices_one_per_consumed_token(spark):
+    issues = df(spark, [(1, 1, T("2024-01-01 10:00:00")), (2, 2, T("2024-01-01 10:00:00"))])
+    uses = df(spark, [(11, 1, T("2024-01-01 10:05:00")), (12, 1, T("2024-01-01 10:06:00"))])
+    lc = L.token_lifecycle(issues, uses, key="k", issue_ts="ts", issue_id="id", use_ts="ts", use_id="id",
+                           ttl_hours=0.25)
+    notes = L.reset_notices(lc, to=F.concat(F.lit("u"), F.col("k").cast("string")))
+    got = notes.collect()
+    assert len(got) == 1 and got[0].token_id == 1 and '"name":"reset-password"' in got[0].body

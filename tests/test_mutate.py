@@ -84,3 +84,15 @@ def test_upsert_sink_replay_is_idempotent(spark, scratch):
     sink(b1, 1)                                                   # replay of a finished batch: skipped
     final = spark.read.parquet(flows.latest_version(spark, os.path.join(scratch, "snap")))
     assert sorted(tuple(r) for r in final.select("user_id", "id", "file_key").collect()) == [(1, 10, "a2"), (2, 20, "b")]
+
+
+def test_scoped_share_update_and_delete(spark):
+    shares = spark.createDataFrame([("s1", 1, "g1", "view"), ("s2", 1, "g2", "view"), ("s3", 2, "g1", "view")],
+                                   "id string, owner long, item string, access string")
+    upd = spark.createDataFrame([(1, "g1", "download"), (9, "g1", "download")], "owner long, item string, access string")
+    out = mutate.patch(shares, upd, key=["owner", "item"], cols=["access"], stamp=F.lit(None).cast("timestamp"))
+    assert {r.id: (r.access, r.patched) for r in out.collect()} == {
+        "s1": ("download", True), "s2": ("view", False), "s3": ("view", False)}
+    gone = spark.createDataFrame([(1, "g2"), (2, "g9")], "owner long, item string")
+    kept = mutate.delete_by_key(shares, gone, key=["owner", "item"])
+    assert sorted(r.id for r in kept.collect()) == ["s1", "s3"]
