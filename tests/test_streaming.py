@@ -208,3 +208,32 @@ def test_metadata_enrich_stream_stream_join(spark, stream_dir, scratch):
     closed = {w for w in want if ts_of[w[0]] + dt.timedelta(hours=1) < last or w[1] == "saved"}
     assert got <= want and closed <= got
     assert {o for _, o, _ in closed} == {"saved", "dead", "reject"}
+
+
+def test_admission_job_exactly_once_sink(spark, stream_dir, scratch):
+    from reelspark.streaming import jobs
+    ev = tables.read_table(spark, SF001, "events")
+    src = os.path.join(scratch, "requests")
+    ev.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), "ts") \
+      .coalesce(1).write.parquet(src)
+    sink, ckpt = os.path.join(scratch, "out"), os.path.join(scratch, "ck")
+    p = dict(capacity=3, rate=0.125, per_ms=3_600_000, idle_ms=48 * 3_600_000, init=1)
+    jobs.admission_job(spark, src, sink, ckpt, available_now=True, **p).awaitTermination(300)
+    # a restart on the same checkpoint must not duplicate output
+    jobs.admission_job(spark, src, sink, ckpt, available_now=True, **p).awaitTermination(300)
+    got = {tuple(r) for r in spark.read.parquet(sink).collect()}
+    assert spark.read.parquet(sink).count() == ev.count()
+    want = {tuple(r) for r in ratelimit.token_bucket(ev, key="user_id", ts="ts", id_col="event_id", **p).collect()}
+    assert got == want
+
+
+def test_mail_job_routes_to_queue_folders(spark, scratch):
+    from reelspark.streaming import jobs
+    bodies = _bodies(tables.read_table(spark, SF001, "events"))
+    src = os.path.join(scratch, "mailq")
+    bodies.select("body").coalesce(2).write.text(src)
+    sink = os.path.join(scratch, "routed")
+    jobs.mail_job(spark, src, sink, os.path.join(scratch, "ck"), available_now=True).awaitTermination(300)
+    out = spark.read.parquet(sink)
+    assert out.count() == bodies.count()
+    assert {r.queue for r in out.select("queue").distinct().collect()} == {"email.queue", "email.queue.dead"}
