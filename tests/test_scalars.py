@@ -95,3 +95,23 @@ def test_validation_rules(spark):
     _, bad_all = Q.split_valid(df, Q.signup_rules(), first_per_field=False)
     v_all = {r.username: r.violations for r in bad_all.collect()}
     assert "fullname:min" in v_all[None]
+
+
+def test_metadata_enrich_edges(spark):
+    from reelspark.operators import messages as M
+    ok = "123e4567-e89b-12d3-a456-426614174000"
+    conf = spark.createDataFrame([(1, "k1", ok), (2, "k2", ok), (3, "k3", ok), (4, "k1", "not-a-uuid")],
+                                 "id long, key string, user string")
+    inv = spark.createDataFrame([("k1", 100, "video/mp4"), ("k3", 0, "video/mp4")], "k string, size long, ct string")
+    out = M.metadata_enrich(conf, inv, key="key", user_id="user", inv_key="k", size_col="size", type_col="ct")
+    got = {r.id: (r.outcome, r.size_bytes) for r in out.collect()}
+    # saved; object missing -> retry; empty object -> retry; bad user id -> reject (checked first)
+    assert got == {1: ("saved", 100), 2: ("retry", None), 3: ("retry", None), 4: ("reject", None)}
+
+
+def test_length_rules_count_characters_not_bytes(spark):
+    rows = [("éééé",), ("ééé",), ("é" * 20,), ("é" * 21,)]
+    df = spark.createDataFrame(rows, "u string")
+    rules = [("u:min", Q.too_short(F.col("u"), 4)), ("u:max", Q.too_long(F.col("u"), 20))]
+    got = [r.violations for r in Q.validate(df, rules).collect()]
+    assert got == [[], ["u:min"], [], ["u:max"]]
