@@ -237,3 +237,35 @@ def test_mail_job_routes_to_queue_folders(spark, scratch):
     out = spark.read.parquet(sink)
     assert out.count() == bodies.count()
     assert {r.queue for r in out.select("queue").distinct().collect()} == {"email.queue", "email.queue.dead"}
+
+
+def test_bucketed_upsert_sink_rewrites_only_touched_buckets(spark, stream_dir, scratch):
+    cols = ["user_id", "id", "file_key", "size_bytes", "uploaded_at", "duration"]
+
+    def uploads(df):
+        return df.filter(F.col("event_type") == "purchase").select(
+            "user_id", F.col("event_id").alias("id"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("file_key"),
+            F.round(F.col("value") * 100).cast("bigint").alias("size_bytes"), F.col("ts").alias("uploaded_at"),
+            F.col("props").alias("duration"))
+
+    table = os.path.join(scratch, "last_upload")
+    sink = flows.upsert_sink_bucketed(table, key="user_id", arrival="id",
+                                      update_cols=["file_key", "size_bytes", "uploaded_at"],
+                                      keep_cols=["id", "duration"], n_buckets=8)
+    q = (uploads(events_stream(spark, stream_dir)).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", os.path.join(scratch, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    ev = tables.read_table(spark, SF001, "events")
+    got = {tuple(r) for r in spark.read.parquet(table).select(*cols).collect()}
+    empty = spark.createDataFrame([], uploads(ev).schema)
+    want = {tuple(r) for r in mutate.upsert(empty, uploads(ev), key="user_id", arrival=F.col("id"),
+                                            update_cols=["file_key", "size_bytes", "uploaded_at"],
+                                            keep_cols=["id", "duration"]).select(*cols).collect()}
+    assert got == want
+    # a batch touching one key rewrites one bucket folder and leaves the others' files alone
+    before = {d: sorted(os.listdir(os.path.join(table, d))) for d in os.listdir(table) if d.startswith("bucket=")}
+    one = uploads(ev).filter(F.col("user_id") == 3).limit(1)
+    sink(one.withColumn("id", F.col("id") + 100000), 999)
+    after = {d: sorted(os.listdir(os.path.join(table, d))) for d in os.listdir(table) if d.startswith("bucket=")}
+    changed = [d for d in after if after[d] != before.get(d)]
+    assert len(changed) == 1
