@@ -130,3 +130,25 @@ def token_bucket_stream(requests, *, key: str, ts: str, id_col: str, capacity: f
     kernel = _bucket_kernel(float(capacity), float(rate), float(per_ms), idle_ms, float(init))
     return keyed_fold_stream(requests, key=key, ts=ts, id_col=id_col, kernel=kernel,
                              out_schema=OUT_SCHEMA, idle_ms=idle_ms)
+
+
+def fold_segments(requests: DataFrame, *, key: str, ts: str, id_col: str, capacity: float = 10,
+                  rate: float = 5, per_ms: float = 1000, idle_ms: int = 6000, top: int = 20,
+                  bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+    """The largest sequential pieces of :func:`token_bucket`: ``key, seg_t, rows`` (top ``top``).
+
+    Segments between sync points fold in parallel; a segment itself is one
+    ordered task.  This report shows how long those tasks are, so a key that
+    never pauses long enough to sync is visible before it becomes a straggler.
+    """
+    from .ordered import segment_rows
+    cap, rt, per = float(capacity), float(rate), float(per_ms)
+    df = requests.select(F.col(key).cast("long").alias("key"), F.col(id_col).cast("long").alias("id"),
+                         epoch_ms(F.col(ts)).alias("t"))
+
+    def is_sync(gap):
+        return (gap >= F.lit(idle_ms)) | ((gap.cast("double") / F.lit(per)) * F.lit(rt) >= F.lit(cap))
+
+    seg = segment_rows(df, ["key"], "t", "id", is_sync, bucket_ms)
+    sizes = seg.groupBy("key", "seg_t").agg(F.count(F.lit(1)).alias("rows"))
+    return sizes.orderBy(F.col("rows").desc(), "key", "seg_t").limit(top)

@@ -60,3 +60,14 @@ def test_blocklist_exact_with_hot_key(spark, skewed):
     import datetime as dt
     want = {i for i, u, t in r if not any(b <= t < b + dt.timedelta(hours=24) for b in bl.get(u, []))}
     assert got == want
+
+
+def test_fold_segment_report_finds_the_hot_key(spark, skewed):
+    rep = ratelimit.fold_segments(skewed, key="user_id", ts="ts", id_col="event_id", capacity=3, rate=5.0,
+                                  per_ms=H, idle_ms=48 * H, top=5).collect()
+    assert rep[0].key == HOT and rep[0].rows >= rep[-1].rows
+    # the hot key's segments add up to all of its rows
+    seg_total = (ratelimit.fold_segments(skewed, key="user_id", ts="ts", id_col="event_id", capacity=3, rate=5.0,
+                                         per_ms=H, idle_ms=48 * H, top=100000)
+                 .filter(F.col("key") == HOT).agg(F.sum("rows")).first()[0])
+    assert seg_total == skewed.filter(F.col("user_id") == HOT).count()
