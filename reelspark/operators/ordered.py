@@ -92,9 +92,9 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
 
     Rows are ordered by ``(bucket_col, *order)``; ``bucket_col`` must be
     monotone in that order and non-null (see :func:`bucket_of`).  The
-    per-bucket summary is taken from the windowed rows themselves, so the
-    summary and the rows share one shuffle (Spark reuses the exchange) when
-    ``keys`` and ``bucket_col`` are non-nullable (see :func:`group_keys`).
+    per-bucket summary is a partial (map-side) aggregate of the raw values,
+    so besides the rows' own shuffle only one row per key and bucket per task
+    is shuffled.
     ``also_exclusive`` names a second output: the max over the rows strictly
     before this one, from the same pass.
     """
@@ -106,7 +106,9 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
             .withColumn(inc, F.max(tmp).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     if not inclusive or also_exclusive:
         df = df.withColumn(exc, F.max(tmp).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    summary = df.groupBy(*keys, bucket_col).agg(F.max(inc).alias(f"__b_{out_col}"))
+    # max over a bucket of the running max = max of the raw values; taking it from the raw values
+    # lets Spark aggregate partially before the shuffle (one row per key and bucket per task)
+    summary = df.groupBy(*keys, bucket_col).agg(F.max(tmp).alias(f"__b_{out_col}"))
     w_b = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     summary = (summary.withColumn(f"__c_{out_col}", F.max(f"__b_{out_col}").over(w_b))
                .drop(f"__b_{out_col}"))
