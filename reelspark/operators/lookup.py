@@ -148,7 +148,7 @@ def listing_envelope(users: DataFrame, items: DataFrame, user_key: str, item_use
     from ..functions.timecols import epoch_ms
     from .ordered import keyed_position
     ranked = keyed_position(items, [item_user_key], order_time, order_id, "__asc", total_col="total",
-                            bucket_ms=bucket_ms, t_ms=epoch_ms(F.col(order_time)))
+                            bucket_ms=bucket_ms, t_ms=epoch_ms(F.col(order_time)), summary_from_rows=True)
     pos = F.col("total") - F.col("__asc") + 1
     ranked = ranked.withColumn("__pos", pos).withColumn("page", ((pos - 1) / F.lit(page_size)).cast("int") + 1)
     packed = (ranked.groupBy(F.col(item_user_key).alias("__uk"), "page")

@@ -180,7 +180,7 @@ def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
 
 def keyed_position(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, out_col: str = "pos",
                    total_col: str | None = None, bucket_ms: int = DEFAULT_BUCKET_MS,
-                   t_ms: Column | None = None) -> DataFrame:
+                   t_ms: Column | None = None, summary_from_rows: bool = False) -> DataFrame:
     """1-based position of each row within its key in (t, id) order, and
     optionally the key's row count.
 
@@ -194,7 +194,12 @@ def keyed_position(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     df, gk = group_keys(df.withColumn(b, bucket_of(tm, bucket_ms)), list(keys))
     w = Window.partitionBy(*gk, b).orderBy(t_col, id_col)
     df = df.withColumn("__pos_in", F.row_number().over(w))
-    summ = df.groupBy(*gk, b).agg(F.max("__pos_in").alias("__pos_n"))
+    if summary_from_rows:
+        # rows carrying payload cannot share the window's shuffle with a narrow summary; a
+        # count of the raw rows aggregates map-side instead of shuffling every row again
+        summ = df.groupBy(*gk, b).agg(F.count(F.lit(1)).alias("__pos_n"))
+    else:
+        summ = df.groupBy(*gk, b).agg(F.max("__pos_in").alias("__pos_n"))
     before = Window.partitionBy(*gk).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.withColumn("__pos_c", F.coalesce(F.sum("__pos_n").over(before), F.lit(0)))
     if total_col:
