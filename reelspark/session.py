@@ -42,10 +42,12 @@ def get_session(master: str | None = None, app: str = "reelspark",
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) do we pick one.
+    A cluster names it; only when it is unset on a local master (tests) do we pick one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if fallback is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = fallback or os.path.join("/tmp", "reelspark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
