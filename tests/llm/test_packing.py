@@ -50,11 +50,22 @@ def test_empty_table(spark):
     assert pack_best_fit(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
-def test_fill_bins_is_near_the_bound():
+def best_fit_decreasing(lengths, capacity):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits, key=room.__getitem__)] -= n
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+def test_fill_bins_beats_best_fit_decreasing():
     rng = np.random.default_rng(5)
-    for lengths in (rng.integers(1, 4097, 3000), np.full(100, 1366), np.array([4096, 1, 4095, 2]), rng.integers(2049, 4097, 50)):
-        bins, offs = fill_bins(lengths, 4096)
-        load = np.bincount(bins, lengths)
+    for lengths in (rng.integers(1, 4097, 1500), np.full(100, 1366), np.array([4096, 1, 4095, 2]),
+                    rng.integers(2049, 4097, 50), rng.integers(1, 600, 2000), np.zeros(0, int)):
+        bins, offs = fill_bins(lengths.astype(np.int64), 4096)
+        load = np.bincount(bins, lengths) if len(lengths) else np.zeros(1)
         assert load.max() <= 4096
-        bound = max(-(-int(lengths.sum()) // 4096), int((lengths > 2048).sum()), -(-len(lengths) // 2) if lengths.min() == 1366 == lengths.max() else 0)
-        assert len(load) <= bound * 1.01 + 1
+        assert len(set(bins.tolist())) <= best_fit_decreasing(lengths.tolist(), 4096)
