@@ -7,6 +7,7 @@ import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import reliable_checkpoint, shared_path
 
@@ -23,6 +24,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
+    """``schema`` and further nullable columns (name=type)."""
+    more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+    return T.StructType([*schema.fields, *more.fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import id_bucket
+from .langid import language_id, training_rows
 from .mixing import oracle as mixing_oracle
 from .mixing import poisson_mix
 from .packing import pack_best_fit
+from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +37,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@register("op6_compression_langid")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id(docs, training_rows()).select(
+        "doc_id", (~training_rows()).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
+
+
 @register("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -44,3 +55,11 @@ SELECT doc_id, text, lang, source, n_chars, copies::INT AS mix_copies, j::INT AS
 FROM copies""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"))
+
+
+@register("op10_fm_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_bucket(F.col("doc_id"), 5) == 0
+    return score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))

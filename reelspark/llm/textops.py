@@ -66,13 +66,13 @@ def doc_chunks(off: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
         lo = min(hi, n)
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document index of every word."""
+def word_spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document index of every word (``space``: the bytes that separate words)."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~SPACE[buf]
+    word = ~space[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
     edge = off[(off > 0) & (off < n)]
