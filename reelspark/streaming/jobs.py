@@ -33,7 +33,7 @@ def admission_job(spark: SparkSession, source: str, sink: str, checkpoint: str |
     reqs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source)
     out = token_bucket_stream(reqs, key=key, ts=ts, id_col=id_col, **bucket)
     w = (out.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint or shared_path(spark, "admission-ckpt"))
+         .option("checkpointLocation", checkpoint or shared_path(spark, "admission-ckpt", keep=True))
          .option("path", sink))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
@@ -44,7 +44,7 @@ def mail_job(spark: SparkSession, source: str, sink: str, checkpoint: str | None
     """Decode and route JSON-lines mail messages; output partitioned by target queue."""
     routed = mail_route_stream(message_files(spark, source, queue="email.queue", max_files_per_trigger=8))
     w = (routed.drop("msg").writeStream.format("parquet").outputMode("append").partitionBy("queue")
-         .option("checkpointLocation", checkpoint or shared_path(spark, "mail-ckpt"))
+         .option("checkpointLocation", checkpoint or shared_path(spark, "mail-ckpt", keep=True))
          .option("path", sink))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
