@@ -12,7 +12,11 @@ from .langid import language_id, training_rows
 from .mixing import oracle as mixing_oracle
 from .mixing import poisson_mix
 from .packing import pack_best_fit
+from .topk import ORACLE as TOPK_ORACLE
+from .topk import exact_top_k
 from .toxicity import score_toxicity
+from .vectors import ORACLE as VECTOR_ORACLE
+from .vectors import near_duplicate_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +41,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@register("op2_histogram_topk", TOPK_ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @register("op6_compression_langid")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -44,6 +53,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~training_rows()).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
 
 
+@register("op7_subspace_pigeonhole", VECTOR_ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @register("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
