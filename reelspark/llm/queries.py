@@ -12,6 +12,8 @@ from .langid import language_id, training_rows
 from .mixing import oracle as mixing_oracle
 from .mixing import poisson_mix
 from .packing import pack_best_fit
+from .substrings import ORACLE as SUBSTRING_ORACLE
+from .substrings import remove_repeated_passages
 from .topk import ORACLE as TOPK_ORACLE
 from .topk import exact_top_k
 from .toxicity import score_toxicity
@@ -46,6 +48,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@register("op5_difference_cover_dedup", SUBSTRING_ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @register("op6_compression_langid")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

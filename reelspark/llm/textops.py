@@ -117,3 +117,22 @@ def window_hashes(h: np.ndarray, length: int, base: int = 0xD1342543DE82EF95) ->
     for k in range(length):
         acc = acc * b + h[k:k + n]
     return mix(acc)
+
+
+def all_words(col, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document index of every word of an Arrow text column, in order (chunk by chunk)."""
+    buf, off = text_buffer(col)
+    hashes, docs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for lo, hi in doc_chunks(off):
+        part, rel = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
+        starts, ends, doc = word_spans(part, rel)
+        hashes.append(hasher.spans(hasher.prefix(part), starts, ends))
+        docs.append(doc + lo)
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+def in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Membership of ``x`` in a sorted array."""
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
