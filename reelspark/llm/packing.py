@@ -17,59 +17,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import process_cache
-from .textops import doc_chunks, text_buffer
+from .textops import U64, WordHasher, doc_chunks, in_sorted, text_buffer, word_spans
 
 CAPACITY = 4096
 #: Documents a packing partition takes on average; each partition ends with at most one loose sequence.
 DOCS_PER_PART = 8192
-#: Words whose ids a Python worker remembers (a speed-up only; the memory is cleared when full).
-CACHE_WORDS = 400_000
-LONGEST_CACHED = 64
+#: Words whose ids a Python worker remembers (a speed-up only; the rarer half is forgotten when full).
+CACHE_WORDS = 2_500_000
 
 
 class WordEncoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts, several documents at a time.
 
     The tokenizer drops white space and merges nothing across it, so a text's ids are those of its
-    white-space-separated words one after another, and words seen before need no second encoding.
+    white-space-separated words one after another.  The ids of words seen before are kept in a table
+    sorted by word hash; a chunk's distinct words are looked up together, and only the new ones are
+    encoded.  The table lives as long as the worker; when full it keeps its commonest half.
     """
 
     def __init__(self, path: str):
-        cache = process_cache("word_ids:" + path)
-        if "tok" not in cache:
+        self.hasher = WordHasher(23)
+        self.state = process_cache("word_ids:" + path)
+        if not self.state:
             from tokenizers import Tokenizer
-            cache["tok"], cache["ids"] = Tokenizer.from_file(path), {}
-        self.tok, self.ids = cache["tok"], cache["ids"]
+            self.state["tok"] = Tokenizer.from_file(path)
+            self.state["table"] = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            self.state["pool"] = np.zeros(0, "<u4")
 
-    def one(self, word: bytes) -> bytes:
-        return np.asarray(self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode new words, many in one text; a token belongs to the word its offset lies in."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of a list of words, many in one text; a token is of the word its offset lies in."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for k in range(0, len(words), 4000):
             part = [w.decode("utf-8", "replace") for w in words[k:k + 4000]]
-            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            size = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            first = np.concatenate(([0], np.cumsum(size)))
-            at = np.fromiter((o[0] for o in enc.offsets), np.int64, len(enc.ids))
-            cut = np.searchsorted(at, first).tolist()
-            ids = np.asarray(enc.ids, "<u4").tobytes()
-            for w, a, b in zip(words[k:k + 4000], cut, cut[1:]):
-                self.ids[w] = ids[4 * a:4 * b]
-
-    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        new = set().union(*split) - self.ids.keys()
-        long = {w for w in new if len(w) > LONGEST_CACHED}
-        self.learn(sorted(new - long))
-        own = {w: self.one(w) for w in long}
-        for words in split:
-            if long and not own.keys().isdisjoint(words):
-                yield b"".join([own.get(w) if w in own else self.ids[w] for w in words])
-            else:
-                yield b"".join(map(self.ids.__getitem__, words))
+            enc = self.state["tok"].encode(" ".join(part), add_special_tokens=False)
+            first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)))
+            at = np.fromiter((o[0] for o in enc.offsets), np.int64, len(enc))
+            sizes.append(np.diff(np.searchsorted(at, first)))
+            ids.append(np.asarray(enc.ids, "<u4"))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def look_up(self, uniq: np.ndarray, times: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, number of ids) of distinct word hashes; ``word(k)`` gives the bytes of the k-th."""
+        keys, start, size, used = self.state["table"]
+        new = np.flatnonzero(~in_sorted(uniq, keys))
+        if len(new):
+            if len(keys) > CACHE_WORDS:
+                keep = used >= max(2, int(np.median(used)) + 1)
+                order = np.repeat(start[keep] - (np.cumsum(size[keep]) - size[keep]), size[keep]) + np.arange(size[keep].sum())
+                self.state["pool"] = self.state["pool"][order]
+                keys, size, used = keys[keep], size[keep], used[keep]
+                start = np.cumsum(size) - size
+                new = np.flatnonzero(~in_sorted(uniq, keys))
+            ids, sizes = self.encode_words([word(k) for k in new.tolist()])
+            at = np.searchsorted(keys, uniq[new])
+            places = len(self.state["pool"]) + np.cumsum(sizes) - sizes
+            keys, start = np.insert(keys, at, uniq[new]), np.insert(start, at, places)
+            size, used = np.insert(size, at, sizes), np.insert(used, at, 0)
+            self.state["pool"] = np.concatenate((self.state["pool"], ids))
+        at = np.searchsorted(keys, uniq)
+        used[at] += times
+        self.state["table"] = keys, start, size, used
+        return start[at], size[at]
+
+    def documents(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, each with the end id after it; ids per document) of a run of documents."""
+        starts, ends, doc = word_spans(buf, off)
+        h = self.hasher.spans(self.hasher.prefix(buf), starts, ends)
+        uniq, first, inverse, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        place, size = self.look_up(uniq, times, lambda k: buf[starts[first[k]]:ends[first[k]]].tobytes())
+        n = size[inverse]
+        ids = self.state["pool"][np.repeat(place[inverse] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        per_doc = np.bincount(doc, n, len(off) - 1).astype(np.int64)
+        return np.insert(ids, np.cumsum(per_doc), end_id), per_doc + 1
 
 
 def fill_bins(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,22 +168,19 @@ def pack_best_fit(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = WordEncoder(tokenizer_path)
-        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            raw = memoryview(buf)
+            doc_ids = batch.column(0).to_pylist()
             for lo, hi in doc_chunks(off):
-                out = []
-                texts = [bytes(raw[off[k]:off[k + 1]]) for k in range(lo, hi)]
-                for doc, tokens in zip(ids[lo:hi], enc.texts(texts)):
-                    tokens += end
-                    total = len(tokens) // 4
+                ids, sizes = enc.documents(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], end_id)
+                raw, at, out = memoryview(ids.astype("<u4")).cast("B"), 0, []
+                for doc, total in zip(doc_ids[lo:hi], sizes.tolist()):
                     for piece, start in enumerate(range(0, total, capacity)):
-                        seg = tokens[4 * start:4 * (start + capacity)]
-                        crc = zlib.crc32(seg)
+                        length = min(capacity, total - start)
+                        crc = zlib.crc32(raw[4 * (at + start):4 * (at + start + length)])
                         # spread by content and place, not by id alone: repeated ids do not meet in one partition
-                        out.append((doc, piece, start, len(seg) // 4, crc, zlib.crc32(b"%d:%d:%d" % (doc or 0, piece, crc)) % parts))
+                        out.append((doc, piece, start, length, crc, zlib.crc32(b"%d:%d:%d" % (doc or 0, piece, crc)) % parts))
+                    at += total
                 cols = list(zip(*out))
                 yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                                        *[pa.array(c, pa.int64()) for c in cols[2:]]],
