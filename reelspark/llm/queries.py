@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import id_bucket
 from .langid import language_id, training_rows
+from .minhash import near_duplicates
 from .mixing import oracle as mixing_oracle
 from .mixing import poisson_mix
 from .packing import pack_best_fit
@@ -48,6 +49,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@register("op3_probminhash_neardup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op5_difference_cover_dedup", SUBSTRING_ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents")).select(
