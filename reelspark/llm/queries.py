@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import id_bucket
 from .langid import language_id, training_rows
+from .lm import held_out, score_documents
 from .minhash import near_duplicates
 from .mixing import oracle as mixing_oracle
 from .mixing import poisson_mix
@@ -54,6 +55,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op4_hmm_lm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), ~held_out()).withColumn("held_out", held_out())
+
+
 @register("op5_difference_cover_dedup", SUBSTRING_ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents")).select(
