@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import id_bucket
 from .langid import language_id, training_rows
+from .lines import ORACLE as LINE_ORACLE
+from .lines import duplicate_lines
 from .lm import held_out, score_documents
 from .minhash import near_duplicates
 from .mixing import oracle as mixing_oracle
@@ -45,6 +47,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_line_dedup", LINE_ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 @register("op2_histogram_topk", TOPK_ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
