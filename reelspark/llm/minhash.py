@@ -198,3 +198,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     out = docs.select(F.col(id_col).cast("long").alias("doc")).join(placed, F.col("doc") == F.col("id"), "left")
     return out.select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"),
                       F.coalesce(F.col("class_id") == F.col("doc"), F.lit(True)).alias("kept"), F.coalesce("rep", "doc").alias("copy_of"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without the rows that are not ``kept`` (see :func:`near_duplicates`)."""
+    gone = near_duplicates(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT kept") \
+        .select(F.col(id_col).alias("near_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("near_gone"), "left_anti")
