@@ -23,7 +23,7 @@ def _star(sym: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
-    """``node long, component long`` for every node of an edge; the component is its least node.
+    """``node long, component long`` for every node but the least of its component, which names it.
 
     Edges are undirected; loops and repeats do no harm, edges with a null end are ignored.  Nodes
     without an edge to another node are not listed.

@@ -136,13 +136,15 @@ def duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
 def drop_duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with the duplicate lines taken out of ``text_col`` (see :func:`duplicate_lines`); rows that keep no line
     although they had one with words are dropped."""
-    found = duplicate_lines(docs, threshold=threshold, id_col=id_col, text_col=text_col) \
-        .where("n_removed > 0").select(F.col(id_col).alias("dl_id"), F.col("kept_lines").alias("dl_kept")).dropDuplicates(["dl_id"])
-    lines = F.split(F.col(text_col), "\n")
-    rest = F.array_join(F.transform("dl_kept", lambda k: F.get(lines, k)), "\n")
-    joined = docs.join(found, F.col(id_col) == F.col("dl_id"), "left")
-    text = F.when(F.col("dl_id").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(rest)
-    return joined.withColumn(text_col, text).where(F.col("dl_id").isNull() | (F.trim(text) != "")).select(*docs.columns)
+    found = duplicate_lines(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("n_removed > 0") \
+        .select(F.col(id_col).alias("id"), F.col("kept_lines").alias("kept")).dropDuplicates(["id"])
+    # the input's columns travel in one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(found, F.col(f"row.{id_col}") == F.col("id"), "left")
+    text = F.col(f"row.{text_col}")
+    lines = F.split(text, "\n")
+    rest = F.when(F.col("id").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda k: F.get(lines, k)), "\n"))
+    return rows.select("row", "id", rest.alias("rest")).where(F.col("id").isNull() | (F.size(words_of(F.translate("rest", "\n", " "))) > 0)) \
+        .select(*[F.col("rest").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 #: Every pair of lines that share a word and whose sizes allow the threshold is compared in full.

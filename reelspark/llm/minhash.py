@@ -204,4 +204,4 @@ def drop_near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str
     """The input without the rows that are not ``kept`` (see :func:`near_duplicates`)."""
     gone = near_duplicates(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT kept") \
         .select(F.col(id_col).alias("near_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("near_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["near_gone"], "left_anti")
