@@ -11,14 +11,15 @@ the exact similarity of the lines.  A line goes if an earlier line matches it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Words are counted in this many hashed slots (a word's rarity is that of its slot), 16 levels each.
-SLOTS = 1 << 18
-PER_LONG = 16
+#: Words are counted in this many hashed slots (a word's rarity is that of its slot), on 16 levels.
+SLOT_BITS = 16
 #: Rows of the verification's id list up to which it is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: A place is one decimal: the id times this, plus the line's number.
@@ -28,35 +29,35 @@ EPS = 1e-9
 
 def words_of(line: Column) -> Column:
     """Distinct words ``[^\\x20\\x09-\\x0D]+`` of a line."""
-    return F.array_remove(F.array_distinct(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " ")), "")
+    return F.array_remove(F.array_distinct(F.split(line, "[ \\t\\x0b\\x0c\\r]+")), "")
+
+
+def has_words(line: Column) -> Column:
+    return line.rlike("[^ \\t\\n\\x0b\\x0c\\r]")
 
 
-def slot_of(word_hash: Column) -> Column:
-    return F.shiftrightunsigned(word_hash, 46)
+def hashes_of(line: Column) -> Column:
+    """Hashes of the distinct words of a line."""
+    words = F.split(F.regexp_replace(line, "^[ \\t\\x0b\\x0c\\r]+|[ \\t\\x0b\\x0c\\r]+$", ""), "[ \\t\\x0b\\x0c\\r]+")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def rarity_levels(docs: DataFrame, text_col: str) -> Column:
-    """A constant array of packed 4-bit levels: the more often the words of a slot occur, the higher."""
-    word = F.explode(F.split(F.translate(F.col(text_col), "\n\t\x0b\x0c\r", "     "), " ")).alias("word")
-    slots = stored(docs.select(word).where("word <> ''").groupBy(slot_of(F.xxhash64("word")).alias("slot")).count(), "line-slots")
-    middle = slots.agg(F.percentile_approx("count", 0.5).alias("m")).first().m or 1
-    level = F.greatest(F.lit(0), F.least(F.lit(15), F.round(F.log2(F.col("count") / float(middle))).cast("int") + 4)).cast("bigint")
-    packed = (slots.withColumn("level", level).groupBy(F.floor(F.col("slot") / PER_LONG).cast("int").alias("k"))
-              .agg(F.sum(F.expr(f"shiftleft(level, cast(slot % {PER_LONG} as int) * 4)")).alias("v")).collect())
-    by = {r.k: r.v for r in packed}                     # at most SLOTS / PER_LONG rows
-    text = ",".join(str(by.get(k, 0)) for k in range(SLOTS // PER_LONG))
-    return F.split(F.lit(text), ",").cast("array<bigint>")
-
-
-def ordered_keys(words: Column, levels: Column) -> Column:
-    """Words as longs in the global order: level in the top bits, then 59 bits of the hash."""
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        shift = (slot_of(h).bitwiseAND(F.lit(PER_LONG - 1)) * 4).cast("int")
-        packed = F.get(levels, F.shiftright(slot_of(h), 4).cast("int"))
-        level = F.call_function("shiftrightunsigned", packed, shift).bitwiseAND(F.lit(15))
-        return F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
-    return F.sort_array(F.transform(words, key))
+    """A constant array with a level for each slot: the more often the slot's words occur, the higher."""
+    word = F.explode(F.split(F.col(text_col), "[ \\t\\n\\x0b\\x0c\\r]+")).alias("word")
+    slots = docs.select(word).groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOT_BITS).cast("int").alias("slot")).count().collect()
+    counts = sorted(r["count"] for r in slots)           # at most 2 ** SLOT_BITS rows
+    middle = counts[len(counts) // 2] if counts else 1
+    level = {r.slot: max(0, min(15, round(2 * math.log2(r["count"] / middle)) + 4)) for r in slots}
+    return F.split(F.lit(",".join(str(level.get(k, 0)) for k in range(1 << SLOT_BITS))), ",").cast("array<int>")
+
+
+def ordered_keys(hashes: Column, levels: Column) -> Column:
+    """Word hashes as longs in the global order: level in the top bits, then 59 bits of the hash."""
+    def key(h: Column) -> Column:
+        level = F.get(levels, F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int"))
+        return F.shiftleft(level.cast("bigint"), 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
+    return F.sort_array(F.transform(hashes, key))
 
 
 def parity(keys: Column) -> Column:
@@ -69,44 +70,48 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")) \
         .where("doc IS NOT NULL AND text IS NOT NULL")
     levels = rarity_levels(rows, "text")
-    place = (F.col("doc").cast("decimal(38,0)") * F.lit(PLACES) + F.col("pos")).cast("decimal(38,0)")
-    first = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")) \
-        .groupBy("line").agg(F.min(place).alias("place")) \
-        .select(F.floor(F.col("place") / F.lit(PLACES)).cast("long").alias("doc"),
-                F.pmod("place", F.lit(PLACES).cast("decimal(38,0)")).cast("int").alias("pos"), words_of(F.col("line")).alias("words"))
+    place = F.min((F.col("doc").cast("decimal(38,0)") * F.lit(PLACES) + F.col("pos")).cast("decimal(38,0)")).alias("place")
+    doc_of = F.floor(F.col("place") / F.lit(PLACES)).cast("long").alias("doc")
+    pos_of = F.pmod("place", F.lit(PLACES).cast("decimal(38,0)")).cast("int").alias("pos")
+    lines = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(has_words(F.col("line")))
+    first = lines.groupBy("line").agg(place).select(doc_of, pos_of, hashes_of(F.col("line")).alias("hashes"))
 
     n = F.col("n")
     probe, index = n - F.ceil(threshold * n - EPS) + 1, n - F.ceil(2 * threshold / (1 + threshold) * n - EPS) + 1
-    sets = first.select("doc", "pos", ordered_keys(F.col("words"), levels).alias("keys")) \
-        .select("doc", "pos", "keys", F.size("keys").alias("n")).where("n > 0") \
+    sets = first.select("doc", "pos", ordered_keys(F.col("hashes"), levels).alias("keys")) \
+        .select("doc", "pos", "keys", F.size("keys").alias("n")) \
         .select("doc", "pos", "n", parity(F.col("keys")).alias("bits"), index.cast("int").alias("index"),
                 F.posexplode(F.slice("keys", F.lit(1), probe.cast("int"))).alias("at", "key"))
 
     def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(c + mark) for c in ("key", "doc", "pos", "n", "at", "bits")])
+        return df.select(*[F.col(c).alias(c + mark) for c in ("key", "doc", "pos", "n", "at", "bits", "index")])
 
     na, nb = F.col("n_a"), F.col("n_b")
     need = F.ceil(threshold / (1 + threshold) * (na + nb) - EPS)     # words a matching pair shares
     later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("pos_a") > F.col("pos_b")))
+    # both sides are one and the same exchange; what tells them apart stands in the join's condition
     pairs = side(sets, "_a").join(
-        side(sets.where("at < index"), "_b"),
-        (F.col("key_a") == F.col("key_b")) & ((na > nb) | ((na == nb) & later)) & (nb >= F.ceil(threshold * na - EPS))
+        side(sets, "_b"),
+        (F.col("key_a") == F.col("key_b")) & (F.col("at_b") < F.col("index_b")) & ((na > nb) | ((na == nb) & later)) & (nb >= F.ceil(threshold * na - EPS))
         & (1 + F.least(na - 1 - F.col("at_a"), nb - 1 - F.col("at_b")) >= need)
         & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * need))
     one, two = F.struct(F.col("doc_a").alias("doc"), F.col("pos_a").alias("pos")), F.struct(F.col("doc_b").alias("doc"), F.col("pos_b").alias("pos"))
     pairs = stored(pairs.select(F.least(one, two).alias("early"), F.greatest(one, two).alias("late")).distinct(), "line-pairs")
 
+    # verification reads the lines concerned from the input again; their places are few
     ids = stored(pairs.select("early.*").union(pairs.select("late.*")).distinct(), "line-ids")
     few = ids.count() <= BROADCAST_ROWS
-    lines = stored(first.join(F.broadcast(ids) if few else ids, ["doc", "pos"], "left_semi").select(F.struct("doc", "pos").alias("place"), "words"),
-                   "line-sets")
-    both = pairs.join(lines.select(F.col("place").alias("early"), F.col("words").alias("we")), "early") \
-        .join(lines.select(F.col("place").alias("late"), F.col("words").alias("wl")), "late")
+    some = rows.join(F.broadcast(ids.select("doc").distinct()) if few else ids.select("doc").distinct(), "doc", "left_semi")
+    some = some.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(F.broadcast(ids) if few else ids, ["doc", "pos"])
+    words = stored(some.select(F.struct("doc", "pos").alias("place"), words_of(F.col("line")).alias("words")).dropDuplicates(["place"]), "line-words")
+    both = pairs.join(words.select(F.col("place").alias("early"), F.col("words").alias("we")), "early") \
+        .join(words.select(F.col("place").alias("late"), F.col("words").alias("wl")), "late")
     shared = F.size(F.array_intersect("we", "wl"))
     late = both.where(shared >= threshold * (F.size("we") + F.size("wl") - shared) - EPS).select("late.*").distinct() \
         .withColumn("gone", F.lit(True))
-    return first.where(F.size("words") > 0).select("doc", "pos").join(late, ["doc", "pos"], "left") \
-        .select("doc", "pos", F.coalesce("gone", F.lit(False)).alias("gone"))
+    # first places once more, by a narrow hash of the line: cheaper than carrying the lines' text along
+    narrow = lines.groupBy(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2")).agg(place).select(doc_of, pos_of)
+    return narrow.join(late, ["doc", "pos"], "left").select("doc", "pos", F.coalesce("gone", F.lit(False)).alias("gone"))
 
 
 def duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +127,7 @@ def duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     places = line_matches(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT gone")
     kept = places.groupBy(F.col("doc").alias("kept_doc")).agg(F.collect_list("pos").alias("kept_pos"))
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    blank = F.filter(F.transform(lines, lambda x, k: F.when(F.size(words_of(x)) == 0, k)), lambda k: k.isNotNull())
+    blank = F.filter(F.transform(lines, lambda x, k: F.when(~has_words(x), k)), lambda k: k.isNotNull())
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.size(lines), F.lit(0)).alias("size"),
                        F.coalesce(blank, F.array().cast("array<int>")).alias("blank"))
     rows = rows.withColumn("size", F.greatest("size", F.lit(0)))
@@ -143,7 +148,7 @@ def drop_duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str
     text = F.col(f"row.{text_col}")
     lines = F.split(text, "\n")
     rest = F.when(F.col("id").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda k: F.get(lines, k)), "\n"))
-    return rows.select("row", "id", rest.alias("rest")).where(F.col("id").isNull() | (F.size(words_of(F.translate("rest", "\n", " "))) > 0)) \
+    return rows.select("row", "id", rest.alias("rest")).where(F.col("id").isNull() | has_words(F.col("rest"))) \
         .select(*[F.col("rest").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 

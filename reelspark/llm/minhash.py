@@ -26,6 +26,8 @@ SHINGLE = 5
 #: 25 bands of 5 registers: a pair at similarity 0.8 is proposed with probability 0.99995, one at 0.3 with 0.06.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Slots in which shingles are counted to order them by rarity.
+SLOTS = 1 << 20
 
 
 def chunk_words(buf: np.ndarray, off: np.ndarray, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +152,69 @@ def similar(threshold: float):
     return check
 
 
+def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of the texts the shingles of each slot occur."""
+    hasher, total = WordHasher(lower=True), np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        buf, off = text_buffer(batch.column(2))
+        for lo, hi in doc_chunks(off, 1 << 20):
+            h, doc = chunk_words(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], hasher)
+            total += np.bincount((shingles(h, doc, hi - lo)[1] % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "n"])
+
+
+def rare_prefixes(often: np.ndarray, threshold: float):
+    """For each text its rarest shingles up to the weight that a match may lack, with what comes before each."""
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(lower=True)
+        for batch in batches:
+            buf, off = text_buffer(batch.column(2))
+            for lo, hi in doc_chunks(off, 1 << 20):
+                h, doc = chunk_words(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], hasher)
+                d, s, w = shingles(h, doc, hi - lo)
+                order = np.lexsort((s, often[(s % U64(SLOTS)).astype(np.int64)], d))
+                d, s, w = d[order], s[order], w[order]
+                size, weight = np.bincount(d, minlength=hi - lo), np.bincount(d, w, hi - lo)
+                first = np.cumsum(size) - size
+                before = np.cumsum(w) - w
+                before = before - np.concatenate((before, [0]))[first][d]
+                at = np.flatnonzero(before <= (1 - threshold) * weight[d] + 1e-9)
+                take = pa.array(d[at] + lo)
+                yield pa.record_batch([pa.array(s[at].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(weight[d[at]]),
+                                       pa.array(size[d[at]].astype(np.float64)), pa.array(before[at].astype(np.float64)),
+                                       pa.array((at - first[d[at]]).astype(np.float64))],
+                                      names=["s", "id", "grp", "weight", "size", "before_w", "before_n"])
+    return prefixes
+
+
+def open_pairs(open_docs: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs ``a, b`` of different groups among ``id, grp, text``; none at or above the threshold is missed.
+
+    A pair at probability Jaccard ``t`` shares shingles of at least ``t`` of either text's weight, so the
+    first shared one in a global order (rarest first) lies in both texts' prefixes of weight
+    ``1 - t``.  What precedes it in either text is not shared; that, and the texts' sizes, bound the
+    similarity from above, and only pairs whose bound reaches ``t`` go on.
+    """
+    counted = open_docs.select("id", "grp", "text").mapInArrow(slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    entries = open_docs.select("id", "grp", "text").mapInArrow(
+        rare_prefixes(often.astype(np.int32), threshold),
+        "s long, id long, grp long, weight double, size double, before_w double, before_n double")
+
+    def side(mark: str) -> DataFrame:
+        return entries.select(*[F.col(c).alias(c + mark) for c in ("s", "id", "grp", "weight", "size", "before_w", "before_n")])
+
+    a, b = side("_a"), side("_b")
+    miss_a = F.greatest("before_w_a", F.col("size_a") - F.col("size_b") + F.col("before_n_b")) / F.col("weight_a")
+    miss_b = F.greatest("before_w_b", F.col("size_b") - F.col("size_a") + F.col("before_n_a")) / F.col("weight_b")
+    bound = (1 - miss_a) * (1 - miss_b) / ((1 - miss_b) + miss_b * (1 - miss_a))
+    return a.join(b, (F.col("s_a") == F.col("s_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("grp_a") != F.col("grp_b"))
+                  & (miss_a < 1) & (miss_b < 1) & (bound >= threshold - 1e-9)) \
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``class_id`` (least id of its near-duplicate group), ``kept`` and ``copy_of``.
 
@@ -159,8 +224,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     kept.  Rows that share an id share its class.  An empty table gives an empty one.
 
     Copies are one candidate.  Members of a band bucket are first compared with the bucket's least id
-    only; then every pair of a bucket that is not yet in one group is compared too, so no link that
-    would join two groups is lost, and a large group of near copies costs a pair a member.
+    only.  The members of buckets that then still hold several groups are searched exactly, for links
+    between groups (see :func:`open_pairs`), so no link that would join two groups is lost, and a large
+    group of near copies costs about a pair a member.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(rows.where("id IS NOT NULL").mapInArrow(sign, "id long, c1 long, c2 long, bands array<bigint>"), "near-signatures")
@@ -183,10 +249,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     grouped = stored(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
                      .select("band", "lead", "rep", F.coalesce("component", "rep").alias("grp")), "near-grouped")
     mixed = grouped.groupBy("band").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 < g2").select("band")
-    open_rows = stored(grouped.join(mixed, "band", "left_semi"), "near-open")
-    left = open_rows.select("band", F.col("rep").alias("a"), F.col("grp").alias("ga"))
-    right = open_rows.select("band", F.col("rep").alias("b"), F.col("grp").alias("gb"), "lead")
-    more = left.join(right, "band").where("a < b AND ga <> gb AND a <> lead").select("a", "b").distinct()
+    open_docs = stored(grouped.join(mixed, "band", "left_semi").select(F.col("rep").alias("id"), "grp").distinct().join(texts, "id"), "near-open")
+    more = open_pairs(open_docs, threshold)
     links = first.unionAll(stored(verified(more), "near-links"))
     final = components(links, "a", "b", "near-components")
 
