@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_ms, plus
-from .ordered import DEFAULT_BUCKET_MS, as_long, bucket_of, keyed_running_max, segmented_fold
+from .ordered import DEFAULT_BUCKET_MS, as_is, as_long, bucket_of, fold_schema, keyed_running_max, segmented_fold
 
 
 def _union_stream(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -136,23 +137,30 @@ def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts:
 # J12 / D5 ----------------------------------------------------------------
 def _reuse_kernel(ttl_ms: int):
     def kernel(pdf: pd.DataFrame, starts: list, state):
-        t = as_long(pdf["__t"]).to_numpy()
-        ids = as_long(pdf["__id"]).to_numpy()
-        tl, il = t.tolist(), ids.tolist()
-        n = len(tl)
-        action = [""] * n
-        tok = [0] * n
-        for i in range(n):
-            if starts[i]:
-                state = None
-            if state is not None and state[0] + ttl_ms > tl[i]:
-                action[i] = "reuse"
-            else:
-                state = (tl[i], il[i])
-                action[i] = "new"
-            tok[i] = state[1]
-        out = pd.DataFrame({"key": as_long(pdf["__key"]).to_numpy(), "id": ids, "t_ms": t,
-                            "action": action, "token_id": pd.array(tok, dtype="Int64")})
+        """One step per issued token: from an issue, jump to the key's first row at or after its expiry."""
+        t, ids = pdf["__t"].to_numpy(dtype="int64"), as_is(pdf["__id"])
+        n = len(t)
+        edges = [*np.flatnonzero(starts).tolist(), n]
+        issue, first = np.full(n, -1, np.int64), 0
+        if edges[0] > 0:                                   # rows that continue the state of the previous batch
+            edges = [0, *edges]
+        carried = None
+        for lo, hi in zip(edges, edges[1:]):
+            at = lo
+            if lo == 0 and not starts[0] and state is not None:
+                carried = state
+                at = first = lo + int(np.searchsorted(t[lo:hi], state[0] + ttl_ms, "left"))
+            while at < hi:
+                issue[at], state = at, (int(t[at]), ids[at])
+                at += int(np.searchsorted(t[at:hi], t[at] + ttl_ms, "left"))
+        new = issue >= 0
+        last = np.maximum.accumulate(issue)                 # the issue each row falls under
+        token = np.empty(n, object)
+        token[first:] = ids[last[first:]]
+        if carried is not None:
+            token[:first] = carried[1]
+        out = pd.DataFrame({"key": as_is(pdf["__key"]), "id": ids, "t_ms": t,
+                            "action": np.where(new, "new", "reuse"), "token_id": token})
         return out, state
 
     return kernel
@@ -167,12 +175,12 @@ def token_reuse(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms:
     issues anew, which is where the fold is cut into parallel segments.
     Output: ``key, id, t_ms, action ('new'|'reuse'), token_id``.
     """
-    df = requests.select(F.col(key).cast("long").alias("__key"), F.col(id_col).cast("long").alias("__id"),
-                         epoch_ms(F.col(ts)).alias("__t"))
+    df = requests.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), epoch_ms(F.col(ts)).alias("__t"))
+    id_type = requests.schema[id_col].dataType.simpleString()
 
     kernel = _reuse_kernel(ttl_ms)
     return segmented_fold(df, ["__key"], "__t", "__id", lambda gap: gap >= F.lit(ttl_ms), kernel,
-                          "key long, id long, t_ms long, action string, token_id long",
+                          fold_schema(requests, key, id_col, f"t_ms long, action string, token_id {id_type}"),
                           bucket_ms=bucket_ms, num_partitions=num_partitions)
 
 
@@ -228,12 +236,13 @@ def account_sweep(accounts: DataFrame, *, deleted_col: str, as_of: Column) -> Da
     return accounts.withColumn("swept", swept)
 
 
-def token_reuse_stream(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms: int) -> DataFrame:
-    """Streaming twin of :func:`token_reuse`; a key's state is dropped once its token has lapsed."""
+def token_reuse_stream(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms: int, **state) -> DataFrame:
+    """Streaming twin of :func:`token_reuse`; adds ``late`` (see ``streaming.state``)."""
     from ..streaming.state import keyed_fold_stream
     return keyed_fold_stream(requests, key=key, ts=ts, id_col=id_col, kernel=_reuse_kernel(ttl_ms),
-                             out_schema="key long, id long, t_ms long, action string, token_id long",
-                             idle_ms=ttl_ms)
+                             out_schema=fold_schema(requests, key, id_col,
+                                                    f"t_ms long, action string, token_id {requests.schema[id_col].dataType.simpleString()}"),
+                             idle_ms=ttl_ms, **state)
 
 
 def _status_kernel(ttl_ms: Mapping[str, int]):
@@ -254,7 +263,7 @@ def _status_kernel(ttl_ms: Mapping[str, int]):
             outcome.append("ok" if ok else "expired"); status.append(last[1])
             result.append(last[2] if ok else None)
         sub = pdf.iloc[keep]
-        out = pd.DataFrame({"key": as_long(sub["__key"]).to_numpy(), "id": as_long(sub["__id"]).to_numpy(),
+        out = pd.DataFrame({"key": as_is(sub["__key"]), "id": as_is(sub["__id"]),
                             "t_ms": as_long(sub["__t"]).to_numpy(), "outcome": outcome, "status": status,
                             "result_key": result})
         return out, last
@@ -263,16 +272,16 @@ def _status_kernel(ttl_ms: Mapping[str, int]):
 
 def job_status_stream(events: DataFrame, *, key: str, ts: str, id_col: str, is_status: Column,
                       status: Column, result: Column, ttl_ms: Mapping[str, int],
-                      evict_after_ms: int | None = None) -> DataFrame:
+                      evict_after_ms: int | None = None, **state) -> DataFrame:
     """Streaming twin of :func:`job_status_asof` over one stream of statuses and polls.
 
     State per key is the latest status.  With ``evict_after_ms`` the state is
-    dropped after that much idle event time, after which a poll reads
+    dropped after at least that much time without a row of the key, after which a poll reads
     ``missing`` (as the service's expiring cache does) rather than ``expired``.
     """
     from ..streaming.state import keyed_fold_stream
     extra = {"__kind": F.when(is_status, F.lit(0)).otherwise(F.lit(1)),
              "__st": F.when(is_status, status), "__res": F.when(is_status, result)}
     return keyed_fold_stream(events, key=key, ts=ts, id_col=id_col, kernel=_status_kernel(dict(ttl_ms)),
-                             out_schema="key long, id long, t_ms long, outcome string, status string, result_key string",
-                             idle_ms=evict_after_ms, extra=extra, order=("__t", "__kind", "__id"))
+                             out_schema=fold_schema(events, key, id_col, "t_ms long, outcome string, status string, result_key string"),
+                             idle_ms=evict_after_ms, extra=extra, **state, order=("__t", "__kind", "__id"))

@@ -126,17 +126,6 @@ def bucket_of(t: Column, bucket_ms: int) -> Column:
     return F.coalesce(time_bucket(t, bucket_ms), F.lit(-1).cast("bigint"))
 
 
-def keyed_prev(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, out_col: str,
-               bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
-    """Previous row's ``struct(t, id)`` per key (distributed ``lag``)."""
-    b = f"__bk_{out_col}"
-    df, gk = group_keys(df.withColumn(b, bucket_of(F.col(t_col), bucket_ms)), keys)
-    df = keyed_running_max(df, gk, b, [t_col, id_col],
-                           F.struct(F.col(t_col).alias("t"), F.col(id_col).alias("id")),
-                           out_col, inclusive=False)
-    return drop_group_keys(df.drop(b))
-
-
 def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
                  is_sync: Callable[[Column], Column], bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Add ``gap_ms`` (null on a key's first row) and ``seg_t``.
@@ -213,10 +202,22 @@ FoldFn = Callable[[pd.DataFrame, list, object], tuple[pd.DataFrame, object]]
 
 
 def as_long(s: pd.Series) -> pd.Series:
-    """A nullable 64-bit integer column for a fold's output (keys may be null)."""
+    """A nullable 64-bit integer column for a fold's output."""
     return s.astype("Int64")
 
 
+def as_is(s: pd.Series):
+    """Values of a key or id column for a fold's output: any type, nulls kept (integers with nulls arrive as floats)."""
+    if pd.api.types.is_float_dtype(s) and s.isna().any() and (s.dropna() % 1 == 0).all():
+        s = s.astype("Int64")
+    return s.astype(object).where(s.notna(), None).to_numpy()
+
+
+def fold_schema(df: DataFrame, key: str, id_col: str, rest: str) -> str:
+    """Output schema of a fold: key and id keep the input's types."""
+    return f"key {df.schema[key].dataType.simpleString()}, id {df.schema[id_col].dataType.simpleString()}, {rest}"
+
+
 def segmented_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
                    is_sync: Callable[[Column], Column], kernel: FoldFn, out_schema: str,
                    bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None,

@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_ms
-from .ordered import DEFAULT_BUCKET_MS, as_long, segmented_fold
+from .ordered import DEFAULT_BUCKET_MS, as_is, as_long, fold_schema, segmented_fold
 
-OUT_SCHEMA = ("key long, id long, t_ms long, allowed boolean, tokens long, "
-              "wait_ms long, retry_after_s long")
+DECISION = "t_ms long, allowed boolean, tokens long, wait_ms long, retry_after_s long"
 
 
 def _bucket_kernel(capacity: float, rate: float, per_ms: float, idle_ms: int, init: float):
@@ -59,8 +58,8 @@ def _bucket_kernel(capacity: float, rate: float, per_ms: float, idle_ms: int, in
             left[i] = math.floor(tok)
         w = np.asarray(wait, dtype="int64")
         out = pd.DataFrame({
-            "key": as_long(pdf["__key"]).to_numpy(),
-            "id": as_long(pdf["__id"]).to_numpy(),
+            "key": as_is(pdf["__key"]),
+            "id": as_is(pdf["__id"]),
             "t_ms": as_long(pdf["__t"]).to_numpy(),
             "allowed": np.asarray(allowed, dtype=bool), "tokens": np.asarray(left, dtype="int64"),
             "wait_ms": w, "retry_after_s": w // 1000,
@@ -77,19 +76,19 @@ def token_bucket(requests: DataFrame, *, key: str, ts: str, id_col: str, capacit
     """One decision per request: ``key, id, t_ms, allowed, tokens, wait_ms, retry_after_s``.
 
     Defaults are the service's (capacity 10, 5 tokens/s, 6 s idle life).
-    ``key`` and ``id_col`` must be integral; ``ts`` a timestamp column.
+    ``key`` and ``id_col`` may be of any sortable type and keep it (an address, a UUID, a number);
+    ``ts`` is a timestamp column.
     """
     init = rate if init is None else init
     cap, rt, per = float(capacity), float(rate), float(per_ms)
-    df = requests.select(F.col(key).cast("long").alias("__key"), F.col(id_col).cast("long").alias("__id"),
-                         epoch_ms(F.col(ts)).alias("__t"))
+    df = requests.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), epoch_ms(F.col(ts)).alias("__t"))
 
     def is_sync(gap):
         return (gap >= F.lit(idle_ms)) | ((gap.cast("double") / F.lit(per)) * F.lit(rt) >= F.lit(cap))
 
     kernel = _bucket_kernel(cap, rt, per, idle_ms, float(init))
-    return segmented_fold(df, ["__key"], "__t", "__id", is_sync, kernel, OUT_SCHEMA,
-                          bucket_ms=bucket_ms, num_partitions=num_partitions, checkpoint=checkpoint)
+    return segmented_fold(df, ["__key"], "__t", "__id", is_sync, kernel,
+                          fold_schema(requests, key, id_col, DECISION), bucket_ms=bucket_ms, num_partitions=num_partitions, checkpoint=checkpoint)
 
 
 def token_bucket_sql(table: str, key: str, ts: str, id_col: str, capacity: float, rate: float,
@@ -123,13 +122,13 @@ FROM b"""
 
 def token_bucket_stream(requests, *, key: str, ts: str, id_col: str, capacity: float = 10,
                         rate: float = 5, per_ms: float = 1000, idle_ms: int = 6000,
-                        init: float | None = None):
-    """Streaming twin of :func:`token_bucket` (keyed state, idle eviction)."""
+                        init: float | None = None, **state):
+    """Streaming twin of :func:`token_bucket` (keyed state, idle eviction); adds ``late`` (see ``streaming.state``)."""
     from ..streaming.state import keyed_fold_stream
     init = rate if init is None else init
     kernel = _bucket_kernel(float(capacity), float(rate), float(per_ms), idle_ms, float(init))
     return keyed_fold_stream(requests, key=key, ts=ts, id_col=id_col, kernel=kernel,
-                             out_schema=OUT_SCHEMA, idle_ms=idle_ms)
+                             out_schema=fold_schema(requests, key, id_col, DECISION), idle_ms=idle_ms, **state)
 
 
 def fold_segments(requests: DataFrame, *, key: str, ts: str, id_col: str, capacity: float = 10,
@@ -143,8 +142,7 @@ def fold_segments(requests: DataFrame, *, key: str, ts: str, id_col: str, capaci
     """
     from .ordered import segment_rows
     cap, rt, per = float(capacity), float(rate), float(per_ms)
-    df = requests.select(F.col(key).cast("long").alias("key"), F.col(id_col).cast("long").alias("id"),
-                         epoch_ms(F.col(ts)).alias("t"))
+    df = requests.select(F.col(key).alias("key"), F.col(id_col).alias("id"), epoch_ms(F.col(ts)).alias("t"))
 
     def is_sync(gap):
         return (gap >= F.lit(idle_ms)) | ((gap.cast("double") / F.lit(per)) * F.lit(rt) >= F.lit(cap))

@@ -3,13 +3,22 @@
 ``keyed_fold_stream`` runs a batch fold kernel (the same function the batch
 operator uses) inside ``applyInPandasWithState``: rows of a key that arrive
 in one micro-batch are sorted by (t, id) before folding (Spark promises no
-order inside a batch), the kernel's state and the last event time are kept
-in Spark's state store, and an event-time timeout drops a key's state once
-the watermark passes ``last_t + idle_ms`` - after which the fold would
-restart from scratch anyway, so eviction never changes a result.
+order inside a batch), and the kernel's state and the last event time are
+kept in Spark's state store.
 
-Results equal the batch operator when each key's events arrive in time
-order across micro-batches (a queue); that is what the tests check.
+No row is dropped.  A watermark on event time is global, so one key's clock
+would make another key's rows late; the fold's watermark is therefore on the
+*arrival* time, which no row is behind.  A key's state is evicted after
+``evict_ms`` of arrival time without a row of that key (a stated retention,
+never under ``idle_ms``).  A row older than the
+last event its key has already folded cannot be folded in order: it comes
+out at once with ``late = true`` and nulls for the fold's columns, for the
+caller to route.
+
+Results equal the batch operator when each key's own events arrive in time
+order across micro-batches (a queue), whatever other keys' clocks say; that
+is what the tests check.  What a key has in one micro-batch is sorted in
+memory: bound it with the source's trigger options.
 """
 
 from __future__ import annotations
@@ -27,9 +36,12 @@ from ..functions.timecols import epoch_ms
 
 Kernel = Callable[[pd.DataFrame, list, object], tuple[pd.DataFrame, object]]
 
+#: State of a key without rows is kept at least this long (arrival time).
+DEFAULT_EVICT_MS = 3_600_000
+
 
 def keyed_fold_stream(stream: DataFrame, *, key: str, ts: str, id_col: str, kernel: Kernel,
-                      out_schema: str, idle_ms: int | None, watermark: str = "0 seconds",
+                      out_schema: str, idle_ms: int | None, evict_ms: int = DEFAULT_EVICT_MS,
                       extra: dict | None = None, order: tuple[str, ...] = ("__t", "__id"),
                       encode: Callable[[object], str] = json.dumps,
                       decode: Callable[[str], object] = json.loads) -> DataFrame:
@@ -38,14 +50,14 @@ def keyed_fold_stream(stream: DataFrame, *, key: str, ts: str, id_col: str, kern
     The kernel sees columns ``__key, __id, __t, gap_ms`` (plus ``extra``)
     like the batch fold; ``gap_ms`` of a key's first row in a batch is
     measured from the last row of the previous batch (null when the key has
-    no state).  The watermark is on the same wall-clock milliseconds as
-    ``__t``, so timeouts do not depend on the session time zone.
+    no state).  ``out_schema`` starts with the key and the id; ``late boolean``
+    is added to it.  ``idle_ms=None`` keeps state for ever.
     """
-    cols = [F.col(key).cast("long").alias("__key"), F.col(id_col).cast("long").alias("__id"),
-            epoch_ms(F.col(ts)).alias("__t")]
+    cols = [F.col(key).alias("__key"), F.col(id_col).alias("__id"), epoch_ms(F.col(ts)).alias("__t")]
     cols += [c.alias(n) for n, c in (extra or {}).items()]
-    df = stream.select(*cols)
-    df = df.withColumn("__ts", F.timestamp_millis(F.col("__t"))).withWatermark("__ts", watermark)
+    now = F.current_timestamp()          # one value a micro-batch
+    df = stream.select(*cols, F.unix_millis(now).alias("__now"), now.alias("__arrived")).withWatermark("__arrived", "0 seconds")
+    keep_ms = None if idle_ms is None else max(int(idle_ms), int(evict_ms), 1)
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -55,21 +67,31 @@ def keyed_fold_stream(stream: DataFrame, *, key: str, ts: str, id_col: str, kern
         if not parts:
             return
         pdf = pd.concat(parts, ignore_index=True).sort_values(list(order), kind="stable")
+        now_ms = int(pdf["__now"].iloc[0])
+        kstate, last_t = None, None
         if state.exists:
             kstate_txt, last_t = state.get
             kstate = decode(kstate_txt) if kstate_txt is not None else None
-        else:
-            kstate, last_t = None, None
-        t = pdf["__t"].to_numpy(dtype="int64")
-        prev = np.concatenate([[np.nan if last_t is None else float(last_t)], t[:-1].astype("float64")])
-        pdf = pdf.assign(gap_ms=t - prev)
-        out, kstate = kernel(pdf.reset_index(drop=True), [False] * len(pdf), kstate)
-        new_last = int(t[-1])
-        state.update((None if kstate is None else encode(kstate), new_last))
-        if idle_ms is not None:
-            state.setTimeoutTimestamp(new_last + int(idle_ms))
-        yield out
-
-    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
+            old = pdf["__t"].to_numpy(dtype="int64") < last_t
+            if old.any():
+                behind, pdf = pdf[old], pdf[~old]
+                yield pd.DataFrame({"key": behind["__key"].to_numpy(), "id": behind["__id"].to_numpy(), "late": True})
+        if len(pdf):
+            t = pdf["__t"].to_numpy(dtype="int64")
+            prev = np.concatenate([[np.nan if last_t is None else float(last_t)], t[:-1].astype("float64")])
+            pdf = pdf.assign(gap_ms=t - prev)
+            out, kstate = kernel(pdf.reset_index(drop=True), [False] * len(pdf), kstate)
+            state.update((None if kstate is None else encode(kstate), int(t[-1])))
+            yield out.assign(late=False)
+        if keep_ms is not None:
+            state.setTimeoutTimestamp(now_ms + keep_ms)
+
+    names = [c.strip().split()[0] for c in out_schema.split(",")] + ["late"]
+
+    def whole(k, pdfs, state):
+        for out in fn(k, pdfs, state):
+            yield out.assign(**{c: None for c in names if c not in out})[names]
+
+    timeout = GroupStateTimeout.EventTimeTimeout if keep_ms is not None else GroupStateTimeout.NoTimeout
     return df.groupBy("__key").applyInPandasWithState(
-        fn, out_schema, "kstate string, last_t long", "append", timeout)
+        whole, out_schema + ", late boolean", "kstate string, last_t long", "append", timeout)
