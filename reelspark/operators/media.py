@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.timecols import epoch_ms
+from ..session import reliable_checkpoint
 from .ordered import DEFAULT_BUCKET_MS, bucket_of, keyed_running_max
 
 
@@ -30,17 +31,21 @@ def conversion_plan(requests: DataFrame, *, start: str, end: str, fps: str, widt
 
 
 # C2 ----------------------------------------------------------------------
-def frame_grid(requests: DataFrame, *, start: Column, duration: Column, fps: Column) -> DataFrame:
+def frame_grid(requests: DataFrame, *, start: Column, duration: Column, fps: Column, block: int = 1000) -> DataFrame:
     """One row per output frame: ``frame`` i and its time ``start + i / fps``.
 
     ``n = ceil(duration * fps)`` frames; zero or negative gives no rows (the
-    guard matters: ``sequence(0, -1)`` would run backwards).
+    guard matters: ``sequence(0, -1)`` would run backwards).  Frames are made in
+    two steps, blocks and then frames of a block, so no row holds a long request's whole grid.
     """
     n = F.ceil(duration * fps).cast("bigint")
-    frames = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    out = requests.select("*", start.alias("__start"), fps.alias("__fps"), F.explode(frames).alias("frame"))
+    none = F.array().cast("array<bigint>")
+    blocks = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(block).cast("bigint"))).otherwise(none)
+    out = requests.select("*", start.alias("__start"), fps.alias("__fps"), n.alias("__n"), F.explode(blocks).alias("__from"))
+    frames = F.sequence(F.col("__from"), F.least(F.col("__n"), F.col("__from") + block) - 1)
+    out = out.withColumn("frame", F.explode(frames))
     t = F.col("__start") + F.col("frame") / F.col("__fps")
-    return out.withColumn("t_ms", F.floor(t * 1000).cast("bigint")).drop("__start", "__fps")
+    return out.withColumn("t_ms", F.floor(t * 1000).cast("bigint")).drop("__start", "__fps", "__n", "__from")
 
 
 def series_resample(series: DataFrame, keys: DataFrame, *, key: str, ts: str, id_col: str, value: str,
@@ -69,36 +74,40 @@ def series_resample(series: DataFrame, keys: DataFrame, *, key: str, ts: str, id
 
 
 # C3 ----------------------------------------------------------------------
-def codebook_means(vectors: DataFrame, *, vec: str, group: str, max_codes: int = 256) -> DataFrame:
-    """One row ``codes: array<struct<code, center>>``: the mean vector of each group.
-
-    Means are per (group, position) aggregates; the codebook is bounded by
-    ``max_codes`` and the query fails at run time (``raise_error``) rather
-    than broadcast something larger.
-    """
+def codebook_means(vectors: DataFrame, *, vec: str, group: str) -> DataFrame:
+    """``code, center``: the mean vector of each group ((group, position) aggregates, any number of groups)."""
     x = vectors.select(F.col(group).alias("code"), F.posexplode(vec).alias("pos", "x"))
     means = x.groupBy("code", "pos").agg(F.avg("x").alias("m"))
-    centers = means.groupBy("code").agg(
+    return means.groupBy("code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center"))
-    book = centers.agg(F.array_sort(F.collect_list(F.struct("code", "center"))).alias("codes"))
-    return book.select(F.when(F.size("codes") <= max_codes, F.col("codes"))
-                        .otherwise(F.raise_error(F.lit(f"codebook larger than {max_codes}")))
-                        .alias("codes"))
 
 
-def codebook_assign(vectors: DataFrame, codebook: DataFrame, *, vec: str) -> DataFrame:
-    """Nearest code (squared Euclidean, ties to the smaller code) per vector.
+def codebook_assign(vectors: DataFrame, codebook: DataFrame, *, vec: str, block_values: int = 1 << 18) -> DataFrame:
+    """Nearest code (squared Euclidean, ties to the smaller code) per vector; ``codebook`` is ``code, center``.
 
-    The codebook is a single bounded row attached by a broadcast join, so
-    no (vector, code) pairs are materialised: distances are computed inside
-    the row with higher-order functions.
+    The codebook is dealt into blocks of at most ``block_values`` numbers (2 MB) before any is
+    gathered; a block is one row attached by a broadcast, and a running minimum takes the vectors
+    from block to block.  So no (vector, code) pairs are made, and neither the number of codes nor
+    their length is limited.
     """
-    j = vectors.join(F.broadcast(codebook), how="cross")
+    book = reliable_checkpoint(codebook.select("code", "center"))
+    n, longest = book.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("center")), F.lit(1))).first()
+    per = max(1, block_values // max(1, longest))
+    blocks = max(1, -(-n // per))
+    numbered = book.withColumn("__block", F.pmod(F.xxhash64("code"), F.lit(blocks))) if blocks > 1 else book.withColumn("__block", F.lit(0))
+
     def dist(c):
         sq = F.zip_with(F.col(vec), c["center"], lambda a, b: (a - b) * (a - b))
         return F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, y: acc + y)
-    best = F.array_min(F.transform("codes", lambda c: F.struct(dist(c).alias("d"), c["code"].alias("code"))))
-    return j.withColumn("code", best["code"]).drop("codes")
+
+    out = vectors
+    for k in range(blocks):
+        codes = numbered.where(F.col("__block") == k).agg(F.collect_list(F.struct("code", "center")).alias("__codes"))
+        out = out.join(F.broadcast(codes), how="cross")
+        best = F.array_min(F.transform("__codes", lambda c: F.struct(dist(c).alias("d"), c["code"].alias("code"))))
+        best = F.least(F.col("__best"), best) if k else best
+        out = out.withColumn("__best", best).drop("__codes")
+    return out.withColumn("code", F.col("__best.code")).drop("__best")
 
 
 def codebook_kmeans(vectors: DataFrame, *, vec: str, k: int, seed: int = 7, max_iter: int = 20) -> DataFrame:
@@ -109,12 +118,8 @@ def codebook_kmeans(vectors: DataFrame, *, vec: str, k: int, seed: int = 7, max_
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    if k > 256:
-        raise ValueError("codebook larger than 256")
     data = vectors.select(array_to_vector(F.col(vec)).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-    spark = vectors.sparkSession
-    centers = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-                                    "code int, center array<double>")
-    # model.clusterCenters() is k vectors (bounded by the check above), not data
-    return centers.agg(F.array_sort(F.collect_list(F.struct("code", "center"))).alias("codes"))
+    # clusterCenters() is k vectors, which MLlib itself holds on the driver
+    return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
+                                                "code int, center array<double>")

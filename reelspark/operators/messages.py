@@ -67,14 +67,14 @@ def metadata_enrich(confirms: DataFrame, inventory: DataFrame, *, key: str, user
     """Upload confirmation joined to the object's stat.
 
     ``outcome``: ``reject`` (user id is not a UUID: dropped), ``retry``
-    (object not there yet, or empty: one delayed retry per failure) or
-    ``saved`` with size and content type.
+    (object not there yet: one delayed retry per failure) or ``saved`` with
+    size and content type.  An empty object is there: its size 0 is saved.
     """
     inv = inventory.select(F.col(inv_key).alias("__ik"), F.col(size_col).alias("size_bytes"),
                            F.col(type_col).alias("content_type"))
     j = confirms.join(inv, confirms[key] == inv["__ik"], "left")
     outcome = (F.when(~S.is_uuid(F.col(user_id)), "reject")
-               .when(F.col("__ik").isNull() | (F.col("size_bytes") <= 0), "retry")
+               .when(F.col("__ik").isNull(), "retry")
                .otherwise("saved"))
     saved = outcome == "saved"
     return (j.withColumn("outcome", outcome)
@@ -86,15 +86,15 @@ def metadata_enrich(confirms: DataFrame, inventory: DataFrame, *, key: str, user
 def metadata_enrich_interval(confirms: DataFrame, objects: DataFrame, *, key: str, confirm_ts: str,
                              user_id: str, obj_key: str, obj_ts: str, size_col: str, type_col: str,
                              wait: str = "1 hour") -> DataFrame:
-    """T9: a confirmation may arrive before its object; it is saved when the
-    object shows up within ``wait`` after it, else it is dead-lettered.
+    """T9: a confirmation is saved if its object is there already or shows up
+    within ``wait`` after it, else it is dead-lettered.
 
     Batch twin of :func:`reelspark.streaming.flows.metadata_enrich_stream` - an
     equi join on the key plus a time range, with one object per key.
     """
     o = objects.select(F.col(obj_key).alias("__ok"), F.col(obj_ts).alias("__ot"),
                        F.col(size_col).alias("size_bytes"), F.col(type_col).alias("content_type"))
-    cond = ((confirms[key] == o["__ok"]) & (o["__ot"] >= confirms[confirm_ts])
+    cond = ((confirms[key] == o["__ok"])
             & (o["__ot"] <= confirms[confirm_ts] + F.expr(f"INTERVAL {wait}")))
     j = confirms.join(o, cond, "left")
     outcome = (F.when(~S.is_uuid(F.col(user_id)), "reject")

@@ -43,24 +43,23 @@ def upsert(snapshot: DataFrame, changes: DataFrame, *, key: str, arrival: Column
     update list: an existing row keeps them, a new key takes them from its
     earliest change (the one that inserted it).  A null in an updated column
     overwrites.  Adds ``action``: insert / update / keep.
+
+    Of changes with equal arrivals the one with the greatest (for kept columns the least) content
+    counts, so a rerun gives the same rows.  A null key conflicts with nothing, as in the service's
+    table: changes without a key are left out, snapshot rows without one are kept.
     """
-    # Latest arrival sets the updated columns; a key new to the snapshot is
-    # inserted by its earliest change, whose kept columns stay.  Both are
-    # top-1 per key (WindowGroupLimit: each map task forwards one row per key,
-    # so a key with a huge change set is never sorted whole in one task).
-    newest = newest_per_key(changes.select(key, *update_cols, arrival.alias("__arr")), [key],
-                            [F.col("__arr").desc()]).drop("__arr")
-    oldest = newest_per_key(changes.select(key, *keep_cols, arrival.alias("__arr")), [key],
-                            [F.col("__arr").asc()]).drop("__arr")
-    ch = newest.join(oldest, key)
+    # one aggregate over the change set: newest and oldest change per key, combined map-side
+    upd = F.struct(arrival.alias("__arr"), *[F.col(c).alias(f"u_{c}") for c in update_cols])
+    kept = F.struct(arrival.alias("__arr"), *[F.col(c).alias(f"k_{c}") for c in keep_cols])
+    ch = (changes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__ck"))
+          .agg(F.max(upd).alias("__new"), F.min(kept).alias("__old")))
     cols = [key, *update_cols, *keep_cols]
-    s = snapshot.select(*[F.col(c).alias(f"__s_{c}") for c in cols])
-    c = ch.select(*[F.col(x).alias(f"__c_{x}") for x in cols])
-    j = s.join(c, s[f"__s_{key}"] == c[f"__c_{key}"], "full_outer")
-    has_s, has_c = F.col(f"__s_{key}").isNotNull(), F.col(f"__c_{key}").isNotNull()
-    out = [F.coalesce(F.col(f"__s_{key}"), F.col(f"__c_{key}")).alias(key)]
-    out += [F.when(has_c, F.col(f"__c_{x}")).otherwise(F.col(f"__s_{x}")).alias(x) for x in update_cols]
-    out += [F.when(has_s, F.col(f"__s_{x}")).otherwise(F.col(f"__c_{x}")).alias(x) for x in keep_cols]
+    s = snapshot.select(*[F.col(c).alias(f"__s_{c}") for c in cols], F.lit(True).alias("__has_s"))
+    j = s.join(ch, s[f"__s_{key}"] == ch["__ck"], "full_outer")
+    has_s, has_c = F.coalesce(F.col("__has_s"), F.lit(False)), F.col("__ck").isNotNull()
+    out = [F.coalesce(F.col(f"__s_{key}"), F.col("__ck")).alias(key)]
+    out += [F.when(has_c, F.col(f"__new.u_{x}")).otherwise(F.col(f"__s_{x}")).alias(x) for x in update_cols]
+    out += [F.when(has_s, F.col(f"__s_{x}")).otherwise(F.col(f"__old.k_{x}")).alias(x) for x in keep_cols]
     action = F.when(~has_s, "insert").when(~has_c, "keep").otherwise("update")
     return j.select(*out, action.alias("action"))
 
@@ -132,6 +131,38 @@ def cascade_delete(root_keys: DataFrame, root_key: str,
     return out
 
 
+def cascade_tree(root: str, root_keys: DataFrame, tables: Mapping[str, DataFrame],
+                 edges: Sequence[tuple[str, str, str, str]]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """ON DELETE CASCADE through a tree (or acyclic graph) of foreign keys.
+
+    ``edges`` is ``[(child, fk column, parent, referenced column), ...]``; a child may hang on several
+    parents and goes if any of them does.  ``root_keys`` are the rows of ``root`` to delete.  Returns
+    ``{table: (removed, survivors)}`` for the tables that hang on the root.  A row whose foreign key
+    is null hangs on nothing.  Per table one semi and one anti join against the referenced values that
+    go, however many parents; nothing fans out.
+    """
+    gone, out = {root: root_keys}, {}
+    order, left = [root], {c for c, *_ in edges}
+    while left:                                   # parents before children
+        ready = [c for c in left if all(p in order or p not in tables and p != root for ch, _, p, _ in edges if ch == c)]
+        if not ready:
+            raise ValueError(f"foreign keys form a cycle among {sorted(left)}")
+        order += sorted(ready)
+        left -= set(ready)
+    for child in order[1:]:
+        table = tables[child]
+        hit = None
+        for _, fk, parent, ref in [e for e in edges if e[0] == child and e[2] in gone]:
+            keys = gone[parent].select(F.col(ref).alias("__k")).where("__k IS NOT NULL").distinct()
+            marked = table if hit is None else hit
+            hit = marked.join(keys.withColumn(f"__hit_{fk}", F.lit(True)), marked[fk] == keys["__k"], "left").drop("__k")
+        marks = [c for c in hit.columns if c.startswith("__hit_")]
+        any_hit = F.coalesce(*[F.col(c) for c in marks], F.lit(False))
+        removed, kept = hit.where(any_hit).drop(*marks), hit.where(~any_hit).drop(*marks)
+        gone[child], out[child] = removed, (removed, kept)
+    return out
+
+
 # M9 ----------------------------------------------------------------------
 def schema_evolve(old: DataFrame, new: DataFrame, *, defaults: Mapping[str, Column] | None = None,
                   drop: Sequence[str] = ()) -> DataFrame:
@@ -163,11 +194,17 @@ def signup_admission(attempts: DataFrame, existing: DataFrame, *, email: str, ts
     return j.withColumn("outcome", outcome).drop("__e", "__known", "__f_e", "__first")
 
 
-def signup_outputs(admitted: DataFrame, *, user_id: Column, email: str, ts: str) -> dict[str, DataFrame]:
-    """The rows a successful sign-up writes: user, verify token, profile, quota, mail message."""
+def signup_outputs(admitted: DataFrame, *, user_id: Column, email: str, ts: str, username: str | None = None,
+                   fullname: str | None = None) -> dict[str, DataFrame]:
+    """The rows a successful sign-up writes: user, verify token, profile, quota, mail message.
+
+    ``username`` and ``fullname`` name columns of the attempt (by default the local part of the
+    address, and an empty text)."""
     ok = admitted.filter(F.col("outcome") == "created").withColumn("__uid", user_id)
     return {
-        "users": ok.select(F.col("__uid").alias("id"), F.col(email).alias("email"),
+        "users": ok.select(F.col("__uid").alias("id"),
+                           (F.col(username) if username else F.substring_index(email, "@", 1)).alias("username"),
+                           (F.col(fullname) if fullname else F.lit("")).alias("fullname"), F.col(email).alias("email"),
                            F.lit(False).alias("is_verified"), F.lit("user").alias("role"),
                            F.col(ts).alias("created_at")),
         "verifier": ok.select(F.col("__uid").alias("user_id"),

@@ -104,6 +104,63 @@ def signup_rules() -> list[Rule]:
             ("confirm_password:eqfield", not_equal(F.col("confirm_password"), F.col("password")))]
 
 
+def email_rules(field: str = "email") -> list[Rule]:
+    e = F.col(field)
+    return [(f"{field}:required", required(e)), (f"{field}:email", not_email(e)), (f"{field}:max", too_long(e, 50))]
+
+
+def _confirmed(rules: list[Rule]) -> list[Rule]:
+    return [*rules, ("confirm_password:eqfield", not_equal(F.col("confirm_password"), F.col("password")))]
+
+
+#: The request records of the service and the rules of their fields.
+RECORD_RULES = {
+    "signup": lambda: signup_rules(),
+    "login": lambda: [*email_rules(), *password_rules("password")],
+    "reset_password": lambda: _confirmed([("token:required", required(F.col("token"))), ("token:max", too_long(F.col("token"), 50)),
+                                          *password_rules("password")]),
+    "forgot_password": lambda: email_rules(),
+    "resend_verify": lambda: email_rules(),
+    "change_password": lambda: _confirmed([("current_password:required", required(F.col("current_password"))),
+                                           ("current_password:min", too_short(F.col("current_password"), 5)),
+                                           ("current_password:max", too_long(F.col("current_password"), 70)),
+                                           *password_rules("password")]),
+    "delete_user": lambda: password_rules("password"),
+    "upload": lambda: [("filename:required", required(F.col("filename"))), ("content_type:required", required(F.col("content_type")))],
+    "upload_confirm": lambda: [("key:required", required(F.col("key"))), ("filename:required", required(F.col("filename")))],
+    # the payload of an access token: none of these may be empty
+    "token_payload": lambda: [(f"{f}:required", required(F.col(f))) for f in ("fullname", "email", "role")],
+}
+
+
+def record_rules(record: str) -> list[Rule]:
+    """The rules of one of the service's records (see ``RECORD_RULES``)."""
+    return RECORD_RULES[record]()
+
+
+#: Longest texts of the service's tables, and the values a column may take.
+TEXT_LIMITS = {
+    "users": {"username": 21, "fullname": 100, "email": 50, "password_hash": 70, "role": 6},
+    "verifier": {"token_hash": 70}, "reseter": {"token_hash": 70}, "profiles": {"profile_pic": 70},
+    "anon_users": {"username": 200, "fullname": 200, "role": 6}, "anon_profiles": {"profile_pic": 70},
+}
+ALLOWED = {"shares": {"access": ["view", "download"]}}
+
+
+def table_rules(table: str, schema) -> list[Rule]:
+    """NOT NULL, length and allowed-value rules of a service table; ``schema`` is its schema in ``sources.tables``."""
+    rules: list[Rule] = []
+    for f in schema.fields:
+        c = F.col(f.name)
+        if not f.nullable:
+            rules.append((f"{f.name}:notnull", c.isNull()))
+        if f.name in TEXT_LIMITS.get(table, {}):
+            rules.append((f"{f.name}:max", too_long(c, TEXT_LIMITS[table][f.name])))
+        if f.name in ALLOWED.get(table, {}):
+            rules.append((f"{f.name}:oneof", ~c.isin(ALLOWED[table][f.name])))
+    return rules
+
+
 def conversion_rules(start: Column, end: Column, fps: Column, width: Column,
                      max_fps: int = 5, max_width: int = 1920) -> list[Rule]:
     """Checks the service lists as missing: start < end, fps and width bounds."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.timecols import ntz, plus
-from ..operators import lifecycle, ratelimit
+from ..functions import scalars as S
+from ..operators import lifecycle, mutate, ratelimit
 from ..sources.tables import read_table
 from .registry import register
 
@@ -84,21 +85,25 @@ STATUS_OF = {"click": "queued", "purchase": "completed", "error": "failed"}
 WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
 s AS (
   SELECT user_id, ts, event_id AS sid,
-         CASE event_type WHEN 'click' THEN 'queued' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status,
+         CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'queued' WHEN event_type = 'click' THEN 'processing'
+              WHEN event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS status,
+         CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN INTERVAL 30 HOUR WHEN event_type = 'click' THEN INTERVAL 6 HOUR
+              WHEN event_type = 'purchase' THEN INTERVAL 72 HOUR ELSE INTERVAL 1 HOUR END AS life,
          CASE WHEN event_type = 'purchase' THEN 'gif/' || CAST(event_id AS VARCHAR) END AS result
   FROM events WHERE event_type IN ('click', 'purchase', 'error'))
 SELECT p.event_id, p.user_id, p.ts,
        CASE WHEN s.sid IS NULL THEN 'missing'
-            WHEN s.ts + INTERVAL 12 HOUR <= p.ts THEN 'expired' ELSE 'ok' END AS outcome,
+            WHEN s.ts + s.life <= p.ts THEN 'expired' ELSE 'ok' END AS outcome,
        s.status, s.ts AS status_at,
-       CASE WHEN s.sid IS NOT NULL AND s.ts + INTERVAL 12 HOUR > p.ts THEN s.result END AS result_key
+       CASE WHEN s.sid IS NOT NULL AND s.ts + s.life > p.ts THEN s.result END AS result_key
 FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts >= s.ts
 """)
 def job_status_asof(spark, sf):
     ev = read_table(spark, sf, "events")
     polls = ev.filter(F.col("event_type") == "view").select("event_id", "user_id", "ts")
     st = ev.filter(F.col("event_type").isin(*STATUS_OF))
-    status = F.when(F.col("event_type") == "click", "queued") \
+    status = F.when((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0), "queued") \
+        .when(F.col("event_type") == "click", "processing") \
         .when(F.col("event_type") == "purchase", "completed").otherwise("failed")
     st = st.select("user_id", "ts", "event_id", status.alias("status"),
                    F.when(F.col("event_type") == "purchase",
@@ -106,7 +111,7 @@ def job_status_asof(spark, sf):
     return lifecycle.job_status_asof(polls, st, key="user_id", poll_ts="ts", poll_id="event_id",
                                      status_ts="ts", status_id="event_id", status_col="status",
                                      result_col="result",
-                                     ttl_hours={"queued": 12, "processing": 12, "completed": 12, "failed": 12})
+                                     ttl_hours={"queued": 30, "processing": 6, "completed": 72, "failed": 1})
 
 
 # Three parameter sets (capacity, tokens per hour, idle hours); fresh buckets hold 1.
@@ -203,3 +208,77 @@ def account_sweep(spark, sf):
         ntz("2024-01-01 00:00:00") + F.make_dt_interval(days=(F.col("c_custkey") % 3).cast("int")))
     acc = c.select("c_custkey", deleted.alias("deleted_at"))
     return lifecycle.account_sweep(acc, deleted_col="deleted_at", as_of=ntz("2024-01-02 12:00:00"))
+
+
+_ADDR_SQL = """CASE WHEN user_id % 10 = 0 THEN '[::1]:80' WHEN user_id % 10 = 1 THEN 'noport'
+              ELSE '10.0.0.' || CAST(user_id AS VARCHAR) || ':80' END"""
+
+
+@register("token_bucket_ip", ratelimit.token_bucket_sql(
+    f"(SELECT 'rate_limit:ip:' || split_part({_ADDR_SQL}, ':', 1) AS ip, event_id, ts FROM events) q", "ip", "ts", "event_id", 3, 0.125, H, 48 * H, 1))
+def token_bucket_ip(spark, sf):
+    """Admission by the service's own text key, the client's address (some addresses are shared by many users)."""
+    ev = read_table(spark, sf, "events")
+    addr = (F.when(F.col("user_id") % 10 == 0, F.lit("[::1]:80")).when(F.col("user_id") % 10 == 1, F.lit("noport"))
+            .otherwise(F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"), F.lit(":80"))))
+    req = ev.select(S.rate_limit_key(addr).alias("ip"), "event_id", "ts")
+    return ratelimit.token_bucket(req, key="ip", ts="ts", id_col="event_id", capacity=3, rate=0.125, per_ms=H, idle_ms=48 * H, init=1)
+
+
+@register("token_reuse_uuid", _reuse_sql(60 * H).replace("SELECT user_id AS key", "SELECT 'u-' || CAST(user_id AS VARCHAR) AS key"))
+def token_reuse_uuid(spark, sf):
+    """Token reuse keyed by a user id that is a text."""
+    ev = read_table(spark, sf, "events").filter(F.col("event_type") == "signup")
+    ev = ev.select(F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("uid"), "ts", "event_id")
+    return lifecycle.token_reuse(ev, key="uid", ts="ts", id_col="event_id", ttl_ms=60 * H)
+
+
+@register("reset_notices", """
+WITH iss AS (
+  SELECT user_id, event_id AS token_id, ts AS issued_at, ts + INTERVAL 15 MINUTE AS expire_at FROM events WHERE event_type = 'view'),
+u AS (SELECT user_id, event_id AS use_id, ts AS used_at FROM events WHERE event_type = 'click'),
+a AS (SELECT u.used_at, i.token_id, i.user_id, i.issued_at, i.expire_at
+      FROM u ASOF JOIN iss i ON u.user_id = i.user_id AND u.used_at >= i.issued_at)
+SELECT token_id, 'email.queue' AS queue,
+       '{"to":"u' || CAST(any_value(user_id) AS VARCHAR) || '@mail.test","name":"reset-password","token":""}' AS body,
+       min(used_at) AS published_at
+FROM a WHERE used_at > issued_at AND used_at < expire_at GROUP BY token_id
+""")
+def reset_notices(spark, sf):
+    """One notice per successful reset; reset tokens live 15 minutes."""
+    ev = read_table(spark, sf, "events")
+    life = lifecycle.token_lifecycle(
+        ev.filter(F.col("event_type") == "view"), ev.filter(F.col("event_type") == "click"),
+        key="user_id", issue_ts="ts", issue_id="event_id", use_ts="ts", use_id="event_id", ttl_hours=0.25)
+    return lifecycle.reset_notices(life, to=F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@mail.test")))
+
+
+@register("share_update", f"""
+WITH r AS (SELECT DISTINCT user_id AS o, 'g' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 5 AS VARCHAR) AS i
+           FROM events WHERE event_type = 'purchase')
+SELECT token, owner_id, gif_key, CASE WHEN r.o IS NOT NULL THEN 'download' ELSE access END AS access, r.o IS NOT NULL AS patched
+FROM ({SHARES_SQL}) sh LEFT JOIN r ON r.o = sh.owner_id AND r.i = sh.gif_key
+""")
+def share_update(spark, sf):
+    """Owners widen the access of their own items' shares (scoped by owner and item)."""
+    ev = read_table(spark, sf, "events")
+    out = mutate.patch(_shares(ev), _owned(ev, "purchase").withColumn("access", F.lit("download")), key=["owner_id", "gif_key"],
+                       cols=["access"], patch_key=["o", "i"], stamp=F.lit(None).cast("timestamp_ntz"))
+    return out.select("token", "owner_id", "gif_key", "access", "patched")
+
+
+@register("share_delete", f"""
+WITH r AS (SELECT DISTINCT user_id AS o, 'g' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 5 AS VARCHAR) AS i
+           FROM events WHERE event_type = 'error')
+SELECT token, owner_id, gif_key FROM ({SHARES_SQL}) sh WHERE (owner_id, gif_key) NOT IN (SELECT (o, i) FROM r)
+""")
+def share_delete(spark, sf):
+    """Owners delete the shares of their own items; nobody else's go."""
+    ev = read_table(spark, sf, "events")
+    return mutate.delete_by_key(_shares(ev), _owned(ev, "error"), key=["owner_id", "gif_key"], keys_key=["o", "i"]) \
+        .select("token", "owner_id", "gif_key")
+
+
+def _owned(ev, kind):
+    item = F.concat(F.lit("g"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 5).cast("string"))
+    return ev.filter(F.col("event_type") == kind).select(F.col("user_id").alias("o"), item.alias("i")).distinct()

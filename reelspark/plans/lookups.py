@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.timecols import ntz, plus
-from ..operators import lookup, quality, usage
+from ..operators import lookup, mutate, quality, usage
 from ..sources.tables import read_table
 from .registry import register
 
@@ -118,7 +118,7 @@ WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND
 def delete_by_key(spark, sf):
     o, li = read_table(spark, sf, "orders"), read_table(spark, sf, "lineitem")
     gone = li.filter(F.col("l_returnflag") == "R")
-    return quality.orphan_report(o.select("o_orderkey", "o_custkey"), gone, "o_orderkey", "l_orderkey")
+    return mutate.delete_by_key(o.select("o_orderkey", "o_custkey"), gone, key="o_orderkey", keys_key="l_orderkey")
 
 
 @register("profile_view", """
@@ -185,13 +185,13 @@ def mail_eligibility(spark, sf):
 @register("object_readiness", """
 SELECT p.page_id, p.page_id * 5 AS object_key, d.n_chars AS size,
        CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN d.n_chars <= 0 THEN 'empty' ELSE 'ready' END AS state
-FROM pages p LEFT JOIN (SELECT doc_id, n_chars FROM documents WHERE lang <> 'de') d
+FROM pages p LEFT JOIN documents d
   ON p.page_id * 5 = d.doc_id
 """)
 def object_readiness(spark, sf):
     p, d = read_table(spark, sf, "pages"), read_table(spark, sf, "documents")
     keys = p.select("page_id", (F.col("page_id") * 5).alias("object_key"))
-    inv = d.filter(F.col("lang") != "de").select("doc_id", "n_chars")
+    inv = d.select("doc_id", "n_chars")
     return lookup.object_readiness(keys, inv, "object_key", "doc_id", "n_chars")
 
 
@@ -247,11 +247,16 @@ def download_counts(spark, sf):
 
 
 @register("request_rollup", """
+WITH e AS (SELECT nullif(event_type, 'error') AS event_type, CASE WHEN event_type <> 'signup' THEN value END AS value FROM events)
 SELECT event_type, count(*) AS n,
        round(quantile_cont(value, 0.5), 4) AS p50,
        round(quantile_cont(value, 0.95), 4) AS p95,
        max(value) AS max_value
-FROM events GROUP BY event_type
+FROM e GROUP BY event_type
 """)
 def request_rollup(spark, sf):
-    return usage.request_rollup(read_table(spark, sf, "events"), group_col="event_type", value_col="value")
+    """With a null group (errors) and a group whose values are all null (sign-ups)."""
+    ev = read_table(spark, sf, "events").select(
+        F.nullif("event_type", F.lit("error")).alias("event_type"),
+        F.when(F.col("event_type") != "signup", F.col("value")).alias("value"))
+    return usage.request_rollup(ev, group_col="event_type", value_col="value")

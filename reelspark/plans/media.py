@@ -62,7 +62,7 @@ def frame_grid(spark, sf):
 
 @register("series_resample", """
 WITH g AS (
-  SELECT user_id, unnest(generate_series(TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-09 00:00:00',
+  SELECT user_id, unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events), (SELECT max(ts) FROM events),
                                          INTERVAL 6 HOUR)) AS t
   FROM (SELECT DISTINCT user_id FROM events) u)
 SELECT g.user_id, g.t, e.value, e.event_id AS sample_id, e.ts AS sample_ts
@@ -71,9 +71,9 @@ FROM g ASOF LEFT JOIN events e ON g.user_id = e.user_id AND g.t >= e.ts
 def series_resample(spark, sf):
     ev = read_table(spark, sf, "events")
     keys = ev.select("user_id").distinct()
+    first, last = ev.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").cast("string"), F.max("ts").cast("string")).first()
     return media.series_resample(ev, keys, key="user_id", ts="ts", id_col="event_id", value="value",
-                                 grid_start=ntz("2024-01-05 00:00:00"), grid_end=ntz("2024-01-09 00:00:00"),
-                                 step="6 HOURS")
+                                 grid_start=ntz(first), grid_end=ntz(last), step="6 HOURS")
 
 
 @register("codebook_assign", """
@@ -91,10 +91,14 @@ def codebook_assign(spark, sf):
     return media.codebook_assign(emb, book, vec="embedding").select("vec_id", "label", "code")
 
 
-@register("object_inventory")
+@register("object_inventory", """
+SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes FROM documents GROUP BY lang
+""")
 def object_inventory(spark, sf):
-    """Objects written from the documents table, listed through the binaryFile source."""
+    """Bytes of the objects of each language: written from the documents table (into a folder that goes with the
+    application), listed through the binaryFile source."""
     docs = read_table(spark, sf, "documents")
     root = shared_path(spark, "objects")
     objects.write_objects(docs, root, key="doc_id", body="text", partition="lang")
-    return objects.inventory(spark, root)
+    return (objects.inventory(spark, root).groupBy(F.regexp_extract("key", "lang=([^/]*)/", 1).alias("lang"))
+            .agg(F.sum("size").cast("bigint").alias("total_bytes")))

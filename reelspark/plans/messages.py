@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import messages as M
 from ..operators import quality as Q
 from ..sources import messages as SM
-from ..sources.tables import read_table
+from ..sources.tables import USERS, read_table
 from .registry import register
 
 # events.event_type -> mail message name ('error' plays an unknown name)
@@ -135,7 +135,7 @@ _LANG_TYPE = {"en": "video/mp4", "fr": "video/webm", "es": "video/quicktime", "d
 
 @register("metadata_enrich", f"""
 WITH c AS (
-  SELECT event_id, event_id % 1200 AS object_key,
+  SELECT event_id, event_id AS object_key,
          CASE WHEN event_id % 97 = 0 THEN '' ELSE {_UUID_SQL} END AS user_uuid
   FROM events),
 inv AS (
@@ -146,7 +146,7 @@ inv AS (
 j AS (
   SELECT c.*, inv.doc_id, inv.n_chars, inv.ctype,
          CASE WHEN NOT regexp_full_match(c.user_uuid, '{S.UUID_PATTERN}') THEN 'reject'
-              WHEN inv.doc_id IS NULL OR inv.n_chars <= 0 THEN 'retry' ELSE 'saved' END AS outcome
+              WHEN inv.doc_id IS NULL THEN 'retry' ELSE 'saved' END AS outcome
   FROM c LEFT JOIN inv ON c.object_key = inv.doc_id)
 SELECT event_id, object_key, user_uuid, outcome,
        CASE WHEN outcome = 'saved' THEN n_chars END AS size_bytes,
@@ -155,7 +155,7 @@ FROM j
 """)
 def metadata_enrich(spark, sf):
     ev, d = read_table(spark, sf, "events"), read_table(spark, sf, "documents")
-    conf = ev.select("event_id", (F.col("event_id") % 1200).alias("object_key"),
+    conf = ev.select("event_id", F.col("event_id").alias("object_key"),
                      F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(S.uuid_text(F.col("user_id")))
                      .alias("user_uuid"))
     ctype = F.lit(None).cast("string")
@@ -167,6 +167,34 @@ def metadata_enrich(spark, sf):
     return out.select("event_id", "object_key", "user_uuid", "outcome", "size_bytes", "content_type")
 
 
+@register("metadata_enrich_interval", f"""
+WITH c AS (
+  SELECT event_id, ts, event_id + 40 - 80 * (event_id % 2) AS object_key,
+         CASE WHEN event_id % 97 = 0 THEN '' ELSE {_UUID_SQL} END AS user_uuid
+  FROM events WHERE event_type = 'click'),
+o AS (SELECT event_id AS k, ts AS at, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id * 7 END AS size_bytes, event_type AS ctype FROM events),
+j AS (
+  SELECT c.event_id, c.object_key, o.size_bytes, o.ctype,
+         CASE WHEN NOT regexp_full_match(c.user_uuid, '{S.UUID_PATTERN}') THEN 'reject'
+              WHEN o.k IS NULL THEN 'dead' ELSE 'saved' END AS outcome
+  FROM c LEFT JOIN o ON c.object_key = o.k AND o.at <= c.ts + INTERVAL 1 HOUR)
+SELECT event_id, object_key, outcome, CASE WHEN outcome = 'saved' THEN size_bytes END AS size_bytes,
+       CASE WHEN outcome = 'saved' THEN ctype END AS content_type
+FROM j
+""")
+def metadata_enrich_interval(spark, sf):
+    """Objects before, within and after the wait of their confirmation."""
+    ev = read_table(spark, sf, "events")
+    conf = ev.filter(F.col("event_type") == "click").select(
+        "event_id", "ts", (F.col("event_id") + 40 - 80 * (F.col("event_id") % 2)).alias("object_key"),
+        F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(S.uuid_text(F.col("user_id"))).alias("user_uuid"))
+    objects = ev.select(F.col("event_id").alias("k"), F.col("ts").alias("at"), F.col("event_type").alias("ctype"),
+                        F.when(F.col("event_id") % 5 == 0, F.lit(0)).otherwise(F.col("event_id") * 7).cast("bigint").alias("size"))
+    out = M.metadata_enrich_interval(conf, objects, key="object_key", confirm_ts="ts", user_id="user_uuid", obj_key="k",
+                                     obj_ts="at", size_col="size", type_col="ctype", wait="1 hour")
+    return out.select("event_id", "object_key", "outcome", "size_bytes", "content_type")
+
+
 _TYPE_OF = {"click": "video/mp4", "purchase": "video/quicktime", "signup": "video/x-matroska",
             "view": "video/webm", "error": "application/pdf"}
 
@@ -326,3 +354,74 @@ def conversion_validation(spark, sf):
                                F.col("l_partkey") % 2500, max_fps=5, max_width=1920)
     v = Q.validate(li.select("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_partkey"), rules)
     return v.select("l_orderkey", "l_linenumber", F.array_join("violations", ",").alias("violations"), "valid")
+
+
+# sign-up records built from customers: every rule is broken by some of them
+_SIGNUP_SQL = """
+  SELECT c_custkey,
+         CASE c_custkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'abc' WHEN 3 THEN repeat('x', 21) WHEN 4 THEN 'no_good'
+              ELSE 'user' || CAST(c_custkey AS VARCHAR) END AS username,
+         CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Bo' WHEN 2 THEN repeat('n', 101) ELSE c_name END AS fullname,
+         CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'nobody' WHEN 2 THEN repeat('m', 45) || '@a.test'
+              ELSE 'u' || CAST(c_custkey AS VARCHAR) || '@mail.test' END AS email,
+         CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'a!' WHEN 2 THEN repeat('p!', 36) WHEN 3 THEN 'plainword' ELSE 'Secret!1' END AS password,
+         CASE c_custkey % 4 WHEN 0 THEN 'other' ELSE 'Secret!1' END AS confirm_password
+  FROM customer"""
+
+
+def _signups(c):
+    k = F.col("c_custkey")
+
+    def pick(mod, cases, other):
+        out = None
+        for i, v in enumerate(cases):
+            out = F.when(k % mod == i, v) if out is None else out.when(k % mod == i, v)
+        return out.otherwise(other)
+    none = F.lit(None).cast("string")
+    rep = lambda t, n: F.lit(t * n)
+    return c.select(
+        "c_custkey",
+        pick(9, [none, F.lit(""), F.lit("abc"), rep("x", 21), F.lit("no_good")], F.concat(F.lit("user"), k.cast("string"))).alias("username"),
+        pick(7, [none, F.lit("Bo"), rep("n", 101)], F.col("c_name")).alias("fullname"),
+        pick(5, [F.lit(""), F.lit("nobody"), F.lit("m" * 45 + "@a.test")], F.concat(F.lit("u"), k.cast("string"), F.lit("@mail.test"))).alias("email"),
+        pick(11, [none, F.lit("a!"), rep("p!", 36), F.lit("plainword")], F.lit("Secret!1")).alias("password"),
+        pick(4, [F.lit("other")], F.lit("Secret!1")).alias("confirm_password"))
+
+
+@register("signup_validation", f"""
+SELECT c_custkey, v AS violations, v = '' AS valid FROM (
+  SELECT c_custkey, concat_ws(',',
+    CASE WHEN username IS NULL OR username = '' THEN 'username:required' WHEN length(username) < 4 THEN 'username:min'
+         WHEN length(username) > 20 THEN 'username:max' WHEN NOT regexp_full_match(username, '[a-zA-Z0-9]+') THEN 'username:alphanum' END,
+    CASE WHEN fullname IS NULL OR fullname = '' THEN 'fullname:required' WHEN length(fullname) < 4 THEN 'fullname:min'
+         WHEN length(fullname) > 100 THEN 'fullname:max' END,
+    CASE WHEN email IS NULL OR email = '' THEN 'email:required'
+         WHEN NOT regexp_full_match(email, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN 'email:email' WHEN length(email) > 50 THEN 'email:max' END,
+    CASE WHEN password IS NULL OR password = '' THEN 'password:required' WHEN length(password) < 5 THEN 'password:min'
+         WHEN length(password) > 70 THEN 'password:max' WHEN NOT regexp_matches(password, '[!@#$%^&*]') THEN 'password:containsany' END,
+    CASE WHEN coalesce(confirm_password = password, false) THEN NULL ELSE 'confirm_password:eqfield' END) AS v
+  FROM ({_SIGNUP_SQL}) s) t
+""")
+def signup_validation(spark, sf):
+    v = Q.validate(_signups(read_table(spark, sf, "customer")), Q.record_rules("signup"))
+    return v.select("c_custkey", F.array_join("violations", ",").alias("violations"), "valid")
+
+
+@register("ddl_validation", f"""
+SELECT c_custkey, v AS violations, v = '' AS valid FROM (
+  SELECT c_custkey, concat_ws(',',
+    CASE WHEN username IS NULL THEN 'username:notnull' WHEN length(username) > 21 THEN 'username:max' END,
+    CASE WHEN length(fullname) > 100 THEN 'fullname:max' END,
+    CASE WHEN email IS NULL THEN 'email:notnull' WHEN length(email) > 50 THEN 'email:max' END,
+    CASE WHEN length(password) > 70 THEN 'password_hash:max' END,
+    CASE WHEN length(role) > 6 THEN 'role:max' END) AS v
+  FROM (SELECT *, CASE WHEN c_custkey % 6 = 0 THEN 'operator' ELSE 'user' END AS role FROM ({_SIGNUP_SQL}) s0) s) t
+""")
+def ddl_validation(spark, sf):
+    """User rows against the table's own limits (NOT NULL, lengths)."""
+    u = _signups(read_table(spark, sf, "customer")).select(
+        "c_custkey", F.col("c_custkey").cast("string").alias("id"), "username", "fullname", "email",
+        F.col("password").alias("password_hash"), F.when(F.col("c_custkey") % 6 == 0, "operator").otherwise("user").alias("role"),
+        F.lit(True).alias("is_verified"), *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at", "deleted_at")])
+    v = Q.validate(u, Q.table_rules("users", USERS))
+    return v.select("c_custkey", F.array_join("violations", ",").alias("violations"), "valid")

@@ -44,7 +44,7 @@ WITH base AS (
 chg_all AS (
   {UPLOADS_SQL}, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn_new,
          row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn_old
-  FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-25 00:00:00'),
+  FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10 00:00:00'),
 chg AS (
   SELECT n.user_id, n.file_key, n.size_bytes, n.uploaded_at, o.id, o.duration
   FROM chg_all n JOIN chg_all o ON n.user_id = o.user_id AND o.rn_old = 1
@@ -62,7 +62,7 @@ def upsert_last_upload(spark, sf):
     ev = read_table(spark, sf, "events").filter(F.col("event_type") == "purchase")
     base = mutate.newest_per_key(ev.filter(F.col("ts") < ntz("2024-01-10 00:00:00")), ["user_id"],
                                  [F.col("ts").desc(), F.col("event_id").desc()])
-    changes = ev.filter(F.col("ts") >= ntz("2024-01-25 00:00:00"))
+    changes = ev.filter(F.col("ts") >= ntz("2024-01-10 00:00:00"))
     return mutate.upsert(_uploads(base), _uploads(changes), key="user_id", arrival=F.col("id"),
                          update_cols=["file_key", "size_bytes", "uploaded_at"], keep_cols=["id", "duration"])
 
@@ -136,6 +136,30 @@ def cascade_delete(spark, sf):
     return out
 
 
+@register("cascade_tree", """
+WITH cu AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM cu)),
+e AS (SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM cu)),
+l AS (SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem
+      WHERE l_orderkey IN (SELECT o_orderkey FROM o) OR l_suppkey IN (SELECT event_id FROM e))
+SELECT 'orders' AS tbl, o_orderkey AS key1, CAST(NULL AS BIGINT) AS key2 FROM o
+UNION ALL SELECT 'events', event_id, NULL FROM e
+UNION ALL SELECT 'lineitem', l_orderkey, CAST(l_linenumber AS BIGINT) FROM l
+""")
+def cascade_tree(spark, sf):
+    """Customers hold orders and events; a line item hangs on its order and on an event (two parents)."""
+    c, o, li, ev = (read_table(spark, sf, t) for t in ("customer", "orders", "lineitem", "events"))
+    res = mutate.cascade_tree(
+        "customer", c.filter(F.col("c_acctbal") < 0), {"orders": o, "events": ev, "lineitem": li},
+        [("orders", "o_custkey", "customer", "c_custkey"), ("events", "user_id", "customer", "c_custkey"),
+         ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_suppkey", "events", "event_id")])
+    none = F.lit(None).cast("bigint").alias("key2")
+    return (res["orders"][0].select(F.lit("orders").alias("tbl"), F.col("o_orderkey").alias("key1"), none)
+            .unionByName(res["events"][0].select(F.lit("events").alias("tbl"), F.col("event_id").alias("key1"), none))
+            .unionByName(res["lineitem"][0].select(F.lit("lineitem").alias("tbl"), F.col("l_orderkey").alias("key1"),
+                                                   F.col("l_linenumber").cast("bigint").alias("key2"))))
+
+
 @register("schema_evolve", """
 SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS name FROM events
 """)
@@ -167,3 +191,43 @@ def signup_admission(spark, sf):
     known = c.filter(F.col("c_custkey") % 10 == 0).select(email(F.col("c_custkey")).alias("email"))
     out = mutate.signup_admission(a, known, email="email", ts="ts", id_col="event_id")
     return out.select("event_id", "email", "outcome")
+
+
+@register("signup_outputs", """
+WITH a AS (SELECT event_id, ts, 'u' || CAST(user_id AS VARCHAR) AS username, 'u' || CAST(user_id AS VARCHAR) || '@mail.test' AS email
+           FROM events WHERE event_type = 'signup'),
+k AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) || '@mail.test' AS email FROM customer WHERE c_custkey % 10 = 0),
+ok AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, event_id) AS rn FROM a) x
+       WHERE rn = 1 AND email NOT IN (SELECT email FROM k))
+SELECT 'users' AS tbl, CAST(event_id AS VARCHAR) AS id, username || '|' || 'N ' || username || '|' || email || '|user|false' AS row, ts AS at FROM ok
+UNION ALL SELECT 'verifier', CAST(event_id AS VARCHAR), sha256(CAST(event_id AS VARCHAR)), ts + INTERVAL 30 MINUTE FROM ok
+UNION ALL SELECT 'profiles', CAST(event_id AS VARCHAR), '', ts FROM ok
+UNION ALL SELECT 'quota', CAST(event_id AS VARCHAR), '0|1073741824|0|100', NULL FROM ok
+UNION ALL SELECT 'messages', 'email.queue', '{"to":"' || email || '","name":"signup","token":"' || CAST(event_id AS VARCHAR) || '"}', NULL FROM ok
+""")
+def signup_outputs(spark, sf):
+    """The derived rows of every created sign-up, one line of text a row."""
+    ev, c = read_table(spark, sf, "events"), read_table(spark, sf, "customer")
+    name = lambda k: F.concat(F.lit("u"), k.cast("string"))
+    mail = lambda k: F.concat(name(k), F.lit("@mail.test"))
+    a = ev.filter(F.col("event_type") == "signup").select(
+        "event_id", "ts", name(F.col("user_id")).alias("username"), F.concat(F.lit("N "), name(F.col("user_id"))).alias("fullname"),
+        mail(F.col("user_id")).alias("email"))
+    known = c.filter(F.col("c_custkey") % 10 == 0).select(mail(F.col("c_custkey")).alias("email"))
+    admitted = mutate.signup_admission(a, known, email="email", ts="ts", id_col="event_id")
+    out = mutate.signup_outputs(admitted, user_id=F.col("event_id").cast("string"), email="email", ts="ts",
+                                username="username", fullname="fullname")
+    no_time = F.lit(None).cast("timestamp_ntz").alias("at")
+
+    def text(name, id_col, cols, at):
+        return out[name].select(F.lit(name).alias("tbl"), F.col(id_col).alias("id"),
+                                F.concat_ws("|", *[F.col(x).cast("string") for x in cols]).alias("row"), at)
+    parts = [text("users", "id", ["username", "fullname", "email", "role", "is_verified"], F.col("created_at").alias("at")),
+             text("verifier", "user_id", ["token_hash"], F.col("expire_at").alias("at")),
+             text("profiles", "user_id", ["profile_pic"], F.col("created_at").alias("at")),
+             text("quota", "user_id", ["used_bytes", "total_bytes", "gif_count", "gif_limit"], no_time),
+             text("messages", "queue", ["body"], no_time)]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res

@@ -157,21 +157,21 @@ def route_file_sink(routed: DataFrame, out_dir: str, checkpoint: str):
 # T9 ----------------------------------------------------------------------
 def metadata_enrich_stream(confirms: DataFrame, objects: DataFrame, *, key: str, confirm_ts: str, user_id: str,
                            obj_key: str, obj_ts: str, size_col: str, type_col: str, wait: str = "1 hour",
-                           delay: str = "0 seconds") -> DataFrame:
-    """Stream-stream left outer join: confirmations wait up to ``wait`` for their object.
-
-    Both sides carry event-time watermarks (``delay`` of lateness), so join
-    state is bounded: an object older than every open confirmation window is
-    dropped, and a confirmation whose window has closed is emitted without an
-    object (``dead``).  One object per key; times are wall-clock (NTZ) and are
-    carried as instants for the watermark.
+                           retention: str = "7 days", delay: str = "10 minutes") -> DataFrame:
+    """Stream-stream left outer join: a confirmation finds an object that is there already, or
+    that shows up within ``wait``.
+
+    Both sides carry event-time watermarks (``delay`` of lateness), so join state is bounded: an
+    object is remembered for ``retention`` of event time (a confirmation later than that does not
+    find it), and a confirmation whose window has closed is emitted without an object (``dead``).
+    One object per key; times are wall-clock (NTZ) and are carried as instants for the watermark.
     """
     c = (confirms.withColumn("__cts", F.col(confirm_ts).cast("timestamp"))
                  .withWatermark("__cts", delay))
     o = (objects.select(F.col(obj_key).alias("__ok"), F.col(obj_ts).cast("timestamp").alias("__ots"),
                         F.col(size_col).alias("size_bytes"), F.col(type_col).alias("content_type"))
                 .withWatermark("__ots", delay))
-    cond = ((c[key] == o["__ok"]) & (o["__ots"] >= c["__cts"])
+    cond = ((c[key] == o["__ok"]) & (o["__ots"] >= c["__cts"] - F.expr(f"INTERVAL {retention}"))
             & (o["__ots"] <= c["__cts"] + F.expr(f"INTERVAL {wait}")))
     j = c.join(o, cond, "leftOuter")
     outcome = (F.when(~S.is_uuid(F.col(user_id)), "reject")

@@ -4,6 +4,7 @@ import os
 import re
 
 import __spark_entry__ as E
+from reelspark.plans import QUERIES
 
 from .conftest import ROOT, SF001
 
@@ -32,7 +33,7 @@ def test_all_survey_queries_registered():
 
 
 def test_queries_read_the_supplied_tables(spark):
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         files = fn(spark, SF001).inputFiles()
         # object_inventory lists files it first writes from the documents table
         assert files and (all("/sf0.001/" in f for f in files) or name == "object_inventory"), name

@@ -33,7 +33,7 @@ def test_series_resample_as_of(spark):
 def test_codebook_assign_nearest(spark):
     emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
     book = media.codebook_means(emb, vec="embedding", group="label")
-    codes = {c.code: c.center for c in book.first().codes}
+    codes = {c.code: c.center for c in book.collect()}
     got = media.codebook_assign(emb, book, vec="embedding").collect()
     for r in got[:50]:
         d = {c: sum((a - b) ** 2 for a, b in zip(r.embedding, ctr)) for c, ctr in codes.items()}
@@ -44,10 +44,24 @@ def test_codebook_assign_nearest(spark):
 def test_codebook_kmeans_plugs_into_assign(spark):
     emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
     book = media.codebook_kmeans(emb, vec="embedding", k=8)
-    codes = {c.code: c.center for c in book.first().codes}
+    codes = {c.code: c.center for c in book.collect()}
     assert len(codes) == 8
     out = media.codebook_assign(emb, book, vec="embedding")
     assert out.count() == emb.count()
     r = out.first()
     d = {c: sum((a - b) ** 2 for a, b in zip(r.embedding, ctr)) for c, ctr in codes.items()}
     assert d[r.code] == min(d.values())
+
+
+def test_codebook_blocks_agree(spark):
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    book = media.codebook_means(emb, vec="embedding", group="vec_id")       # far more codes than one block takes
+    one = {r.vec_id: r.code for r in media.codebook_assign(emb, book, vec="embedding").collect()}
+    many = {r.vec_id: r.code for r in media.codebook_assign(emb, book, vec="embedding", block_values=64 * 9).collect()}
+    assert one == many and all(k == c for k, c in one.items())
+
+
+def test_frame_grid_blocks(spark):
+    req = spark.createDataFrame([(1, 2501.0)], "id long, dur double")
+    out = media.frame_grid(req, start=F.lit(0.0), duration=F.col("dur"), fps=F.lit(1))
+    assert sorted(r.frame for r in out.collect()) == list(range(2501))

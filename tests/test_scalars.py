@@ -105,8 +105,8 @@ def test_metadata_enrich_edges(spark):
     inv = spark.createDataFrame([("k1", 100, "video/mp4"), ("k3", 0, "video/mp4")], "k string, size long, ct string")
     out = M.metadata_enrich(conf, inv, key="key", user_id="user", inv_key="k", size_col="size", type_col="ct")
     got = {r.id: (r.outcome, r.size_bytes) for r in out.collect()}
-    # saved; object missing -> retry; empty object -> retry; bad user id -> reject (checked first)
-    assert got == {1: ("saved", 100), 2: ("retry", None), 3: ("retry", None), 4: ("reject", None)}
+    # saved; object missing -> retry; empty object -> saved with size 0; bad user id -> reject (checked first)
+    assert got == {1: ("saved", 100), 2: ("retry", None), 3: ("saved", 0), 4: ("reject", None)}
 
 
 def test_length_rules_count_characters_not_bytes(spark):

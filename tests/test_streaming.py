@@ -185,7 +185,7 @@ def test_metadata_enrich_stream_stream_join(spark, stream_dir, scratch):
 
     def confirms(df):
         return (df.filter(F.col("event_type") == "click")
-                  .select("event_id", "ts", (F.col("event_id") + 3).alias("object_key"),
+                  .select("event_id", "ts", (F.col("event_id") + 3 - 6 * (F.col("event_id") % 2)).alias("object_key"),
                           F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(S.uuid_text(F.col("user_id")))
                           .alias("user_uuid")))
 
@@ -196,7 +196,7 @@ def test_metadata_enrich_stream_stream_join(spark, stream_dir, scratch):
     kw = dict(key="object_key", confirm_ts="ts", user_id="user_uuid", obj_key="event_id", obj_ts="ts",
               size_col="size", type_col="ctype", wait="1 hour")
     s = flows.metadata_enrich_stream(confirms(events_stream(spark, stream_dir)), objects(events_stream(spark, stream_dir)),
-                                     **kw)
+                                     **kw, retention="60 days", delay="0 seconds")
     got = {(r.event_id, r.outcome, r.size_bytes) for r in run_stream(spark, s, scratch).collect()}
     ev = tables.read_table(spark, SF001, "events")
     b = messages.metadata_enrich_interval(confirms(ev), objects(ev), **kw)
