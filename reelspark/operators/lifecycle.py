@@ -14,15 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.timecols import epoch_ms, plus
-from .ordered import DEFAULT_BUCKET_MS, as_is, as_long, bucket_of, fold_schema, keyed_running_max, segmented_fold
+from .ordered import DEFAULT_BUCKET_MS, as_is, as_long, fold_schema, keyed_running_max, segmented_fold, time_buckets
 
 
 def _union_stream(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right, allowMissingColumns=True)
 
 
+def _dec(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
 # J3 / J4 / M7 / M8 -------------------------------------------------------
 def token_lifecycle(issues: DataFrame, uses: DataFrame, *, key: str, issue_ts: str, issue_id: str,
                     use_ts: str, use_id: str, ttl_hours: float,
@@ -39,27 +44,41 @@ def token_lifecycle(issues: DataFrame, uses: DataFrame, *, key: str, issue_ts: s
                       F.col(issue_id).alias("id"))
     u = uses.select(F.col(key).alias("k"), F.col(use_ts).alias("t"), F.lit(1).alias("kind"),
                     F.col(use_id).alias("id"))
-    s = _union_stream(i, u).withColumn("__b", bucket_of(epoch_ms(F.col("t")), bucket_ms))
+    s = time_buckets(_union_stream(i, u), ["k"], epoch_ms(F.col("t")), bucket_ms, "__b")
     s = keyed_running_max(s, ["k"], "__b", ["t", "kind", "id"],
                           F.when(F.col("kind") == 0, F.struct(F.col("t").alias("t"), F.col("id").alias("id"))),
                           "owner", also_exclusive="prev_issue")
-    assigned = s.filter((F.col("kind") == 1) & F.col("owner").isNotNull())
-    expiry = plus(F.col("owner.t"), hours=ttl_hours)
-    first_use = (assigned.filter((F.col("t") > F.col("owner.t")) & (F.col("t") < expiry))
-                 .groupBy(F.col("k"), F.col("owner.id").alias("token_id"))
-                 .agg(F.min(F.struct(F.col("t").alias("t"), F.col("id").alias("id"))).alias("fu")))
-    iss = i.select("k", F.col("t").alias("issued_at"), F.col("id").alias("token_id"))
-    # an issue's predecessor comes from the same pass (max over the rows strictly before it);
-    # token i is replaced by the issue whose predecessor is i
-    nxt = (s.filter((F.col("kind") == 0) & F.col("prev_issue").isNotNull())
-             .select("k", F.col("prev_issue.id").alias("token_id"), F.col("t").alias("next_at")))
-    out = (iss.join(first_use, ["k", "token_id"], "left").join(nxt, ["k", "token_id"], "left")
-              .withColumn("expire_at", plus(F.col("issued_at"), hours=ttl_hours)))
+    # every row tells the token it concerns: an issue itself and its predecessor (which it replaces), a
+    # use its owner; one aggregate by (key, token) then has all there is to know, without a join back
+    valid = F.col("owner").isNotNull() & (F.col("t") > F.col("owner.t")) & (F.col("t") < plus(F.col("owner.t"), hours=ttl_hours))
+    no_t, no_id = F.lit(None).cast(s.schema["t"].dataType), F.lit(None).cast(s.schema["id"].dataType)
+
+    def note(token, issued, following, used, use):
+        return F.struct(token.alias("token_id"), issued.alias("issued_at"), following.alias("next_at"), used.alias("ut"), use.alias("uid"))
+    own = note(F.col("id"), F.col("t"), no_t, no_t, no_id)
+    before = note(F.col("prev_issue.id"), no_t, F.col("t"), no_t, no_id)
+    use = note(F.col("owner.id"), no_t, no_t, F.col("t"), F.col("id"))
+    notes = (F.when((F.col("kind") == 0) & F.col("prev_issue").isNotNull(), F.array(own, before))
+             .when(F.col("kind") == 0, F.array(own)).when(valid, F.array(use)))
+    told = s.select("k", F.inline(notes))
+    if isinstance(s.schema["id"].dataType, T.IntegralType):
+        # time and id in one number: a fixed-width minimum, which aggregates by hash
+        us = F.unix_micros(F.col("ut").cast("timestamp")).cast("decimal(18,0)")
+        fu = F.min((us * _dec(1 << 64) + F.col("uid").cast("decimal(19,0)") + _dec(1 << 63)).cast("decimal(38,0)")).alias("fu")
+    else:
+        fu = F.min(F.when(F.col("ut").isNotNull(), F.struct("ut", "uid"))).alias("fu")
+    out = (told.groupBy("k", "token_id").agg(F.max("issued_at").alias("issued_at"), F.min("next_at").alias("next_at"), fu)
+               .withColumn("expire_at", plus(F.col("issued_at"), hours=ttl_hours)))
     status = (F.when(F.col("fu").isNotNull(), "consumed")
               .when(F.col("next_at") < F.col("expire_at"), "replaced")
               .otherwise("expired"))
+    if isinstance(s.schema["id"].dataType, T.IntegralType):
+        use_id = (F.pmod("fu", _dec(1 << 64)) - _dec(1 << 63)).cast(s.schema["id"].dataType)
+        used_at = F.timestamp_micros(F.expr(f"fu div cast('{1 << 64}' as decimal(20,0))")).cast(s.schema["t"].dataType)
+    else:
+        use_id, used_at = F.col("fu.uid"), F.col("fu.ut")
     return out.select(F.col("k").alias(key), "token_id", "issued_at", "expire_at", status.alias("status"),
-                      F.col("fu.id").alias("use_id"), F.col("fu.t").alias("used_at"))
+                      use_id.alias("use_id"), used_at.alias("used_at"))
 
 
 def reset_notices(lifecycle_rows: DataFrame, *, to: Column, queue: str = "email.queue") -> DataFrame:
@@ -84,7 +103,7 @@ def blocklist_check(requests: DataFrame, blocks: DataFrame, *, key: str, req_ts:
                         F.col(req_id).alias("__id"))
     b = blocks.select(F.col(key).alias("__k"), F.col(block_ts).alias("__t"), F.lit(0).alias("__kind"),
                       F.lit(None).cast("long").alias("__id"), block_expire.alias("__exp"))
-    s = _union_stream(r, b).withColumn("__b", bucket_of(epoch_ms(F.col("__t")), bucket_ms))
+    s = time_buckets(_union_stream(r, b), ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b")
     s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"],
                           F.when(F.col("__kind") == 0, F.col("__exp")), "__maxexp")
     s = s.filter(F.col("__kind") == 1)
@@ -112,7 +131,7 @@ def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts:
     res = F.col(result_col) if result_col else F.lit(None).cast("string")
     st = statuses.select(F.col(key).alias("__k"), F.col(status_ts).alias("__t"), F.lit(0).alias("__kind"),
                          F.col(status_id).alias("__id"), F.col(status_col).alias("__st"), res.alias("__res"))
-    s = _union_stream(p, st).withColumn("__b", bucket_of(epoch_ms(F.col("__t")), bucket_ms))
+    s = time_buckets(_union_stream(p, st), ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b")
     val = F.when(F.col("__kind") == 0, F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"),
                                                F.col("__st").alias("status"), F.col("__res").alias("result")))
     s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"], val, "__last")

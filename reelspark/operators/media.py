@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.timecols import epoch_ms
 from ..session import reliable_checkpoint
-from .ordered import DEFAULT_BUCKET_MS, bucket_of, keyed_running_max
+from .ordered import DEFAULT_BUCKET_MS, time_buckets, keyed_running_max
 
 
 # C1 / F6 - F8 ------------------------------------------------------------
@@ -64,7 +64,7 @@ def series_resample(series: DataFrame, keys: DataFrame, *, key: str, ts: str, id
                  .select(F.col(key).alias("__k"), F.col(ts).alias("__t"), F.lit(0).alias("__kind"),
                          F.col(id_col).alias("__id"), F.col(value).alias("__v")))
     s = grid.unionByName(pts, allowMissingColumns=True)
-    s = s.withColumn("__b", bucket_of(epoch_ms(F.col("__t")), bucket_ms))
+    s = time_buckets(s, ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b")
     s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"],
                           F.when(F.col("__kind") == 0, F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"),
                                                                 F.col("__v").alias("v"))), "__last")

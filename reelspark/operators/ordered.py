@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reliable_checkpoint
+
 DEFAULT_BUCKET_MS = 3_600_000  # one hour of event time per window task
 
 
@@ -126,6 +128,36 @@ def bucket_of(t: Column, bucket_ms: int) -> Column:
     return F.coalesce(time_bucket(t, bucket_ms), F.lit(-1).cast("bigint"))
 
 
+#: Rows of one key in one time bucket above which the bucket is split, and the split buckets up to
+#: which their list is broadcast (beyond it the join shuffles).
+DENSE_ROWS = 1_000_000
+BROADCAST_ROWS = 10_000
+SPLIT = 1 << 22
+
+
+def time_buckets(df: DataFrame, keys: Sequence[str], t_ms: Column, bucket_ms: int, out: str) -> DataFrame:
+    """Add ``out``, a time bucket that is monotone in ``t_ms`` per key and holds few rows of any key.
+
+    A map-side count per (key, bucket) finds the dense ones; each is cut into equal time slices, as
+    many as it has ``DENSE_ROWS``.  Without dense buckets the plan has no join.
+    """
+    df = df.withColumn(out, bucket_of(t_ms, bucket_ms))
+    dense = (df.groupBy(*keys, out).agg(F.count(F.lit(1)).alias("__dn")).where(F.col("__dn") > DENSE_ROWS)
+             .select(*[F.col(c).alias(f"__d{i}") for i, c in enumerate([*keys, out])],
+                     F.least(F.lit(SPLIT - 1), F.ceil(F.col("__dn") / DENSE_ROWS)).cast("bigint").alias("__splits")))
+    dense = reliable_checkpoint(dense)
+    n = dense.count()
+    if not n:
+        return df
+    cond = F.lit(True)
+    for i, c in enumerate([*keys, out]):
+        cond = cond & df[c].eqNullSafe(dense[f"__d{i}"])
+    j = df.join(F.broadcast(dense) if n <= BROADCAST_ROWS else dense, cond, "left")
+    slice_ = F.floor(F.pmod(t_ms, F.lit(bucket_ms)) * F.col("__splits") / F.lit(bucket_ms)).cast("bigint")
+    return (j.withColumn(out, F.col(out) * F.lit(SPLIT).cast("bigint") + F.coalesce(slice_, F.lit(0).cast("bigint")))
+             .drop("__splits", *[f"__d{i}" for i in range(len(keys) + 1)]))
+
+
 def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
                  is_sync: Callable[[Column], Column], bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Add ``gap_ms`` (null on a key's first row) and ``seg_t``.
@@ -144,7 +176,7 @@ def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     (the first row's gap) and the latest sync time of all earlier buckets.
     """
     b = "__bk_seg"
-    df, gk = group_keys(df.withColumn(b, bucket_of(F.col(t_col), bucket_ms)), keys)
+    df, gk = group_keys(time_buckets(df, keys, F.col(t_col), bucket_ms, b), keys)
     w = Window.partitionBy(*gk, b).orderBy(t_col, id_col)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("__lag", F.lag(t_col).over(w))
@@ -180,7 +212,7 @@ def keyed_position(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     """
     b = "__pos_b"
     tm = F.col(t_col) if t_ms is None else t_ms
-    df, gk = group_keys(df.withColumn(b, bucket_of(tm, bucket_ms)), list(keys))
+    df, gk = group_keys(time_buckets(df, list(keys), tm, bucket_ms, b), list(keys))
     w = Window.partitionBy(*gk, b).orderBy(t_col, id_col)
     df = df.withColumn("__pos_in", F.row_number().over(w))
     if summary_from_rows:

@@ -71,3 +71,22 @@ def test_fold_segment_report_finds_the_hot_key(spark, skewed):
                                          per_ms=H, idle_ms=48 * H, top=100000)
                  .filter(F.col("key") == HOT).agg(F.sum("rows")).first()[0])
     assert seg_total == skewed.filter(F.col("user_id") == HOT).count()
+
+
+def test_a_dense_hour_of_one_key_is_split(spark, monkeypatch):
+    """One key holds a third of the rows within a single hour: split buckets give what whole ones give."""
+    from reelspark.operators import lifecycle, messages, ordered, ratelimit
+    hot = spark.range(600).select(F.lit(7).cast("long").alias("k"), F.col("id"), F.expr("timestamp_ntz'2024-01-01 05:00:00' + make_dt_interval(0,0,0,(id*id*7919) % 3600)").alias("ts"))
+    rest = spark.range(600, 1800).select((F.col("id") % 50).alias("k"), F.col("id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0,0,id % 900,0)").alias("ts"))
+    ev = hot.unionAll(rest).unionAll(spark.createDataFrame([(None, 9001), (None, 9002)], "k long, id long").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 05:00:00'")))
+
+    def run():
+        life = lifecycle.token_lifecycle(ev.where("id % 3 = 0"), ev.where("id % 3 <> 0"), key="k", issue_ts="ts", issue_id="id", use_ts="ts", use_id="id", ttl_hours=0.05)
+        bucket = ratelimit.token_bucket(ev, key="k", ts="ts", id_col="id", capacity=3, rate=1, per_ms=20_000, idle_ms=600_000, init=1)
+        retry = messages.retry_dead_letter(ev, message_key=["k"], ts="ts", id_col="id", max_retries=5, queue=F.lit("q"))
+        block = lifecycle.blocklist_check(ev.where("id % 2 = 0"), ev.where("id % 31 = 1"), key="k", req_ts="ts", req_id="id", block_ts="ts",
+                                          block_expire=F.col("ts") + F.expr("INTERVAL 2 MINUTES"))
+        return [sorted(map(str, d.collect())) for d in (life, bucket, retry.select("k", "id", "retries", "action"), block.select("k", "id", "blocked"))]
+    whole = run()
+    monkeypatch.setattr(ordered, "DENSE_ROWS", 40)
+    assert run() == whole
