@@ -171,6 +171,18 @@ def url_query_param(url: Column, key: str) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(key))
 
 
+def url_path_value(url: Column, position: int) -> Column:
+    """The ``position``-th segment of the path (from 1); null if there are fewer or it is empty."""
+    part = F.get(F.filter(F.split(url_path(url), "/"), lambda s: s != ""), position - 1)
+    return part
+
+
+# F2
+def random_uuid() -> Column:
+    """A fresh random (version 4) UUID per row; differs from run to run, so checked queries use ``uuid_text``."""
+    return F.uuid()
+
+
 # F13
 def dead_letter_queue(queue: Column) -> Column:
     return F.concat(queue, F.lit(DEAD_SUFFIX))

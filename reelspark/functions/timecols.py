@@ -37,6 +37,11 @@ def epoch_us(c: Column) -> Column:
             + F.minute(t).cast("bigint") * 60_000_000 + (secs * 1_000_000).cast("bigint"))
 
 
+def from_epoch_us(us: Column) -> Column:
+    """The wall-clock (NTZ) timestamp of microseconds since the epoch (inverse of :func:`epoch_us`)."""
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=(us.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
 def plus(c: Column, *, hours: float = 0, minutes: float = 0, seconds: float = 0) -> Column:
     """``c + interval`` with the amount given in hours / minutes / seconds."""
     micros = int(round((hours * 3600 + minutes * 60 + seconds) * 1_000_000))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timecols import epoch_ms, plus
+from ..functions.timecols import epoch_ms, epoch_us, from_epoch_us, plus
 from .ordered import DEFAULT_BUCKET_MS, as_is, as_long, fold_schema, keyed_running_max, segmented_fold, time_buckets
 
 
@@ -63,7 +63,7 @@ def token_lifecycle(issues: DataFrame, uses: DataFrame, *, key: str, issue_ts: s
     told = s.select("k", F.inline(notes))
     if isinstance(s.schema["id"].dataType, T.IntegralType):
         # time and id in one number: a fixed-width minimum, which aggregates by hash
-        us = F.unix_micros(F.col("ut").cast("timestamp")).cast("decimal(18,0)")
+        us = epoch_us(F.col("ut")).cast("decimal(18,0)")
         fu = F.min((us * _dec(1 << 64) + F.col("uid").cast("decimal(19,0)") + _dec(1 << 63)).cast("decimal(38,0)")).alias("fu")
     else:
         fu = F.min(F.when(F.col("ut").isNotNull(), F.struct("ut", "uid"))).alias("fu")
@@ -74,7 +74,8 @@ def token_lifecycle(issues: DataFrame, uses: DataFrame, *, key: str, issue_ts: s
               .otherwise("expired"))
     if isinstance(s.schema["id"].dataType, T.IntegralType):
         use_id = (F.pmod("fu", _dec(1 << 64)) - _dec(1 << 63)).cast(s.schema["id"].dataType)
-        used_at = F.timestamp_micros(F.expr(f"fu div cast('{1 << 64}' as decimal(20,0))")).cast(s.schema["t"].dataType)
+        micros = F.expr(f"fu div cast('{1 << 64}' as decimal(20,0))")
+        used_at = from_epoch_us(micros).cast(s.schema["t"].dataType)
     else:
         use_id, used_at = F.col("fu.uid"), F.col("fu.ut")
     return out.select(F.col("k").alias(key), "token_id", "issued_at", "expire_at", status.alias("status"),

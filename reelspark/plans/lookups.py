@@ -260,3 +260,13 @@ def request_rollup(spark, sf):
         F.nullif("event_type", F.lit("error")).alias("event_type"),
         F.when(F.col("event_type") != "signup", F.col("value")).alias("value"))
     return usage.request_rollup(ev, group_col="event_type", value_col="value")
+
+
+@register("anonymous_profile_view", """
+SELECT e.event_id, c.c_custkey, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type = 'view' AND c.c_custkey % 10 <> 0
+""")
+def anonymous_profile_view(spark, sf):
+    """The anonymous form of the profile view: profiles without a live account are not shown."""
+    ev, c = read_table(spark, sf, "events"), read_table(spark, sf, "customer")
+    anon = c.filter(F.col("c_custkey") % 10 != 0)
+    return lookup.profile_view(ev.filter(F.col("event_type") == "view"), anon, "user_id", "c_custkey", ["event_id", "c_custkey", "c_name"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.timecols import ntz, plus
 from ..operators import messages as M
 from ..operators import quality as Q
 from ..sources import messages as SM
@@ -425,3 +426,23 @@ def ddl_validation(spark, sf):
         F.lit(True).alias("is_verified"), *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at", "deleted_at")])
     v = Q.validate(u, Q.table_rules("users", USERS))
     return v.select("c_custkey", F.array_join("violations", ",").alias("violations"), "valid")
+
+
+@register("remaining_life", """
+SELECT event_id, CAST(epoch_us(ts + INTERVAL 24 HOUR) // 1000 - epoch_us(TIMESTAMP '2024-01-15 12:00:00') // 1000 AS BIGINT) AS remaining_ms,
+       ts + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-15 12:00:00' AS noop
+FROM events WHERE event_type = 'click'
+""")
+def remaining_life(spark, sf):
+    """Time left of a token at logout; a block that has lapsed already does nothing."""
+    ev = read_table(spark, sf, "events").filter(F.col("event_type") == "click")
+    left = S.remaining_ms(plus(F.col("ts"), hours=24), ntz("2024-01-15 12:00:00"))
+    return ev.select("event_id", left.alias("remaining_ms"), (left <= 0).alias("noop"))
+
+
+@register("path_values", f"""
+SELECT page_id, nullif(split_part({_PATH_SQL}, '/', 2), '') AS first_value, nullif(split_part({_PATH_SQL}, '/', 3), '') AS second_value FROM pages
+""")
+def path_values(spark, sf):
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", S.url_path_value(F.col("url"), 1).alias("first_value"), S.url_path_value(F.col("url"), 2).alias("second_value"))

@@ -24,6 +24,27 @@ def insert_defaults(spark, sf):
                                          "expire_at": plus(F.col("created_at"), minutes=15)})
 
 
+_TOKEN_LIFE = {"insert_defaults_verify": 30, "insert_defaults_anonymous": 24 * 60}
+
+
+def _defaults_query(minutes):
+    def q(spark, sf):
+        ev = read_table(spark, sf, "events").filter(F.col("event_type") == "signup")
+        rows = ev.select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"),
+                         F.when(F.col("event_id") % 7 == 0, plus(F.col("ts"), minutes=1)).alias("expire_at"))
+        return mutate.insert_defaults(rows, {"expire_at": plus(F.col("created_at"), minutes=minutes)})
+    return q
+
+
+# the other lifetimes of the service's tables: 30 minutes and 24 hours; a given expiry is kept
+for _name, _minutes in _TOKEN_LIFE.items():
+    register(_name, f"""
+SELECT event_id AS id, user_id, ts AS created_at,
+       CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 1 MINUTE ELSE ts + INTERVAL {_minutes} MINUTE END AS expire_at
+FROM events WHERE event_type = 'signup'
+""")(_defaults_query(_minutes))
+
+
 def _uploads(ev):
     return ev.select("user_id", F.col("event_id").alias("id"),
                      F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("file_key"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Message shapes of the service.
+# The message shapes of the service.
 MAIL = T.StructType([T.StructField("to", T.StringType()), T.StructField("name", T.StringType()),
                      T.StructField("token", T.StringType())])
 CONVERSION = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("job_id", T.StringType()),
@@ -21,29 +21,40 @@ CONVERSION = T.StructType([T.StructField("user_id", T.StringType()), T.StructFie
 UPLOAD = T.StructType([T.StructField("key", T.StringType()), T.StructField("user_id", T.StringType()),
                        T.StructField("filename", T.StringType()), T.StructField("retries", T.IntegerType())])
 
-CORRUPT = "_corrupt_record"
+def _field(name: str) -> Column:
+    """The value of a top-level field, whatever the case of its name."""
+    return F.get(F.filter("__f", lambda e: F.lower(e["key"]) == name.lower()), 0)["value"]
 
 
 def decode(df: DataFrame, body: str, schema: T.StructType, out: str = "msg") -> DataFrame:
     """Decode JSON bodies; add ``out`` (struct) and ``valid``.
 
-    Invalid = not JSON, a field of the wrong type, or a JSON number where the
-    record has a text field (the service's decoder refuses that; Spark's
-    would coerce it).  ``{}`` and unknown extra fields are valid, as in the
-    service.  Invalid messages are rejected without requeue.
+    Invalid = not JSON, not an object (``null`` is an empty one), or a top-level field of the wrong type
+    (a number where the record has a text, a fraction where it has a whole number).  Field names match
+    whatever their case; ``{}``, nulls and unknown extra fields - whatever they hold - are valid, as in the
+    service.  Invalid messages are rejected without requeue.  The body is parsed once, into a variant.
     """
-    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json(F.col(body), with_corrupt,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    df = df.withColumn("__p", parsed)
-    bad = F.col("__p").isNull() | F.col(f"__p.{CORRUPT}").isNotNull()
+    v = F.try_parse_json(F.col(body))
+    kind = F.schema_of_variant(v)
+    fields = F.map_entries(F.when(kind.startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")))
+    df = df.withColumn("__kind", kind).withColumn("__f", fields)
+    bad = F.col("__kind").isNull() | ~(F.col("__kind").startswith("OBJECT") | (F.col("__kind") == "VOID"))
+    out_fields = []
     for f in schema.fields:
+        hit = _field(f.name)
+        found = F.schema_of_variant(hit)
         if isinstance(f.dataType, T.StringType):
-            bad = bad | F.col(body).rlike(f'"{f.name}"\\s*:\\s*[-0-9tfn\\[{{]') & \
-                ~F.col(body).rlike(f'"{f.name}"\\s*:\\s*null')
+            fits = found == "STRING"
+        elif isinstance(f.dataType, T.BooleanType):
+            fits = found == "BOOLEAN"
+        elif isinstance(f.dataType, T.IntegralType):
+            fits = (found == "BIGINT") & F.try_variant_get(hit, "$", f.dataType.simpleString()).isNotNull()
+        else:
+            fits = found.isin("BIGINT", "DOUBLE", "FLOAT") | found.startswith("DECIMAL")
+        bad = bad | F.coalesce((found != "VOID") & ~fits, F.lit(False))
+        out_fields.append((f.name, F.try_variant_get(hit, "$", f.dataType.simpleString())))
     df = df.withColumn("valid", ~bad)
-    fields = [F.when(F.col("valid"), F.col(f"__p.{f.name}")).alias(f.name) for f in schema.fields]
-    return df.withColumn(out, F.struct(*fields)).drop("__p")
+    return df.withColumn(out, F.struct(*[F.when(F.col("valid"), c).alias(n) for n, c in out_fields])).drop("__kind", "__f")
 
 
 def encode(df: DataFrame, fields: dict[str, Column], queue: str, ts: Column | None = None) -> DataFrame:
@@ -53,3 +64,8 @@ def encode(df: DataFrame, fields: dict[str, Column], queue: str, ts: Column | No
     if ts is not None:
         cols.append(ts.alias("published_at"))
     return df.select("*", *cols)
+
+
+def publish(encoded: DataFrame, root: str) -> None:
+    """Append encoded messages to a folder of queues (``queue=<name>/``), the shape the file sources read."""
+    encoded.select("queue", "body").write.mode("append").partitionBy("queue").text(root)

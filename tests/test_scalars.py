@@ -115,3 +115,34 @@ def test_length_rules_count_characters_not_bytes(spark):
     rules = [("u:min", Q.too_short(F.col("u"), 4)), ("u:max", Q.too_long(F.col("u"), 20))]
     got = [r.violations for r in Q.validate(df, rules).collect()]
     assert got == [[], ["u:min"], [], ["u:max"]]
+
+
+def test_decode_judges_top_level_fields_only(spark):
+    rows = [(1, '{"name":"signup","to":"a","token":"t","meta":{"name":5}}'), (2, '{"To":"a","Name":"b","TOKEN":null}'), (3, '{"name":5}'), (4, "null"),
+            (5, "{}"), (6, "[1]"), (7, '{"name":'), (8, None), (9, '"text"'), (10, '{"name":"x\\"name\\": 5"}')]
+    from reelspark.sources import messages as SM
+    out = {r.id: (r.valid, r.msg.to, r.msg.name) for r in SM.decode(spark.createDataFrame(rows, "id long, body string"), "body", SM.MAIL).collect()}
+    assert out == {1: (True, "a", "signup"), 2: (True, "a", "b"), 3: (False, None, None), 4: (True, None, None), 5: (True, None, None),
+                   6: (False, None, None), 7: (False, None, None), 8: (False, None, None), 9: (False, None, None), 10: (True, None, 'x"name": 5')}
+    conv = [(1, '{"start_time":1,"end_time":2.5,"width":480,"loop":true}'), (2, '{"width":4.5}'), (3, '{"loop":"yes"}'), (4, '{"fps":99999999999}')]
+    got = {r.id: (r.valid, r.msg.start_time, r.msg.width) for r in SM.decode(spark.createDataFrame(conv, "id long, body string"), "body", SM.CONVERSION).collect()}
+    assert got == {1: (True, 1.0, 480), 2: (False, None, None), 3: (False, None, None), 4: (False, None, None)}
+
+
+def test_rules_of_every_record(spark):
+    good = dict(username="user1", fullname="Some One", email="a@b.io", password="Secret!1", confirm_password="Secret!1", token="t", current_password="oldone",
+                filename="f", content_type="video/mp4", key="k", role="user")
+    bad = dict.fromkeys(good, "")
+    df = spark.createDataFrame([good, bad])
+    for record in Q.RECORD_RULES:
+        got = {r.email: r.violations for r in Q.validate(df, Q.record_rules(record)).select("email", "violations").collect()}
+        assert got["a@b.io"] == [] and got[""], record
+    assert spark.range(50).select(S.random_uuid().alias("u")).distinct().where(S.is_uuid(F.col("u"))).count() == 50
+
+
+def test_published_messages_are_read_back(spark, scratch):
+    from reelspark.sources import messages as SM
+    enc = SM.encode(spark.range(3), {"name": F.lit("signup"), "to": F.col("id").cast("string")}, "email.queue")
+    SM.publish(enc, scratch + "/q")
+    back = SM.decode(spark.read.text(scratch + "/q"), "value", SM.MAIL)
+    assert sorted(r.msg.to for r in back.collect()) == ["0", "1", "2"] and {r.queue for r in back.select("queue").collect()} == {"email.queue"}
