@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import scalars as S
 from ..operators import messages as M
@@ -58,6 +59,34 @@ def retry_stream(failures: DataFrame, *, message_key: str, ts: str, id_col: str,
                              idle_ms=idle_ms, **state)
 
 
+# T4 ----------------------------------------------------------------------
+def retry_hold_stream(failures: DataFrame, *, id_col: str, delay_ms: int = 1000) -> DataFrame:
+    """Hold every failed message for ``delay_ms`` after it arrives, then release it; the input's columns.
+
+    State per message is the message itself; a processing-time timer releases it, with or without new
+    input, so held messages do not wait for traffic.  A message that fails again while it is held is
+    released once, as it came last.  Run it with a continuous trigger: a held message keeps the query
+    busy until it is due.
+    """
+    cols = failures.columns
+    row = F.to_json(F.struct(*[F.col(c) for c in cols])).alias("__row")
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            (text,) = state.get
+            state.remove()
+            yield pd.DataFrame({"row": [text]})
+            return
+        for pdf in pdfs:
+            if len(pdf):
+                state.update((pdf["__row"].iloc[-1],))
+        state.setTimeoutDuration(int(delay_ms))
+
+    held = failures.select(F.col(id_col).alias("__id"), row).groupBy("__id").applyInPandasWithState(
+        fn, "row string", "row string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return held.select(F.from_json("row", failures.schema).alias("r")).select("r.*")
+
+
 # T8 ----------------------------------------------------------------------
 def _block_kernel(pdf: pd.DataFrame, starts: list, max_exp):
     kinds = pdf["__kind"].tolist()

@@ -321,3 +321,24 @@ def test_failed_read_of_an_existing_table_overwrites_nothing(spark, scratch, mon
     with pytest.raises(ValueError):
         flows.upsert_sink_bucketed(table, key="user_id", arrival="id", update_cols=["file_key"], keep_cols=["id"], n_buckets=4)(
             spark.createDataFrame([(1, 11, "c")], schema), 2)
+
+
+def test_retry_is_held_and_then_released(spark, scratch):
+    import time
+    schema = "id long, body string, ts timestamp_ntz"
+    rows = [(1, "a", T("2024-01-01 10:00:00")), (2, "b", T("2024-01-01 10:00:01"))]
+    d = os.path.join(scratch, "failed")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(d)
+    name = "h" + uuid.uuid4().hex[:8]
+    held = flows.retry_hold_stream(flows.file_stream(spark, d, spark.createDataFrame([], schema).schema), id_col="id", delay_ms=3000)
+    q = (held.writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(processingTime="1 second").start())
+    try:
+        end = time.time() + 90
+        while time.time() < end and not (q.lastProgress or {}).get("numInputRows") and spark.table(name).count() == 0:
+            time.sleep(0.2)
+        while time.time() < end and spark.table(name).count() < 2:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == rows

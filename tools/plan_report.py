@@ -22,15 +22,15 @@ MARKS = [("scans", r"FileScan (parquet|binaryFile)|Scan (binaryFile|text)"), ("e
 def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
     from reelspark.session import get_session
-    import __spark_entry__ as E
+    from reelspark.plans import QUERIES
     spark = get_session("local[8]", shuffle_partitions=16)
     print(f"# Plan shapes\n\nFinal adaptive plans at `{sf_dir}` (local[8], 16 shuffle partitions), counted by "
           "`tools/plan_report.py`.  `reused` counts shuffles or broadcasts that Spark reused instead of "
           "recomputing; `group limits` are partial WindowGroupLimits (top-k before the shuffle).\n")
     print("| query | " + " | ".join(m for m, _ in MARKS) + " |")
     print("| --- |" + " --- |" * len(MARKS))
-    for name in sorted(E.queries()):
-        qe = E.queries()[name](spark, sf_dir)._jdf.queryExecution()
+    for name in sorted(QUERIES):
+        qe = QUERIES[name](spark, sf_dir)._jdf.queryExecution()
         qe.toRdd().count()  # executes this very plan (no rows to the driver), so AQE finalises it
         plan = qe.executedPlan().toString().split("== Initial Plan ==")[0]
         counts = [len(re.findall(rx, plan)) for _, rx in MARKS]
