@@ -122,7 +122,8 @@ def blocklist_stream(events: DataFrame, *, key: str, ts: str, id_col: str, is_bl
 
 
 # T7 ----------------------------------------------------------------------
-def upsert_sink(snapshot_root: str, *, key: str, arrival: str, update_cols, keep_cols, schema: T.StructType):
+def upsert_sink(snapshot_root: str, *, key: str, arrival: str, update_cols, keep_cols, schema: T.StructType,
+                keep_versions: int = 3):
     """``foreachBatch`` function applying each micro-batch as an upsert to a versioned snapshot.
 
     ``schema`` is the change records' schema (it must hold the key, the
@@ -131,7 +132,8 @@ def upsert_sink(snapshot_root: str, *, key: str, arrival: str, update_cols, keep
 
     Version ``v{batch_id}`` is written next to the previous one and never over
     a path being read; a batch already written (replay after a failure) is
-    skipped and a half-written one is rewritten, so the sink is idempotent.
+    skipped and a half-written one is rewritten, so the sink is idempotent.  Of the older versions the
+    newest ``keep_versions`` stay for readers, so the folder does not grow with the stream's life.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -147,6 +149,10 @@ def upsert_sink(snapshot_root: str, *, key: str, arrival: str, update_cols, keep
         # a folder without _SUCCESS is an attempt that died mid-write; nobody reads it
         # (latest_version requires _SUCCESS), so the replay may replace it
         new.drop("action").write.mode("overwrite").parquet(target)
+        fs, root = _path(spark, snapshot_root)
+        names = sorted(st.getPath().getName() for st in fs.listStatus(root))
+        for old in [n for n in names if n.startswith("v") and n[1:].isdigit() and int(n[1:]) < batch_id][:-keep_versions]:
+            fs.delete(_path(spark, f"{snapshot_root.rstrip('/')}/{old}")[1], True)
     return apply
 
 

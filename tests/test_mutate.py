@@ -96,3 +96,29 @@ def test_scoped_share_update_and_delete(spark):
     gone = spark.createDataFrame([(1, "g2"), (2, "g9")], "owner long, item string")
     kept = mutate.delete_by_key(shares, gone, key=["owner", "item"])
     assert sorted(r.id for r in kept.collect()) == ["s1", "s3"]
+
+
+def test_upsert_ties_and_null_keys_are_settled(spark):
+    from pyspark.sql import functions as F
+    from reelspark.operators import mutate
+    snap = spark.createDataFrame([(1, "old", 10), (None, "nobody", 11)], "k long, v string, id long")
+    ch = spark.createDataFrame([(1, "b", 20, 5), (1, "a", 21, 5), (2, "x", 31, 7), (2, "y", 30, 7), (None, "z", 40, 9), (3, None, 50, 1)],
+                               "k long, v string, id long, arr long")
+    for part in (ch, ch.orderBy(F.desc("id")).repartition(3)):
+        out = mutate.upsert(snap, part, key="k", arrival=F.col("arr"), update_cols=["v"], keep_cols=["id"])
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(
+            [(1, "b", 10, "update"), (2, "y", 30, "insert"), (3, None, 50, "insert"), (None, "nobody", 11, "keep")], key=str)
+
+
+def test_cascade_tree_needs_no_order_and_finds_cycles(spark):
+    import pytest
+    from reelspark.operators import mutate
+    t = {"b": spark.createDataFrame([(1, 10), (2, 20), (None, 30)], "a_id long, id long"),
+         "c": spark.createDataFrame([(10, None, 100), (None, 1, 200), (20, 2, 300)], "b_id long, a_id long, id long"),
+         "d": spark.createDataFrame([(100, 1), (300, 2)], "c_id long, id long")}
+    edges = [("d", "c_id", "c", "id"), ("c", "b_id", "b", "id"), ("c", "a_id", "a", "id"), ("b", "a_id", "a", "id")]
+    out = mutate.cascade_tree("a", spark.createDataFrame([(1,)], "id long"), t, edges)
+    assert {n: sorted(r.id for r in gone.collect()) for n, (gone, _) in out.items()} == {"b": [10], "c": [100, 200], "d": [1]}
+    assert {n: sorted(r.id for r in kept.collect()) for n, (_, kept) in out.items()} == {"b": [20, 30], "c": [300], "d": [2]}
+    with pytest.raises(ValueError):
+        mutate.cascade_tree("a", spark.createDataFrame([(1,)], "id long"), t, [("b", "a_id", "c", "id"), ("c", "b_id", "b", "id")])
