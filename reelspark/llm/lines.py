@@ -4,9 +4,9 @@ A line is the set of its words.  Equal lines are one candidate, placed where the
 The words of a candidate are put in one global order, rarest first; two sets at Jaccard similarity
 ``t`` or more share a word among the first ``n - ceil(t n) + 1`` of the longer set and the first
 ``n - ceil(2t/(1+t) n) + 1`` of the shorter, so only those words are joined on.  Joined pairs must pass
-the length filter, the positional filter, and a parity filter (each set folds its words into 64
-parity bits, and two sets differ in at least as many words as in bits); what is left is verified by
-the exact similarity of the lines.  A line goes if an earlier line matches it.
+the length filter, the positional filter, and a parity filter (each set folds its words into 64 or
+128 parity bits, and two sets differ in at least as many words as in bits); what is left is verified
+by the exact similarity of the lines' sets of 64-bit word hashes.  A line goes if an earlier line matches it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import stored
 
 #: Words are counted in this many hashed slots (a word's rarity is that of its slot), on 16 levels.
 SLOT_BITS = 16
+#: Sets up to this size fold their parity into 64 bits; larger ones keep 128.
+SMALL = 64
 #: Rows of the verification's id list up to which it is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: A place is one decimal: the id times this, plus the line's number.
@@ -27,11 +29,6 @@ PLACES = 1 << 31
 EPS = 1e-9
 
 
-def words_of(line: Column) -> Column:
-    """Distinct words ``[^\\x20\\x09-\\x0D]+`` of a line."""
-    return F.array_remove(F.array_distinct(F.split(line, "[ \\t\\x0b\\x0c\\r]+")), "")
-
-
 def has_words(line: Column) -> Column:
     return line.rlike("[^ \\t\\n\\x0b\\x0c\\r]")
 
@@ -60,9 +57,13 @@ def ordered_keys(hashes: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(hashes, key))
 
 
-def parity(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("bigint"),
-                       lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def parity(keys: Column, half: int) -> Column:
+    """64 parity bits of the words in one half of the hash space; both halves XORed are those of all words."""
+    mine = F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) == 64 * half)
+    return F.coalesce(F.aggregate(
+        mine, F.lit(0).cast("bigint"),
+        lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))),
+        F.lit(0).cast("bigint"))
 
 
 def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,25 +77,31 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     lines = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(has_words(F.col("line")))
     first = lines.groupBy("line").agg(place).select(doc_of, pos_of, hashes_of(F.col("line")).alias("hashes"))
 
-    n = F.col("n")
-    probe, index = n - F.ceil(threshold * n - EPS) + 1, n - F.ceil(2 * threshold / (1 + threshold) * n - EPS) + 1
+    probe = F.col("n") - F.ceil(threshold * F.col("n") - EPS) + 1
     sets = first.select("doc", "pos", ordered_keys(F.col("hashes"), levels).alias("keys")) \
-        .select("doc", "pos", "keys", F.size("keys").alias("n")) \
-        .select("doc", "pos", "n", parity(F.col("keys")).alias("bits"), index.cast("int").alias("index"),
-                F.posexplode(F.slice("keys", F.lit(1), probe.cast("int"))).alias("at", "key"))
+        .select("doc", "pos", "keys", F.size("keys").alias("n"), parity(F.col("keys"), 0).alias("even"),
+                parity(F.col("keys"), 1).alias("odd")) \
+        .select("doc", "pos", "n", "even", "odd", F.slice("keys", F.lit(1), probe.cast("int")).alias("prefix")) \
+        .select("doc", "pos", "n", F.when(F.col("n") > SMALL, F.col("even")).otherwise(F.col("even").bitwiseXOR(F.col("odd"))).alias("bits"),
+                F.when(F.col("n") > SMALL, F.col("odd")).otherwise(F.lit(0).cast("bigint")).alias("more"), F.posexplode("prefix").alias("at", "key"))
 
     def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(c + mark) for c in ("key", "doc", "pos", "n", "at", "bits", "index")])
+        return df.select(*[F.col(c).alias(c + mark) for c in ("key", "doc", "pos", "n", "at", "bits", "more")])
 
     na, nb = F.col("n_a"), F.col("n_b")
     need = F.ceil(threshold / (1 + threshold) * (na + nb) - EPS)     # words a matching pair shares
     later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("pos_a") > F.col("pos_b")))
-    # both sides are one and the same exchange; what tells them apart stands in the join's condition
+    bits, more = F.col("bits_a").bitwiseXOR(F.col("bits_b")), F.col("more_a").bitwiseXOR(F.col("more_b"))
+    # two large sets compare 128 bits; a small set has its two halves folded, so the other's are folded too
+    differing = F.when((na > SMALL) & (nb > SMALL), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
+    index = nb - F.ceil(2 * threshold / (1 + threshold) * nb - EPS) + 1
+    # both sides are one and the same exchange; what tells them apart stands in the join's condition, in
+    # terms of both sides, so that it is not pushed below the exchange
     pairs = side(sets, "_a").join(
         side(sets, "_b"),
-        (F.col("key_a") == F.col("key_b")) & (F.col("at_b") < F.col("index_b")) & ((na > nb) | ((na == nb) & later)) & (nb >= F.ceil(threshold * na - EPS))
+        (F.col("key_a") == F.col("key_b")) & (F.col("at_b") < F.when(nb <= na, index)) & ((na > nb) | ((na == nb) & later)) & (nb >= F.ceil(threshold * na - EPS))
         & (1 + F.least(na - 1 - F.col("at_a"), nb - 1 - F.col("at_b")) >= need)
-        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * need))
+        & (differing <= na + nb - 2 * need))
     one, two = F.struct(F.col("doc_a").alias("doc"), F.col("pos_a").alias("pos")), F.struct(F.col("doc_b").alias("doc"), F.col("pos_b").alias("pos"))
     pairs = stored(pairs.select(F.least(one, two).alias("early"), F.greatest(one, two).alias("late")).distinct(), "line-pairs")
 
@@ -103,7 +110,7 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     few = ids.count() <= BROADCAST_ROWS
     some = rows.join(F.broadcast(ids.select("doc").distinct()) if few else ids.select("doc").distinct(), "doc", "left_semi")
     some = some.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(F.broadcast(ids) if few else ids, ["doc", "pos"])
-    words = stored(some.select(F.struct("doc", "pos").alias("place"), words_of(F.col("line")).alias("words")).dropDuplicates(["place"]), "line-words")
+    words = stored(some.select(F.struct("doc", "pos").alias("place"), hashes_of(F.col("line")).alias("words")).dropDuplicates(["place"]), "line-words")
     both = pairs.join(words.select(F.col("place").alias("early"), F.col("words").alias("we")), "early") \
         .join(words.select(F.col("place").alias("late"), F.col("words").alias("wl")), "late")
     shared = F.size(F.array_intersect("we", "wl"))
