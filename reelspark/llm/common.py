@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
@@ -24,6 +25,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now.
+
+    Its cleaner acts when the driver's JVM collects garbage, which a quiet driver does rarely; a long
+    operator would otherwise keep the shuffles of all its steps on disk until its end.  The last job is
+    still held by Spark itself: call this after a further, small one.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     """``schema`` and further nullable columns (name=type)."""
     more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))

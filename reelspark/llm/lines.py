@@ -6,7 +6,8 @@ The words of a candidate are put in one global order, rarest first; two sets at
 ``n - ceil(2t/(1+t) n) + 1`` of the shorter, so only those words are joined on.  Joined pairs must pass
 the length filter, the positional filter, and a parity filter (each set folds its words into 64 or
 128 parity bits, and two sets differ in at least as many words as in bits); what is left is verified
-by the exact similarity of the lines' sets of 64-bit word hashes.  A line goes if an earlier line matches it.
+by the exact similarity of the lines' sets of 64-bit word hashes.  Both joins are semi-joins that stop at
+the first partner: a line needs one earlier match to go, so no pairs are made.  A line goes if an earlier line matches it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 #: Words are counted in this many hashed slots (a word's rarity is that of its slot), on 16 levels.
 SLOT_BITS = 16
@@ -35,13 +36,15 @@ def has_words(line: Column) -> Column:
 
 def hashes_of(line: Column) -> Column:
     """Hashes of the distinct words of a line."""
-    words = F.split(F.regexp_replace(line, "^[ \\t\\x0b\\x0c\\r]+|[ \\t\\x0b\\x0c\\r]+$", ""), "[ \\t\\x0b\\x0c\\r]+")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.split(line, "[ \\t\\x0b\\x0c\\r]+")     # an empty word stands before or after white space at the ends
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def rarity_levels(docs: DataFrame, text_col: str) -> Column:
     """A constant array with a level for each slot: the more often the slot's words occur, the higher."""
-    word = F.explode(F.split(F.col(text_col), "[ \\t\\n\\x0b\\x0c\\r]+")).alias("word")
+    # splitting at spaces alone is the quick way; a word beside other white space counts with its neighbour,
+    # which can only make the order less apt, never the join less exact
+    word = F.explode(F.split(F.col(text_col), " ")).alias("word")
     slots = docs.select(word).groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOT_BITS).cast("int").alias("slot")).count().collect()
     counts = sorted(r["count"] for r in slots)           # at most 2 ** SLOT_BITS rows
     middle = counts[len(counts) // 2] if counts else 1
@@ -57,11 +60,10 @@ def ordered_keys(hashes: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(hashes, key))
 
 
-def parity(keys: Column, half: int) -> Column:
-    """64 parity bits of the words in one half of the hash space; both halves XORed are those of all words."""
-    mine = F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) == 64 * half)
+def parity(keys: Column) -> Column:
+    """64 parity bits of a set: each word flips the bit that its hash names."""
     return F.coalesce(F.aggregate(
-        mine, F.lit(0).cast("bigint"),
+        keys, F.lit(0).cast("bigint"),
         lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))),
         F.lit(0).cast("bigint"))
 
@@ -79,43 +81,55 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
 
     probe = F.col("n") - F.ceil(threshold * F.col("n") - EPS) + 1
     sets = first.select("doc", "pos", ordered_keys(F.col("hashes"), levels).alias("keys")) \
-        .select("doc", "pos", "keys", F.size("keys").alias("n"), parity(F.col("keys"), 0).alias("even"),
-                parity(F.col("keys"), 1).alias("odd")) \
-        .select("doc", "pos", "n", "even", "odd", F.slice("keys", F.lit(1), probe.cast("int")).alias("prefix")) \
-        .select("doc", "pos", "n", F.when(F.col("n") > SMALL, F.col("even")).otherwise(F.col("even").bitwiseXOR(F.col("odd"))).alias("bits"),
-                F.when(F.col("n") > SMALL, F.col("odd")).otherwise(F.lit(0).cast("bigint")).alias("more"), F.posexplode("prefix").alias("at", "key"))
-
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(c + mark) for c in ("key", "doc", "pos", "n", "at", "bits", "more")])
-
-    na, nb = F.col("n_a"), F.col("n_b")
+        .select("doc", "pos", "keys", F.size("keys").alias("n"), parity(F.col("keys")).alias("all"),
+                F.when(F.size("keys") > SMALL, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0)))
+                 .otherwise(F.lit(0).cast("bigint")).alias("more")) \
+        .select("doc", "pos", "n", F.col("all").bitwiseXOR(F.col("more")).alias("bits"), "more",
+                F.slice("keys", F.lit(1), probe.cast("int")).alias("prefix")) \
+        .select("doc", "pos", "n", "bits", "more", F.posexplode_outer("prefix").alias("at", "key")) \
+        .select(F.coalesce("key", F.lit(-1).cast("bigint")).alias("key"), "doc", "pos", "n", F.coalesce("at", F.lit(0)).alias("at"), "bits", "more")
+    # (no line here is without words; the outer form and the stand-ins keep Catalyst from inferring filters
+    # that would compute the sets a second time below the aggregate, or tell the join's two sides apart)
+
+    na, nb = F.col("a.n"), F.col("b.n")
     need = F.ceil(threshold / (1 + threshold) * (na + nb) - EPS)     # words a matching pair shares
-    later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("pos_a") > F.col("pos_b")))
-    bits, more = F.col("bits_a").bitwiseXOR(F.col("bits_b")), F.col("more_a").bitwiseXOR(F.col("more_b"))
+    bits, more = F.col("a.bits").bitwiseXOR(F.col("b.bits")), F.col("a.more").bitwiseXOR(F.col("b.more"))
     # two large sets compare 128 bits; a small set has its two halves folded, so the other's are folded too
     differing = F.when((na > SMALL) & (nb > SMALL), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
-    index = nb - F.ceil(2 * threshold / (1 + threshold) * nb - EPS) + 1
-    # both sides are one and the same exchange; what tells them apart stands in the join's condition, in
-    # terms of both sides, so that it is not pushed below the exchange
-    pairs = side(sets, "_a").join(
-        side(sets, "_b"),
-        (F.col("key_a") == F.col("key_b")) & (F.col("at_b") < F.when(nb <= na, index)) & ((na > nb) | ((na == nb) & later)) & (nb >= F.ceil(threshold * na - EPS))
-        & (1 + F.least(na - 1 - F.col("at_a"), nb - 1 - F.col("at_b")) >= need)
-        & (differing <= na + nb - 2 * need))
-    one, two = F.struct(F.col("doc_a").alias("doc"), F.col("pos_a").alias("pos")), F.struct(F.col("doc_b").alias("doc"), F.col("pos_b").alias("pos"))
-    pairs = stored(pairs.select(F.least(one, two).alias("early"), F.greatest(one, two).alias("late")).distinct(), "line-pairs")
+
+    def indexed(side: str) -> Column:
+        n = F.col(side + ".n")
+        return F.col(side + ".at") < n - F.ceil(2 * threshold / (1 + threshold) * n - EPS) + 1
+
+    other = (F.col("a.doc") != F.col("b.doc")) | (F.col("a.pos") != F.col("b.pos"))
+    role = F.when(na > nb, indexed("b")).when(na < nb, indexed("a")).otherwise(indexed("a") | indexed("b"))
+    # Entries with a partner that passes the filters.  Only that there is one is asked, so a large family of
+    # similar lines makes no pairs.  Both sides are one and the same exchange; the condition names both
+    # sides throughout, so that nothing of it is pushed below the exchange.
+    active = sets.alias("a").join(
+        sets.hint("shuffle_hash").alias("b"),     # a partition's entries are few bytes each: no need to sort both sides
+        (F.col("a.key") == F.col("b.key")) & role & (nb >= F.ceil(threshold * na - EPS)) & (na >= F.ceil(threshold * nb - EPS))
+        & (1 + F.least(na - 1 - F.col("a.at"), nb - 1 - F.col("b.at")) >= need) & (differing <= na + nb - 2 * need) & other, "left_semi")
+    active = stored(active.select("key", "doc", "pos"), "line-active")
 
     # verification reads the lines concerned from the input again; their places are few
-    ids = stored(pairs.select("early.*").union(pairs.select("late.*")).distinct(), "line-ids")
+    ids = stored(active.select("doc", "pos").distinct(), "line-ids")
     few = ids.count() <= BROADCAST_ROWS
+    release(docs.sparkSession)
     some = rows.join(F.broadcast(ids.select("doc").distinct()) if few else ids.select("doc").distinct(), "doc", "left_semi")
     some = some.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(F.broadcast(ids) if few else ids, ["doc", "pos"])
-    words = stored(some.select(F.struct("doc", "pos").alias("place"), hashes_of(F.col("line")).alias("words")).dropDuplicates(["place"]), "line-words")
-    both = pairs.join(words.select(F.col("place").alias("early"), F.col("words").alias("we")), "early") \
-        .join(words.select(F.col("place").alias("late"), F.col("words").alias("wl")), "late")
-    shared = F.size(F.array_intersect("we", "wl"))
-    late = both.where(shared >= threshold * (F.size("we") + F.size("wl") - shared) - EPS).select("late.*").distinct() \
-        .withColumn("gone", F.lit(True))
+    words = stored(some.select("doc", "pos", hashes_of(F.col("line")).alias("words")).dropDuplicates(["doc", "pos"]), "line-words")
+    full = active.join(words, ["doc", "pos"]).select("key", "doc", "pos", "words")
+
+    wa, wb = F.col("a.words"), F.col("b.words")
+    earlier = (F.col("b.doc") < F.col("a.doc")) | ((F.col("b.doc") == F.col("a.doc")) & (F.col("b.pos") < F.col("a.pos")))
+    shared = F.size(F.array_intersect(wa, wb))
+    late = full.alias("a").join(
+        full.alias("b"),
+        (F.col("a.key") == F.col("b.key")) & earlier & (F.size(wb) >= F.ceil(threshold * F.size(wa) - EPS))
+        & (F.size(wa) >= F.ceil(threshold * F.size(wb) - EPS))
+        & (shared >= threshold * (F.size(wa) + F.size(wb) - shared) - EPS), "left_semi") \
+        .select("doc", "pos").distinct().withColumn("gone", F.lit(True))
     # first places once more, by a narrow hash of the line: cheaper than carrying the lines' text along
     narrow = lines.groupBy(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2")).agg(place).select(doc_of, pos_of)
     return narrow.join(late, ["doc", "pos"], "left").select("doc", "pos", F.coalesce("gone", F.lit(False)).alias("gone"))

@@ -23,7 +23,7 @@ CAPACITY = 4096
 #: Documents a packing partition takes on average; each partition ends with at most one loose sequence.
 DOCS_PER_PART = 8192
 #: Words whose ids a Python worker remembers (a speed-up only; the rarer half is forgotten when full).
-CACHE_WORDS = 2_500_000
+CACHE_WORDS = 1_000_000
 
 
 class WordEncoder:
