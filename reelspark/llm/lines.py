@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import release, stored
 
 #: Words are counted in this many hashed slots (a word's rarity is that of its slot), on 16 levels.
-SLOT_BITS = 16
+SLOT_BITS = 17
 #: Sets up to this size fold their parity into 64 bits; larger ones keep 128.
 SMALL = 64
 #: Rows of the verification's id list up to which it is broadcast; beyond it the join shuffles.
@@ -87,7 +87,9 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
         .select("doc", "pos", "n", F.col("all").bitwiseXOR(F.col("more")).alias("bits"), "more",
                 F.slice("keys", F.lit(1), probe.cast("int")).alias("prefix")) \
         .select("doc", "pos", "n", "bits", "more", F.posexplode_outer("prefix").alias("at", "key")) \
-        .select(F.coalesce("key", F.lit(-1).cast("bigint")).alias("key"), "doc", "pos", "n", F.coalesce("at", F.lit(0)).alias("at"), "bits", "more")
+        .select(F.coalesce("key", F.lit(-1).cast("bigint")).alias("key"), "doc", "pos", "n", F.coalesce("at", F.lit(0)).alias("at"), "bits", "more",
+                F.coalesce(F.ceil(threshold * F.col("n") - EPS), F.lit(0)).cast("int").alias("least"),     # smallest partner
+                F.coalesce(F.col("at") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - EPS) + 1, F.lit(False)).alias("indexed"))
     # (no line here is without words; the outer form and the stand-ins keep Catalyst from inferring filters
     # that would compute the sets a second time below the aggregate, or tell the join's two sides apart)
 
@@ -97,18 +99,14 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     # two large sets compare 128 bits; a small set has its two halves folded, so the other's are folded too
     differing = F.when((na > SMALL) & (nb > SMALL), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
 
-    def indexed(side: str) -> Column:
-        n = F.col(side + ".n")
-        return F.col(side + ".at") < n - F.ceil(2 * threshold / (1 + threshold) * n - EPS) + 1
-
     other = (F.col("a.doc") != F.col("b.doc")) | (F.col("a.pos") != F.col("b.pos"))
-    role = F.when(na > nb, indexed("b")).when(na < nb, indexed("a")).otherwise(indexed("a") | indexed("b"))
+    role = F.when(na > nb, F.col("b.indexed")).when(na < nb, F.col("a.indexed")).otherwise(F.col("a.indexed") | F.col("b.indexed"))
     # Entries with a partner that passes the filters.  Only that there is one is asked, so a large family of
     # similar lines makes no pairs.  Both sides are one and the same exchange; the condition names both
     # sides throughout, so that nothing of it is pushed below the exchange.
     active = sets.alias("a").join(
-        sets.hint("shuffle_hash").alias("b"),     # a partition's entries are few bytes each: no need to sort both sides
-        (F.col("a.key") == F.col("b.key")) & role & (nb >= F.ceil(threshold * na - EPS)) & (na >= F.ceil(threshold * nb - EPS))
+        sets.alias("b"),
+        (F.col("a.key") == F.col("b.key")) & (nb >= F.col("a.least")) & (na >= F.col("b.least")) & role
         & (1 + F.least(na - 1 - F.col("a.at"), nb - 1 - F.col("b.at")) >= need) & (differing <= na + nb - 2 * need) & other, "left_semi")
     active = stored(active.select("key", "doc", "pos"), "line-active")
 
