@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored, trim
 from .components import components
 from .textops import U64, WordHasher, doc_chunks, mix, text_buffer, window_hashes, word_spans
 
@@ -136,6 +136,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             empty = np.bincount(doc, minlength=n) == 0
             yield pa.record_batch([batch.column(0).slice(lo, n), pa.array(c1.view(np.int64), mask=empty), pa.array(c2.view(np.int64), mask=empty),
                                    pa.ListArray.from_arrays(cut, pa.array(keys.ravel()))], names=["id", "c1", "c2", "bands"])
+    trim()
 
 
 def similar(threshold: float):
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     between groups (see :func:`open_pairs`), so no link that would join two groups is lost, and a large
     group of near copies costs about a pair a member.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(rows.where("id IS NOT NULL").mapInArrow(sign, "id long, c1 long, c2 long, bands array<bigint>"), "near-signatures")
     classes = stored(signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")),
                      "near-classes")

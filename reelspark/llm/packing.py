@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .common import bounded_batches, process_cache, trim
 from .textops import U64, WordHasher, doc_chunks, in_sorted, text_buffer, word_spans
 
 CAPACITY = 4096
 #: Documents a packing partition takes on average; each partition ends with at most one loose sequence.
 DOCS_PER_PART = 8192
 #: Words whose ids a Python worker remembers (a speed-up only; the rarer half is forgotten when full).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 
 
 class WordEncoder:
@@ -162,7 +162,7 @@ def pack_best_fit(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
     the number of documents; every partition may leave one sequence part empty, nothing else differs
     from packing the whole.
     """
-    n = docs.count()
+    n = bounded_batches(docs).count()
     parts = max(1, -(-n // docs_per_part))
     rows = docs.select(F.col(id_col).cast("long").alias("pack_id"), F.col(text_col).cast("string").alias("pack_text"))
 
@@ -185,6 +185,7 @@ def pack_best_fit(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
                 yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                                        *[pa.array(c, pa.int64()) for c in cols[2:]]],
                                       names=["pack_id", "piece", "start", "length", "ids_crc32", "part"])
+        trim()
 
     def place(table: pa.Table) -> pa.Table:
         # Spark hands over a group's rows in any order: sort, so that a retried task places alike

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_fields
+from .common import bounded_batches, stored, with_fields
 from .textops import U64, WordHasher, doc_chunks, text_buffer, word_spans
 
 #: Bound on the training sample (labelled documents), the hashed slots and those kept.
@@ -166,7 +166,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col
     term, score the base rate.  With no label, or labels of one kind only, all texts score the
     smoothed base rate.  Columns of the input that bear one of the new names are replaced.
     """
-    docs = docs.drop("tox_score", "tox_predicted")
+    docs = bounded_batches(docs).drop("tox_score", "tox_predicted")
     model = train(docs, labels, usable, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs)
     at = docs.columns.index(text_col)
 
