@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's features are its distinct terms - words and word stems of four and five bytes - hashed
-to slots.  The slots most associated with the label on a bounded training sample carry a linear
-weight and a factor vector each, so that pairs of terms interact (an insult with a group mention).
+to slots.  Every slot of at least two documents of a bounded training sample carries a linear weight and
+a factor vector, so that pairs of terms interact (an insult with a group mention), also where one of them
+says little alone.  The fit starts from the slots most associated with the label.
 """
 
 from __future__ import annotations
@@ -17,14 +18,19 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored, with_fields
 from .textops import U64, WordHasher, doc_chunks, text_buffer, word_spans
 
-#: Bound on the training sample (labelled documents), the hashed slots and those kept.
+#: Bound on the training sample (labelled documents) and the hashed slots.
 SAMPLE_DOCS = 20_000
 SLOTS = 1 << 20
-KEPT_SLOTS = 4096
-#: Chi-square under which a slot's association is taken as chance.
-MIN_CHI2 = 15.0
+#: Documents from which a slot is in the machine.
+MIN_DOCS = 2
+#: The first fit is over at most so many slots, of at least this chi-square with the label.
+FIRST_SLOTS = 4096
+FIRST_CHI2 = 15.0
 FACTORS = 8
 EPOCHS = 30
+#: Steps of the fit over all slots at least, and the terms a document from which its steps are shorter.
+WHOLE_STEPS = 1200
+WIDE_TERMS = 100
 
 #: Bytes that end a word: ASCII other than letters, digits and the apostrophe.
 BREAK = np.zeros(256, bool)
@@ -53,12 +59,21 @@ class FactorizationMachine:
         self.w0, self.w = bias, np.zeros(len(slots))
         self.v = np.random.default_rng(7).normal(0, 0.02, (len(slots), FACTORS))
 
+    def widened(self, slots: np.ndarray) -> "FactorizationMachine":
+        """A machine over ``slots`` (these among them): further ones start without a weight, with short vectors."""
+        out = FactorizationMachine(slots, self.w0)
+        out.w, out.v = out.w.astype(np.float32), (out.v / 4).astype(np.float32)
+        at = np.searchsorted(out.slots, self.slots)
+        out.w[at], out.v[at] = self.w, self.v
+        return out
+
     def raw(self, doc: np.ndarray, idx: np.ndarray, n: int) -> np.ndarray:
         """Scores of ``n`` documents from their (document, kept slot) pairs, each pair once."""
-        s = np.zeros((n, FACTORS))
-        np.add.at(s, doc, self.v[idx])
-        q = np.bincount(doc, (self.v[idx] ** 2).sum(1), n)
-        return self.w0 + np.bincount(doc, self.w[idx], n) + 0.5 * ((s ** 2).sum(1) - q)
+        out = self.w0 + np.bincount(doc, self.w[idx], n)
+        for v in self.v.T:
+            x = v[idx].astype(float)
+            out += 0.5 * (np.bincount(doc, x, n) ** 2 - np.bincount(doc, x * x, n))
+        return out
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, l2: float = 1e-4) -> None:
         rng = np.random.default_rng(3)
@@ -84,6 +99,56 @@ class FactorizationMachine:
                     params[j] -= rate * (mom[j] / (1 - 0.9 ** step)) / (np.sqrt(var[j] / (1 - 0.999 ** step)) + 1e-8)
                 self.w0 = float(params[0][0])
 
+    def fit_all(self, rows: list[np.ndarray], y: np.ndarray, first: np.ndarray, rate: float = 0.02,
+                l1: float = 1e-3, l21: float = 3e-4, eps: float = 3e-3) -> None:
+        """Adam over the slots that a batch has, with the changes since the fit of ``first`` (a mask of slots) drawn to zero.
+
+        The large ``eps`` lets a slot move by its evidence, not by a step of fixed length, and the pull (on a
+        weight, and on a vector as a whole) holds slots without evidence down.
+        """
+        order = np.random.default_rng(3).permutation(len(rows))
+        batches = []
+        for k in range(0, len(order), 512):
+            part = order[k:k + 512]
+            u, inv = np.unique(np.concatenate([rows[i] for i in part]), return_inverse=True)
+            sizes = [len(rows[i]) for i in part]
+            if len(u):
+                batches.append((part, np.repeat(np.arange(len(part), dtype=np.int32), sizes), u, inv.astype(np.int32)))
+        if not batches:
+            return
+        rate *= min(1.0, WIDE_TERMS * len(rows) / sum(map(len, rows)))
+        epochs = max(EPOCHS, -(-WHOLE_STEPS // len(batches)))
+        params = np.vstack((self.w[None], self.v.T)).astype(np.float32)
+        centre, mom, var = params * first.astype(np.float32), np.zeros_like(params), np.zeros_like(params)
+        mom0 = var0 = 0.0
+        rng, step, steps = np.random.default_rng(5), 0, epochs * len(batches)
+        for _ in range(epochs):
+            for b in rng.permutation(len(batches)):
+                part, doc, u, inv = batches[b]
+                n, p = len(part), params[:, u].astype(float)
+                score, sums = self.w0 + np.bincount(doc, p[0][inv], n), []
+                for x in p[1:]:
+                    sums.append(np.bincount(doc, x[inv], n))
+                    score += 0.5 * (sums[-1] ** 2 - np.bincount(doc, (x * x)[inv], n))
+                g = (sigmoid(score) - y[part]) / n
+                grad = np.empty_like(p)
+                grad[0] = np.bincount(inv, g[doc], len(u))
+                for j, q in enumerate(sums, 1):
+                    grad[j] = np.bincount(inv, (g * q)[doc], len(u)) - p[j] * grad[0]
+                step += 1
+                c1, c2, pace = 1 - 0.9 ** step, 1 - 0.999 ** step, rate * (1 - step / (steps + 1))
+                m, v = 0.9 * mom[:, u] + 0.1 * grad, 0.999 * var[:, u] + 0.001 * grad ** 2
+                mom[:, u], var[:, u] = m, v
+                move = pace / (np.sqrt(v / c2) + eps)
+                held = centre[:, u]
+                p -= move * m / c1 + held
+                p[0] = np.sign(p[0]) * np.maximum(np.abs(p[0]) - move[0] * l1, 0)
+                p[1:] *= np.maximum(1 - move[1:].mean(axis=0) * l21 / (np.sqrt((p[1:] ** 2).sum(axis=0)) + 1e-12), 0)
+                params[:, u] = p + held
+                mom0, var0 = 0.9 * mom0 + 0.1 * g.sum(), 0.999 * var0 + 0.001 * g.sum() ** 2
+                self.w0 -= pace * (mom0 / c1) / (np.sqrt(var0 / c2) + 1e-8)
+        self.w, self.v = params[0], np.ascontiguousarray(params[1:].T)
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
@@ -114,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "
           label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> FactorizationMachine:
     """Fit on at most ``sample_docs`` labelled documents for which ``usable`` (over the labels' ids) holds.
 
-    Terms are hashed on the executors; slots are chosen by chi-square of their document counts; only
-    the kept slots of the sampled documents (bounded) reach the driver, which fits the machine.
+    Terms are hashed on the executors; the slots of ``MIN_DOCS`` documents or more of the sample reach the
+    driver, which fits the machine: over those of a high chi-square with the label, then over all.
     """
     sample = stored(training_sample(labels, usable, id_col, label_col, sample_docs), "tox-sample")
     rows = docs.select(F.col(id_col).alias("tox_id"), F.col(text_col).cast("string").alias("tox_text")) \
@@ -140,21 +205,30 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "
         return FactorizationMachine(np.zeros(0, np.int64), bias)
     a, b = F.col("a").cast("double"), F.col("n").cast("double")
     stat = n * F.pow(a * n - b * pos, F.lit(2.0)) / (b * (n - b) * float(pos) * float(n - pos))
-    top = (feats.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
-           .where(F.col("n") < n).withColumn("chi2", stat).where(F.col("chi2") >= MIN_CHI2)
-           .orderBy(F.desc("chi2"), "slot").limit(KEPT_SLOTS))
-    kept = np.array(sorted(r.slot for r in top.select("slot").collect()), np.int64)
-    model = FactorizationMachine(kept, bias)
+    found = (feats.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
+             .where((F.col("n") < n) & (F.col("n") >= MIN_DOCS)).select("slot", stat.alias("chi2")).orderBy("slot").toArrow())
+    kept, chi2 = found.column("slot").to_numpy().astype(np.int64), found.column("chi2").to_numpy()
+    best = np.lexsort((kept, -chi2))[:FIRST_SLOTS]
+    first = np.zeros(len(kept), bool)
+    first[best[chi2[best] >= FIRST_CHI2]] = True
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            hits = [np.flatnonzero(np.isin(kept, np.asarray(s, np.int64), assume_unique=True)).tolist() for s in lists]
-            yield pa.record_batch([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["y", "at"])
+            hits = []
+            for slots in batch.column(1):
+                s = slots.values.to_numpy()
+                at = np.minimum(np.searchsorted(kept, s), max(0, len(kept) - 1))
+                hits.append(at[kept[at] == s].astype(np.int32).tobytes() if len(kept) else b"")
+            yield pa.record_batch([batch.column(0), pa.array(hits, pa.binary())], names=["y", "at"])
 
     # an order of its own: rows read back from the table come in no fixed order
-    sample_rows = sorted((r.at, r.y) for r in feats.mapInArrow(narrow, "y int, at array<int>").collect())
-    model.fit([np.asarray(at, np.int64) for at, _ in sample_rows], np.array([y for _, y in sample_rows], float))
+    sample_rows = feats.mapInArrow(narrow, "y int, at binary").toArrow()
+    sample_rows = sorted(zip(sample_rows.column("at").to_pylist(), sample_rows.column("y").to_pylist()))
+    rows, y = [np.frombuffer(at, np.int32) for at, _ in sample_rows], np.array([y for _, y in sample_rows], float)
+    model, place = FactorizationMachine(kept[first], bias), np.cumsum(first) - 1
+    model.fit([place[r[first[r]]] for r in rows], y)
+    model = model.widened(kept)
+    model.fit_all(rows, y, first)
     return model
 
 

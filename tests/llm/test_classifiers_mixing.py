@@ -56,6 +56,28 @@ def test_interaction_of_two_terms(spark):
     assert sum(got[i].tox_predicted == truth[i] for i in held) / len(held) > 0.97
 
 
+def test_interaction_with_many_rare_terms(spark):
+    """Each group name is too rare for an association of its own, but is toxic together with the insult."""
+    rng = random.Random(5)
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}x{k * 7919 % 1000}q" for k in range(600)]
+    names = ["".join(rng.choice("bcdfghjklmnp") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    rows, truth = [], {}
+    for i in range(9000):
+        ws = [rng.choice(words) for _ in range(rng.randint(5, 40))]
+        insult, group = rng.random() < 0.2, rng.random() < 0.4
+        ws += ["insult"] * insult + [rng.choice(names)] * group
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws)))
+        truth[i] = int(insult and group)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r.tox_predicted for r in score_toxicity(docs, lab, F.col("doc_id") % 5 != 0).collect()}
+    held = [i for i in truth if i % 5 == 0]
+    toxic = [i for i in held if truth[i]]
+    assert sum(got[i] for i in toxic) / len(toxic) > 0.9
+    assert sum(got[i] == truth[i] for i in held) / len(held) > 0.97
+
+
 def test_toxicity_edge_rows(spark):
     docs = spark.createDataFrame([(1, "fine"), (2, None), (3, ""), (None, "bad " * 20000), (1, "fine"), (4, "...")], "doc_id long, text string")
     for labels in ([], [(1, 0), (2, 0)], [(1, 1)], [(1, None), (None, 1)]):
