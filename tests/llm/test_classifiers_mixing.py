@@ -32,6 +32,27 @@ def test_language_id_edge_rows(spark):
     assert language_id(df.limit(0), train).count() == 0
 
 
+def test_language_id_rejects_mixed_foreign_and_junk(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    rng = random.Random(3)
+    clean = docs.where(~training_rows() & (F.length("text") >= 800)).orderBy("doc_id").collect()
+    by = {lang: [r.text[:2000] for r in clean if r.lang == lang] for lang in {r.lang for r in clean if r.lang}}
+    langs = sorted(by)
+    mixed = [" ".join(x for k in (0, 400) for x in (a[k:k + 400], b[k:k + 400]))
+             for i, lang in enumerate(langs) for a, b in zip(by[lang][:8], by[langs[i - 1]][:8])]
+    halves = [a[:800] + " " + b[:800] for i, lang in enumerate(langs) for a, b in zip(by[lang][:8], by[langs[i - 1]][:8])]
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in [30, 200, 3000] * 5]
+    foreign = ["Это русское предложение, которого модель никогда не видела и которое надо отклонить. ",
+               "Αυτή είναι μια πρόταση που το μοντέλο δεν έχει δει ποτέ. ", "这是一个模型从未见过的句子,应该被拒绝。"]
+    made = [(f"{kind}-{i}", t, None) for kind, texts in (("mixed", mixed), ("halves", halves), ("junk", junk), ("foreign", foreign)) for i, t in enumerate(texts)]
+    got = language_id(docs.union(spark.createDataFrame(made, docs.schema)), training_rows() & ~F.col("doc_id").contains("-")).collect()
+    gone = {r.doc_id: r.lang_rejected for r in got}
+    share = {kind: sum(v for k, v in gone.items() if k.startswith(kind)) / len(texts)
+             for kind, texts in (("mixed", mixed), ("halves", halves), ("junk", junk), ("foreign", foreign))}
+    assert share["junk"] == share["foreign"] == 1 and share["mixed"] > 0.8 and share["halves"] > 0.8, share
+    assert sum(gone[r.doc_id] for r in clean) <= 5
+
+
 def toxic_rows():
     rng = random.Random(1)
     words = [f"word{k}" for k in range(300)]
