@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_bucket
+from .fim import ORACLE as FIM_ORACLE
+from .fim import digests, fill_in_middle
 from .langid import language_id, training_rows
 from .lines import ORACLE as LINE_ORACLE
 from .lines import duplicate_lines
@@ -104,3 +106,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_bucket(F.col("doc_id"), 5) == 0
     return score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out).select(
         "doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+
+@register("op11_displacement_fim", FIM_ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
