@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import ORACLE as AUDIT_ORACLE
+from .audit import filter_audit
 from .common import id_bucket
 from .fim import ORACLE as FIM_ORACLE
 from .fim import digests, fill_in_middle
@@ -111,3 +113,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_displacement_fim", FIM_ORACLE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@register("op13_filter_audit", AUDIT_ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
