@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .audit import ORACLE as AUDIT_ORACLE
 from .audit import filter_audit
 from .common import id_bucket
+from .extract import extract_main_text
 from .fim import ORACLE as FIM_ORACLE
 from .fim import digests, fill_in_middle
 from .langid import language_id, training_rows
@@ -115,6 +116,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@register("op12_boosted_dom")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
 @register("op13_filter_audit", AUDIT_ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
