@@ -85,23 +85,24 @@ def metadata_enrich(confirms: DataFrame, inventory: DataFrame, *, key: str, user
 
 def metadata_enrich_interval(confirms: DataFrame, objects: DataFrame, *, key: str, confirm_ts: str,
                              user_id: str, obj_key: str, obj_ts: str, size_col: str, type_col: str,
-                             wait: str = "1 hour") -> DataFrame:
-    """T9: a confirmation is saved if its object is there already or shows up
+                             wait: str = "1 hour", retention: str | None = None) -> DataFrame:
+    """T9: a confirmation is saved if its object is there already (since ``retention`` at most, where given) or shows up
     within ``wait`` after it, else it is dead-lettered.
 
-    Batch twin of :func:`reelspark.streaming.flows.metadata_enrich_stream` - an
-    equi join on the key plus a time range, with one object per key.
+    Batch twin of :func:`reelspark.streaming.flows.metadata_enrich_stream`: an equi join on the key, the times compared
+    afterwards.  Of several objects of a key the one with the least (time, size, type) counts, so every confirmation is one row.
     """
-    o = objects.select(F.col(obj_key).alias("__ok"), F.col(obj_ts).alias("__ot"),
-                       F.col(size_col).alias("size_bytes"), F.col(type_col).alias("content_type"))
-    cond = ((confirms[key] == o["__ok"])
-            & (o["__ot"] <= confirms[confirm_ts] + F.expr(f"INTERVAL {wait}")))
-    j = confirms.join(o, cond, "left")
-    outcome = (F.when(~S.is_uuid(F.col(user_id)), "reject")
-               .when(F.col("__ok").isNull(), "dead")
-               .otherwise("saved"))
+    first = F.min(F.struct(F.col(obj_ts).alias("t"), F.col(size_col).cast("long").alias("s"), F.col(type_col).alias("c"))).alias("__o")
+    o = objects.groupBy(F.col(obj_key).alias("__ok")).agg(first)
+    j = confirms.join(o, confirms[key] == o["__ok"], "left")
+    there = F.col("__o").isNotNull() & (F.col("__o.t") <= F.col(confirm_ts) + F.expr(f"INTERVAL {wait}"))
+    if retention is not None:
+        there = there & (F.col("__o.t") >= F.col(confirm_ts) - F.expr(f"INTERVAL {retention}"))
+    outcome = (F.when(~F.coalesce(S.is_uuid(F.col(user_id)), F.lit(False)), "reject")
+               .when(F.coalesce(there, F.lit(False)), "saved")
+               .otherwise("dead"))
     saved = outcome == "saved"
     return (j.withColumn("outcome", outcome)
-             .withColumn("size_bytes", F.when(saved, F.col("size_bytes")))
-             .withColumn("content_type", F.when(saved, F.col("content_type")))
-             .drop("__ok", "__ot"))
+             .withColumn("size_bytes", F.when(saved, F.col("__o.s")))
+             .withColumn("content_type", F.when(saved, F.col("__o.c")))
+             .drop("__ok", "__o"))

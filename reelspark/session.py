@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Defaults for a session this package creates itself (tests, bench).  A
 # session handed in by a cluster keeps its own settings.
 DEFAULT_CONF = {
@@ -18,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches stay small so a Python fold never holds a hot key whole.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    # Keyed stream state lives in RocksDB, on disk; its list states and timers are what the stream forms use.
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 
 
@@ -91,8 +95,7 @@ def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
     }
 
 

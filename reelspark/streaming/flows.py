@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import scalars as S
 from ..operators import messages as M
 from ..operators import mutate
 from ..sources import messages as SM
 from ..operators.ordered import as_is, as_long, fold_schema
-from .state import keyed_fold_stream
+from ..functions.timecols import epoch_ms
+from .state import Await, Hold, arrived, keyed_fold_stream
 
 
 # T1 ----------------------------------------------------------------------
@@ -63,28 +63,14 @@ def retry_stream(failures: DataFrame, *, message_key: str, ts: str, id_col: str,
 def retry_hold_stream(failures: DataFrame, *, id_col: str, delay_ms: int = 1000) -> DataFrame:
     """Hold every failed message for ``delay_ms`` after it arrives, then release it; the input's columns.
 
-    State per message is the message itself; a processing-time timer releases it, with or without new
-    input, so held messages do not wait for traffic.  A message that fails again while it is held is
-    released once, as it came last.  Run it with a continuous trigger: a held message keeps the query
-    busy until it is due.
+    Each delivery waits on its own: two of one id within the hold come out twice, each when it is due.  Timers
+    are on processing time, so held messages do not wait for traffic, and what is held survives a restart.
+    Run it with a continuous trigger: a held message keeps the query busy until it is due.
     """
     cols = failures.columns
-    row = F.to_json(F.struct(*[F.col(c) for c in cols])).alias("__row")
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            (text,) = state.get
-            state.remove()
-            yield pd.DataFrame({"row": [text]})
-            return
-        for pdf in pdfs:
-            if len(pdf):
-                state.update((pdf["__row"].iloc[-1],))
-        state.setTimeoutDuration(int(delay_ms))
-
-    held = failures.select(F.col(id_col).alias("__id"), row).groupBy("__id").applyInPandasWithState(
-        fn, "row string", "row string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return held.select(F.from_json("row", failures.schema).alias("r")).select("r.*")
+    keyed = failures.withColumn("__id", F.col(id_col))
+    return keyed.groupBy("__id").transformWithStateInPandas(
+        Hold(keyed.columns, cols, int(delay_ms)), failures.schema, "Append", "ProcessingTime")
 
 
 # T8 ----------------------------------------------------------------------
@@ -192,31 +178,40 @@ def route_file_sink(routed: DataFrame, out_dir: str, checkpoint: str):
 # T9 ----------------------------------------------------------------------
 def metadata_enrich_stream(confirms: DataFrame, objects: DataFrame, *, key: str, confirm_ts: str, user_id: str,
                            obj_key: str, obj_ts: str, size_col: str, type_col: str, wait: str = "1 hour",
-                           retention: str = "7 days", delay: str = "10 minutes") -> DataFrame:
-    """Stream-stream left outer join: a confirmation finds an object that is there already, or
-    that shows up within ``wait``.
-
-    Both sides carry event-time watermarks (``delay`` of lateness), so join state is bounded: an
-    object is remembered for ``retention`` of event time (a confirmation later than that does not
-    find it), and a confirmation whose window has closed is emitted without an object (``dead``).
-    One object per key; times are wall-clock (NTZ) and are carried as instants for the watermark.
+                           retention: str | None = "7 days", lag: str = "1 hour",
+                           confirm_arrival: Column | None = None, obj_arrival: Column | None = None) -> DataFrame:
+    """A confirmation finds an object that is there already, or that shows up within ``wait``: every confirmation once.
+
+    Both inputs are one union, keyed by the object's key.  ``outcome`` as in the batch form
+    (``messages.metadata_enrich_interval`` with the same ``wait`` and ``retention``): ``reject`` at once, ``saved`` or ``dead`` as soon as
+    the object is known, and a confirmation without an object waits ``wait + lag`` of *arrival* time and is then ``dead`` - or
+    ``late`` if it was itself over ``lag`` old when it came, so that its object may have been forgotten meanwhile.
+    No watermark on event time is involved, so a source behind the other loses nothing; up to ``lag`` behind, results
+    equal the batch form's.  An object is remembered for ``retention + wait + lag`` of arrival time (``None``: for ever).  Of several
+    objects of a key the one with the least time counts.  Arrival is the micro-batch's clock, or the columns
+    given (``state.arrived``), which is how old rows are replayed.  Confirmations with a null key wait for no object.
     """
-    c = (confirms.withColumn("__cts", F.col(confirm_ts).cast("timestamp"))
-                 .withWatermark("__cts", delay))
-    o = (objects.select(F.col(obj_key).alias("__ok"), F.col(obj_ts).cast("timestamp").alias("__ots"),
-                        F.col(size_col).alias("size_bytes"), F.col(type_col).alias("content_type"))
-                .withWatermark("__ots", delay))
-    cond = ((c[key] == o["__ok"]) & (o["__ots"] >= c["__cts"] - F.expr(f"INTERVAL {retention}"))
-            & (o["__ots"] <= c["__cts"] + F.expr(f"INTERVAL {wait}")))
-    j = c.join(o, cond, "leftOuter")
-    outcome = (F.when(~S.is_uuid(F.col(user_id)), "reject")
-               .when(F.col("__ok").isNull(), "dead")
-               .otherwise("saved"))
-    saved = outcome == "saved"
-    return (j.withColumn("outcome", outcome)
-             .withColumn("size_bytes", F.when(saved, F.col("size_bytes")))
-             .withColumn("content_type", F.when(saved, F.col("content_type")))
-             .drop("__ok", "__ots", "__cts"))
+    cols = confirms.columns
+    ms = {n: None if t is None else int(pd.Timedelta(t).total_seconds() * 1000) for n, t in (("wait", wait), ("retention", retention), ("lag", lag))}
+    clock = F.current_timestamp()
+    c = confirms.select(*[F.col(n).alias(f"__c{i}") for i, n in enumerate(cols)], F.col(key).alias("__key"), F.lit(1).alias("__kind"),
+                        epoch_ms(F.col(confirm_ts)).alias("__t"), F.lit(None).cast("long").alias("__size"), F.lit(None).cast("string").alias("__type"),
+                        (clock if confirm_arrival is None else confirm_arrival).cast("timestamp").alias("__at"), S.is_uuid(F.col(user_id)).alias("__user"))
+    empty = [F.lit(None).cast(f.dataType).alias(f"__c{i}") for i, f in enumerate(confirms.schema)]
+    o = objects.select(*empty, F.col(obj_key).alias("__key"), F.lit(0).alias("__kind"), epoch_ms(F.col(obj_ts)).alias("__t"),
+                       F.col(size_col).cast("long").alias("__size"), F.col(type_col).alias("__type"),
+                       (clock if obj_arrival is None else obj_arrival).cast("timestamp").alias("__at"), F.lit(True).alias("__user"))
+    names = [f"__c{i}" for i in range(len(cols))]
+    schema = T.StructType([T.StructField(f"__c{i}", f.dataType) for i, f in enumerate(confirms.schema)]).add("outcome", "string") \
+        .add("size_bytes", "long").add("content_type", "string")
+    both = c.where("__user AND __key IS NOT NULL").drop("__user").unionByName(o.where("__key IS NOT NULL").drop("__user"))
+    both = arrived(both, F.col("__at")).drop("__at")
+    told = both.groupBy("__key").transformWithStateInPandas(
+        Await(both.columns, names, ms["wait"], ms["retention"], ms["lag"]), schema, "Append", "EventTime")
+    at_once = c.where("NOT coalesce(__user, false) OR __key IS NULL").select(
+        *names, F.when(F.coalesce("__user", F.lit(False)), "dead").otherwise("reject").alias("outcome"),
+        F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("content_type"))
+    return told.unionByName(at_once).select(*[F.col(f"__c{i}").alias(n) for i, n in enumerate(cols)], "outcome", "size_bytes", "content_type")
 
 
 def _path(spark: SparkSession, path: str):

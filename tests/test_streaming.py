@@ -1,10 +1,13 @@
 """Stream forms equal their batch twins on the same input split into files."""
 
+import datetime as dt
 import os
+import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from reelspark.functions.timecols import epoch_ms, ntz, plus
 from reelspark.operators import lifecycle, messages, mutate, ratelimit
@@ -180,34 +183,84 @@ def test_message_files_stream_decodes(spark, scratch):
     assert got.count() == bodies.count() and got.filter("valid").count() < got.count()
 
 
-def test_metadata_enrich_stream_stream_join(spark, stream_dir, scratch):
-    from reelspark.functions import scalars as S
+ENRICH = dict(key="object_key", confirm_ts="ts", user_id="user_uuid", obj_key="event_id", obj_ts="ts", size_col="size", type_col="ctype",
+              wait="1 hour", retention="7 days")
 
-    def confirms(df):
-        return (df.filter(F.col("event_type") == "click")
-                  .select("event_id", "ts", (F.col("event_id") + 3 - 6 * (F.col("event_id") % 2)).alias("object_key"),
-                          F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(S.uuid_text(F.col("user_id")))
-                          .alias("user_uuid")))
-
-    def objects(df):
-        return df.select("event_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("size"),
-                         F.col("event_type").alias("ctype"))
-
-    kw = dict(key="object_key", confirm_ts="ts", user_id="user_uuid", obj_key="event_id", obj_ts="ts",
-              size_col="size", type_col="ctype", wait="1 hour")
-    s = flows.metadata_enrich_stream(confirms(events_stream(spark, stream_dir)), objects(events_stream(spark, stream_dir)),
-                                     **kw, retention="60 days", delay="0 seconds")
-    got = {(r.event_id, r.outcome, r.size_bytes) for r in run_stream(spark, s, scratch).collect()}
+
+def lagging(spark, scratch, lag_s):
+    """Confirmations and objects as queues whose confirmations come ``lag_s`` behind; files in order of arrival."""
+    from reelspark.functions import scalars as S
     ev = tables.read_table(spark, SF001, "events")
-    b = messages.metadata_enrich_interval(confirms(ev), objects(ev), **kw)
-    want = {(r.event_id, r.outcome, r.size_bytes) for r in b.collect()}
-    # the final watermark is the minimum of both inputs' latest event times
-    last = min(confirms(ev).agg(F.max("ts")).first()[0], objects(ev).agg(F.max("ts")).first()[0])
-    import datetime as dt
-    ts_of = {r.event_id: r.ts for r in ev.select("event_id", "ts").collect()}
-    closed = {w for w in want if ts_of[w[0]] + dt.timedelta(hours=1) < last or w[1] == "saved"}
-    assert got <= want and closed <= got
-    assert {o for _, o, _ in closed} == {"saved", "dead", "reject"}
+    confirms = ev.filter(F.col("event_type") == "click").select(
+        "event_id", "ts", (F.col("event_id") + 3 - 6 * (F.col("event_id") % 2)).alias("object_key"),
+        F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(S.uuid_text(F.col("user_id"))).alias("user_uuid"))
+    objects = ev.filter(F.col("event_id") % 7 != 0).select("event_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("size"), F.col("event_type").alias("ctype"))
+    out = []
+    for name, df, late in (("c", confirms, lag_s), ("o", objects, 0)):
+        d = os.path.join(scratch, name)
+        df = df.withColumn("came", plus(F.col("ts"), seconds=late))
+        for k, day in enumerate((1, 4, 7, 13, 19, 25, 31)):
+            lo = ntz("2024-01-01 00:00:00") if day == 1 else ntz(f"2024-01-{day:02d} 00:00:00")
+            hi = {1: 4, 4: 7, 7: 13, 13: 19, 19: 25, 25: 31}.get(day)
+            part = df.where((F.col("came") >= lo) & (F.col("came") < ntz(f"2024-01-{hi:02d} 00:00:00"))) if hi else df.where(F.col("came") >= lo)
+            part.coalesce(1).write.mode("append").parquet(d)
+            for f in os.listdir(d):
+                if f.startswith("part-") and not os.path.exists(os.path.join(scratch, f)):
+                    os.utime(os.path.join(d, f), (1_700_000_000 + k * 60, 1_700_000_000 + k * 60))
+                    open(os.path.join(scratch, f), "w").close()
+        out.append((df, flows.file_stream(spark, d, df.schema)))
+    return out
+
+
+@pytest.mark.parametrize("lag_s", [0, 3600])
+def test_confirmations_of_a_lagging_source_come_out_once(spark, scratch, lag_s):
+    (confirms, cs), (objects, os_) = lagging(spark, scratch, lag_s)
+    s = flows.metadata_enrich_stream(cs, os_, **ENRICH, lag="2 hours", confirm_arrival=F.col("came"), obj_arrival=F.col("came"))
+    got = sorted(tuple(map(str, r)) for r in run_stream(spark, s, scratch).collect())
+    batch = messages.metadata_enrich_interval(confirms, objects, **ENRICH)
+    want = sorted(tuple(map(str, r)) for r in batch.select(*s.columns).collect())
+    # what still waits when the queues end comes out as the stream's clock moves on
+    last = confirms.agg(F.max("came")).first()[0]
+    still = {w for w in want if w[-3] == "dead" and T(w[4]) > last - dt.timedelta(hours=3, minutes=2)}
+    assert len(got) == len(set(got)) and set(got) <= set(want) and set(want) - set(got) <= still
+    assert {w[-3] for w in got} == {"saved", "dead", "reject"} and len(still) < 10
+
+
+def test_a_confirmation_further_behind_is_marked_late(spark, scratch):
+    c = [(1, T("2024-01-01 10:00:00"), 5, "6f1c1f7e-0f0b-4a0e-9d5c-0a1b2c3d4e5f", T("2024-01-03 10:00:00")),
+         (2, T("2024-01-03 10:00:00"), 6, "6f1c1f7e-0f0b-4a0e-9d5c-0a1b2c3d4e5f", T("2024-01-03 10:00:00")),
+         (2, T("2024-01-03 10:00:00"), 6, "6f1c1f7e-0f0b-4a0e-9d5c-0a1b2c3d4e5f", T("2024-01-03 10:00:00")),
+         (3, T("2024-01-09 10:00:00"), None, "6f1c1f7e-0f0b-4a0e-9d5c-0a1b2c3d4e5f", T("2024-01-09 10:00:00")),
+         (4, T("2024-01-09 10:00:00"), 7, "6f1c1f7e-0f0b-4a0e-9d5c-0a1b2c3d4e5f", T("2024-01-09 10:00:00"))]    # still waits at the end
+    schema = "event_id long, ts timestamp_ntz, object_key long, user_uuid string, came timestamp_ntz"
+    d = skewed_files(spark, scratch, [c[:3], c[3:]], schema)
+    objects = spark.createDataFrame([(9, T("2024-01-01 00:00:00"), None, "x", T("2024-01-01 00:00:00"))], "event_id long, ts timestamp_ntz, size long, ctype string, came timestamp_ntz")
+    objects.coalesce(1).write.parquet(os.path.join(scratch, "o"))
+    s = flows.metadata_enrich_stream(flows.file_stream(spark, d, spark.createDataFrame([], schema).schema),
+                                     flows.file_stream(spark, os.path.join(scratch, "o"), objects.schema), **ENRICH,
+                                     confirm_arrival=F.col("came"), obj_arrival=F.col("came"))
+    got = sorted((r.event_id, r.outcome, r.ts, r.object_key) for r in run_stream(spark, s, scratch).collect())
+    assert got == [(1, "late", c[0][1], 5), (2, "dead", c[1][1], 6), (2, "dead", c[1][1], 6), (3, "dead", c[3][1], None)]
+
+
+def test_a_source_that_stalls_and_resumes(spark, scratch):
+    """The stream runs on for other keys; the stalled key's bucket is as it was."""
+    schema = "client string, ts timestamp_ntz, id string, came timestamp_ntz"
+    a = [("a", T("2024-01-01 10:00:00"), f"a{k}", T("2024-01-01 10:00:00")) for k in range(6)]
+    b = [("b", T("2024-01-01 10:00:00") + dt.timedelta(minutes=10 * k), f"b{k}", T("2024-01-01 10:00:00") + dt.timedelta(minutes=10 * k)) for k in range(13)]
+    again = [("a", T("2024-01-01 10:00:01"), f"c{k}", T("2024-01-01 12:30:00")) for k in range(6)]
+    parts = [a, *[[r] for r in b], again]
+    d = skewed_files(spark, scratch, parts, schema)
+    rows = spark.createDataFrame([r for p in parts for r in p], schema)
+    st = flows.file_stream(spark, d, rows.schema)
+    p = dict(key="client", ts="ts", id_col="id", capacity=6, rate=1, per_ms=60_000, idle_ms=3_600_000)
+    out = run_stream(spark, ratelimit.token_bucket_stream(st, **p, init=6, arrival=F.col("came")), scratch)
+    batch = {tuple(r) for r in ratelimit.token_bucket(rows, **p, init=6).collect()}
+    assert {tuple(r)[:-1] for r in out.collect()} == batch and not any(r[3] for r in batch if r[1] == "c0")
+    # where the retention is shorter than the stall, state goes and the bucket is a fresh one
+    scratch2 = os.path.join(scratch, "short")
+    out = run_stream(spark, ratelimit.token_bucket_stream(st, **p, init=6, arrival=F.col("came"), evict_ms=3_600_000), scratch2)
+    assert {r.id: r.allowed for r in out.collect()}["c0"]
 
 
 def test_admission_job_exactly_once_sink(spark, stream_dir, scratch):
@@ -323,22 +376,43 @@ def test_failed_read_of_an_existing_table_overwrites_nothing(spark, scratch, mon
             spark.createDataFrame([(1, 11, "c")], schema), 2)
 
 
-def test_retry_is_held_and_then_released(spark, scratch):
-    import time
-    schema = "id long, body string, ts timestamp_ntz"
-    rows = [(1, "a", T("2024-01-01 10:00:00")), (2, "b", T("2024-01-01 10:00:01"))]
-    d = os.path.join(scratch, "failed")
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(d)
-    name = "h" + uuid.uuid4().hex[:8]
-    held = flows.retry_hold_stream(flows.file_stream(spark, d, spark.createDataFrame([], schema).schema), id_col="id", delay_ms=3000)
-    q = (held.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(processingTime="1 second").start())
+def held_stream(spark, d, name, ckpt, delay_ms):
+    held = flows.retry_hold_stream(flows.file_stream(spark, d, T_HELD), id_col="id", delay_ms=delay_ms)
+    return (held.writeStream.format("parquet").outputMode("append").option("path", name)
+            .option("checkpointLocation", ckpt).trigger(processingTime="1 second").start())
+
+
+T_HELD = types.StructType([types.StructField("id", types.LongType()), types.StructField("body", types.StringType()),
+                           types.StructField("ts", types.TimestampNTZType()), types.StructField("n", types.IntegerType())])
+
+
+def wait_for(test, seconds=120):
+    end = time.time() + seconds
+    while time.time() < end and not test():
+        time.sleep(0.3)
+    assert test()
+
+
+def rows_in(spark, path):
+    try:
+        return sorted(tuple(r) for r in spark.read.schema(T_HELD).parquet(path).collect())
+    except Exception:  # noqa: BLE001 - nothing written yet
+        return []
+
+
+def test_every_delivery_is_held_and_released_also_after_a_restart(spark, scratch):
+    rows = [(1, "a", T("2024-01-01 10:00:00.123456"), 1), (2, "b", T("2024-01-01 10:00:01"), None), (1, "a", T("2024-01-01 10:00:00.123456"), 1),
+            (1, "again", None, 2)]
+    d, out, ckpt = (os.path.join(scratch, n) for n in ("failed", "out", "ck"))
+    spark.createDataFrame(rows[:3], T_HELD).coalesce(1).write.mode("append").parquet(d)
+    q = held_stream(spark, d, out, ckpt, 12_000)
+    wait_for(lambda: any(p["numInputRows"] for p in q.recentProgress))
+    q.stop()
+    assert rows_in(spark, out) == []                       # still held
+    spark.createDataFrame(rows[3:], T_HELD).coalesce(1).write.mode("append").parquet(d)
+    q = held_stream(spark, d, out, ckpt, 12_000)
     try:
-        end = time.time() + 90
-        while time.time() < end and not (q.lastProgress or {}).get("numInputRows") and spark.table(name).count() == 0:
-            time.sleep(0.2)
-        while time.time() < end and spark.table(name).count() < 2:
-            time.sleep(0.5)
+        wait_for(lambda: len(rows_in(spark, out)) == 4)
+        assert sorted(map(str, rows_in(spark, out))) == sorted(map(str, rows))
     finally:
         q.stop()
-    assert sorted(tuple(r) for r in spark.table(name).collect()) == rows
