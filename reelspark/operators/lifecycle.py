@@ -44,7 +44,7 @@ def token_lifecycle(issues: DataFrame, uses: DataFrame, *, key: str, issue_ts: s
                       F.col(issue_id).alias("id"))
     u = uses.select(F.col(key).alias("k"), F.col(use_ts).alias("t"), F.lit(1).alias("kind"),
                     F.col(use_id).alias("id"))
-    s = time_buckets(_union_stream(i, u), ["k"], epoch_ms(F.col("t")), bucket_ms, "__b")
+    s = time_buckets(_union_stream(i, u), ["k"], epoch_ms(F.col("t")), bucket_ms, "__b", ["t", "kind", "id"])
     s = keyed_running_max(s, ["k"], "__b", ["t", "kind", "id"],
                           F.when(F.col("kind") == 0, F.struct(F.col("t").alias("t"), F.col("id").alias("id"))),
                           "owner", also_exclusive="prev_issue")
@@ -103,8 +103,8 @@ def blocklist_check(requests: DataFrame, blocks: DataFrame, *, key: str, req_ts:
     r = requests.select("*", F.col(key).alias("__k"), F.col(req_ts).alias("__t"), F.lit(1).alias("__kind"),
                         F.col(req_id).alias("__id"))
     b = blocks.select(F.col(key).alias("__k"), F.col(block_ts).alias("__t"), F.lit(0).alias("__kind"),
-                      F.lit(None).cast("long").alias("__id"), block_expire.alias("__exp"))
-    s = time_buckets(_union_stream(r, b), ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b")
+                      F.lit(None).cast(requests.schema[req_id].dataType).alias("__id"), block_expire.alias("__exp"))
+    s = time_buckets(_union_stream(r, b), ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b", ["__t", "__kind", "__id"])
     s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"],
                           F.when(F.col("__kind") == 0, F.col("__exp")), "__maxexp")
     s = s.filter(F.col("__kind") == 1)
@@ -132,7 +132,7 @@ def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts:
     res = F.col(result_col) if result_col else F.lit(None).cast("string")
     st = statuses.select(F.col(key).alias("__k"), F.col(status_ts).alias("__t"), F.lit(0).alias("__kind"),
                          F.col(status_id).alias("__id"), F.col(status_col).alias("__st"), res.alias("__res"))
-    s = time_buckets(_union_stream(p, st), ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b")
+    s = time_buckets(_union_stream(p, st), ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b", ["__t", "__kind", "__id"])
     val = F.when(F.col("__kind") == 0, F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"),
                                                F.col("__st").alias("status"), F.col("__res").alias("result")))
     s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"], val, "__last")

@@ -4,6 +4,8 @@ are bulk operations over request and time-series tables."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from ..session import reliable_checkpoint
 from .ordered import DEFAULT_BUCKET_MS, time_buckets, keyed_running_max
 
 
+#: Times of a grid that one row makes.
+GRID_BLOCK = 1000
+
+
 # C1 / F6 - F8 ------------------------------------------------------------
 def conversion_plan(requests: DataFrame, *, start: str, end: str, fps: str, width: str, loop: str) -> DataFrame:
     """Normalised parameters and the two filter texts of a conversion request.
@@ -53,18 +59,22 @@ def series_resample(series: DataFrame, keys: DataFrame, *, key: str, ts: str, id
                     bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Sample a per-key time series on a regular grid: the last value at or before each grid time.
 
-    The grid is generated per key (``explode(sequence)``, no cross join); grid
-    and samples are one time-ordered stream per key and the as-of value is a
-    running max (samples sort before grid points at the same instant).
+    The grid is generated per key in two steps, blocks and then the times of a block (no cross join, and no row
+    holds a long grid); grid and samples are one time-ordered stream per key and the as-of value is a
+    running max (samples sort before grid points at the same instant).  Sample ids may be of any sortable type.
     """
-    grid = keys.select(F.col(key).alias("__k"),
-                       F.explode(F.sequence(grid_start, grid_end, F.expr(f"INTERVAL {step}"))).alias("__t"))
-    grid = grid.select("__k", "__t", F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__id"))
+    every = F.expr(f"INTERVAL {step}")
+    if re.search("month|year", step, re.I):         # calendar steps are few, and do not add up
+        grid = keys.select(F.col(key).alias("__k"), F.explode(F.sequence(grid_start, grid_end, every)).alias("__t"))
+    else:
+        grid = keys.select(F.col(key).alias("__k"), grid_end.alias("__end"), F.explode(F.sequence(grid_start, grid_end, every * GRID_BLOCK)).alias("__from")) \
+            .select("__k", F.explode(F.sequence("__from", F.least(F.col("__from") + every * (GRID_BLOCK - 1), "__end"), every)).alias("__t"))
+    grid = grid.select("__k", "__t", F.lit(1).alias("__kind"), F.lit(None).cast(series.schema[id_col].dataType).alias("__id"))
     pts = (series.filter(F.col(ts) <= grid_end)
                  .select(F.col(key).alias("__k"), F.col(ts).alias("__t"), F.lit(0).alias("__kind"),
                          F.col(id_col).alias("__id"), F.col(value).alias("__v")))
     s = grid.unionByName(pts, allowMissingColumns=True)
-    s = time_buckets(s, ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b")
+    s = time_buckets(s, ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b", ["__t", "__kind", "__id"])
     s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"],
                           F.when(F.col("__kind") == 0, F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"),
                                                                 F.col("__v").alias("v"))), "__last")

@@ -30,8 +30,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import reliable_checkpoint
-
 DEFAULT_BUCKET_MS = 3_600_000  # one hour of event time per window task
 
 
@@ -128,34 +126,49 @@ def bucket_of(t: Column, bucket_ms: int) -> Column:
     return F.coalesce(time_bucket(t, bucket_ms), F.lit(-1).cast("bigint"))
 
 
-#: Rows of one key in one time bucket above which the bucket is split, and the split buckets up to
-#: which their list is broadcast (beyond it the join shuffles).
+#: Rows of one key in one time bucket above which the bucket is cut into slices, and slices at most.
 DENSE_ROWS = 1_000_000
-BROADCAST_ROWS = 10_000
-SPLIT = 1 << 22
+SLICES = 1024
+#: Only the densest buckets are cut, so that the table of cuts is bounded (about 10 MB) and may be broadcast: a
+#: bucket beyond them holds less than one row in so many.
+DENSE_BUCKETS = 256
+#: Cuts of a bucket are looked up in two steps, by the first of each run of so many.
+RUN = 32
+
 
+def time_buckets(df: DataFrame, keys: Sequence[str], t_ms: Column, bucket_ms: int, out: str, order: Sequence[str]) -> DataFrame:
+    """Add ``out``, a bucket that is monotone in ``order`` per key and holds few rows of any key.
 
-def time_buckets(df: DataFrame, keys: Sequence[str], t_ms: Column, bucket_ms: int, out: str) -> DataFrame:
-    """Add ``out``, a time bucket that is monotone in ``t_ms`` per key and holds few rows of any key.
+    Rows go by their time, and a time bucket in which a key is dense is cut further by the whole order, ties and all: at
+    rows drawn from it.  So a burst at one instant, and rows without a time, spread too.  Which rows share a
+    bucket never changes a result, only how the work is dealt out.
 
-    A map-side count per (key, bucket) finds the dense ones; each is cut into equal time slices, as
-    many as it has ``DENSE_ROWS``.  Without dense buckets the plan has no join.
+    Nothing runs while the plan is built: dense buckets are told from a hashed sample of the rows, about 1000 of
+    ``DENSE_ROWS``, of which each of ``SLICES`` hash classes keeps one a bucket before the shuffle; without a dense bucket
+    the join finds an empty table, which adaptive execution removes.
     """
-    df = df.withColumn(out, bucket_of(t_ms, bucket_ms))
-    dense = (df.groupBy(*keys, out).agg(F.count(F.lit(1)).alias("__dn")).where(F.col("__dn") > DENSE_ROWS)
-             .select(*[F.col(c).alias(f"__d{i}") for i, c in enumerate([*keys, out])],
-                     F.least(F.lit(SPLIT - 1), F.ceil(F.col("__dn") / DENSE_ROWS)).cast("bigint").alias("__splits")))
-    dense = reliable_checkpoint(dense)
-    n = dense.count()
-    if not n:
-        return df
+    one_in = max(1, DENSE_ROWS // 1000)
+    df = df.withColumn(out, bucket_of(t_ms, bucket_ms) * F.lit(SLICES))
+    h, place = F.xxhash64(*order), F.struct(*order)
+    drawn = df.where(F.pmod(h, F.lit(one_in)) == 0).select(*keys, out, h.alias("__h"), place.alias("__o"))
+    drawn = drawn.groupBy(*keys, out, F.pmod(F.shiftright("__h", 20), F.lit(SLICES)).alias("__class")) \
+        .agg(F.count(F.lit(1)).alias("__dn"), F.min(F.struct("__h", "__o")).alias("__one"))
+    renamed = [F.col(c).alias(f"__d{i}") for i, c in enumerate([*keys, out])]
+    dense = drawn.groupBy(*keys, out).agg((F.sum("__dn") * one_in).alias("__dn"), F.array_sort(F.collect_list("__one.__o")).alias("__drawn")) \
+        .where(F.col("__dn") > DENSE_ROWS) \
+        .select(*renamed, "__dn", "__drawn", F.least(F.lit(SLICES), F.ceil(F.col("__dn") / DENSE_ROWS)).cast("int").alias("__n")) \
+        .orderBy(F.col("__dn").desc()).limit(DENSE_BUCKETS)
+    cuts = F.transform(F.sequence(F.lit(1), F.col("__n") - 1), lambda i: F.get("__drawn", F.floor(i * F.size("__drawn") / F.col("__n")).cast("int")))
+    runs = F.transform(F.sequence(F.lit(1), F.size("__at"), F.lit(RUN)), lambda i: F.slice("__at", i, RUN))
+    dense = dense.withColumn("__at", cuts).select(*[f"__d{i}" for i in range(len(renamed))], runs.alias("__cuts"))
     cond = F.lit(True)
     for i, c in enumerate([*keys, out]):
         cond = cond & df[c].eqNullSafe(dense[f"__d{i}"])
-    j = df.join(F.broadcast(dense) if n <= BROADCAST_ROWS else dense, cond, "left")
-    slice_ = F.floor(F.pmod(t_ms, F.lit(bucket_ms)) * F.col("__splits") / F.lit(bucket_ms)).cast("bigint")
-    return (j.withColumn(out, F.col(out) * F.lit(SPLIT).cast("bigint") + F.coalesce(slice_, F.lit(0).cast("bigint")))
-             .drop("__splits", *[f"__d{i}" for i in range(len(keys) + 1)]))
+    j = df.join(F.broadcast(dense), cond, "left")
+    run = F.size(F.filter("__cuts", lambda r: F.get(r, 0) <= place))
+    within = F.size(F.filter(F.get("__cuts", run - 1), lambda c: c <= place))
+    slice_ = F.when(F.col("__cuts").isNull() | (run == 0), F.lit(0)).otherwise((run - 1) * RUN + within)
+    return j.withColumn(out, F.col(out) + slice_).drop("__cuts", *[f"__d{i}" for i in range(len(renamed))])
 
 
 def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
@@ -176,7 +189,7 @@ def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     (the first row's gap) and the latest sync time of all earlier buckets.
     """
     b = "__bk_seg"
-    df, gk = group_keys(time_buckets(df, keys, F.col(t_col), bucket_ms, b), keys)
+    df, gk = group_keys(time_buckets(df, keys, F.col(t_col), bucket_ms, b, [t_col, id_col]), keys)
     w = Window.partitionBy(*gk, b).orderBy(t_col, id_col)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("__lag", F.lag(t_col).over(w))
@@ -212,7 +225,7 @@ def keyed_position(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     """
     b = "__pos_b"
     tm = F.col(t_col) if t_ms is None else t_ms
-    df, gk = group_keys(time_buckets(df, list(keys), tm, bucket_ms, b), list(keys))
+    df, gk = group_keys(time_buckets(df, list(keys), tm, bucket_ms, b, [t_col, id_col]), list(keys))
     w = Window.partitionBy(*gk, b).orderBy(t_col, id_col)
     df = df.withColumn("__pos_in", F.row_number().over(w))
     if summary_from_rows:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions.timecols import epoch_ms, plus
-from reelspark.operators import lifecycle, ordered, ratelimit
+from reelspark.operators import lifecycle, messages, ordered, ratelimit
 
 from .conftest import SF01
 from .test_token_bucket import brute_force
@@ -75,7 +75,6 @@ def test_fold_segment_report_finds_the_hot_key(spark, skewed):
 
 def test_a_dense_hour_of_one_key_is_split(spark, monkeypatch):
     """One key holds a third of the rows within a single hour: split buckets give what whole ones give."""
-    from reelspark.operators import lifecycle, messages, ordered, ratelimit
     hot = spark.range(600).select(F.lit(7).cast("long").alias("k"), F.col("id"), F.expr("timestamp_ntz'2024-01-01 05:00:00' + make_dt_interval(0,0,0,(id*id*7919) % 3600)").alias("ts"))
     rest = spark.range(600, 1800).select((F.col("id") % 50).alias("k"), F.col("id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0,0,id % 900,0)").alias("ts"))
     ev = hot.unionAll(rest).unionAll(spark.createDataFrame([(None, 9001), (None, 9002)], "k long, id long").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 05:00:00'")))
@@ -90,3 +89,41 @@ def test_a_dense_hour_of_one_key_is_split(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(ordered, "DENSE_ROWS", 40)
     assert run() == whole
+
+
+@pytest.mark.parametrize("when", ["timestamp_ntz'2024-01-01 05:00:00'", "cast(null as timestamp_ntz)"])
+def test_a_burst_at_one_instant_or_without_a_time_is_split(spark, monkeypatch, when):
+    """All rows of the hot key have one time, or none: they are many slices, and give what one slice gives."""
+    hot = spark.range(900).select(F.lit(777).cast("long").alias("k"), F.concat(F.lit("id-"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("id"), F.expr(when).alias("ts"))
+    rest = spark.range(900, 2700).select((F.col("id") % 50).alias("k"), F.concat(F.lit("id-"), F.col("id").cast("string")).alias("id"),
+                                         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0,0,id % 900,0)").alias("ts"))
+    ev = hot.unionAll(rest)
+    b = ordered.time_buckets(ev, ["k"], epoch_ms(F.col("ts")), H, "b", ["ts", "id"])
+    assert b.where("k = 777").select("b").distinct().count() < 3
+
+    def run():
+        retry = messages.retry_dead_letter(ev, message_key=["k"], ts="ts", id_col="id", max_retries=5, queue=F.lit("q"))
+        block = lifecycle.blocklist_check(ev.where("hash(id) % 2 = 0"), ev.where("k <> 777 AND hash(id) % 7 = 1"), key="k", req_ts="ts", req_id="id", block_ts="ts",
+                                          block_expire=F.col("ts") + F.expr("INTERVAL 2 MINUTES"))
+        status = lifecycle.job_status_asof(ev.where("hash(id) % 3 = 0"), ev.where("hash(id) % 3 <> 0").withColumn("st", F.lit("queued")), key="k", poll_ts="ts",
+                                           poll_id="id", status_ts="ts", status_id="id", status_col="st", result_col=None, ttl_hours=1)
+        return [sorted(map(str, d.collect())) for d in (retry.select("k", "id", "retries", "action"), block.select("k", "id", "blocked"), status)]
+    whole = run()
+    monkeypatch.setattr(ordered, "DENSE_ROWS", 50)
+    cut = ordered.time_buckets(ev, ["k"], epoch_ms(F.col("ts")), H, "b", ["ts", "id"]).where("k = 777")
+    sizes = [r["count"] for r in cut.groupBy("b").count().collect()]
+    assert len(sizes) >= 16 and max(sizes) < 120
+    # slices follow the order: ids of a later slice come after those of an earlier one
+    edges = [(r.lo, r.hi) for r in cut.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("b").collect()]
+    assert all(x[1] < y[0] for x, y in zip(edges, edges[1:]))
+    assert run() == whole
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    from reelspark.plans import QUERIES
+    for name in ("job_status_asof", "token_bucket", "token_lifecycle", "retry_dead_letter", "blocklist_anti_join", "token_reuse", "listing_envelope"):
+        QUERIES[name](spark, SF01)                     # reading a table's schema may run a job of its own
+        before = len(tracker.getJobIdsForGroup())
+        QUERIES[name](spark, SF01).explain("formatted")
+        assert len(tracker.getJobIdsForGroup()) - before <= 2, name
