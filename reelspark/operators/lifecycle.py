@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecols import epoch_ms, epoch_us, from_epoch_us, plus
-from .ordered import DEFAULT_BUCKET_MS, as_is, as_long, fold_schema, keyed_running_max, segmented_fold, time_buckets
+from .ordered import DEFAULT_BUCKET_MS, as_is, as_long, fold_schema, keyed_latest, keyed_running_max, segmented_fold, time_buckets
 
 
 def _union_stream(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -120,12 +120,17 @@ def blocklist_anti_join(requests: DataFrame, blocks: DataFrame, **kw) -> DataFra
 # J7 / W2 / T5 ------------------------------------------------------------
 def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts: str, poll_id: str,
                     status_ts: str, status_id: str, status_col: str, result_col: str | None,
-                    ttl_hours: Mapping[str, float] | float,
+                    ttl_hours: Mapping[str, float] | float, result_ttl_hours: float | None = None,
                     bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Latest status at or before each poll, and whether it has lapsed.
 
     ``outcome``: ``missing`` (no status yet), ``expired`` (the status's own
     lifetime ended at or before the poll) or ``ok``.
+
+    The result key is kept apart from the status, as in the service: a row of ``statuses`` with a result sets it, for
+    ``result_ttl_hours``, whatever status follows (a job that failed after its result was set still gives the key until the key
+    itself lapses); a poll whose status is not ``ok`` gives none.  A row without a status but with a result sets the result alone.
+    Without ``result_ttl_hours`` a result goes with the status row that carries it.
     """
     p = polls.select("*", F.col(key).alias("__k"), F.col(poll_ts).alias("__t"), F.lit(1).alias("__kind"),
                      F.col(poll_id).alias("__id"))
@@ -133,10 +138,13 @@ def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts:
     st = statuses.select(F.col(key).alias("__k"), F.col(status_ts).alias("__t"), F.lit(0).alias("__kind"),
                          F.col(status_id).alias("__id"), F.col(status_col).alias("__st"), res.alias("__res"))
     s = time_buckets(_union_stream(p, st), ["__k"], epoch_ms(F.col("__t")), bucket_ms, "__b", ["__t", "__kind", "__id"])
-    val = F.when(F.col("__kind") == 0, F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"),
-                                               F.col("__st").alias("status"), F.col("__res").alias("result")))
-    s = keyed_running_max(s, ["__k"], "__b", ["__t", "__kind", "__id"], val, "__last")
-    s = s.filter(F.col("__kind") == 1)
+    own = result_ttl_hours is not None
+    row = F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"), F.col("__st").alias("status"), F.col("__res").alias("result"))
+    set_ = (F.col("__kind") == 0) & (F.col("__st").isNotNull() if own else F.lit(True))
+    values = {"__last": F.when(set_, row)}
+    if own:
+        values["__key"] = F.when((F.col("__kind") == 0) & F.col("__res").isNotNull(), row)
+    s = keyed_latest(s, ["__k"], "__b", ["__t", "__kind", "__id"], values).filter(F.col("__kind") == 1)
     if isinstance(ttl_hours, Mapping):
         life = F.lit(None).cast("double")
         for name, h in ttl_hours.items():
@@ -147,11 +155,12 @@ def job_status_asof(polls: DataFrame, statuses: DataFrame, *, key: str, poll_ts:
     outcome = (F.when(F.col("__last").isNull(), "missing")
                .when(~(expire > F.col("__t")) | life.isNull(), "expired")
                .otherwise("ok"))
+    live = (plus(F.col("__key.t"), hours=result_ttl_hours) > F.col("__t")) if own else F.lit(True)
     return (s.withColumn("outcome", outcome)
              .withColumn("status", F.col("__last.status"))
              .withColumn("status_at", F.col("__last.t"))
-             .withColumn("result_key", F.when(outcome == "ok", F.col("__last.result")))
-             .drop("__k", "__t", "__kind", "__id", "__st", "__res", "__last", "__b"))
+             .withColumn("result_key", F.when((outcome == "ok") & live, F.col("__key.result" if own else "__last.result")))
+             .drop("__k", "__t", "__kind", "__id", "__st", "__res", "__last", "__key", "__b"))
 
 
 # J12 / D5 ----------------------------------------------------------------
@@ -265,14 +274,19 @@ def token_reuse_stream(requests: DataFrame, *, key: str, ts: str, id_col: str, t
                              idle_ms=ttl_ms, **state)
 
 
-def _status_kernel(ttl_ms: Mapping[str, int]):
-    def kernel(pdf: pd.DataFrame, starts: list, last):
+def _status_kernel(ttl_ms: Mapping[str, int], result_ttl_ms: int | None):
+    def kernel(pdf: pd.DataFrame, starts: list, state):
+        last, key = state or (None, None)              # [time, status, result], [time, result]: two lives
         kinds, ts_ = pdf["__kind"].tolist(), pdf["__t"].tolist()
         sts, res = pdf["__st"].tolist(), pdf["__res"].tolist()
         keep, outcome, status, result = [], [], [], []
         for i, k in enumerate(kinds):
             if k == 0:
-                last = [ts_[i], sts[i], res[i] if isinstance(res[i], str) else None]
+                found = res[i] if isinstance(res[i], str) else None
+                if isinstance(sts[i], str) or result_ttl_ms is None:
+                    last = [ts_[i], sts[i] if isinstance(sts[i], str) else None, found]
+                if found is not None:
+                    key = [ts_[i], found]
                 continue
             keep.append(i)
             if last is None:
@@ -281,27 +295,30 @@ def _status_kernel(ttl_ms: Mapping[str, int]):
             life = ttl_ms.get(last[1])
             ok = life is not None and last[0] + life > ts_[i]
             outcome.append("ok" if ok else "expired"); status.append(last[1])
-            result.append(last[2] if ok else None)
+            if result_ttl_ms is None:
+                result.append(last[2] if ok else None)
+            else:
+                result.append(key[1] if ok and key is not None and key[0] + result_ttl_ms > ts_[i] else None)
         sub = pdf.iloc[keep]
         out = pd.DataFrame({"key": as_is(sub["__key"]), "id": as_is(sub["__id"]),
                             "t_ms": as_long(sub["__t"]).to_numpy(), "outcome": outcome, "status": status,
                             "result_key": result})
-        return out, last
+        return out, [last, key]
     return kernel
 
 
 def job_status_stream(events: DataFrame, *, key: str, ts: str, id_col: str, is_status: Column,
-                      status: Column, result: Column, ttl_ms: Mapping[str, int],
+                      status: Column, result: Column, ttl_ms: Mapping[str, int], result_ttl_ms: int | None = None,
                       evict_after_ms: int | None = None, **state) -> DataFrame:
     """Streaming twin of :func:`job_status_asof` over one stream of statuses and polls.
 
-    State per key is the latest status.  With ``evict_after_ms`` the state is
+    State per key is the latest status and the latest result, each with its own time (``result_ttl_ms`` as there).  With ``evict_after_ms`` the state is
     dropped after at least that much time without a row of the key, after which a poll reads
     ``missing`` (as the service's expiring cache does) rather than ``expired``.
     """
     from ..streaming.state import keyed_fold_stream
     extra = {"__kind": F.when(is_status, F.lit(0)).otherwise(F.lit(1)),
              "__st": F.when(is_status, status), "__res": F.when(is_status, result)}
-    return keyed_fold_stream(events, key=key, ts=ts, id_col=id_col, kernel=_status_kernel(dict(ttl_ms)),
+    return keyed_fold_stream(events, key=key, ts=ts, id_col=id_col, kernel=_status_kernel(dict(ttl_ms), result_ttl_ms),
                              out_schema=fold_schema(events, key, id_col, "t_ms long, outcome string, status string, result_key string"),
                              idle_ms=evict_after_ms, extra=extra, **state, order=("__t", "__kind", "__id"))

@@ -13,6 +13,7 @@ from ..functions import scalars as S
 from ..functions.timecols import epoch_ms
 from ..session import reliable_checkpoint
 from .ordered import DEFAULT_BUCKET_MS, time_buckets, keyed_running_max
+from .usage import exact_percentiles
 
 
 #: Times of a grid that one row makes.
@@ -133,3 +134,81 @@ def codebook_kmeans(vectors: DataFrame, *, vec: str, k: int, seed: int = 7, max_
     # clusterCenters() is k vectors, which MLlib itself holds on the driver
     return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
                                                 "code int, center array<double>")
+
+
+def median_cut(vectors: DataFrame, *, vec: str, codes: int) -> dict:
+    """A palette by median cut: the widest box is cut at the exact median of its widest position, until there are ``codes``.
+
+    A box's width is its greatest extent at any position (ties: the smaller box, then the smaller position).  Rows up to the
+    median stay in the box and the others make the next box; where the median is the greatest value, rows of that value are
+    the others.  Equal vectors share a box; when no box is wider than nothing, there are fewer codes.  Vectors that are null, or hold a
+    null at the cut, stay in the box they are in.
+
+    Returns the cuts as a small tree, at most ``2 * codes`` nodes, for :func:`median_cut_assign`.  Extents are aggregates per (box,
+    position), medians exact percentiles from histograms, so no box is gathered.  Each round measures all boxes that may still be cut,
+    not one: as many rounds as the tree is deep, about log2(codes).
+    """
+    tree = {"pos": [None], "cut": [None], "strict": [None], "low": [None], "high": [None]}
+    width: dict[int, tuple[float, int, float]] = {}                 # node -> extent, position, greatest value
+    while True:
+        leaves = [n for n in range(len(tree["pos"])) if tree["pos"][n] is None and n not in width]
+        if leaves:
+            x = _walk(vectors, tree, vec).where(F.col("__node").isin(leaves)).select("__node", F.posexplode(vec).alias("pos", "x"))
+            spans = x.groupBy("__node", "pos").agg((F.max("x") - F.min("x")).cast("double").alias("w"), F.max("x").cast("double").alias("hi"))
+            best = spans.where("w IS NOT NULL").groupBy("__node").agg(F.max(F.struct("w", (-F.col("pos")).alias("p"), "hi")).alias("b")).collect()   # a row a box
+            width.update({n: (0.0, 0, 0.0) for n in leaves} | {r[0]: (r.b.w, -r.b.p, r.b.hi) for r in best})
+        boxes, missing = _greedy(tree, width, codes)
+        if not missing:
+            for n in boxes:             # cuts that were made ahead and not needed
+                tree["pos"][n] = None
+            return {**tree, "code": [boxes.index(n) if n in boxes else None for n in range(len(tree["pos"]))]}
+        at = F.array(*[F.lit(width[n][1] if n in missing else None).cast("int") for n in range(len(tree["pos"]))])
+        inside = _walk(vectors, tree, vec).where(F.col("__node").isin(missing)) \
+            .select("__node", F.get(F.col(vec), F.get(at, F.col("__node"))).cast("double").alias("x"))
+        for r in exact_percentiles(inside, ["__node"], "x", {"m": 0.5}).select("__node", "m").collect():     # a row a box
+            n, size = r[0], len(tree["pos"])
+            tree["pos"][n], tree["cut"][n], tree["strict"][n] = width[n][1], r.m, r.m == width[n][2]
+            tree["low"][n], tree["high"][n] = size, size + 1
+            for column in tree.values():
+                column += [None, None]
+
+
+def _greedy(tree: dict, width: dict, codes: int) -> tuple[list[int], list[int]]:
+    """The boxes (tree nodes, by code) after as many cuts as are known, and the nodes to be cut before going on."""
+    boxes = [0]
+    while len(boxes) < codes:
+        order = sorted(range(len(boxes)), key=lambda b: (-width[boxes[b]][0], b))
+        if width[boxes[order[0]]][0] <= 0:
+            break
+        n = boxes[order[0]]
+        if tree["pos"][n] is None:
+            ahead = [boxes[b] for b in order[:codes - len(boxes)]]
+            return boxes, [m for m in ahead if tree["pos"][m] is None and width[m][0] > 0]
+        if tree["low"][n] not in width:
+            break
+        boxes[order[0]] = tree["low"][n]
+        boxes.append(tree["high"][n])
+    return boxes, []
+
+
+def _walk(vectors: DataFrame, tree: dict, vec: str) -> DataFrame:
+    """Add ``__node``: the leaf of the tree that a vector falls in, found in as many steps as the tree is deep."""
+    kinds = {"pos": "int", "cut": "double", "strict": "boolean", "low": "int", "high": "int"}
+    a = {c: F.array(*[F.lit(v).cast(kind) for v in tree[c]]) for c, kind in kinds.items()}
+    depth = [0] * len(tree["pos"])
+    for n, low in enumerate(tree["low"]):
+        if low is not None and tree["pos"][n] is not None:
+            depth[low] = depth[tree["high"][n]] = depth[n] + 1
+
+    def step(n: Column, _: Column) -> Column:
+        x, cut = F.get(F.col(vec), F.get(a["pos"], n)).cast("double"), F.get(a["cut"], n)
+        above = F.coalesce((x > cut) | (F.get(a["strict"], n) & (x == cut)), F.lit(False))
+        return F.when(F.get(a["pos"], n).isNull(), n).when(above, F.get(a["high"], n)).otherwise(F.get(a["low"], n))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(max(depth))), F.lit(0), step) if max(depth) else F.lit(0)
+    return vectors.withColumn("__node", walk)
+
+
+def median_cut_assign(vectors: DataFrame, cuts: dict, *, vec: str) -> DataFrame:
+    """Add ``code``: the box of :func:`median_cut` that a vector falls in.  ``codebook_means`` over it gives the boxes' colours."""
+    code = F.array(*[F.lit(c).cast("int") for c in cuts["code"]])
+    return _walk(vectors, cuts, vec).withColumn("code", F.get(code, F.col("__node"))).drop("__node")

@@ -121,6 +121,23 @@ def keyed_running_max(df: DataFrame, keys: Sequence[str], bucket_col: str,
     return drop_group_keys(out, only=nullable)
 
 
+def keyed_latest(df: DataFrame, keys: Sequence[str], bucket_col: str, order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Several running maxima at once: each of ``values`` as of every row (rows at or before it), by its name.
+
+    One window over the rows and one over the summary, however many values there are; see :func:`keyed_running_max`.
+    """
+    nullable = [c for c in keys if df.schema[c].nullable]
+    df, keys = group_keys(df, list(keys))
+    run = Window.partitionBy(*keys, bucket_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumns({f"__v_{n}": v for n, v in values.items()})
+    inner = df.withColumns({f"__i_{n}": F.max(f"__v_{n}").over(run) for n in values})
+    summary = df.groupBy(*keys, bucket_col).agg(*[F.max(f"__v_{n}").alias(f"__b_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(*keys, bucket_col, *[F.max(f"__b_{n}").over(before).alias(f"__c_{n}") for n in values])
+    out = inner.join(summary, [*keys, bucket_col], "left").withColumns({n: F.greatest(f"__i_{n}", f"__c_{n}") for n in values})
+    return drop_group_keys(out.drop(*[f"__{x}_{n}" for x in "vic" for n in values]), only=nullable)
+
+
 def bucket_of(t: Column, bucket_ms: int) -> Column:
     """Non-nullable time bucket (rows without a time share bucket -1)."""
     return F.coalesce(time_bucket(t, bucket_ms), F.lit(-1).cast("bigint"))

@@ -127,6 +127,42 @@ def _bucket_query(cap, rate, idle_h):
     return q
 
 
+@register("job_status_result", """
+WITH p AS (SELECT 'p-' || CAST(event_id AS VARCHAR) AS poll, user_id, ts FROM events WHERE event_type = 'view'),
+s AS (SELECT user_id, ts, event_type AS st FROM events WHERE event_type IN ('click', 'error')),
+g AS (SELECT user_id, ts, 'gif/' || CAST(event_id AS VARCHAR) AS gif FROM events WHERE event_type = 'click'),
+l AS (SELECT p.poll, p.ts, p.user_id, s.st, s.ts AS status_at FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts >= s.ts),
+k AS (SELECT l.*, g.gif, g.ts AS set_at FROM l ASOF LEFT JOIN g ON l.user_id = g.user_id AND l.ts >= g.ts)
+SELECT poll, CASE WHEN st IS NULL THEN 'missing' WHEN status_at + INTERVAL 12 HOUR <= ts THEN 'expired' ELSE 'ok' END AS outcome,
+       CASE st WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' END AS status, status_at,
+       CASE WHEN status_at + INTERVAL 12 HOUR > ts AND set_at + INTERVAL 20 HOUR > ts THEN gif END AS result_key
+FROM k
+""")
+def job_status_result(spark, sf):
+    """The result key lives by itself (20 h here) while the status lives 12 h: a failure after the result leaves the key."""
+    ev = read_table(spark, sf, "events")
+    polls = ev.filter(F.col("event_type") == "view").select(F.concat(F.lit("p-"), F.col("event_id").cast("string")).alias("poll"), "user_id", "ts")
+    st = ev.filter(F.col("event_type").isin("click", "error")).select(
+        "user_id", "ts", F.concat(F.lit("s-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("sid"),
+        F.when(F.col("event_type") == "click", "completed").otherwise("failed").alias("status"),
+        F.when(F.col("event_type") == "click", F.concat(F.lit("gif/"), F.col("event_id").cast("string"))).alias("gif"))
+    return lifecycle.job_status_asof(polls, st, key="user_id", poll_ts="ts", poll_id="poll", status_ts="ts", status_id="sid", status_col="status",
+                                     result_col="gif", ttl_hours=12, result_ttl_hours=20) \
+        .select("poll", "outcome", "status", "status_at", "result_key")
+
+
+@register("blocklist_uuid", """
+SELECT 'r-' || CAST(r.event_id AS VARCHAR) AS request_id FROM events r WHERE r.event_type = 'view' AND NOT EXISTS (
+  SELECT 1 FROM events b WHERE b.event_type = 'error' AND b.user_id = r.user_id AND b.ts <= r.ts AND r.ts < b.ts + INTERVAL 24 HOUR)
+""")
+def blocklist_uuid(spark, sf):
+    """The blocklist by text keys and text request ids, as the service has them."""
+    ev = read_table(spark, sf, "events").withColumn("token", F.concat(F.lit("u-"), F.col("user_id").cast("string")))
+    req = ev.filter(F.col("event_type") == "view").select(F.concat(F.lit("r-"), F.col("event_id").cast("string")).alias("request_id"), "token", "ts")
+    return lifecycle.blocklist_anti_join(req, ev.filter(F.col("event_type") == "error"), key="token", req_ts="ts", req_id="request_id",
+                                         block_ts="ts", block_expire=plus(F.col("ts"), hours=24)).select("request_id")
+
+
 for _name, (_cap, _rate, _idle) in BUCKETS.items():
     register(_name, ratelimit.token_bucket_sql("events", "user_id", "ts", "event_id", _cap, _rate, H,
                                                 _idle * H, 1))(_bucket_query(_cap, _rate, _idle))

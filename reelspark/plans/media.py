@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.timecols import ntz
-from ..operators import media
+from ..operators import lookup, media
 from ..session import shared_path
 from ..sources import objects
+from ..sources.listing import listing
 from ..sources.tables import read_table
 from .registry import register
 
@@ -102,3 +103,53 @@ def object_inventory(spark, sf):
     objects.write_objects(docs, root, key="doc_id", body="text", partition="lang")
     return (objects.inventory(spark, root).groupBy(F.regexp_extract("key", "lang=([^/]*)/", 1).alias("lang"))
             .agg(F.sum("size").cast("bigint").alias("total_bytes")))
+
+
+@register("object_readiness_listed", """
+SELECT page_id, CASE WHEN page_id % 97 >= 89 THEN 'missing' WHEN page_id % 97 IN (5, 17) THEN 'empty'
+                     WHEN page_id % 97 IN (SELECT doc_id % 89 FROM documents WHERE text IS NOT NULL) THEN 'ready' ELSE 'missing' END AS state
+FROM pages
+""")
+def object_readiness_listed(spark, sf):
+    """Readiness against a listed store: objects are written from the documents, two of them without a byte, and listed."""
+    docs = read_table(spark, sf, "documents").where("text IS NOT NULL").select(F.concat(F.lit("o"), (F.col("doc_id") % 89).cast("string")).alias("object"), "text")
+    root = shared_path(spark, "listed")
+    objects.write_objects(docs.where("object NOT IN ('o5', 'o17')"), root, key="object", body="text", partition="object")
+    for name in ("o5", "o17"):
+        docs.where("false").select("text").coalesce(1).write.text(f"{root}/object={name}")
+    inv = listing(spark, root).groupBy(F.regexp_extract("key", "^object=([^/]*)/", 1).alias("object")).agg(F.sum("size").alias("bytes"))
+    keys = read_table(spark, sf, "pages").select("page_id", F.concat(F.lit("o"), (F.col("page_id") % 97).cast("string")).alias("wanted"))
+    return lookup.object_readiness(keys, inv, "wanted", "object", "bytes").select("page_id", "state")
+
+
+@register("series_resample_uuid", """
+WITH e AS (SELECT 'u-' || CAST(user_id AS VARCHAR) AS uid, 's-' || CAST(event_id AS VARCHAR) AS sid, ts, value FROM events),
+g AS (SELECT uid, unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-09', INTERVAL 15 MINUTE)) AS t
+      FROM (SELECT DISTINCT uid FROM e) u)
+SELECT g.uid, g.t, e.value, e.sid AS sample_id, e.ts AS sample_ts FROM g ASOF LEFT JOIN e ON g.uid = e.uid AND g.t >= e.ts
+""")
+def series_resample_uuid(spark, sf):
+    """Resampling with text keys and text sample ids, on a fine grid."""
+    ev = read_table(spark, sf, "events").select(F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("uid"),
+                                                F.concat(F.lit("s-"), F.col("event_id").cast("string")).alias("sid"), "ts", "value")
+    return media.series_resample(ev, ev.select("uid").distinct(), key="uid", ts="ts", id_col="sid", value="value",
+                                 grid_start=ntz("2024-01-05 00:00:00"), grid_end=ntz("2024-01-09 00:00:00"), step="15 MINUTES")
+
+
+def _median_cut_sql(codes: int) -> str:
+    """The same cuts one after another: the widest box is cut at the median of its widest position."""
+    steps = ["b0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, 0 AS box FROM embeddings WHERE embedding IS NOT NULL)"]
+    for k in range(codes - 1):
+        steps.append(f"""
+w{k} AS (SELECT box, pos, max(x) AS hi FROM (SELECT box, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM b{k}) u
+         GROUP BY box, pos ORDER BY max(x) - min(x) DESC, box, pos LIMIT 1),
+m{k} AS (SELECT any_value(w.box) AS box, any_value(w.pos) AS pos, any_value(w.hi) AS hi, quantile_cont(b.v[w.pos], 0.5) AS cut FROM b{k} b JOIN w{k} w USING (box)),
+b{k + 1} AS (SELECT vec_id, v, CASE WHEN b.box = m.box AND (v[pos] > cut OR (cut = hi AND v[pos] = hi)) THEN {k + 1} ELSE b.box END AS box FROM b{k} b, m{k} m)""")
+    return f"WITH {','.join(steps)} SELECT vec_id, box AS code FROM b{codes - 1}"
+
+
+@register("palette_median_cut", _median_cut_sql(6))
+def palette_median_cut(spark, sf):
+    emb = read_table(spark, sf, "embeddings").where("embedding IS NOT NULL")
+    cuts = media.median_cut(emb, vec="embedding", codes=6)
+    return media.median_cut_assign(emb, cuts, vec="embedding").select("vec_id", "code")

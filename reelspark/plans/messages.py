@@ -18,9 +18,14 @@ MAIL_NAME = {"signup": "signup", "click": "resend-verify", "view": "forgot-passw
 
 _NAME_SQL = ("CASE event_type WHEN 'signup' THEN 'signup' WHEN 'click' THEN 'resend-verify' "
              "WHEN 'view' THEN 'forgot-password' WHEN 'purchase' THEN 'reset-password' ELSE 'unknown-job' END")
+# Bodies that a strict decoder tells apart: cut short, text after the object, two objects in a row, a field repeated, a
+# field repeated in another case, a null after the field.
+_ODD = {0: "cut", 10: "tail", 20: "two", 30: "again", 40: "case", 45: "null"}
 BODY_SQL = f"""
-  SELECT event_id, CASE WHEN event_id % 50 = 0 THEN substr(b, 1, 4) ELSE b END AS body
-  FROM (SELECT event_id, '{{"to":"u' || CAST(user_id AS VARCHAR) || '@mail.test","name":"' || {_NAME_SQL}
+  SELECT event_id, user_id, {_NAME_SQL} AS mail_name, CASE event_id % 50 WHEN 0 THEN substr(b, 1, 4) WHEN 10 THEN b || ' x' WHEN 20 THEN b || b
+           WHEN 30 THEN left(b, -1) || ',"token":"last"}}' WHEN 40 THEN '{{"TO":"first",' || substr(b, 2) WHEN 45 THEN left(b, -1) || ',"Name":null}} ' ELSE b END AS body,
+         event_id % 50 NOT IN (0, 10, 20) AS fine, CASE WHEN event_id % 50 = 30 THEN 'last' ELSE 't' || CAST(event_id AS VARCHAR) END AS tok
+  FROM (SELECT event_id, user_id, event_type, '{{"to":"u' || CAST(user_id AS VARCHAR) || '@mail.test","name":"' || {_NAME_SQL}
                || '","token":"t' || CAST(event_id AS VARCHAR) || '"}}' AS b FROM events) x"""
 
 
@@ -30,15 +35,21 @@ def _bodies(ev):
         name = F.when(F.col("event_type") == k, F.lit(v)).otherwise(name)
     b = F.concat(F.lit('{"to":"u'), F.col("user_id").cast("string"), F.lit('@mail.test","name":"'), name,
                  F.lit('","token":"t'), F.col("event_id").cast("string"), F.lit('"}'))
-    return ev.select("event_id", F.when(F.col("event_id") % 50 == 0, F.substring(b, 1, 4)).otherwise(b).alias("body"))
+    open_ = F.substring(b, F.lit(1), F.length(b) - 1)
+    odd = {"cut": F.substring(b, 1, 4), "tail": F.concat(b, F.lit(" x")), "two": F.concat(b, b), "again": F.concat(open_, F.lit(',"token":"last"}')),
+           "case": F.concat(F.lit('{"TO":"first",'), F.substring(b, F.lit(2), F.length(b))), "null": F.concat(open_, F.lit(',"Name":null} '))}
+    body = b
+    for k, kind in _ODD.items():
+        body = F.when(F.col("event_id") % 50 == k, odd[kind]).otherwise(body)
+    return ev.select("event_id", body.alias("body"))
 
 
 @register("message_decode", f"""
 WITH m AS ({BODY_SQL})
-SELECT event_id, json_valid(body) AS valid,
-       CASE WHEN json_valid(body) THEN json_extract_string(body, '$.to') END AS "to",
-       CASE WHEN json_valid(body) THEN json_extract_string(body, '$.name') END AS name,
-       CASE WHEN json_valid(body) THEN json_extract_string(body, '$.token') END AS token
+SELECT event_id, json_valid(body) AND fine AS valid,
+       CASE WHEN fine THEN 'u' || CAST(user_id AS VARCHAR) || '@mail.test' END AS "to",
+       CASE WHEN fine THEN mail_name END AS name,
+       CASE WHEN fine THEN tok END AS token
 FROM m
 """)
 def message_decode(spark, sf):
@@ -48,9 +59,7 @@ def message_decode(spark, sf):
 
 @register("message_route", f"""
 WITH m AS ({BODY_SQL}),
-d AS (SELECT event_id, json_valid(body) AS valid,
-             CASE WHEN json_valid(body) THEN json_extract_string(body, '$.name') END AS name,
-             CASE WHEN json_valid(body) THEN json_extract_string(body, '$.token') END AS token FROM m),
+d AS (SELECT event_id, json_valid(body) AND fine AS valid, CASE WHEN fine THEN mail_name END AS name, CASE WHEN fine THEN tok END AS token FROM m),
 r AS (SELECT *, CASE WHEN NOT valid THEN 'rejected'
                      WHEN name IN ('signup', 'resend-verify') THEN 'verification'
                      WHEN name = 'forgot-password' THEN 'reset'
@@ -389,6 +398,17 @@ def _signups(c):
         pick(4, [F.lit("other")], F.lit("Secret!1")).alias("confirm_password"))
 
 
+_UC = r"\x{00A0}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFEF}"
+
+
+def _email_sql(c: str) -> str:
+    atom = rf"[a-zA-Z0-9!#$%&''*+\-/=?^_`{{|}}~{_UC}]+"
+    quoted = rf'"([ \t!#-\[\]-~{_UC}]|\\[ \t!-~{_UC}])+"'
+    label, inner, last = rf"[a-zA-Z0-9{_UC}]", rf"[a-zA-Z0-9\-._~{_UC}]*", rf"[a-zA-Z{_UC}]"
+    return (f"(regexp_full_match({c}, '({atom}(\\.{atom})*|{quoted})@({label}({inner}{label})?\\.)+{last}({inner}{last})?')"
+            f" AND NOT contains(regexp_extract({c}, '@([^@]*)$', 1), '..'))")
+
+
 @register("signup_validation", f"""
 SELECT c_custkey, v AS violations, v = '' AS valid FROM (
   SELECT c_custkey, concat_ws(',',
@@ -397,7 +417,7 @@ SELECT c_custkey, v AS violations, v = '' AS valid FROM (
     CASE WHEN fullname IS NULL OR fullname = '' THEN 'fullname:required' WHEN length(fullname) < 4 THEN 'fullname:min'
          WHEN length(fullname) > 100 THEN 'fullname:max' END,
     CASE WHEN email IS NULL OR email = '' THEN 'email:required'
-         WHEN NOT regexp_full_match(email, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN 'email:email' WHEN length(email) > 50 THEN 'email:max' END,
+         WHEN NOT {_email_sql("email")} THEN 'email:email' WHEN length(email) > 50 THEN 'email:max' END,
     CASE WHEN password IS NULL OR password = '' THEN 'password:required' WHEN length(password) < 5 THEN 'password:min'
          WHEN length(password) > 70 THEN 'password:max' WHEN NOT regexp_matches(password, '[!@#$%^&*]') THEN 'password:containsany' END,
     CASE WHEN coalesce(confirm_password = password, false) THEN NULL ELSE 'confirm_password:eqfield' END) AS v
@@ -408,6 +428,45 @@ def signup_validation(spark, sf):
     return v.select("c_custkey", F.array_join("violations", ",").alias("violations"), "valid")
 
 
+# One text for both engines: what every request record may hold, good and bad.
+_REQUESTS_SQL = """
+SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'u' || CAST(c_custkey AS STRING) || '@mail.test' WHEN 1 THEN '' WHEN 2 THEN 'no-at.example' WHEN 3 THEN 'a@b..c'
+    WHEN 4 THEN NULL WHEN 5 THEN repeat('x', 45) || '@mail.test' WHEN 6 THEN '.a@b.c' ELSE 'first.last+tag@sub-1.example.org' END AS email,
+  CASE c_custkey % 5 WHEN 0 THEN 'secret!1' WHEN 1 THEN 'a!c' WHEN 2 THEN '' WHEN 3 THEN 'longenough' ELSE repeat('x', 70) || '!' END AS password,
+  CASE c_custkey % 3 WHEN 0 THEN 'other' ELSE CASE c_custkey % 5 WHEN 0 THEN 'secret!1' WHEN 1 THEN 'a!c' WHEN 2 THEN '' WHEN 3 THEN 'longenough' ELSE NULL END END AS confirm_password,
+  CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN repeat('t', 51) ELSE 'tok' END AS token,
+  CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'abcd' WHEN 2 THEN repeat('p', 71) ELSE 'current' END AS current_password,
+  CASE WHEN c_custkey % 2 = 0 THEN 'clip.mp4' ELSE '' END AS filename, CASE WHEN c_custkey % 3 = 1 THEN NULL ELSE 'video/mp4' END AS content_type,
+  CASE WHEN c_custkey % 5 = 2 THEN '' ELSE 'k/' || CAST(c_custkey AS STRING) END AS key, CASE WHEN c_custkey % 6 = 1 THEN '' ELSE c_name END AS fullname,
+  CASE WHEN c_custkey % 9 = 4 THEN NULL ELSE 'user' END AS role
+FROM customer"""
+
+
+def _request_validation_sql() -> str:
+    need = lambda f: f"WHEN {f} IS NULL OR {f} = '' THEN '{f}:required'"
+    size = lambda f, lo, hi: f"WHEN length({f}) < {lo} THEN '{f}:min' WHEN length({f}) > {hi} THEN '{f}:max'"
+    case = lambda *whens: f"CASE {' '.join(whens)} END"
+    email = case(need("email"), f"WHEN NOT {_email_sql('email')} THEN 'email:email' WHEN length(email) > 50 THEN 'email:max'")
+    password = case(need("password"), size("password", 5, 70), "WHEN NOT regexp_matches(password, '[!@#$%^&*]') THEN 'password:containsany'")
+    same = "CASE WHEN coalesce(confirm_password = password, false) THEN NULL ELSE 'confirm_password:eqfield' END"
+    records = {"login": [email, password], "reset_password": [case(need("token"), "WHEN length(token) > 50 THEN 'token:max'"), password, same],
+               "forgot_password": [email], "resend_verify": [email],
+               "change_password": [case(need("current_password"), size("current_password", 5, 70)), password, same], "delete_user": [password],
+               "upload": [case(need("filename")), case(need("content_type"))], "upload_confirm": [case(need("key")), case(need("filename"))],
+               "token_payload": [case(need(f)) for f in ("fullname", "email", "role")]}
+    return "\nUNION ALL ".join(f"SELECT c_custkey, '{name}' AS record, concat_ws(',', {', '.join(rules)}) AS violations FROM ({_REQUESTS_SQL}) q"
+                               for name, rules in records.items())
+
+
+@register("request_validation", _request_validation_sql())
+def request_validation(spark, sf):
+    """Every request record's rules, the access token's payload among them, over the same fields in one pass."""
+    rows = spark.sql(_REQUESTS_SQL.replace("FROM customer", "FROM {customer}"), customer=read_table(spark, sf, "customer"))
+    found = [F.struct(F.lit(name).alias("record"), F.array_join(Q.violations(Q.record_rules(name)), ",").alias("violations"))
+             for name in sorted(Q.RECORD_RULES) if name != "signup"]
+    return rows.select("c_custkey", F.inline(F.array(*found)))
+
+
 @register("ddl_validation", f"""
 SELECT c_custkey, v AS violations, v = '' AS valid FROM (
   SELECT c_custkey, concat_ws(',',

@@ -13,17 +13,34 @@ with files, and JDBC needs a database reachable by the cluster.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str, lower: int, upper: int,
+def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str, lower: int | None = None, upper: int | None = None,
               num_partitions: int, properties: dict | None = None) -> DataFrame:
-    """Partitioned JDBC read: ``num_partitions`` parallel range scans of ``partition_column``."""
+    """Partitioned JDBC read: ``num_partitions`` parallel range scans of ``partition_column``.
+
+    With ``lower`` and ``upper`` the column is a number.  Without them it is a UUID (or its text): the scans are
+    :func:`uuid_ranges` of it, which need no statistics because random UUIDs spread evenly.
+    """
+    if lower is None or upper is None:
+        return spark.read.jdbc(url, table, predicates=uuid_ranges(partition_column, num_partitions), properties=properties or {})
     return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
                            numPartitions=num_partitions, properties=properties or {})
 
 
+def uuid_ranges(column: str, n: int) -> list[str]:
+    """``n`` conditions that split all UUIDs of a column into equal ranges; nulls are in the first, and each row meets one."""
+    cuts = [str(uuid.UUID(int=(k << 128) // n)) for k in range(1, n)]
+    if not cuts:
+        return ["1 = 1"]
+    middle = [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < '{cuts[0]}' OR {column} IS NULL", *middle, f"{column} >= '{cuts[-1]}'"]
+
+
 def message_files(spark: SparkSession, path: str, *, queue: str, stream: bool = True,
                   max_files_per_trigger: int = 1) -> DataFrame:
     """Queue messages stored as JSON lines: columns ``queue, body`` (decode with ``messages.decode``)."""

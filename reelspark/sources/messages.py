@@ -6,7 +6,7 @@ stream is the same shape from a file or Kafka source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,40 +21,51 @@ CONVERSION = T.StructType([T.StructField("user_id", T.StringType()), T.StructFie
 UPLOAD = T.StructType([T.StructField("key", T.StringType()), T.StructField("user_id", T.StringType()),
                        T.StructField("filename", T.StringType()), T.StructField("retries", T.IntegerType())])
 
-def _field(name: str) -> Column:
-    """The value of a top-level field, whatever the case of its name."""
-    return F.get(F.filter("__f", lambda e: F.lower(e["key"]) == name.lower()), 0)["value"]
+def _fits(kind: Column, value: Column, want: T.DataType) -> Column:
+    """Whether a JSON value of this kind may go into a field of this type."""
+    if isinstance(want, T.StringType):
+        return kind == "STRING"
+    if isinstance(want, T.BooleanType):
+        return kind == "BOOLEAN"
+    if isinstance(want, T.IntegralType):
+        return (kind == "BIGINT") & F.try_variant_get(value, "$", want.simpleString()).isNotNull()
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
 def decode(df: DataFrame, body: str, schema: T.StructType, out: str = "msg") -> DataFrame:
     """Decode JSON bodies; add ``out`` (struct) and ``valid``.
 
-    Invalid = not JSON, not an object (``null`` is an empty one), or a top-level field of the wrong type
-    (a number where the record has a text, a fraction where it has a whole number).  Field names match
-    whatever their case; ``{}``, nulls and unknown extra fields - whatever they hold - are valid, as in the
-    service.  Invalid messages are rejected without requeue.  The body is parsed once, into a variant.
+    Invalid = not one JSON value with nothing after it but white space, not an object (``null`` is an empty one), or a top-level
+    field of the wrong type (a number where the record has a text, a fraction where it has a whole number) at any of
+    its places.  Field names match whatever their case, and of repeated ones the last that is not null counts; ``{}``, nulls and
+    unknown extra fields are valid, as in the service (but for one that holds an object which itself repeats a
+    name: Spark's parser refuses it).  Invalid messages are rejected without requeue.
+
+    The body is parsed once, as a member of an object that ends in a hash of the body: a parser stops after the first
+    value, so only a body that is one value lets it reach that end.  The entries of known fields are named in lower case once.
     """
-    v = F.try_parse_json(F.col(body))
-    kind = F.schema_of_variant(v)
-    fields = F.map_entries(F.when(kind.startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")))
-    df = df.withColumn("__kind", kind).withColumn("__f", fields)
-    bad = F.col("__kind").isNull() | ~(F.col("__kind").startswith("OBJECT") | (F.col("__kind") == "VOID"))
-    out_fields = []
-    for f in schema.fields:
-        hit = _field(f.name)
-        found = F.schema_of_variant(hit)
-        if isinstance(f.dataType, T.StringType):
-            fits = found == "STRING"
-        elif isinstance(f.dataType, T.BooleanType):
-            fits = found == "BOOLEAN"
-        elif isinstance(f.dataType, T.IntegralType):
-            fits = (found == "BIGINT") & F.try_variant_get(hit, "$", f.dataType.simpleString()).isNotNull()
-        else:
-            fits = found.isin("BIGINT", "DOUBLE", "FLOAT") | found.startswith("DECIMAL")
-        bad = bad | F.coalesce((found != "VOID") & ~fits, F.lit(False))
-        out_fields.append((f.name, F.try_variant_get(hit, "$", f.dataType.simpleString())))
-    df = df.withColumn("valid", ~bad)
-    return df.withColumn(out, F.struct(*[F.when(F.col("valid"), c).alias(n) for n, c in out_fields])).drop("__kind", "__f")
+    text = F.col(body).cast("string")
+    mark = F.xxhash64(text)
+    whole = F.from_json(F.concat(F.lit('{"body":'), text, F.lit(',"end":'), mark.cast("string"), F.lit("}")),
+                        "body map<string,variant>, end bigint")
+    kinds = {f.name.lower(): f.dataType for f in schema.fields}
+    named = F.transform(F.map_entries("__json.body"), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+    known = F.filter(named, lambda e: e["k"].isin(list(kinds)) & ~F.is_variant_null(e["v"]))
+
+    def wrong(e: Column) -> Column:
+        kind, test = F.schema_of_variant(e["v"]), F.lit(False)
+        for name, want in kinds.items():
+            test = F.when(e["k"] == name, ~F.coalesce(_fits(kind, e["v"], want), F.lit(False))).otherwise(test)
+        return test
+    df = df.withColumn("__json", whole).withColumn("__known", known).withColumn("__names", F.reverse("__known.k"))
+    nothing = F.btrim(text, F.lit(" \t\r\n")) == "null"
+    one = F.coalesce(F.col("__json.end") == mark, F.lit(False)) & (F.col("__json.body").isNotNull() | nothing)
+    df = df.withColumn("valid", one & ~F.coalesce(F.exists("__known", wrong), F.lit(False)))
+
+    def value(f: T.StructField) -> Column:
+        at = F.array_position("__names", f.name.lower())            # counted from the end
+        return F.when(F.col("valid") & (at > 0), F.try_variant_get(F.element_at("__known.v", (-at).cast("int")), "$", f.dataType.simpleString()))
+    return df.withColumn(out, F.struct(*[value(f).alias(f.name) for f in schema.fields])).drop("__json", "__known", "__names")
 
 
 def encode(df: DataFrame, fields: dict[str, Column], queue: str, ts: Column | None = None) -> DataFrame:
@@ -69,3 +80,41 @@ def encode(df: DataFrame, fields: dict[str, Column], queue: str, ts: Column | No
 def publish(encoded: DataFrame, root: str) -> None:
     """Append encoded messages to a folder of queues (``queue=<name>/``), the shape the file sources read."""
     encoded.select("queue", "body").write.mode("append").partitionBy("queue").text(root)
+
+
+def publish_stream(encoded: DataFrame, root: str, checkpoint: str):
+    """The same from a stream, each message once: the file sink's log names the files of finished batches only, and
+    Spark's readers of ``root`` go by it, so a batch that is written again after a failure replaces what it left."""
+    return (encoded.select("queue", "body").writeStream.format("text").partitionBy("queue").outputMode("append")
+            .option("checkpointLocation", checkpoint).option("path", root))
+
+
+def publish_sink(root: str):
+    """A ``foreachBatch`` function that publishes each micro-batch once, as a folder of its own (``batch=<id>/queue=<name>/``).
+
+    For jobs that write several outputs a batch.  A batch whose folder is complete is skipped, so a replay publishes
+    nothing twice; a folder that an attempt left half-written is written anew.  Read with :func:`published`.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        target = f"{root.rstrip('/')}/batch={batch_id:012d}"
+        if not complete(batch.sparkSession, target):
+            batch.select("queue", "body").write.mode("overwrite").partitionBy("queue").text(target)
+    return apply
+
+
+def complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder has been written to its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """``batch, queue, body`` of all messages in complete batches of :func:`publish_sink`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(st.getPath().getName() for st in fs.listStatus(path)) if fs.exists(path) else []
+    done = [f"{root.rstrip('/')}/{n}" for n in names if n.startswith("batch=") and complete(spark, f"{root.rstrip('/')}/{n}")]
+    schema = "body string, batch long, queue string"
+    if not done:
+        return spark.createDataFrame([], schema).select("batch", "queue", "body")
+    return spark.read.schema(schema).option("basePath", root).format("text").load(done).select("batch", "queue", "body")

@@ -35,5 +35,5 @@ def test_all_survey_queries_registered():
 def test_queries_read_the_supplied_tables(spark):
     for name, fn in QUERIES.items():
         files = fn(spark, SF001).inputFiles()
-        # object_inventory lists files it first writes from the documents table
-        assert files and (all("/sf0.001/" in f for f in files) or name == "object_inventory"), name
+        # these two list files they first write from the documents table
+        assert files and (all("/sf0.001/" in f for f in files) or name in ("object_inventory", "object_readiness_listed")), name

@@ -1,7 +1,10 @@
 """Media re-aims: frame grids, resampling and codebooks on edge rows."""
 
 import math
+import random
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import media
@@ -65,3 +68,33 @@ def test_frame_grid_blocks(spark):
     req = spark.createDataFrame([(1, 2501.0)], "id long, dur double")
     out = media.frame_grid(req, start=F.lit(0.0), duration=F.col("dur"), fps=F.lit(1))
     assert sorted(r.frame for r in out.collect()) == list(range(2501))
+
+
+def plain_median_cut(rows, codes):
+    """Box by box in plain Python: the widest box at the median of its widest position."""
+    boxes = {0: dict(rows)}
+    while len(boxes) < codes:
+        spans = [(-(max(v[p] for v in b.values()) - min(v[p] for v in b.values())), n, p) for n, b in boxes.items() if b for p in range(len(next(iter(b.values()))))]
+        w, n, p = min(spans)
+        if w == 0:
+            break
+        values = sorted(v[p] for v in boxes[n].values())
+        cut, hi = statistics.median(values), values[-1]
+        up = {k for k, v in boxes[n].items() if v[p] > cut or (cut == hi and v[p] == hi)}
+        boxes[len(boxes)] = {k: v for k, v in boxes[n].items() if k in up}
+        boxes[n] = {k: v for k, v in boxes[n].items() if k not in up}
+    return {k: n for n, b in boxes.items() for k in b}
+
+
+@pytest.mark.parametrize("codes, kind", [(1, "any"), (7, "any"), (16, "any"), (5, "ties"), (6, "same"), (4, "few")])
+def test_median_cut_equals_the_plain_version(spark, codes, kind):
+    rng = random.Random(codes)
+    rows = {"any": [(k, [rng.gauss(0, 1 + 3 * (p == 2)) for p in range(4)]) for k in range(300)],
+            "ties": [(k, [float(rng.choice([0, 0, 0, 9])), float(rng.randrange(3))]) for k in range(200)],
+            "same": [(k, [1.5, 2.5]) for k in range(20)], "few": [(k, [float(k % 2), 0.0]) for k in range(10)]}[kind]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    cuts = media.median_cut(df, vec="v", codes=codes)
+    got = {r.id: r.code for r in media.median_cut_assign(df, cuts, vec="v").collect()}
+    assert got == plain_median_cut(rows, codes)
+    book = {r.code: r.center for r in media.codebook_means(media.median_cut_assign(df, cuts, vec="v"), vec="v", group="code").collect()}
+    assert set(book) == set(got.values())

@@ -132,7 +132,8 @@ def test_token_reuse_stream_equals_batch(spark, stream_dir, scratch):
     assert got == want and any(r[3] == "reuse" for r in want)
 
 
-def test_job_status_stream_equals_batch(spark, stream_dir, scratch):
+@pytest.mark.parametrize("own", [None, 20])
+def test_job_status_stream_equals_batch(spark, stream_dir, scratch, own):
     kinds = {"click": "queued", "purchase": "completed", "error": "failed"}
     status = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "purchase", "completed") \
         .otherwise("failed")
@@ -141,7 +142,7 @@ def test_job_status_stream_equals_batch(spark, stream_dir, scratch):
     st = events_stream(spark, stream_dir)
     s = lifecycle.job_status_stream(st, key="user_id", ts="ts", id_col="event_id",
                                     is_status=F.col("event_type").isin(*kinds), status=status, result=result,
-                                    ttl_ms=ttl)
+                                    ttl_ms=ttl, result_ttl_ms=own and own * 3_600_000)
     got = {(r.id, r.outcome, r.status, r.result_key) for r in run_stream(spark, s, scratch).collect()
            if r is not None}
     ev = tables.read_table(spark, SF001, "events")
@@ -150,9 +151,10 @@ def test_job_status_stream_equals_batch(spark, stream_dir, scratch):
                                                              result.alias("result"))
     b = lifecycle.job_status_asof(polls, sts, key="user_id", poll_ts="ts", poll_id="event_id", status_ts="ts",
                                   status_id="event_id", status_col="status", result_col="result",
-                                  ttl_hours={k: 12 for k in ttl})
+                                  ttl_hours={k: 12 for k in ttl}, result_ttl_hours=own)
     want = {(r.event_id, r.outcome, r.status, r.result_key) for r in b.collect()}
     assert got == want and {o for _, o, _, _ in want} == {"ok", "expired", "missing"}
+    assert not own or any(st == "failed" and key for _, _, st, key in want)
 
 
 def test_metadata_enrich_stream_static_join(spark, stream_dir, scratch):
