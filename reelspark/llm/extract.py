@@ -242,15 +242,15 @@ def extract_main_text(pages: DataFrame, *, html_col: str = "html", sample_pages:
                       set_again: int = SET_AGAIN) -> DataFrame:
     """The input's columns without ``html_col``, then ``main_text`` (empty if there is none) and ``main_chars`` (its code points).
 
-    The trees are fitted on the driver to the ``sample_pages`` pages of the least content hash
+    The trees are fitted on the driver to the ``sample_pages`` pages of the least row hash
     among those of at most ``sample_chars`` characters, and to ``set_again`` pages set from their texts; every page is then read whole, in map tasks without a
-    shuffle.  A null html is an empty page.  Equal pages give equal texts; the sample is by content, so the order and the
+    shuffle.  A null html is an empty page.  Equal pages give equal texts; the sample is by the rows' content, so their order and the
     number of tasks do not matter.  Columns of the input with a new column's name are replaced.  An empty table gives an empty one.
     """
     made = ("main_text", "main_chars")
     kept = [c for c in pages.columns if c != html_col and c not in made]
     source = F.col(html_col).cast("string")
-    order = F.pmod(F.xxhash64(source), F.lit(1 << 40))
+    order = F.pmod(F.xxhash64(*kept, source), F.lit(1 << 40))       # of the whole row: copies of a page do not hash alike
     some = pages.where(source.isNotNull() & (F.length(source) <= sample_chars)).select(order.alias("h"), source.alias("source"))
     n = pages.count()
     if n > sample_pages:        # thin out before the ordered limit, so that all tasks together send about twice the sample
