@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecols import epoch_ms, epoch_us, from_epoch_us, plus
-from .ordered import DEFAULT_BUCKET_MS, as_is, as_long, fold_schema, keyed_latest, keyed_running_max, segmented_fold, time_buckets
+from .ordered import (DEFAULT_BUCKET_MS, as_is, as_long, fold_schema, folded, keyed_latest, keyed_running_max, segment_rows,
+                      segmented_fold, time_buckets)
 
 
 def _union_stream(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -196,23 +197,121 @@ def _reuse_kernel(ttl_ms: int):
 
 
 def token_reuse(requests: DataFrame, *, key: str, ts: str, id_col: str, ttl_ms: int,
-                bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None) -> DataFrame:
+                bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None, never_pausing: bool = False) -> DataFrame:
     """Reuse the active token, else issue a new one; reuse does not renew it.
 
     State per key is the active token's issue (time, id); a request at t
     reuses it while ``issued + ttl > t``.  A gap of ``ttl`` or more always
     issues anew, which is where the fold is cut into parallel segments.
     Output: ``key, id, t_ms, action ('new'|'reuse'), token_id``.
+
+    ``never_pausing`` is for keys that go on for millions of requests without such a gap: their blocks are worked on at once
+    (:func:`_chained`), with the same result.  Blocks should be many token lives long (``bucket_ms``).
     """
     df = requests.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), epoch_ms(F.col(ts)).alias("__t"))
     id_type = requests.schema[id_col].dataType.simpleString()
-
-    kernel = _reuse_kernel(ttl_ms)
-    return segmented_fold(df, ["__key"], "__t", "__id", lambda gap: gap >= F.lit(ttl_ms), kernel,
-                          fold_schema(requests, key, id_col, f"t_ms long, action string, token_id {id_type}"),
+    schema = fold_schema(requests, key, id_col, f"t_ms long, action string, token_id {id_type}")
+    if never_pausing:
+        return _chained(df, ttl_ms, schema, bucket_ms)
+    return segmented_fold(df, ["__key"], "__t", "__id", lambda gap: gap >= F.lit(ttl_ms), _reuse_kernel(ttl_ms), schema,
                           bucket_ms=bucket_ms, num_partitions=num_partitions)
 
 
+def _jumps(ttl_ms: int):
+    """The jump table of every block: for the latest issue before it, which issue the block ends with.
+
+    The first issue of a block is its first row at or after some time within a token's life from its start, and from there every
+    further issue follows.  A line stands for all entries up to ``upto`` (after those of the line before) that end alike.
+    """
+    names = ["key", "seg", "block", "upto", "end_t", "end_id"]
+
+    def table(place: tuple, t: np.ndarray, ids: np.ndarray) -> list[tuple]:
+        n = len(t)
+        following = np.searchsorted(t, t + ttl_ms, "left")
+        end = np.where(following < n, following, np.arange(n))
+        while not np.array_equal(end, end[end]):                 # from jump to jump, twice as far each time
+            end = end[end]
+        entries = min(n, int(np.searchsorted(t, t[0] + ttl_ms, "left")) + 1)
+        last = np.flatnonzero(np.append(end[1:entries] != end[:entries - 1], True))
+        return [(*place, int(t[k]), int(t[end[k]]), ids[end[k]]) for k in last.tolist()]
+
+    def run(batches):
+        place, parts = None, []
+        for pdf in batches:
+            places = list(zip(as_is(pdf["__key"]), as_is(pdf["seg_t"]), as_is(pdf["__block"])))
+            t, ids, out = pdf["__t"].to_numpy(dtype="int64"), as_is(pdf["__id"]), []
+            edges = [0, *[k for k in range(1, len(places)) if places[k] != places[k - 1]], len(places)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo < hi and places[lo] != place:
+                    if parts:
+                        out += table(place, *(np.concatenate(x) for x in zip(*parts)))
+                    place, parts = places[lo], []
+                parts.append((t[lo:hi], ids[lo:hi]))
+            yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(names)})
+        if parts:
+            yield pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(names, zip(*table(place, *(np.concatenate(x) for x in zip(*parts)))))})
+    return run
+
+
+def _chain(ttl_ms: int):
+    """From table to table in order: each block's state at its start, a line a block."""
+    def run(batches):
+        now, block, found, state = None, None, False, None
+        for pdf in batches:
+            key, seg, blocks = as_is(pdf["key"]), as_is(pdf["seg"]), pdf["block"].to_numpy(dtype="int64")
+            upto, end_t, end_id = pdf["upto"].to_numpy(dtype="int64"), pdf["end_t"].to_numpy(dtype="int64"), as_is(pdf["end_id"])
+            out = []
+            for k in range(len(pdf)):
+                if (key[k], seg[k]) != now:
+                    now, block, state = (key[k], seg[k]), None, None
+                if blocks[k] != block:
+                    block, found = blocks[k], False
+                    out.append((key[k], seg[k], block, *(state or (None, None))))
+                if not found and (state is None or upto[k] >= state[0] + ttl_ms):
+                    found, state = True, (int(end_t[k]), end_id[k])
+            yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(("key", "seg", "block", "from_t", "from_id"))})
+    return run
+
+
+def _from_kernel(ttl_ms: int):
+    """The fold of blocks that bring the state they start from."""
+    base = _reuse_kernel(ttl_ms)
+
+    def kernel(pdf: pd.DataFrame, starts: list, state):
+        begins = np.flatnonzero(starts).tolist()
+        edges = [*([] if starts[0] else [0]), *begins, len(pdf)]
+        from_t, from_id, parts = as_is(pdf["from_t"]), as_is(pdf["from_id"]), []
+        for lo, hi in zip(edges, edges[1:]):
+            if starts[lo]:
+                state = None if from_t[lo] is None else (int(from_t[lo]), from_id[lo])
+            out, state = base(pdf.iloc[lo:hi], [state is None and k == 0 for k in range(hi - lo)], state)
+            parts.append(out)
+        return pd.concat(parts, ignore_index=True), state
+    return kernel
+
+
+def _chained(df: DataFrame, ttl_ms: int, schema: str, bucket_ms: int) -> DataFrame:
+    """Token reuse block by block: a jump table of each (narrow, in parallel), one scan over the tables, then all blocks at once.
+
+    A block holds at most about ``ordered.DENSE_ROWS`` rows of a key; its table has a line only where entries end differently,
+    so what goes through the one ordered scan of a segment is far less than its rows.
+    """
+    seg = segment_rows(df, ["__key"], "__t", "__id", lambda gap: gap >= F.lit(ttl_ms), bucket_ms, block="__block")
+    types = {f.name: f.dataType.simpleString() for f in seg.schema.fields}
+    place = f"key {types['__key']}, seg long, block long"
+    # a segment within one block needs no state: it starts at a gap
+    many = seg.groupBy(F.col("__key").alias("mk"), F.col("seg_t").alias("ms")).agg(F.min("__block").alias("lo"), F.max("__block").alias("hi")).where("lo < hi")
+    long = seg.join(many, seg["__key"].eqNullSafe(many["mk"]) & seg["seg_t"].eqNullSafe(many["ms"]), "left_semi")
+    part_cols = ["__key", "seg_t", "__block"]
+    tables = long.select(*part_cols, "__t", "__id").repartition(*part_cols).sortWithinPartitions(*part_cols, "__t", "__id") \
+        .mapInPandas(_jumps(ttl_ms), f"{place}, upto long, end_t long, end_id {types['__id']}")
+    given = tables.repartition("key", "seg").sortWithinPartitions("key", "seg", "block", "upto") \
+        .mapInPandas(_chain(ttl_ms), f"{place}, from_t long, from_id {types['__id']}")
+    cond = seg["__key"].eqNullSafe(given["key"]) & seg["seg_t"].eqNullSafe(given["seg"]) & (seg["__block"] == given["block"])
+    rows = seg.join(given, cond, "left").drop("key", "seg", "block", "gap_ms")
+    return rows.repartition(*part_cols).sortWithinPartitions(*part_cols, "__t", "__id").mapInPandas(folded(part_cols, _from_kernel(ttl_ms)), schema)
+
+
 # J11 ---------------------------------------------------------------------
 def share_resolve(requests: DataFrame, shares: DataFrame, *, req_token: str, req_ts: str, want_col: str,
                   share_token: str, created_col: str, expires_col: str, access_col: str,

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reliable_checkpoint
+
 DEFAULT_BUCKET_MS = 3_600_000  # one hour of event time per window task
 
 
@@ -189,8 +191,8 @@ def time_buckets(df: DataFrame, keys: Sequence[str], t_ms: Column, bucket_ms: in
 
 
 def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
-                 is_sync: Callable[[Column], Column], bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
-    """Add ``gap_ms`` (null on a key's first row) and ``seg_t``.
+                 is_sync: Callable[[Column], Column], bucket_ms: int = DEFAULT_BUCKET_MS, block: str | None = None) -> DataFrame:
+    """Add ``gap_ms`` (null on a key's first row) and ``seg_t`` (and, as ``block``, the bucket that the work was dealt out by).
 
     ``gap_ms`` is ``t`` minus the previous row's ``t`` in (t, id) order.
     ``seg_t`` is the time of the latest sync row at or before this one;
@@ -225,7 +227,8 @@ def segment_rows(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     gap = F.when(F.col("__lag").isNull(), F.col(t_col) - F.col("__prev_max")).otherwise(F.col(t_col) - F.col("__lag"))
     df = (df.withColumn("gap_ms", gap)
             .withColumn("seg_t", F.greatest("__isync", "__first_sync", "__carry"))
-            .drop("__lag", "__isync", "__prev_max", "__first_sync", "__carry", b))
+            .drop("__lag", "__isync", "__prev_max", "__first_sync", "__carry"))
+    df = df.withColumnRenamed(b, block) if block else df.drop(b)
     return drop_group_keys(df)
 
 
@@ -295,12 +298,18 @@ def segmented_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
     keys = list(keys)
     seg = segment_rows(df, keys, t_col, id_col, is_sync, bucket_ms)
     if checkpoint:  # a lost executor during the fold then restarts from the written segments
-        from ..session import reliable_checkpoint
         seg = reliable_checkpoint(seg)
     part_cols = [*keys, "seg_t"]
     parted = seg.repartition(num_partitions, *part_cols) if num_partitions else seg.repartition(*part_cols)
     ordered = parted.sortWithinPartitions(*part_cols, t_col, id_col)
 
+    return ordered.mapInPandas(folded(part_cols, kernel), out_schema)
+
+
+def folded(part_cols: Sequence[str], kernel: FoldFn) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``kernel`` over batches that are sorted by ``part_cols``, told where each group begins, its state carried from batch to batch."""
+    part_cols = list(part_cols)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
         for pdf in batches:
@@ -316,4 +325,47 @@ def segmented_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str,
             out, state = kernel(pdf, (~same).tolist(), state)
             yield out
 
-    return ordered.mapInPandas(run, out_schema)
+    return run
+
+
+def split_fold(df: DataFrame, keys: Sequence[str], t_col: str, id_col: str, is_sync: Callable[[Column], Column],
+               block_kernel: FoldFn, kernel_from: Callable[[str], FoldFn], out_schema: str,
+               bucket_ms: int = DEFAULT_BUCKET_MS, num_partitions: int | None = None) -> DataFrame:
+    """:func:`segmented_fold` for keys that never pause: a segment is many blocks, folded at once wherever that can be.
+
+    1. Every block of a segment is folded by itself.  ``block_kernel`` starts it without a state; from the row on where the state
+       is the same whatever it was before, its rows are final (``known``), with the state after each (``tok``).
+    2. The rows before it wait for the block ahead.  Of each block only whether it ends in a known state, and which, is gathered; the
+       latest known one is where a row's state comes from.
+    3. Waiting rows are folded from there (``kernel_from`` names the column with the state), those of neighbouring blocks
+       without any known state in one piece.
+
+    The blocks are written to the shared folder before step 2, which runs a job at once; nothing is folded twice.
+    """
+    keys, block = list(keys), "__block"
+    names = {k: f"key{i}" for i, k in enumerate(keys)}
+    seg = segment_rows(df, keys, t_col, id_col, is_sync, bucket_ms, block=block)
+    part_cols = [*keys, "seg_t", block]
+    parted = seg.repartition(num_partitions, *part_cols) if num_partitions else seg.repartition(*part_cols)
+    types = {f.name: f.dataType.simpleString() for f in seg.schema.fields}
+    held = ", ".join(f"{n} {types[c]}" for c, n in [*names.items(), ("seg_t", "seg_t"), (block, "block"), ("gap_ms", "gap_ms")])
+    fields = [c.strip().split()[0] for c in out_schema.split(",")]
+    one = reliable_checkpoint(parted.sortWithinPartitions(*part_cols, t_col, id_col).mapInPandas(
+        folded(part_cols, block_kernel), f"{out_schema}, {held}, known boolean, tok double"))
+    group = [*names.values(), "seg_t"]
+    ends = one.groupBy(*group, "block").agg(F.max(F.when(F.col("known"), F.struct("t_ms", "id", "tok"))).alias("end"))
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(c).alias(f"e_{c}") for c in [*group, "block"]],
+                       F.last(F.when(F.col("end").isNotNull(), F.struct(F.col("block").alias("b"), F.col("end.tok").alias("tok"))), ignorenulls=True).over(before).alias("from"))
+    waiting = one.where("NOT known").drop("tok", "known")
+    cond = F.lit(True)
+    for c in [*group, "block"]:
+        cond = cond & waiting[c].eqNullSafe(ends[f"e_{c}"])
+    waiting = waiting.join(ends, cond).select(*[F.col(c).alias(f"__{c}") for c in [*group, "gap_ms", "id"]], F.col("t_ms").alias("__t"),
+                                              F.col("from.b").alias("__from"), F.col("from.tok").alias("__state"))
+    chain = [*[f"__{c}" for c in group], "__from"]
+    waiting = waiting.withColumnsRenamed({"__gap_ms": "gap_ms", "__key0": "__key"})
+    chain = ["__key" if c == "__key0" else c for c in chain]
+    parted = waiting.repartition(num_partitions, *chain) if num_partitions else waiting.repartition(*chain)
+    two = parted.sortWithinPartitions(*chain, "__t", "__id").mapInPandas(folded(chain, kernel_from("__state")), out_schema)
+    return one.where("known").select(*fields).unionByName(two)

@@ -261,6 +261,28 @@ def token_bucket_ip(spark, sf):
     return ratelimit.token_bucket(req, key="ip", ts="ts", id_col="event_id", capacity=3, rate=0.125, per_ms=H, idle_ms=48 * H, init=1)
 
 
+_BUSY_SQL = "(SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, event_id, ts FROM events) q"
+
+
+def _busy(ev):
+    """One key holds a third of all rows and never pauses."""
+    return ev.select(F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id")).alias("user_id"), "event_id", "ts")
+
+
+@register("token_bucket_busy", ratelimit.token_bucket_sql(_BUSY_SQL, "user_id", "ts", "event_id", 10, 6, H, 48 * H, 6))
+def token_bucket_busy(spark, sf):
+    """Admission where a key never pauses long enough for a gap to tell its state: folded in blocks."""
+    return ratelimit.token_bucket(_busy(read_table(spark, sf, "events")), key="user_id", ts="ts", id_col="event_id", capacity=10, rate=6, per_ms=H,
+                                  idle_ms=48 * H, init=6, bucket_ms=48 * H, never_pausing=True)
+
+
+@register("token_reuse_busy", _reuse_sql(5 * H).replace("FROM events WHERE event_type = 'signup'", f"FROM {_BUSY_SQL}"))
+def token_reuse_busy(spark, sf):
+    """Token reuse where a key never pauses for a token's life: chained over blocks by jump tables."""
+    return lifecycle.token_reuse(_busy(read_table(spark, sf, "events")), key="user_id", ts="ts", id_col="event_id", ttl_ms=5 * H,
+                                 bucket_ms=48 * H, never_pausing=True)
+
+
 @register("token_reuse_uuid", _reuse_sql(60 * H).replace("SELECT user_id AS key", "SELECT 'u-' || CAST(user_id AS VARCHAR) AS key"))
 def token_reuse_uuid(spark, sf):
     """Token reuse keyed by a user id that is a text."""

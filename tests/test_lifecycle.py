@@ -1,11 +1,13 @@
 """Time-limited state: hand-written edge rows (FIXTURES section 4)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions.timecols import ntz, plus
 from reelspark.operators import lifecycle as L
+from reelspark.operators import ordered
 
-from .conftest import T
+from .conftest import T, ms
 
 EV = "id long, k long, ts timestamp_ntz"
 
@@ -120,3 +122,20 @@ def test_reset_notices_one_per_consumed_token(spark):
     notes = L.reset_notices(lc, to=F.concat(F.lit("u"), F.col("k").cast("string")))
     got = notes.collect()
     assert len(got) == 1 and got[0].token_id == 1 and '"name":"reset-password"' in got[0].body
+
+
+@pytest.mark.parametrize("ttl_ms, bucket_ms", [(900_000, 14_400_000), (900_000, 600_000), (60_000, 3_600_000)])
+def test_token_reuse_of_a_key_that_never_pauses(spark, monkeypatch, ttl_ms, bucket_ms):
+    """Blocks chained by jump tables give what one ordered pass gives, ties, text ids and a null key included."""
+    import random
+    rng, t, rows = random.Random(ttl_ms), 0, []
+    for i in range(4000):
+        t += rng.choice([0, 1, 20, 50, 59]) * 1000
+        rows.append((7, f"r{i % 1000:04d}-{i}", ms(t)))
+    rows += [(rng.choice([None, 1]), f"x{i}", ms(rng.randint(0, t))) for i in range(150)]
+    df = spark.createDataFrame(rows, "k long, id string, ts timestamp_ntz")
+    p = dict(key="k", ts="ts", id_col="id", ttl_ms=ttl_ms)
+    want = sorted(map(str, L.token_reuse(df, **p).collect()))
+    monkeypatch.setattr(ordered, "DENSE_ROWS", 300)
+    got = sorted(map(str, L.token_reuse(df, **p, bucket_ms=bucket_ms, never_pausing=True).collect()))
+    assert got == want

@@ -3,10 +3,15 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelspark.operators import ordered, ratelimit
 from reelspark.operators.ratelimit import token_bucket
 
 from .conftest import ms
@@ -126,3 +131,54 @@ def test_null_keys_form_their_own_group(spark):
            token_bucket(df, key="key", ts="ts", id_col="id", capacity=2, rate=1).collect()}
     want = brute_force([(i, -1 if k is None else k, t) for i, k, t in rows], 2, 1, 1000, 6000, 1)
     assert got == want
+
+
+def busy(seed, n, kind):
+    """A key that never pauses long enough for a gap to tell its state, beside others and a null key."""
+    rng, t, rows = random.Random(seed), 0, []
+    for i in range(n):
+        t += {"under": rng.randint(220, 340), "over": rng.randint(5, 60), "waves": rng.randint(250, 400) if (i // 150) % 2 else rng.randint(10, 60)}[kind]
+        rows.append((i, 7, t))
+    rows += [(n + i, rng.choice([None, 1, 2]), rng.randint(0, t)) for i in range(200)]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["under", "over", "waves"])
+def test_a_key_that_never_pauses_is_folded_in_blocks(spark, kind, monkeypatch):
+    rows = busy(3, 4000, kind)
+    df = spark.createDataFrame([(i, k, ms(t)) for i, k, t in rows], SCHEMA)
+    p = dict(key="key", ts="ts", id_col="id", capacity=10, rate=5, per_ms=1000, idle_ms=6000)
+    want = sorted(map(str, token_bucket(df, **p).collect()))
+    seg = ratelimit.fold_segments(df, top=1, **p).first()
+    assert seg.rows > 3000                                          # one piece without blocks
+    seen = []
+    real = ordered.reliable_checkpoint
+    monkeypatch.setattr(ordered, "reliable_checkpoint", lambda d: seen.append(real(d)) or seen[-1])
+    got = sorted(map(str, token_bucket(df, **p, bucket_ms=40_000, never_pausing=True).collect()))
+    assert got == want
+    blocks = seen[0].where("key = 7").groupBy("block").agg(F.sum(F.col("known").cast("int")).alias("known"), F.count("*").alias("n")).collect()
+    known = sum(b.known for b in blocks)
+    assert len(blocks) >= (3 if kind == "over" else 16)
+    assert known > {"under": 2500, "over": 0, "waves": 1000}[kind]  # folded without waiting for the blocks before
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=300), st.sampled_from([(10, 5), (3, 2.5), (1, 0.3), (5, 50)]), st.integers(1, 299), st.floats(0, 1))
+def test_block_kernels_equal_the_whole(gaps, how, cut, share):
+    """A block folded without its state, and the rest from the state of the block before, give what one fold gives."""
+    cap, rate = how
+    gaps = [math.nan, *map(float, gaps)]
+    par = (float(cap), float(rate), 1000.0, 6000, float(rate))
+    n, cut = len(gaps), min(cut, len(gaps))
+    frame = pd.DataFrame({"__key": 1, "__id": range(n), "__t": range(n), "gap_ms": gaps, "seg_t": 0, "__block": 0})
+    whole, _ = ratelimit._bucket_kernel(*par)(frame, [True] + [False] * (n - 1), None)
+    out, _ = ratelimit._block_kernel(*par)(frame, [k in (0, cut) for k in range(n)], None)
+    known = out["known"].to_numpy()
+    cols = ["allowed", "tokens", "wait_ms"]
+    assert known[0] and (out[cols][known] == whole[cols][known]).all(axis=None)
+    waiting = np.flatnonzero(~known)
+    if len(waiting):
+        state = out["tok"][waiting[0] - 1]
+        sub = frame.iloc[waiting].assign(__state=state)
+        again, _ = ratelimit._kernel_from(*par)("__state")(sub, [True] + [False] * (len(sub) - 1), None)
+        assert (again[cols].to_numpy() == whole[cols].iloc[waiting].to_numpy()).all()
