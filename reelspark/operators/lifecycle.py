@@ -278,13 +278,15 @@ def _from_kernel(ttl_ms: int):
     base = _reuse_kernel(ttl_ms)
 
     def kernel(pdf: pd.DataFrame, starts: list, state):
-        begins = np.flatnonzero(starts).tolist()
-        edges = [*([] if starts[0] else [0]), *begins, len(pdf)]
         from_t, from_id, parts = as_is(pdf["from_t"]), as_is(pdf["from_id"]), []
+        # blocks that start anew are folded together; each block with a state of its own begins another call
+        given = [k for k in np.flatnonzero(starts).tolist() if from_t[k] is not None]
+        edges = sorted({0, *given, len(pdf)})
         for lo, hi in zip(edges, edges[1:]):
-            if starts[lo]:
-                state = None if from_t[lo] is None else (int(from_t[lo]), from_id[lo])
-            out, state = base(pdf.iloc[lo:hi], [state is None and k == 0 for k in range(hi - lo)], state)
+            begins = list(starts[lo:hi])
+            if begins[0] and from_t[lo] is not None:
+                begins[0], state = False, (int(from_t[lo]), from_id[lo])
+            out, state = base(pdf.iloc[lo:hi], begins, state)
             parts.append(out)
         return pd.concat(parts, ignore_index=True), state
     return kernel
