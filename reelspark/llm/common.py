@@ -59,6 +59,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, but of several with one id and one text a single one; rows with a null id all stay.
+
+    Repeated (id, text) pairs are found by a count of narrow rows, so only rows that repeat are gathered by
+    pair (map-side first), and a table without any is left as it is.
+    """
+    pair = [F.col(id_col), F.xxhash64(F.lit(41), F.col(text_col)), F.xxhash64(F.lit(43), F.col(text_col))]
+    keyed = [c.alias(f"__o{k}") for k, c in enumerate(pair)]
+    again = stored(docs.where(F.col(id_col).isNotNull()).groupBy(*keyed).count().where("count > 1").drop("count"), "rows-again")
+    if again.isEmpty():
+        return docs
+    marked = docs.select(F.struct(*docs.columns).alias("__row"), *keyed)
+    names = ["__o0", "__o1", "__o2"]
+    alone = marked.join(again, names, "left_anti").select("__row")
+    first = marked.join(again, names, "left_semi").groupBy(*names).agg(F.first("__row").alias("__row")).select("__row")
+    return alone.unionByName(first).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+
+
 def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     """``schema`` and further nullable columns (name=type)."""
     more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import once, release, stored
 
 #: Words are counted in this many hashed slots (a word's rarity is that of its slot), on 16 levels.
 SLOT_BITS = 17
@@ -25,8 +25,9 @@ SLOT_BITS = 17
 SMALL = 64
 #: Rows of the verification's id list up to which it is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: A place is one decimal: the id times this, plus the line's number.
-PLACES = 1 << 31
+#: A line's number within its id, and a place as one decimal: the id times ``PLACES`` plus that number.  The number's lower 31 bits
+#: count the lines of a text; above them stands a hash of the text where an id has several texts, else nothing.
+LINES, PLACES = 31, 1 << 61
 EPS = 1e-9
 
 
@@ -34,10 +35,13 @@ def has_words(line: Column) -> Column:
     return line.rlike("[^ \\t\\n\\x0b\\x0c\\r]")
 
 
+def words_of(line: Column) -> Column:
+    return F.split(line, "[ \\t\\x0b\\x0c\\r]+")     # an empty word stands before or after white space at the ends
+
+
 def hashes_of(line: Column) -> Column:
     """Hashes of the distinct words of a line."""
-    words = F.split(line, "[ \\t\\x0b\\x0c\\r]+")     # an empty word stands before or after white space at the ends
-    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def rarity_levels(docs: DataFrame, text_col: str) -> Column:
@@ -52,12 +56,36 @@ def rarity_levels(docs: DataFrame, text_col: str) -> Column:
     return F.split(F.lit(",".join(str(level.get(k, 0)) for k in range(1 << SLOT_BITS))), ",").cast("array<int>")
 
 
-def ordered_keys(hashes: Column, levels: Column) -> Column:
-    """Word hashes as longs in the global order: level in the top bits, then 59 bits of the hash."""
-    def key(h: Column) -> Column:
+def ordered_keys(line: Column, levels: Column) -> Column:
+    """The distinct words of a line as longs in the global order: level in the top bits, then 59 bits of the word's hash."""
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
         level = F.get(levels, F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int"))
         return F.shiftleft(level.cast("bigint"), 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
-    return F.sort_array(F.transform(hashes, key))
+    # one pass over the words, and the empty word leaves by its key
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words_of(line), key)), key(F.lit(""))))
+
+
+def text_mark(text: Column) -> Column:
+    """30 bits of a text's hash, never 0."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 30) - 1)).bitwiseOR(F.lit(1))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``doc, copy, text`` with a hash of the text where the id has several rows, else 0: what tells an id's texts apart.
+
+    Ids are counted first; those that repeat are few as a rule, and are joined by broadcast if they are.
+    """
+    again = stored(rows.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("again")), "line-again")
+    mark = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    copy = F.when(F.col("again").isNotNull(), text_mark(F.col("text"))).otherwise(F.lit(0).cast("bigint"))
+    return rows.join(mark, F.col("doc") == F.col("again"), "left").select("doc", copy.alias("copy"), "text")
+
+
+def in_lines(rows: DataFrame) -> DataFrame:
+    """``doc, pos, line``: the lines of :func:`numbered` texts, each with its number within the id."""
+    at = F.posexplode(F.split("text", "\n")).alias("at", "line")
+    return rows.select("doc", "copy", at).select("doc", (F.shiftleft("copy", LINES) + F.col("at")).alias("pos"), "line")
 
 
 def parity(keys: Column) -> Column:
@@ -69,18 +97,20 @@ def parity(keys: Column) -> Column:
 
 
 def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc long, pos int, gone boolean``: first place of every distinct line, and whether an earlier line matches it."""
+    """``doc long, pos long, gone boolean``: first place of every distinct line (see ``LINES``), and whether an earlier line matches it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")) \
         .where("doc IS NOT NULL AND text IS NOT NULL")
     levels = rarity_levels(rows, "text")
-    place = F.min((F.col("doc").cast("decimal(38,0)") * F.lit(PLACES) + F.col("pos")).cast("decimal(38,0)")).alias("place")
-    doc_of = F.floor(F.col("place") / F.lit(PLACES)).cast("long").alias("doc")
-    pos_of = F.pmod("place", F.lit(PLACES).cast("decimal(38,0)")).cast("int").alias("pos")
-    lines = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(has_words(F.col("line")))
-    first = lines.groupBy("line").agg(place).select(doc_of, pos_of, hashes_of(F.col("line")).alias("hashes"))
+    rows = numbered(rows)
+    places = F.lit(PLACES).cast("decimal(20,0)")
+    place = F.min((F.col("doc").cast("decimal(38,0)") * places + F.col("pos")).cast("decimal(38,0)")).alias("place")
+    pos_of = F.pmod("place", places.cast("decimal(38,0)"))
+    doc_of = ((F.col("place") - pos_of) / places).cast("long").alias("doc")
+    first = in_lines(rows).where(has_words(F.col("line"))).groupBy("line").agg(place) \
+        .select(doc_of, pos_of.cast("long").alias("pos"), "line")
 
     probe = F.col("n") - F.ceil(threshold * F.col("n") - EPS) + 1
-    sets = first.select("doc", "pos", ordered_keys(F.col("hashes"), levels).alias("keys")) \
+    sets = first.select("doc", "pos", ordered_keys(F.col("line"), levels).alias("keys")) \
         .select("doc", "pos", "keys", F.size("keys").alias("n"), parity(F.col("keys")).alias("all"),
                 F.when(F.size("keys") > SMALL, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0)))
                  .otherwise(F.lit(0).cast("bigint")).alias("more")) \
@@ -93,29 +123,30 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     # (no line here is without words; the outer form and the stand-ins keep Catalyst from inferring filters
     # that would compute the sets a second time below the aggregate, or tell the join's two sides apart)
 
-    na, nb = F.col("a.n"), F.col("b.n")
-    need = F.ceil(threshold / (1 + threshold) * (na + nb) - EPS)     # words a matching pair shares
-    bits, more = F.col("a.bits").bitwiseXOR(F.col("b.bits")), F.col("a.more").bitwiseXOR(F.col("b.more"))
-    # two large sets compare 128 bits; a small set has its two halves folded, so the other's are folded too
-    differing = F.when((na > SMALL) & (nb > SMALL), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
-
-    other = (F.col("a.doc") != F.col("b.doc")) | (F.col("a.pos") != F.col("b.pos"))
-    role = F.when(na > nb, F.col("b.indexed")).when(na < nb, F.col("a.indexed")).otherwise(F.col("a.indexed") | F.col("b.indexed"))
-    # Entries with a partner that passes the filters.  Only that there is one is asked, so a large family of
+    # Entries with a partner that passes the filters: only that there is one is asked, so a large family of
     # similar lines makes no pairs.  Both sides are one and the same exchange; the condition names both
-    # sides throughout, so that nothing of it is pushed below the exchange.
-    active = sets.alias("a").join(
-        sets.alias("b"),
-        (F.col("a.key") == F.col("b.key")) & (nb >= F.col("a.least")) & (na >= F.col("b.least")) & role
-        & (1 + F.least(na - 1 - F.col("a.at"), nb - 1 - F.col("b.at")) >= need) & (differing <= na + nb - 2 * need) & other, "left_semi")
-    active = stored(active.select("key", "doc", "pos"), "line-active")
+    # sides throughout, so that nothing of it is pushed below the exchange.  A pair shares at least ``need`` words; two large
+    # sets compare 128 parity bits, and a small set has its halves folded, so the other's are folded too.  The first entry
+    # of every line comes along, partner or not: it is the line's place.
+    need = f"ceil({threshold / (1 + threshold)!r}D * (a.n + b.n) - {EPS}D)"
+    found = docs.sparkSession.sql(f"""
+        SELECT key, doc, pos, at = 0 AS first, EXISTS (
+          SELECT 1 FROM {{b}} b WHERE a.key = b.key AND b.n >= a.least AND a.n >= b.least
+            AND CASE WHEN a.n > b.n THEN b.indexed WHEN a.n < b.n THEN a.indexed ELSE a.indexed OR b.indexed END
+            AND 1 + least(a.n - 1 - a.at, b.n - 1 - b.at) >= {need}
+            AND CASE WHEN a.n > {SMALL} AND b.n > {SMALL} THEN bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more)
+                     ELSE bit_count((a.bits ^ b.bits) ^ (a.more ^ b.more)) END <= a.n + b.n - 2 * {need}
+            AND (a.doc <> b.doc OR a.pos <> b.pos)) AS mate
+        FROM {{a}} a""", a=sets, b=sets)
+    found = stored(found.where("first OR mate").select(F.when(F.col("mate"), F.col("key")).alias("key"), "doc", "pos", "first"), "line-active")
+    active = found.where("key IS NOT NULL").select("key", "doc", "pos")
 
     # verification reads the lines concerned from the input again; their places are few
     ids = stored(active.select("doc", "pos").distinct(), "line-ids")
     few = ids.count() <= BROADCAST_ROWS
     release(docs.sparkSession)
     some = rows.join(F.broadcast(ids.select("doc").distinct()) if few else ids.select("doc").distinct(), "doc", "left_semi")
-    some = some.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(F.broadcast(ids) if few else ids, ["doc", "pos"])
+    some = in_lines(some).join(F.broadcast(ids) if few else ids, ["doc", "pos"])
     words = stored(some.select("doc", "pos", hashes_of(F.col("line")).alias("words")).dropDuplicates(["doc", "pos"]), "line-words")
     full = active.join(words, ["doc", "pos"]).select("key", "doc", "pos", "words")
 
@@ -128,9 +159,27 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
         & (F.size(wa) >= F.ceil(threshold * F.size(wb) - EPS))
         & (shared >= threshold * (F.size(wa) + F.size(wb) - shared) - EPS), "left_semi") \
         .select("doc", "pos").distinct().withColumn("gone", F.lit(True))
-    # first places once more, by a narrow hash of the line: cheaper than carrying the lines' text along
-    narrow = lines.groupBy(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2")).agg(place).select(doc_of, pos_of)
-    return narrow.join(late, ["doc", "pos"], "left").select("doc", "pos", F.coalesce("gone", F.lit(False)).alias("gone"))
+    return found.where("first").select("doc", "pos").join(late, ["doc", "pos"], "left") \
+        .select("doc", "pos", F.coalesce("gone", F.lit(False)).alias("gone"))
+
+
+def kept_lines(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """A row per document: ``doc, own`` (its text's mark), ``size`` (its lines) and ``keep`` (numbers of those that stay)."""
+    places = line_matches(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT gone")
+    kept = places.groupBy(F.col("doc").alias("kept_doc"), F.shiftright("pos", LINES).alias("kept_copy")) \
+        .agg(F.collect_list(F.col("pos").bitwiseAND(F.lit((1 << LINES) - 1)).cast("int")).alias("kept_pos"))
+    text = F.col(text_col).cast("string")
+    lines = F.split(text, "\n")
+    none = F.array().cast("array<int>")
+    blank = F.filter(F.transform(lines, lambda x, k: F.when(~has_words(x), k)), lambda k: k.isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_mark(text).alias("own"), F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).alias("size"),
+                       F.coalesce(blank, none).alias("blank"), text.isNotNull().alias("there"))
+    every = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") - 1)).otherwise(none)
+    found = F.when(F.col("there"), F.coalesce("kept_pos", none)).otherwise(none)
+    keep = F.when(F.col("doc").isNull(), every).otherwise(F.array_sort(F.array_union("blank", found)))
+    # an id with one text has copy 0, an id with several those texts' marks
+    same = (F.col("doc") == F.col("kept_doc")) & ((F.col("kept_copy") == 0) | (F.col("kept_copy") == F.col("own")))
+    return rows.join(kept, same, "left").select("doc", "own", "size", keep.alias("keep"))
 
 
 def duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,35 +188,25 @@ def duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     Lines end at ``\\n``.  A line goes if a line that comes before it (by id, then line number, over the
     whole table) has a word set at Jaccard similarity ``threshold`` or more - judged on the input, not on
     what is left.  Lines without a word are always kept.  A null text has no lines; a row with a null id
-    keeps all its lines and matches nothing.  Rows that share an id are read as one document's
-    alternatives: a line number is kept if the id's line there is kept, so equal rows are treated alike.
-    An empty table gives an empty one.
+    keeps all its lines and matches nothing.  Rows that share an id and a text are one and are treated alike;
+    several texts of one id are told apart and come in the order of a hash of the text.  An empty table gives an empty one.
     """
-    places = line_matches(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT gone")
-    kept = places.groupBy(F.col("doc").alias("kept_doc")).agg(F.collect_list("pos").alias("kept_pos"))
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    blank = F.filter(F.transform(lines, lambda x, k: F.when(~has_words(x), k)), lambda k: k.isNotNull())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.size(lines), F.lit(0)).alias("size"),
-                       F.coalesce(blank, F.array().cast("array<int>")).alias("blank"))
-    rows = rows.withColumn("size", F.greatest("size", F.lit(0)))
-    every = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") - 1)).otherwise(F.array().cast("array<int>"))
-    keep = F.when(F.col("doc").isNull(), every).otherwise(F.array_sort(F.array_union("blank", F.coalesce("kept_pos", F.array().cast("array<int>")))))
-    return rows.join(kept, F.col("doc") == F.col("kept_doc"), "left").select(
+    return kept_lines(docs, threshold, id_col, text_col).select(
         F.col("doc").alias(id_col), F.col("size").cast("long").alias("n_lines"),
-        (F.col("size") - F.size(keep)).cast("long").alias("n_removed"), keep.alias("kept_lines"))
+        (F.col("size") - F.size("keep")).cast("long").alias("n_removed"), F.col("keep").alias("kept_lines"))
 
 
 def drop_duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with the duplicate lines taken out of ``text_col`` (see :func:`duplicate_lines`); rows that keep no line
-    although they had one with words are dropped."""
-    found = duplicate_lines(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("n_removed > 0") \
-        .select(F.col(id_col).alias("id"), F.col("kept_lines").alias("kept")).dropDuplicates(["id"])
+    although they had one with words are dropped, and of rows with one id and one text one stays."""
+    found = kept_lines(docs, threshold, id_col, text_col).where("size > size(keep)").select("doc", "own", "keep").dropDuplicates(["doc", "own"])
     # the input's columns travel in one struct, so that no name of theirs can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(found, F.col(f"row.{id_col}") == F.col("id"), "left")
+    rows = once(docs, id_col, text_col).select(F.struct(*docs.columns).alias("row"))
     text = F.col(f"row.{text_col}")
+    rows = rows.join(found, (F.col(f"row.{id_col}").cast("long") == F.col("doc")) & (text_mark(text.cast("string")) == F.col("own")), "left")
     lines = F.split(text, "\n")
-    rest = F.when(F.col("id").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda k: F.get(lines, k)), "\n"))
-    return rows.select("row", "id", rest.alias("rest")).where(F.col("id").isNull() | has_words(F.col("rest"))) \
+    rest = F.when(F.col("doc").isNull(), text).otherwise(F.array_join(F.transform("keep", lambda k: F.get(lines, k)), "\n"))
+    return rows.select("row", "doc", rest.alias("rest")).where(F.col("doc").isNull() | has_words(F.col("rest"))) \
         .select(*[F.col("rest").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 

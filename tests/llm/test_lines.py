@@ -24,6 +24,57 @@ def brute(rows, t=0.8):
     return sorted(out)
 
 
+def marked(spark, rows):
+    """The order of several texts of one id: by the mark of the text."""
+    from reelspark.llm.lines import text_mark
+    texts = spark.createDataFrame([(t,) for t in sorted({t for _, t in rows if t is not None})], "t string")
+    return {r.t: r.m for r in texts.select("t", text_mark(texts["t"]).alias("m")).collect()}
+
+
+def brute_repeated(spark, rows, t=0.8):
+    """All pairs of lines, where a line stands in a text, a text under an id, and equal rows are one."""
+    mark = marked(spark, rows)
+    places = {}
+    for i, text in rows:
+        if i is not None and text is not None:
+            for k, line in enumerate(text.split("\n")):
+                places[(i, mark[text], k)] = frozenset(line.encode().split())
+    kept, seen = set(), []
+    for place in sorted(places):
+        s = places[place]
+        if s and not any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen):
+            kept.add(place)
+        if s:
+            seen.append(s)
+    out = []
+    for i, text in rows:
+        own = [] if text is None else text.split("\n")
+        keep = [k for k, line in enumerate(own) if i is None or not line.split() or (i, mark[text], k) in kept]
+        out.append((str(i), len(own), len(own) - len(keep), keep))
+    return sorted(out)
+
+
+def test_several_texts_of_one_id(spark):
+    rows = [(1, "alpha beta gamma delta"), (2, "first line here\nalpha beta gamma delta"), (2, "alpha beta gamma delta"), (2, "alpha beta gamma delta"),
+            (2, None), (3, "first line here\nnew words stand here\n"), (3, "new words stand here"), (None, "first line here"), (4, "one\ntwo"), (4, "two\none\nthree")]
+    got = run(spark, rows)
+    assert got == brute_repeated(spark, rows)
+    assert all(n >= 0 and (not keep or max(keep) < size) for _, size, n, keep in got)
+
+
+def test_random_repeated_ids_match_all_pairs(spark):
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("abcdefghijkl") + str(rng.randint(0, 3)) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    rows = [(rng.randint(0, 25), "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 4)))) for _ in range(90)]
+    assert run(spark, rows + rows[:10]) == brute_repeated(spark, rows + rows[:10])
+
+
+def test_one_of_equal_rows_stays(spark):
+    rows = [(1, "a b c\nd e", "x"), (1, "a b c\nd e", "y"), (1, "other text", "z"), (2, "a b c", "w"), (None, "a b c", "n"), (None, "a b c", "n"), (3, None, "u"), (3, None, "u")]
+    got = sorted((str(r.doc_id), str(r.text)) for r in drop_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string, size string")).collect())
+    assert got == [("1", "a b c\nd e"), ("1", "other text"), ("3", "None"), ("None", "a b c"), ("None", "a b c")]
+
+
 def run(spark, rows):
     df = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], "doc_id long, text string, pos int, words int")
     return sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept_lines) for r in duplicate_lines(df).collect())
