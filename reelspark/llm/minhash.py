@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, trim
+from .common import bounded_batches, once, stored, trim
 from .components import components
 from .textops import U64, WordHasher, doc_chunks, mix, text_buffer, window_hashes, word_spans
 
@@ -29,6 +29,9 @@ REGISTERS = BANDS * ROWS
 #: Slots in which shingles are counted to order them by rarity.
 SLOTS = 1 << 20
 
+#: Repeated ids up to which their list is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
 
 def chunk_words(buf: np.ndarray, off: np.ndarray, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, doc = word_spans(buf, off)
@@ -222,14 +225,37 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     ``kept`` is true for the least id of a group; ``copy_of`` is the least id with the same words (itself
     if none).  Words are taken in lower case (A-Z).  Null and empty texts link with nothing and are kept;
     texts of 1 to 4 words are one shingle, so only equal ones link.  A null id links with nothing and is
-    kept.  Rows that share an id share its class.  An empty table gives an empty one.
+    kept.  Rows that share an id and a text are one; texts that share an id are different documents, whose class is named by the
+    least id as any, and of which the one with the least hash counts as the lesser.  An empty table gives an empty one.
 
     Copies are one candidate.  Members of a band bucket are first compared with the bucket's least id
     only.  The members of buckets that then still hold several groups are searched exactly, for links
     between groups (see :func:`open_pairs`), so no link that would join two groups is lost, and a large
     group of near copies costs about a pair a member.
     """
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    again = stored(rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("again")), "near-again")
+    n = again.count()
+    if not n:
+        return unique_near_duplicates(rows, threshold).withColumnsRenamed({"id": id_col})
+    # texts of a repeated id get a number of their own, and the least id of a class is found afterwards
+    rows = rows.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, F.col("id") == F.col("again"), "left") \
+        .select(F.col("id").alias("real"), F.when(F.col("again").isNotNull(), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("id"), "text")
+    found = stored(unique_near_duplicates(rows.select("id", "text"), threshold), "near-found")
+    names = rows.where("id IS NOT NULL").select("id", "real").distinct()
+    told = found.where("id IS NOT NULL").select("id", "class_id", "copy_of").distinct().join(names, "id")
+    classes = told.groupBy("class_id").agg(F.min(F.struct("real", "id")).alias("least"))
+    copies = told.groupBy("copy_of").agg(F.min("real").alias("copy_real"))
+    told = told.join(classes, "class_id").join(copies, "copy_of").select(
+        "id", "real", F.col("least.real").alias("class_real"), (F.col("least.id") == F.col("id")).alias("kept"), "copy_real")
+    out = found.select("id").join(told, "id", "left")
+    return out.select(F.col("real").alias(id_col), F.col("class_real").alias("class_id"), F.coalesce("kept", F.lit(True)).alias("kept"),
+                      F.col("copy_real").alias("copy_of"))
+
+
+def unique_near_duplicates(rows: DataFrame, threshold: float) -> DataFrame:
+    """:func:`near_duplicates` of ``id, text`` rows in which an id has one text."""
+    bounded_batches(rows)
     signed = stored(rows.where("id IS NOT NULL").mapInArrow(sign, "id long, c1 long, c2 long, bands array<bigint>"), "near-signatures")
     classes = stored(signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")),
                      "near-classes")
@@ -260,13 +286,16 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
         .groupBy("id").agg(F.min("rep").alias("rep"))
     placed = copies.join(final.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("id", "rep", F.coalesce("component", "rep").alias("class_id"))
-    out = docs.select(F.col(id_col).cast("long").alias("doc")).join(placed, F.col("doc") == F.col("id"), "left")
-    return out.select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"),
+    out = rows.select(F.col("id").alias("doc")).join(placed, F.col("doc") == F.col("id"), "left")
+    return out.select(F.col("doc").alias("id"), F.coalesce("class_id", "doc").alias("class_id"),
                       F.coalesce(F.col("class_id") == F.col("doc"), F.lit(True)).alias("kept"), F.coalesce("rep", "doc").alias("copy_of"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the rows that are not ``kept`` (see :func:`near_duplicates`)."""
-    gone = near_duplicates(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT kept") \
-        .select(F.col(id_col).alias("near_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["near_gone"], "left_anti")
+    """The input without the rows that are not ``kept`` (see :func:`near_duplicates`); of rows with one id and one text one stays.
+
+    Of several texts of one id that are near copies of each other all stay or go together, as their class does.
+    """
+    gone = near_duplicates(docs, threshold=threshold, id_col=id_col, text_col=text_col) \
+        .groupBy(F.col(id_col).alias("near_gone")).agg(F.max("kept").alias("stays")).where("NOT stays").select("near_gone")
+    return once(docs.join(gone, docs[id_col] == gone["near_gone"], "left_anti"), id_col, text_col)

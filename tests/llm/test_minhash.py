@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pytest
 
-from reelspark.llm.minhash import near_duplicates, probability_jaccard, shingles, signatures, REGISTERS
+from reelspark.llm.minhash import drop_near_duplicates, near_duplicates, probability_jaccard, shingles, signatures, REGISTERS
 from reelspark.llm.textops import U64, mix
 
 from ..conftest import SF01
@@ -85,3 +85,26 @@ def test_whole_table_against_brute_force(spark):
     got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
     assert got == want
     assert sum(i != c for i, c in got.items()) > 20
+
+
+def test_several_texts_of_one_id(spark):
+    """No link is lost where an id has another text beside; classes are named by the least id."""
+    a = " ".join(f"w{k}" for k in range(60))
+    near = " ".join(f"w{k}" for k in range(59)) + " x"
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, a), (2, near), (2, other), (2, other), (3, other + " end"), (4, "alone here"), (None, a), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.kept, str(r.copy_of)) for r in near_duplicates(df).collect())
+    assert len(got) == len(rows)
+    assert sorted(x[:2] for x in got) == sorted([("1", "1"), ("2", "1"), ("2", "2"), ("2", "2"), ("3", "2"), ("4", "4"), ("None", "None"), ("5", "5"), ("5", "5")])
+    assert sum(k for i, c, k, _ in got if c == "1") == 1 and sum(k for i, c, k, _ in got if c == "2") in (1, 2)
+    left = sorted((str(r.doc_id), str(r.text)) for r in drop_near_duplicates(df).collect())
+    assert ("1", a) in left and ("3", other + " end") not in left and left.count(("2", other)) == 1 and ("None", a) in left
+
+
+def test_a_very_long_text(spark):
+    """A text of 200,000 words, a near copy of it and one of its halves."""
+    words = [f"w{(k * 7919) % 150_001}" for k in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-100])), (3, " ".join(words[:100_000])), (4, "short text of a few words")]
+    got = {r.doc_id: (r.class_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True)}
