@@ -8,8 +8,6 @@ in ``foreachBatch`` against versioned snapshot folders.
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,87 +216,3 @@ def _path(spark: SparkSession, path: str):
     """(file system, path) of the Hadoop file API."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def read_manifest(spark: SparkSession, table_path: str) -> dict | None:
-    """Newest manifest of a bucketed table: batch id, number of buckets, folder of each bucket (None: no table yet)."""
-    fs, root = _path(spark, f"{table_path.rstrip('/')}/_manifests")
-    if not fs.exists(root):
-        return None
-    names = sorted(st.getPath().getName() for st in fs.listStatus(root) if st.getPath().getName().endswith(".json"))
-    if not names:
-        return None
-    text = spark.read.text(f"{table_path.rstrip('/')}/_manifests/{names[-1]}", wholetext=True).first()[0]
-    return json.loads(text)
-
-
-def _write_manifest(spark: SparkSession, table_path: str, manifest: dict) -> None:
-    """Write beside, then rename: a manifest is there whole or not at all.  Only the last two are kept."""
-    folder = f"{table_path.rstrip('/')}/_manifests"
-    fs, final = _path(spark, f"{folder}/{manifest['batch']:012d}.json")
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.{manifest['batch']:012d}.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(tmp, final):
-        raise OSError(f"cannot publish {final}")
-    names = sorted(st.getPath().getName() for st in fs.listStatus(final.getParent()) if st.getPath().getName().endswith(".json"))
-    for old in names[:-2]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), False)
-
-
-def read_bucketed(spark: SparkSession, table_path: str, buckets: list[int] | None = None) -> DataFrame:
-    """The current rows of a bucketed table (all, or some buckets)."""
-    manifest = read_manifest(spark, table_path)
-    if manifest is None:
-        raise ValueError(f"no table at {table_path}")
-    folders = [f for b, f in manifest["folders"].items() if buckets is None or int(b) in buckets]
-    schema = T.StructType.fromJson(manifest["schema"])
-    if not folders:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{table_path.rstrip('/')}/{f}" for f in folders])
-
-
-def upsert_sink_bucketed(table_path: str, *, key: str, arrival: str, update_cols, keep_cols,
-                         n_buckets: int = 256):
-    """``foreachBatch`` upsert into a table of hash buckets, ``pmod(xxhash64(key), n)``.
-
-    A micro-batch rewrites only the buckets its keys fall in (at most ``n_buckets`` integers come to
-    the driver).  Their merged rows are written as new folders beside the old ones, and one manifest
-    file, renamed into place, switches the table to them: readers see the batch whole or not at all,
-    and a failure at any point leaves the table as it was.  Errors in reading an existing table
-    propagate; only a missing manifest means there is no table yet.  A batch at or before the
-    manifest's is a replay and is skipped.  The manifest records ``n_buckets``; another number is
-    refused, as it would duplicate keys.  Folders that no kept manifest names are removed.
-    """
-    cols = list(dict.fromkeys([key, *update_cols, *keep_cols]))
-    root = table_path.rstrip("/")
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        manifest = read_manifest(spark, root)
-        if manifest is not None and manifest["n_buckets"] != n_buckets:
-            raise ValueError(f"the table has {manifest['n_buckets']} buckets, not {n_buckets}")
-        if manifest is not None and batch_id <= manifest["batch"]:
-            return
-        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
-        changes = batch.select(*dict.fromkeys([*cols, arrival]))
-        touched = [r[0] for r in changes.select(bucket.alias("b")).distinct().collect()]
-        if not touched:
-            return
-        folders = dict(manifest["folders"]) if manifest else {}
-        old = {b: folders[str(b)] for b in touched if str(b) in folders}
-        cur = read_bucketed(spark, root, touched).select(*cols) if old else spark.createDataFrame([], changes.select(*cols).schema)
-        merged = mutate.upsert(cur, changes, key=key, arrival=F.col(arrival), update_cols=update_cols,
-                               keep_cols=keep_cols).drop("action")
-        version = f"v{batch_id:012d}"
-        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{version}")
-        folders.update({str(b): f"{version}/bucket={b}" for b in touched})
-        _write_manifest(spark, root, {"batch": batch_id, "n_buckets": n_buckets, "folders": folders,
-                                      "schema": merged.schema.jsonValue(), "replaced": sorted(old.values())})
-        for gone in (manifest or {}).get("replaced", []):   # what the batch before replaced: no kept manifest names it
-            fs, p = _path(spark, f"{root}/{gone}")
-            fs.delete(p, True)
-    return apply

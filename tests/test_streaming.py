@@ -294,37 +294,6 @@ def test_mail_job_routes_to_queue_folders(spark, scratch):
     assert {r.queue for r in out.select("queue").distinct().collect()} == {"email.queue", "email.queue.dead"}
 
 
-def test_bucketed_upsert_sink_rewrites_only_touched_buckets(spark, stream_dir, scratch):
-    cols = ["user_id", "id", "file_key", "size_bytes", "uploaded_at", "duration"]
-
-    def uploads(df):
-        return df.filter(F.col("event_type") == "purchase").select(
-            "user_id", F.col("event_id").alias("id"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("file_key"),
-            F.round(F.col("value") * 100).cast("bigint").alias("size_bytes"), F.col("ts").alias("uploaded_at"),
-            F.col("props").alias("duration"))
-
-    table = os.path.join(scratch, "last_upload")
-    sink = flows.upsert_sink_bucketed(table, key="user_id", arrival="id",
-                                      update_cols=["file_key", "size_bytes", "uploaded_at"],
-                                      keep_cols=["id", "duration"], n_buckets=8)
-    q = (uploads(events_stream(spark, stream_dir)).writeStream.foreachBatch(sink)
-         .option("checkpointLocation", os.path.join(scratch, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    ev = tables.read_table(spark, SF001, "events")
-    got = {tuple(r) for r in flows.read_bucketed(spark, table).select(*cols).collect()}
-    empty = spark.createDataFrame([], uploads(ev).schema)
-    want = {tuple(r) for r in mutate.upsert(empty, uploads(ev), key="user_id", arrival=F.col("id"),
-                                            update_cols=["file_key", "size_bytes", "uploaded_at"],
-                                            keep_cols=["id", "duration"]).select(*cols).collect()}
-    assert got == want
-    # a batch touching one key writes one bucket folder and leaves the others alone
-    before = flows.read_manifest(spark, table)["folders"]
-    one = uploads(ev).filter(F.col("user_id") == 3).limit(1)
-    sink(one.withColumn("id", F.col("id") + 100000), 999)
-    after = flows.read_manifest(spark, table)["folders"]
-    assert len([b for b in after if after[b] != before.get(b)]) == 1
-
-
 def skewed_files(spark, scratch, rows, schema):
     """One file a micro-batch, in the order given."""
     d = os.path.join(scratch, "skewed")
@@ -353,31 +322,6 @@ def test_clocks_of_other_keys_make_no_row_late(spark, scratch, idle_ms):
     assert [(r.key, r.id, r.allowed) for r in out.where("late").collect()] == [("10.0.0.1", "e", None)]
 
 
-def test_failed_read_of_an_existing_table_overwrites_nothing(spark, scratch, monkeypatch):
-    table = os.path.join(scratch, "last_upload")
-    schema = "user_id long, id long, file_key string"
-    sink = flows.upsert_sink_bucketed(table, key="user_id", arrival="id", update_cols=["file_key"], keep_cols=["id"], n_buckets=2)
-    sink(spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], schema), 0)
-    before = sorted(tuple(r) for r in flows.read_bucketed(spark, table).select("user_id", "id", "file_key").collect())
-    part = next(os.path.join(p, f) for p, _, fs in os.walk(table) for f in fs if f.endswith(".parquet"))
-    raw = open(part, "rb").read()
-    open(part, "wb").write(b"broken")
-    with pytest.raises(Exception):
-        sink(spark.createDataFrame([(1, 11, "c"), (2, 21, "c")], schema), 1)
-    open(part, "wb").write(raw)
-    for p, _, fs in os.walk(table):
-        for f in fs:
-            if f.endswith(".crc"):
-                os.remove(os.path.join(p, f))
-    assert sorted(tuple(r) for r in flows.read_bucketed(spark, table).select("user_id", "id", "file_key").collect()) == before
-    sink(spark.createDataFrame([(1, 11, "c")], schema), 1)
-    sink(spark.createDataFrame([(1, 11, "c")], schema), 1)    # a replay leaves the table as it is
-    assert sorted(tuple(r) for r in flows.read_bucketed(spark, table).select("user_id", "id", "file_key").collect()) == [(1, 10, "c"), (2, 20, "b")]
-    with pytest.raises(ValueError):
-        flows.upsert_sink_bucketed(table, key="user_id", arrival="id", update_cols=["file_key"], keep_cols=["id"], n_buckets=4)(
-            spark.createDataFrame([(1, 11, "c")], schema), 2)
-
-
 def held_stream(spark, d, name, ckpt, delay_ms):
     held = flows.retry_hold_stream(flows.file_stream(spark, d, T_HELD), id_col="id", delay_ms=delay_ms)
     return (held.writeStream.format("parquet").outputMode("append").option("path", name)
