@@ -138,7 +138,9 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
                      ELSE bit_count((a.bits ^ b.bits) ^ (a.more ^ b.more)) END <= a.n + b.n - 2 * {need}
             AND (a.doc <> b.doc OR a.pos <> b.pos)) AS mate
         FROM {{a}} a""", a=sets, b=sets)
-    found = stored(found.where("first OR mate").select(F.when(F.col("mate"), F.col("key")).alias("key"), "doc", "pos", "first"), "line-active")
+    # a row's choice is an array, not a filter: a filter would be pushed below the join, and the join made twice
+    chosen = F.when(F.col("first") | F.col("mate"), F.array(F.struct(F.when(F.col("mate"), F.col("key")).alias("key"), "doc", "pos", "first")))
+    found = stored(found.select(F.explode_outer(chosen).alias("x")).where("x IS NOT NULL").select("x.*"), "line-active")
     active = found.where("key IS NOT NULL").select("key", "doc", "pos")
 
     # verification reads the lines concerned from the input again; their places are few
