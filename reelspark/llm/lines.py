@@ -117,9 +117,11 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
         .select("doc", "pos", "n", F.col("all").bitwiseXOR(F.col("more")).alias("bits"), "more",
                 F.slice("keys", F.lit(1), probe.cast("int")).alias("prefix")) \
         .select("doc", "pos", "n", "bits", "more", F.posexplode_outer("prefix").alias("at", "key")) \
-        .select(F.coalesce("key", F.lit(-1).cast("bigint")).alias("key"), "doc", "pos", "n", F.coalesce("at", F.lit(0)).alias("at"), "bits", "more",
+        .select(F.coalesce("key", F.lit(-1).cast("bigint")).alias("key"), "n",
                 F.coalesce(F.ceil(threshold * F.col("n") - EPS), F.lit(0)).cast("int").alias("least"),     # smallest partner
-                F.coalesce(F.col("at") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - EPS) + 1, F.lit(False)).alias("indexed"))
+                F.coalesce(F.col("at") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - EPS) + 1, F.lit(False)).alias("indexed"),
+                F.coalesce("at", F.lit(0)).alias("at"), "bits", "more", "doc", "pos")
+    # in the order in which the join below names them: its two sides are then the same to Spark, and are shuffled once
     # (no line here is without words; the outer form and the stand-ins keep Catalyst from inferring filters
     # that would compute the sets a second time below the aggregate, or tell the join's two sides apart)
 
