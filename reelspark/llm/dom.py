@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from functools import lru_cache
 
 import numpy as np
 
@@ -67,9 +66,15 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-@lru_cache(1 << 16)
+#: What names have been found to say; forgotten when there are this many (a speed-up only).
+SEEN: dict[str, int] = {}
+SEEN_NAMES = 1 << 16
+
+
 def groups_of(name: str) -> int:
     """What a class, id or role value says, as bits; compound words count by their first or last part."""
+    if name in SEEN:
+        return SEEN[name]
     found = 0
     for part in PART.findall(name):
         word = part.lower()
@@ -78,6 +83,9 @@ def groups_of(name: str) -> int:
             for k in range(4, len(word) - 1):
                 bit |= GROUP_OF.get(word[:k], 0) | GROUP_OF.get(word[-k:], 0)
         found |= bit
+    if len(SEEN) >= SEEN_NAMES:
+        SEEN.clear()
+    SEEN[name] = found
     return found
 
 

@@ -2,6 +2,7 @@
 
 import html
 import itertools
+import os
 import re
 
 import numpy as np
@@ -140,3 +141,16 @@ def test_edge_rows(spark):
 def test_empty_table(spark):
     out = extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string"), set_again=50)
     assert out.count() == 0 and out.columns == ["page_id", "url", "main_text", "main_chars"]
+
+
+def test_the_kernel_needs_no_copy_of_the_package(trees, tmp_path):
+    """Workers get the reading, the trees and the decoding by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    (tmp_path / "kernel").write_bytes(cloudpickle.dumps(lambda source: extract.main_texts([source], trees)))
+    script = "from pyspark import cloudpickle as c; print(c.loads(open('kernel', 'rb').read())('<article class=post><h1>T</h1><p>hello</p></article>'))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=100)
+    assert out.stdout.strip() == "['T hello']", out.stderr
