@@ -2,8 +2,8 @@
 
 Stateless operators (decode, route, validation, scalar projections) run on a
 streaming DataFrame unchanged - they are plain column expressions.  Stateful
-ones keep per-key state (``state.keyed_fold_stream``); snapshot upserts run
-in ``foreachBatch`` against versioned snapshot folders.
+ones keep per-key state (``state``: folds, held deliveries, confirmations that
+wait); snapshot upserts run in ``foreachBatch`` against versioned snapshot folders.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..functions.timecols import epoch_ms
 from ..operators import messages as M
 from ..operators import mutate
 from ..sources import messages as SM
 from ..operators.ordered import as_is, as_long, fold_schema
-from ..functions.timecols import epoch_ms
 from .state import Await, Hold, arrived, keyed_fold_stream
 
 
