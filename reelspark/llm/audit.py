@@ -9,7 +9,6 @@ into its neighbour, and one sum a part holds the whole report, which is unpacked
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import permutations
 
