@@ -5,10 +5,12 @@ A token's class is the word itself for the commonest words, else one of a fixed
 So a text's probability is the exact likelihood of its class sequence under the hidden Markov
 model, times each word's share of its class.
 
-Word counts and class totals come from the whole training corpus.  Baum-Welch starts from a fit on a
-bounded sample and then runs over the whole training corpus: tasks compute expected counts of
-their documents, Spark adds them up, and the driver normalises a table of bounded size.  The
-scaled forward recursion scores whole documents; counts of words beyond a bounded table are joined.
+Word counts and class totals come from the whole training corpus, and so does the start: every class is
+counted with what stands before and behind it in all training texts, and classes with like neighbours
+prefer one state.  Every pass of Baum-Welch runs over the whole training corpus: tasks compute
+expected counts of their documents, Spark adds them up, and the driver normalises a table of
+bounded size.  The scaled forward recursion scores whole documents; counts of words beyond a bounded
+table are joined.
 """
 
 from __future__ import annotations
@@ -31,9 +33,12 @@ TABLE_WORDS = 200_000
 EXACT_COUNTS = 100_000
 CLASSES = OWN_WORDS + ENDINGS + 1
 END = CLASSES - 1
-#: Full passes of Baum-Welch, and the bounded sample and its passes for the start.
-PASSES = 2
-SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_PASSES = 1200, 1000, 15
+#: Full passes of Baum-Welch, and the passes of the plain fit in memory.
+PASSES = 3
+SAMPLE_PASSES = 15
+#: For the start, a neighbour is one of the commonest words, an end, or one of a few groups of the other classes; before and behind.
+NEIGHBOUR_WORDS, NEIGHBOURS = 24, 32
+CLUSTER_STEPS = 25
 #: Training sequences are cut into runs of this many tokens (scoring never cuts).
 RUN = 128
 CHUNK_BYTES = 1 << 20
@@ -157,7 +162,7 @@ class Hmm:
 
 
 def sample_fit(seq: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> Hmm:
-    """Baum-Welch on the sample, from random states for whole documents that tend to stay."""
+    """Baum-Welch in memory, from random states for whole documents that tend to stay (a plain version to compare with; no query uses it)."""
     rng = np.random.default_rng(12)
     share = np.repeat(rng.dirichlet(np.full(STATES, 0.3), len(sizes)), sizes, axis=0)
     emits = np.stack([np.bincount(seq, share[:, s], CLASSES) for s in range(STATES)], axis=1)
@@ -167,6 +172,41 @@ def sample_fit(seq: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> Hmm:
     return model
 
 
+def neighbour_cells(seq: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Cells (class times 2 * NEIGHBOURS plus column) of every token's neighbours before and behind it in its document."""
+    group = np.where(seq < NEIGHBOUR_WORDS, seq, np.where(seq == END, NEIGHBOURS - 1, NEIGHBOUR_WORDS + seq % (NEIGHBOURS - 1 - NEIGHBOUR_WORDS)))
+    inner = np.ones(len(seq), bool)          # has a token behind it
+    inner[np.cumsum(sizes) - 1] = False
+    at = np.flatnonzero(inner)
+    seq, width = seq.astype(np.int64), 2 * NEIGHBOURS
+    return np.concatenate((seq[at + 1] * width + group[at], seq[at] * width + NEIGHBOURS + group[at + 1]))
+
+
+def start_fit(cells: np.ndarray, count: np.ndarray, base: np.ndarray) -> Hmm:
+    """A model whose states tend to stay and prefer classes with like neighbours, from the counts of :func:`neighbour_cells`."""
+    width = 2 * NEIGHBOURS
+    table = np.bincount(cells, count, CLASSES * width).reshape(CLASSES, width)
+    x, weight = np.sqrt(table), table.sum(axis=1)
+    x /= np.maximum(np.sqrt(weight), 1.0)[:, None]
+    # k-means of the classes by their occurrences, from the commonest one and then those farthest from all centres
+    centre, far = np.zeros((STATES, width)), weight.copy()
+    gap = np.full(CLASSES, np.inf)
+    for s in range(STATES):
+        centre[s] = x[np.argmax(far)]
+        gap = np.minimum(gap, ((x - centre[s]) ** 2).sum(axis=1))
+        far = weight * gap
+    for _ in range(CLUSTER_STEPS):
+        own = np.argmin((centre ** 2).sum(axis=1) - 2 * x @ centre.T, axis=1)
+        for s in range(STATES):
+            mass = weight * (own == s)
+            if mass.any():
+                centre[s] = mass @ x / mass.sum()
+    distance = (x ** 2).sum(axis=1)[:, None] + (centre ** 2).sum(axis=1) - 2 * x @ centre.T
+    near = np.exp(-8 * (distance - distance.min(axis=1, keepdims=True))) + 0.02
+    emits = near / near.sum(axis=1, keepdims=True) * weight[:, None]
+    return Hmm.from_counts(np.ones(STATES), np.eye(STATES) * 50 + 1, emits, base)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``h, ending, n``: count of every distinct word of the text column (hash of its lower-case form)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +243,7 @@ def word_table(counts: DataFrame, n_docs: int, table_words: int = TABLE_WORDS) -
     return table, tokens, words
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame, n_docs: int) -> tuple[WordTable, np.ndarray, Hmm]:
+def train(docs: DataFrame, text_col: str, counts: DataFrame, n_docs: int) -> tuple[WordTable, np.ndarray, Hmm]:
     """(word table, log10 of each ending's denominator, model) from training rows."""
     table, tokens, words = word_table(counts, n_docs)
     base = np.concatenate((np.zeros(OWN_WORDS), tokens, [float(n_docs)])) + 0.1
@@ -215,16 +255,17 @@ def train(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame, n_docs
         for _, t in chunks(batches, at):
             yield with_ends(table.look_up(t)[2], t.doc, t.n)
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * 2 * NEIGHBOURS, np.int64)
         for seq, sizes in classes(batches, 0):
-            cut = [s[:SAMPLE_TOKENS].tolist() for s in np.split(seq, np.cumsum(sizes)[:-1])]
-            yield pa.record_batch([pa.array(cut, pa.list_(pa.int32()))], names=["seq"])
+            cell, n = np.unique(neighbour_cells(seq, sizes), return_counts=True)
+            total[cell] += n
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
 
-    key = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(5)), F.lit(1 << 40))
-    few = docs.where(key < int((1 << 40) * min(1.0, SAMPLE_DOCS / max(1, n_docs)))).select(F.col(text_col).cast("string").alias("text"))
-    sample = sorted((list(r.seq) for r in few.mapInArrow(sequences, "seq array<int>").limit(2 * SAMPLE_DOCS).collect()), key=lambda s: (len(s), s))
-    seq = np.array([c for s in sample for c in s], np.int64)
-    model = sample_fit(seq, np.array([len(s) for s in sample], np.int64), base)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    cells = texts.mapInArrow(neighbours, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    model = start_fit(cells.column("cell").to_numpy(), cells.column("n").to_numpy(), base)
 
     names = [f"s{k}" for k in range(STATES)]
     for _ in range(PASSES if n_docs else 0):
@@ -238,8 +279,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame, n_docs
             at = np.flatnonzero(rows.any(axis=1))
             yield pa.record_batch([pa.array(at, pa.int32()), *[pa.array(rows[at, k]) for k in range(STATES)]], names=["row", *names])
 
-        added = docs.select(F.col(text_col).cast("string").alias("text")) \
-            .mapInArrow(expect, "row int, " + ", ".join(f"{n} double" for n in names)) \
+        added = texts.mapInArrow(expect, "row int, " + ", ".join(f"{n} double" for n in names)) \
             .groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
         rows = np.zeros((CLASSES + STATES + 1, STATES))
         rows[added.column("row").to_numpy()] = np.stack([added.column(n).to_numpy() for n in names], axis=1)
@@ -259,7 +299,7 @@ def score_documents(docs: DataFrame, usable: Column, *, id_col: str = "doc_id",
     text = F.col(text_col).cast("string").alias("text")
     n_docs = train_rows.count()
     counts = stored(count_words(train_rows.select(text)), "lm-counts")
-    table, per_ending, model = train(train_rows, id_col, text_col, counts, n_docs)
+    table, per_ending, model = train(train_rows, text_col, counts, n_docs)
     scale = np.log10(table.scale)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.llm.lm import CLASSES, STATES, Hmm, held_out, sample_fit, score_documents
 
@@ -100,3 +101,34 @@ def test_the_word_table_keeps_its_bound(spark):
         table, _, _ = word_table(counts, 5, bound)
         assert len(table.hash) == held
         assert table.n_tokens == sum(n for _, _, n in rows) + 5 and table.n_distinct == len(rows) + 1
+
+
+def test_the_start_counts_every_neighbour():
+    from reelspark.llm.lm import END, NEIGHBOUR_WORDS, NEIGHBOURS, neighbour_cells, start_fit
+    rng = np.random.default_rng(4)
+    docs = [[*rng.integers(0, CLASSES - 1, n).tolist(), END] for n in (0, 1, 3, 3000)]
+    seq, sizes = np.array([c for d in docs for c in d]), np.array([len(d) for d in docs])
+
+    def group(c):
+        return c if c < NEIGHBOUR_WORDS else NEIGHBOURS - 1 if c == END else NEIGHBOUR_WORDS + c % (NEIGHBOURS - 1 - NEIGHBOUR_WORDS)
+    want = collections.Counter()
+    for d in docs:
+        for a, b in zip(d, d[1:]):
+            want[b * 2 * NEIGHBOURS + group(a)] += 1
+            want[a * 2 * NEIGHBOURS + NEIGHBOURS + group(b)] += 1
+    assert collections.Counter(neighbour_cells(seq, sizes).tolist()) == want
+    none = start_fit(np.zeros(0, int), np.zeros(0, int), np.full(CLASSES, 1 / CLASSES))
+    assert none.emit.sum(axis=0) == pytest.approx(np.ones(STATES))
+
+
+def test_the_model_learns_from_every_training_text(spark):
+    """No text stands for others: which ids the texts bear says nothing, and a document's late words shape the model as its first do."""
+    rng = np.random.default_rng(6)
+    kinds = [[f"{c}{k}" for k in range(40)] for c in "abcd"]
+    texts = [" ".join(rng.choice(kinds[k % 4], 8)) for k in range(3000)]
+
+    def scores(shift):
+        df = spark.createDataFrame([(k + shift, k, t) for k, t in enumerate(texts)], "doc_id long, k long, text string")
+        found = score_documents(df, F.col("k") % 10 != 0).join(df.select("doc_id", "k"), "doc_id").collect()
+        return [r.score for r in sorted(found, key=lambda r: r.k)]
+    assert scores(0) == pytest.approx(scores(1_000_000), rel=1e-6)
