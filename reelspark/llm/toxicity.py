@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, with_fields
+from .common import bounded_batches, stored, trim, with_fields
 from .textops import U64, WordHasher, doc_chunks, text_buffer, word_spans
 
 #: Bound on the training sample (labelled documents) and the hashed slots.
@@ -59,6 +59,13 @@ class FactorizationMachine:
         self.w0, self.w = bias, np.zeros(len(slots))
         self.v = np.random.default_rng(7).normal(0, 0.02, (len(slots), FACTORS))
 
+    @classmethod
+    def of(cls, slots: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> "FactorizationMachine":
+        """The machine of these (sorted) slots and parameters."""
+        out = cls.__new__(cls)
+        out.slots, out.w0, out.w, out.v = slots, w0, w, v
+        return out
+
     def widened(self, slots: np.ndarray) -> "FactorizationMachine":
         """A machine over ``slots`` (these among them): further ones start without a weight, with short vectors."""
         out = FactorizationMachine(slots, self.w0)
@@ -197,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "
                 cut = np.searchsorted(pairs, np.arange(hi - lo + 1) * SLOTS)
                 yield pa.record_batch([y.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pairs % SLOTS, pa.int32()))],
                                       names=["y", "slots"])
+        trim()
 
     feats = stored(rows.mapInArrow(featurise, "y int, slots array<int>"), "tox-terms")
     n, pos = feats.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -243,9 +251,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col
     docs = bounded_batches(docs).drop("tox_score", "tox_predicted")
     model = train(docs, labels, usable, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs)
     at = docs.columns.index(text_col)
+    # a worker reads a broadcast value once; with the kernel every task would unpickle a machine of its own
+    # and hold it until a collection of cycles
+    shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.w0, model.w, model.v))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(5, lower=True)
+        hasher, model = WordHasher(5, lower=True), FactorizationMachine.of(*shared.value)
         for batch in batches:
             buf, off = text_buffer(batch.column(at))
             out = [np.zeros(0)]
@@ -255,5 +266,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col
             p = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                              names=[*batch.schema.names, "tox_score", "tox_predicted"])
+        trim()
 
     return docs.mapInArrow(score, with_fields(docs.schema, tox_score="double", tox_predicted="int"))

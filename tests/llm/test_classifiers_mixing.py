@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,29 @@ def test_mixing_edge_rows(spark):
     a = out.where("source = 'a'").count()
     assert a == pytest.approx(5e6 / 3 * 1.0, rel=0.01)      # three documents of mass one each
     assert poisson_mix(df.limit(0)).count() == 0
+
+
+def test_scoring_tasks_share_one_machine(spark):
+    """The kernel that goes to every task is small: the machine's parameters are broadcast, not pickled with it."""
+    from pyspark import cloudpickle
+    from reelspark.llm import toxicity
+    kept, real = [], toxicity.FactorizationMachine.raw
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 997}" for j in range(60))) for k in range(1, 400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 400)], "doc_id long, toxic int")
+
+    def caught(self, func, schema, *args, **kw):
+        kept.append(len(cloudpickle.dumps(func)))
+        return real_map(self, func, schema, *args, **kw)
+    kind = type(docs)
+    real_map = kind.mapInArrow
+    kind.mapInArrow = caught
+    try:
+        out = toxicity.score_toxicity(docs, labels, F.lit(True))
+    finally:
+        kind.mapInArrow = real_map
+    model = toxicity.train(docs, labels, F.lit(True))
+    again = toxicity.FactorizationMachine.of(model.slots, model.w0, model.w, model.v)
+    assert len(model.slots) > 500 and kept[-1] < len(model.slots) * 40
+    pairs = (np.array([0, 0, 1]), np.array([1, 5, 3]), 2)
+    assert real(again, *pairs) == pytest.approx(real(model, *pairs))
+    assert out.count() == 399
