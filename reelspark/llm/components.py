@@ -2,6 +2,7 @@
 
 Each step is a minimum per node and a join back on the node, so a node with very many edges is
 aggregated before the shuffle and its join side can be split; nothing is gathered per component.
+A table of few edges is read as one partition, so that its steps need no shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Edges up to which a step runs as one task; more are shuffled.
+FEW_EDGES = 20_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -34,11 +38,12 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     cur = stored(cur, name)
     state = _state(cur)
     while state[0]:
-        sym = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        edge = cur.coalesce(1) if state[0] <= FEW_EDGES else cur
+        sym = edge.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
         large = _star(sym).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large)
-        cur = stored(small.select(F.col("u").alias("a"), F.col("m").alias("b"))
-                     .union(small.where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct(), name)
+        # a row's two edges are an array, so that the join is made once
+        pair = F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))
+        cur = stored(_star(large).select(F.inline(pair)).where("a > b").distinct(), name)
         last, state = state, _state(cur)
         if last == state:
             break

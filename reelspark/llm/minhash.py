@@ -277,9 +277,14 @@ def unique_near_duplicates(rows: DataFrame, threshold: float) -> DataFrame:
                      .select("band", "lead", "rep", F.coalesce("component", "rep").alias("grp")), "near-grouped")
     mixed = grouped.groupBy("band").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 < g2").select("band")
     open_docs = stored(grouped.join(mixed, "band", "left_semi").select(F.col("rep").alias("id"), "grp").distinct().join(texts, "id"), "near-open")
-    more = open_pairs(open_docs, threshold)
-    links = first.unionAll(stored(verified(more), "near-links"))
-    final = components(links, "a", "b", "near-components")
+    more = stored(verified(open_pairs(open_docs, threshold)), "near-links")
+    # the further links join whole groups, whose least ids stand for them
+    group = open_docs.select("id", "grp")
+    joined = components(more.join(group.withColumnsRenamed({"id": "a", "grp": "grp_a"}), "a").join(group.withColumnsRenamed({"id": "b", "grp": "grp_b"}), "b"),
+                        "grp_a", "grp_b", "near-components")
+    final = comp.join(joined.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left") \
+        .select("node", F.coalesce("least", "component").alias("component")) \
+        .unionAll(joined)      # no least id of a group is a node of ``comp``
 
     copies = signed.where("c1 IS NOT NULL").select("id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]) \
         .select("id", "rep").unionAll(signed.where("c1 IS NULL").select("id", F.col("id").alias("rep"))) \

@@ -6,6 +6,7 @@ import itertools
 import numpy as np
 import pytest
 
+from reelspark.llm.components import components
 from reelspark.llm.minhash import drop_near_duplicates, near_duplicates, probability_jaccard, shingles, signatures, REGISTERS
 from reelspark.llm.textops import U64, mix
 
@@ -108,3 +109,33 @@ def test_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:-100])), (3, " ".join(words[:25_000])), (4, "short text of a few words")]
     got = {r.doc_id: (r.class_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True)}
+
+
+def test_links_between_groups_join_least_ids(spark, monkeypatch):
+    """A chain of near copies: only the groups' least ids go through the second search for components, and none is lost."""
+    from reelspark.llm import minhash
+    seen = []
+
+    def counted(edges, a, b, name):
+        seen.append((a, b, {x for r in edges.select(a, b).collect() for x in r}))
+        return components(edges, a, b, name)
+    monkeypatch.setattr(minhash, "components", counted)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(90 - k, " ".join(words[8 * k:8 * k + 200])) for k in range(12)] + [(200 + k, " ".join(words[8 * k:8 * k + 200]) + " end") for k in range(12)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert [x[:2] for x in seen] == [("a", "b"), ("grp_a", "grp_b")]
+
+
+def test_few_edges_need_no_shuffle(spark, monkeypatch):
+    from reelspark.llm import components as module
+    plans, rng = [], np.random.default_rng(2)
+    real = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = {(r.node, r.component) for r in components(df, "a", "b").collect()}
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans[1:])
+    monkeypatch.setattr(module, "FEW_EDGES", 10)
+    assert few == {(r.node, r.component) for r in components(df, "a", "b").collect()}
+    assert "Exchange hashpartitioning" in plans[-1]
