@@ -12,15 +12,14 @@ the first partner: a line needs one earlier match to go, so no pairs are made.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import once, release, stored
 
-#: Words are counted in this many hashed slots (a word's rarity is that of its slot), on 16 levels.
-SLOT_BITS = 17
+#: Words are counted in two to this many hashed slots (a word's rarity is that of its slot), on 16 levels.
+SLOT_BITS = 16
 #: Sets up to this size fold their parity into 64 bits; larger ones keep 128.
 SMALL = 64
 #: Rows of the verification's id list up to which it is broadcast; beyond it the join shuffles.
@@ -36,7 +35,8 @@ def has_words(line: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    return F.split(line, "[ \\t\\x0b\\x0c\\r]+")     # an empty word stands before or after white space at the ends
+    """The words of a line, and empty ones beside white space.  A split at spaces alone takes no regular expression, and most lines have no other white space."""
+    return F.when(line.rlike("[\\t\\x0b\\x0c\\r]"), F.split(line, "[ \\t\\x0b\\x0c\\r]+")).otherwise(F.split(line, " "))
 
 
 def hashes_of(line: Column) -> Column:
@@ -49,21 +49,23 @@ def rarity_levels(docs: DataFrame, text_col: str) -> Column:
     # splitting at spaces alone is the quick way; a word beside other white space counts with its neighbour,
     # which can only make the order less apt, never the join less exact
     word = F.explode(F.split(F.col(text_col), " ")).alias("word")
-    slots = docs.select(word).groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOT_BITS).cast("int").alias("slot")).count().collect()
-    counts = sorted(r["count"] for r in slots)           # at most 2 ** SLOT_BITS rows
-    middle = counts[len(counts) // 2] if counts else 1
-    level = {r.slot: max(0, min(15, round(2 * math.log2(r["count"] / middle)) + 4)) for r in slots}
-    return F.split(F.lit(",".join(str(level.get(k, 0)) for k in range(1 << SLOT_BITS))), ",").cast("array<int>")
+    slot = F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOT_BITS).cast("int").alias("slot")
+    found = docs.select(word).groupBy(slot).count().toArrow()        # at most 2 ** SLOT_BITS rows, which as Arrow are a megabyte on the driver
+    counts = found.column("count").to_numpy()
+    level = np.zeros(1 << SLOT_BITS, np.int64)
+    if len(counts):
+        middle = np.sort(counts)[len(counts) // 2]
+        level[found.column("slot").to_numpy()] = np.clip(np.rint(2 * np.log2(counts / middle)) + 4, 0, 15)
+    return F.split(F.lit(",".join(map(str, level.tolist()))), ",").cast("array<bigint>")
 
 
 def ordered_keys(line: Column, levels: Column) -> Column:
     """The distinct words of a line as longs in the global order: level in the top bits, then 59 bits of the word's hash."""
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
+    # each word is hashed once, and only distinct ones are looked up (two words with one key would both stay and do no harm)
+    def key(h: Column) -> Column:
         level = F.get(levels, F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int"))
-        return F.shiftleft(level.cast("bigint"), 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
-    # one pass over the words, and the empty word leaves by its key
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words_of(line), key)), key(F.lit(""))))
+        return F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
+    return F.sort_array(F.transform(hashes_of(line), key))
 
 
 def text_mark(text: Column) -> Column:
@@ -117,11 +119,12 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
         .select("doc", "pos", "n", F.col("all").bitwiseXOR(F.col("more")).alias("bits"), "more",
                 F.slice("keys", F.lit(1), probe.cast("int")).alias("prefix")) \
         .select("doc", "pos", "n", "bits", "more", F.posexplode_outer("prefix").alias("at", "key")) \
-        .select(F.coalesce("key", F.lit(-1).cast("bigint")).alias("key"), "n",
-                F.coalesce(F.ceil(threshold * F.col("n") - EPS), F.lit(0)).cast("int").alias("least"),     # smallest partner
-                F.coalesce(F.col("at") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - EPS) + 1, F.lit(False)).alias("indexed"),
-                F.coalesce("at", F.lit(0)).alias("at"), "bits", "more", "doc", "pos")
-    # in the order in which the join below names them: its two sides are then the same to Spark, and are shuffled once
+        .select(F.coalesce("key", F.lit(-1).cast("bigint")).alias("key"),
+                F.coalesce(F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 1)
+                           + (F.col("at") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - EPS) + 1).cast("bigint"),
+                           F.lit(0).cast("bigint")).alias("shape"), "bits", "more", "doc", "pos")
+    # ``shape`` is the set's size, the word's place and whether the shorter set is joined on it: one column to shuffle;
+    # columns are in the order in which the join below names them: its two sides are then the same to Spark, and are shuffled once
     # (no line here is without words; the outer form and the stand-ins keep Catalyst from inferring filters
     # that would compute the sets a second time below the aggregate, or tell the join's two sides apart)
 
@@ -130,14 +133,15 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     # sides throughout, so that nothing of it is pushed below the exchange.  A pair shares at least ``need`` words; two large
     # sets compare 128 parity bits, and a small set has its halves folded, so the other's are folded too.  The first entry
     # of every line comes along, partner or not: it is the line's place.
-    need = f"ceil({threshold / (1 + threshold)!r}D * (a.n + b.n) - {EPS}D)"
+    (na, at_a, ia), (nb, at_b, ib) = [(f"shiftright({x}.shape, 32)", f"(shiftright({x}.shape, 1) & 2147483647)", f"(({x}.shape & 1) = 1)") for x in "ab"]
+    need = f"ceil({threshold / (1 + threshold)!r}D * ({na} + {nb}) - {EPS}D)"
     found = docs.sparkSession.sql(f"""
-        SELECT key, doc, pos, at = 0 AS first, EXISTS (
-          SELECT 1 FROM {{b}} b WHERE a.key = b.key AND b.n >= a.least AND a.n >= b.least
-            AND CASE WHEN a.n > b.n THEN b.indexed WHEN a.n < b.n THEN a.indexed ELSE a.indexed OR b.indexed END
-            AND 1 + least(a.n - 1 - a.at, b.n - 1 - b.at) >= {need}
-            AND CASE WHEN a.n > {SMALL} AND b.n > {SMALL} THEN bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more)
-                     ELSE bit_count((a.bits ^ b.bits) ^ (a.more ^ b.more)) END <= a.n + b.n - 2 * {need}
+        SELECT key, doc, pos, {at_a} = 0 AS first, EXISTS (
+          SELECT 1 FROM {{b}} b WHERE a.key = b.key AND {nb} >= {threshold!r}D * {na} - {EPS}D AND {na} >= {threshold!r}D * {nb} - {EPS}D
+            AND CASE WHEN {na} > {nb} THEN {ib} WHEN {na} < {nb} THEN {ia} ELSE {ia} OR {ib} END
+            AND 1 + least({na} - 1 - {at_a}, {nb} - 1 - {at_b}) >= {need}
+            AND CASE WHEN {na} > {SMALL} AND {nb} > {SMALL} THEN bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more)
+                     ELSE bit_count((a.bits ^ b.bits) ^ (a.more ^ b.more)) END <= {na} + {nb} - 2 * {need}
             AND (a.doc <> b.doc OR a.pos <> b.pos)) AS mate
         FROM {{a}} a""", a=sets, b=sets)
     # a row's choice is an array, not a filter: a filter would be pushed below the join, and the join made twice

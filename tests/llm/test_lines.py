@@ -2,6 +2,10 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from reelspark.llm import lines
 from reelspark.llm.lines import drop_duplicate_lines, duplicate_lines
 
 
@@ -108,3 +112,14 @@ def test_text_without_duplicate_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, dl_kept string")
     got = {r.doc_id: (r.text, r.dl_kept) for r in drop_duplicate_lines(df).collect()}
     assert got == {1: ("alpha beta gamma\n\ndelta", "k"), 2: ("new line here\n", "k"), 4: (None, None), 5: ("", "k")}
+
+
+def test_words_are_hashed_once_and_counts_reach_the_driver_as_arrow(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a a b\tc"), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "collect", lambda self: pytest.fail("a row object a slot"))
+    levels = lines.rarity_levels(docs, "text")
+    monkeypatch.undo()
+    assert str(lines.ordered_keys(F.col("line"), levels)).count("xxhash64(") == 2       # a word's, and the empty word's
+    got = docs.select(F.size(lines.ordered_keys(F.lit(" b\ta  a\rb "), levels)).alias("n"), F.array_sort(lines.hashes_of(F.lit("b\t\x0ba  a\rb"))).alias("h"),
+                      F.array_sort(F.array(F.xxhash64(F.lit("a")), F.xxhash64(F.lit("b")))).alias("want")).first()
+    assert got.n == 2 and got.h == got.want
