@@ -25,6 +25,15 @@ def test_stages(spark, scratch):
     assert docs.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").count() == 0
 
 
+def test_each_stage_first_lets_go_of_what_the_driver_holds(spark, monkeypatch):
+    def released(session):
+        raise InterruptedError
+    monkeypatch.setattr(P, "release", released, raising=False)
+    for _, stage in P.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, None, SF001)
+
+
 def test_run_equals_the_stages(spark):
     assert P.run(spark, SF001).columns[0] == "doc_id"
 
