@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import once, release, stored
 
-#: Words are counted in two to this many hashed slots (a word's rarity is that of its slot), on 16 levels.
+#: Words are counted in hashed slots of so many bits (a word's rarity is that of its slot), on 16 levels.
 SLOT_BITS = 16
 #: Sets up to this size fold their parity into 64 bits; larger ones keep 128.
 SMALL = 64
