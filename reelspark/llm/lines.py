@@ -31,7 +31,8 @@ EPS = 1e-9
 
 
 def has_words(line: Column) -> Column:
-    return line.rlike("[^ \\t\\n\\x0b\\x0c\\r]")
+    """Whether a line has a word.  Strings compare by bytes, so one from ``!`` on starts with a word; only others take the regular expression."""
+    return (line >= "!") | line.rlike("[^ \\t\\n\\x0b\\x0c\\r]")
 
 
 def words_of(line: Column) -> Column:
@@ -64,7 +65,8 @@ def ordered_keys(line: Column, levels: Column) -> Column:
     # each word is hashed once, and only distinct ones are looked up (two words with one key would both stay and do no harm)
     def key(h: Column) -> Column:
         level = F.get(levels, F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int"))
-        return F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
+        # a slot always has a level; the stand-in tells Spark that no key is null, and it then sorts longs, not objects
+        return F.coalesce(F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1))), F.lit(0).cast("bigint"))
     return F.sort_array(F.transform(hashes_of(line), key))
 
 
@@ -73,15 +75,16 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << 30) - 1)).bitwiseOR(F.lit(1))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``doc, copy, text`` with a hash of the text where the id has several rows, else 0: what tells an id's texts apart.
+def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``doc, copy, text`` with a hash of the text where the id has several rows, else 0: what tells an id's texts apart; and whether an id has several.
 
     Ids are counted first; those that repeat are few as a rule, and are joined by broadcast if they are.
     """
     again = stored(rows.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("again")), "line-again")
-    mark = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    several = again.count()
+    mark = F.broadcast(again) if several <= BROADCAST_ROWS else again
     copy = F.when(F.col("again").isNotNull(), text_mark(F.col("text"))).otherwise(F.lit(0).cast("bigint"))
-    return rows.join(mark, F.col("doc") == F.col("again"), "left").select("doc", copy.alias("copy"), "text")
+    return rows.join(mark, F.col("doc") == F.col("again"), "left").select("doc", copy.alias("copy"), "text"), several > 0
 
 
 def in_lines(rows: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")) \
         .where("doc IS NOT NULL AND text IS NOT NULL")
     levels = rarity_levels(rows, "text")
-    rows = numbered(rows)
+    rows, repeated = numbered(rows)
     places = F.lit(PLACES).cast("decimal(20,0)")
     place = F.min((F.col("doc").cast("decimal(38,0)") * places + F.col("pos")).cast("decimal(38,0)")).alias("place")
     pos_of = F.pmod("place", places.cast("decimal(38,0)"))
@@ -111,6 +114,9 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     first = in_lines(rows).where(has_words(F.col("line"))).groupBy("line").agg(place) \
         .select(doc_of, pos_of.cast("long").alias("pos"), "line")
 
+    # a pair shares at least ``part`` of the sum of its sizes; if this word is the first that it shares, all those stand from here on in both sets
+    part = threshold / (1 + threshold)
+    most = F.floor((F.col("n") - F.col("at") + EPS) / part) - F.col("n")
     probe = F.col("n") - F.ceil(threshold * F.col("n") - EPS) + 1
     sets = first.select("doc", "pos", ordered_keys(F.col("line"), levels).alias("keys")) \
         .select("doc", "pos", "keys", F.size("keys").alias("n"), parity(F.col("keys")).alias("all"),
@@ -120,34 +126,33 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
                 F.slice("keys", F.lit(1), probe.cast("int")).alias("prefix")) \
         .select("doc", "pos", "n", "bits", "more", F.posexplode_outer("prefix").alias("at", "key")) \
         .select(F.coalesce("key", F.lit(-1).cast("bigint")).alias("key"),
-                F.coalesce(F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 1)
-                           + (F.col("at") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - EPS) + 1).cast("bigint"),
+                F.coalesce(F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(most, 1) + (F.col("at") == 0).cast("bigint"),
                            F.lit(0).cast("bigint")).alias("shape"), "bits", "more", "doc", "pos")
-    # ``shape`` is the set's size, the word's place and whether the shorter set is joined on it: one column to shuffle;
+    # ``shape`` is the set's size, the largest size of a partner that it allows and whether the word is the set's first: one column to shuffle;
     # columns are in the order in which the join below names them: its two sides are then the same to Spark, and are shuffled once
     # (no line here is without words; the outer form and the stand-ins keep Catalyst from inferring filters
     # that would compute the sets a second time below the aggregate, or tell the join's two sides apart)
 
     # Entries with a partner that passes the filters: only that there is one is asked, so a large family of
     # similar lines makes no pairs.  Both sides are one and the same exchange; the condition names both
-    # sides throughout, so that nothing of it is pushed below the exchange.  A pair shares at least ``need`` words; two large
+    # sides throughout, so that nothing of it is pushed below the exchange.  That each size is at most what the other's entry allows is
+    # the positional filter, and the length and prefix filters follow from it; two whole numbers are compared a pair.  Two large
     # sets compare 128 parity bits, and a small set has its halves folded, so the other's are folded too.  The first entry
     # of every line comes along, partner or not: it is the line's place.
-    (na, at_a, ia), (nb, at_b, ib) = [(f"shiftright({x}.shape, 32)", f"(shiftright({x}.shape, 1) & 2147483647)", f"(({x}.shape & 1) = 1)") for x in "ab"]
-    need = f"ceil({threshold / (1 + threshold)!r}D * ({na} + {nb}) - {EPS}D)"
-    found = docs.sparkSession.sql(f"""
-        SELECT key, doc, pos, {at_a} = 0 AS first, EXISTS (
-          SELECT 1 FROM {{b}} b WHERE a.key = b.key AND {nb} >= {threshold!r}D * {na} - {EPS}D AND {na} >= {threshold!r}D * {nb} - {EPS}D
-            AND CASE WHEN {na} > {nb} THEN {ib} WHEN {na} < {nb} THEN {ia} ELSE {ia} OR {ib} END
-            AND 1 + least({na} - 1 - {at_a}, {nb} - 1 - {at_b}) >= {need}
+    (na, most_a), (nb, most_b) = [(f"shiftright({x}.shape, 32)", f"shiftright({x}.shape & 4294967295, 1)") for x in "ab"]
+    need = f"{part!r}D * ({na} + {nb}) - {EPS}D"
+    near = f"""{nb} <= {most_a} AND {na} <= {most_b}
             AND CASE WHEN {na} > {SMALL} AND {nb} > {SMALL} THEN bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more)
-                     ELSE bit_count((a.bits ^ b.bits) ^ (a.more ^ b.more)) END <= {na} + {nb} - 2 * {need}
-            AND (a.doc <> b.doc OR a.pos <> b.pos)) AS mate
+                     ELSE bit_count((a.bits ^ b.bits) ^ (a.more ^ b.more)) END <= {na} + {nb} - 2 * ceil({need})"""
+    found = docs.sparkSession.sql(f"""
+        SELECT key, shape, bits, more, doc, pos, a.shape & 1 = 1 AS first, EXISTS (
+          SELECT 1 FROM {{b}} b WHERE a.key = b.key AND {near} AND (a.doc <> b.doc OR a.pos <> b.pos)) AS mate
         FROM {{a}} a""", a=sets, b=sets)
     # a row's choice is an array, not a filter: a filter would be pushed below the join, and the join made twice
-    chosen = F.when(F.col("first") | F.col("mate"), F.array(F.struct(F.when(F.col("mate"), F.col("key")).alias("key"), "doc", "pos", "first")))
+    entry = [F.when(F.col("mate"), F.col(c)).alias(c) for c in ("key", "shape", "bits", "more")]
+    chosen = F.when(F.col("first") | F.col("mate"), F.array(F.struct(*entry, "doc", "pos", "first")))
     found = stored(found.select(F.explode_outer(chosen).alias("x")).where("x IS NOT NULL").select("x.*"), "line-active")
-    active = found.where("key IS NOT NULL").select("key", "doc", "pos")
+    active = found.where("key IS NOT NULL").drop("first")
 
     # verification reads the lines concerned from the input again; their places are few
     ids = stored(active.select("doc", "pos").distinct(), "line-ids")
@@ -155,20 +160,19 @@ def line_matches(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     release(docs.sparkSession)
     some = rows.join(F.broadcast(ids.select("doc").distinct()) if few else ids.select("doc").distinct(), "doc", "left_semi")
     some = in_lines(some).join(F.broadcast(ids) if few else ids, ["doc", "pos"])
-    words = stored(some.select("doc", "pos", hashes_of(F.col("line")).alias("words")).dropDuplicates(["doc", "pos"]), "line-words")
-    full = active.join(words, ["doc", "pos"]).select("key", "doc", "pos", "words")
+    words = some.select("doc", "pos", hashes_of(F.col("line")).alias("words"))
+    words = stored(words.dropDuplicates(["doc", "pos"]) if repeated else words, "line-words")      # a place occurs twice only by equal rows
+    full = active.join(words, ["doc", "pos"]).select("key", "shape", "bits", "more", "doc", "pos", "words")
 
-    wa, wb = F.col("a.words"), F.col("b.words")
-    earlier = (F.col("b.doc") < F.col("a.doc")) | ((F.col("b.doc") == F.col("a.doc")) & (F.col("b.pos") < F.col("a.pos")))
-    shared = F.size(F.array_intersect(wa, wb))
+    # the filters again, now for the pair itself: few pairs are left whose words are compared
     late = full.alias("a").join(
         full.alias("b"),
-        (F.col("a.key") == F.col("b.key")) & earlier & (F.size(wb) >= F.ceil(threshold * F.size(wa) - EPS))
-        & (F.size(wa) >= F.ceil(threshold * F.size(wb) - EPS))
-        & (shared >= threshold * (F.size(wa) + F.size(wb) - shared) - EPS), "left_semi") \
-        .select("doc", "pos").distinct().withColumn("gone", F.lit(True))
-    return found.where("first").select("doc", "pos").join(late, ["doc", "pos"], "left") \
-        .select("doc", "pos", F.coalesce("gone", F.lit(False)).alias("gone"))
+        (F.col("a.key") == F.col("b.key")) & F.expr(f"""{near} AND (b.doc < a.doc OR b.doc = a.doc AND b.pos < a.pos)
+            AND size(array_intersect(a.words, b.words)) >= {need}"""), "left_semi") \
+        .select("doc", "pos", F.lit(True).alias("gone"))
+    # every late place is a line's first place, so grouping adds none
+    return found.where("first").select("doc", "pos", F.lit(False).alias("gone")).unionByName(late) \
+        .groupBy("doc", "pos").agg(F.max("gone").alias("gone"))
 
 
 def kept_lines(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:

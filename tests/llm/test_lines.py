@@ -123,3 +123,27 @@ def test_words_are_hashed_once_and_counts_reach_the_driver_as_arrow(spark, monke
     got = docs.select(F.size(lines.ordered_keys(F.lit(" b\ta  a\rb "), levels)).alias("n"), F.array_sort(lines.hashes_of(F.lit("b\t\x0ba  a\rb"))).alias("h"),
                       F.array_sort(F.array(F.xxhash64(F.lit("a")), F.xxhash64(F.lit("b")))).alias("want")).first()
     assert got.n == 2 and got.h == got.want
+
+
+def test_pairs_pass_the_cheap_filters_before_their_words_are_compared(spark):
+    docs = spark.createDataFrame([(1, "a b c d e\nx y"), (2, "e d c b a\nz")], "doc_id long, text string")
+    keys = docs.select(lines.ordered_keys(F.col("text"), lines.rarity_levels(docs, "text")).alias("keys"))
+    assert not keys.schema["keys"].dataType.containsNull            # else Spark sorts objects instead of longs
+    plan = lines.line_matches(docs)._jdf.queryExecution().optimizedPlan().toString()
+    compared = [line for line in plan.splitlines() if "array_intersect(" in line]
+    assert len(compared) == 1 and compared[0].count("array_intersect(") == 1
+    assert 0 <= compared[0].find("bit_count(") < compared[0].find("array_intersect(")
+
+
+def test_sets_at_the_threshold_and_just_below(spark):
+    rows = []
+    for n in (*range(1, 14), 27, 45, 63, 64, 65, 66, 90, 125):
+        for m in {n, -(-4 * n // 5), n - 1} - {0}:
+            least = -(-4 * (n + m) // 9)                                # words that the two must share
+            for shared in {least, least - 1} & set(range(min(n, m) + 1)):
+                tag = f"{n}_{m}_{shared}_"
+                long = [f"{tag}c{k}" for k in range(shared)] + [f"{tag}a{k}" for k in range(n - shared)]
+                short = [f"{tag}c{k}" for k in range(shared)] + [f"{tag}b{k}" for k in range(m - shared)]
+                rows += [(len(rows), " ".join(long)), (len(rows) + 1, " ".join(reversed(short)))]
+    got = run(spark, rows)
+    assert got == brute(rows) and 0 < sum(r[2] for r in got) < len(rows) / 2
